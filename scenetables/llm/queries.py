@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scenetables.llm.language_id import op7_language_id
+from scenetables.llm.mixing import OP4_SQL, op4_source_mixing
+from scenetables.llm.pii import op3_pii
+from scenetables.llm.secret_scan import op10_secret_scan
 from scenetables.llm.simhash_dedup import op1_simhash_near_dedup
+from scenetables.llm.toxicity import op5_toxicity
+from scenetables.llm.transport_stream import op6_transport_stream
+from scenetables.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op3_pii,
+        op4_source_mixing,
+        op5_toxicity,
+        op6_transport_stream,
+        op7_language_id,
+        op9_url_filter,
+        op10_secret_scan,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": OP4_SQL,
+    "op9_url_filter": OP9_SQL,
+}
