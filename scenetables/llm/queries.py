@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scenetables.llm.decontamination import OP8_SQL, op8_decontamination
 from scenetables.llm.language_id import op7_language_id
 from scenetables.llm.mixing import OP4_SQL, op4_source_mixing
 from scenetables.llm.pii import op3_pii
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxicity,
         op6_transport_stream,
         op7_language_id,
+        op8_decontamination,
         op9_url_filter,
         op10_secret_scan,
     )
@@ -31,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": OP4_SQL,
+    "op8_decontamination": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
