@@ -12,6 +12,7 @@ from scenetables.llm.mixing import OP4_SQL, op4_source_mixing
 from scenetables.llm.pii import op3_pii
 from scenetables.llm.secret_scan import op10_secret_scan
 from scenetables.llm.simhash_dedup import op1_simhash_near_dedup
+from scenetables.llm.suffix_dedup import op2_suffix_dedup
 from scenetables.llm.toxicity import op5_toxicity
 from scenetables.llm.transport_stream import op6_transport_stream
 from scenetables.llm.url_filter import OP9_SQL, op9_url_filter
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_suffix_dedup,
         op3_pii,
         op4_source_mixing,
         op5_toxicity,

@@ -22,7 +22,7 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def corpus(spark, tmp_path_factory):
+def corpus_dir(spark, tmp_path_factory):
     """Writes rows as a table `documents` (and others) and returns the folder."""
 
     def write(**tables):

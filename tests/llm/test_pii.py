@@ -44,9 +44,9 @@ def test_long_texts_stay_linear():
         find_spans(t)
 
 
-def test_rows_nulls_and_clashing_columns(spark, documents, corpus):
+def test_rows_nulls_and_clashing_columns(spark, documents, corpus_dir):
     d = documents([(1, None), (1, "a@b.co"), (1, "a@b.co"), (None, "")])
-    out = op3_pii(spark, corpus(documents=d)).collect()
+    out = op3_pii(spark, corpus_dir(documents=d)).collect()
     assert sorted(r.n_email for r in out) == [0, 0, 1, 1] and {r.spans for r in out} == {"", "email:0:6"}
     clash = d.withColumnRenamed("lang", "spans").withColumnRenamed("source", "kind")
     assert pii_spans(clash).count() == 4

@@ -35,9 +35,9 @@ def test_mask_merges_overlaps():
     assert mask(None) is None and mask("") == "" and mask("clean") == "clean"
 
 
-def test_rows_nulls_and_clashing_columns(spark, documents, corpus):
+def test_rows_nulls_and_clashing_columns(spark, documents, corpus_dir):
     d = documents([(1, None), (2, "secret: abcdef"), (2, "secret: abcdef"), (None, "")])
-    out = op10_secret_scan(spark, corpus(documents=d)).collect()
+    out = op10_secret_scan(spark, corpus_dir(documents=d)).collect()
     assert sorted(r.n_assign for r in out) == [0, 0, 1, 1] and {r.spans for r in out} == {"", "assign:0:14"}
     clash = d.withColumnRenamed("lang", "spans")
     assert secret_spans(clash).count() == 4 and secret_spans(d.limit(0)).count() == 0

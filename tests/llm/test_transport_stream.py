@@ -30,9 +30,9 @@ def test_damage_is_seen():
         ts.demux(bytes(media))
 
 
-def test_rows_nulls_and_clashing_columns(spark, documents, corpus):
+def test_rows_nulls_and_clashing_columns(spark, documents, corpus_dir):
     d = documents([(1, None), (1, ""), (2, "é" * 40), (None, "x" * 100_000)])
-    out = {(r.doc_id, r.n_bytes): r for r in ts.op6_transport_stream(spark, corpus(documents=d)).collect()}
+    out = {(r.doc_id, r.n_bytes): r for r in ts.op6_transport_stream(spark, corpus_dir(documents=d)).collect()}
     assert len(out) == 3 and out[1, 0].payload_bytes == 64 and out[2, 80].payload_bytes == 128
     for (_, n), text in zip(((1, 0), (2, 80), (None, 100_000)), ("", "é" * 40, "x" * 100_000)):
         r, (size, payload) = out[_, n], ts.padded(text)
