@@ -87,8 +87,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, text_key, item_id, start_word, n_words, similarity): for each document and benchmark item the most similar
     window, the first in ties, if its similarity is 0.8 or more.
 
-    Nulls: a null text has no words and a null id is an id of its own. Repeated rows give one result; repeated items one
-    each. An empty table on either side gives an empty result. Other columns are not read."""
+    Nulls: a null text has no words and a null id is an id of its own. Repeated rows give one result, and so do items of the same
+    id and length. An empty table on either side gives an empty result. Other columns are not read."""
     items = materialize(item_table(benchmark), "items")
     d = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     d = d.filter(F.col("text").isNotNull())
@@ -152,5 +152,5 @@ shared AS (
 scored AS (
   SELECT *, i::DOUBLE / (m + least(m, size - least(n, 5) + 1) - i)::DOUBLE AS similarity FROM shared WHERE s + n <= size OR s = 0)
 SELECT d.doc_id, i.item_id, arg_max(s, (similarity, -s))::BIGINT AS start_word, scored.n::BIGINT AS n_words, max(similarity) AS similarity
-FROM scored JOIN d USING (row) JOIN i ON i.item = scored.item WHERE similarity >= 0.8 GROUP BY scored.row, scored.item, d.doc_id, i.item_id, scored.n
+FROM scored JOIN d USING (row) JOIN i ON i.item = scored.item WHERE similarity >= 0.8 GROUP BY scored.row, d.doc_id, i.item_id, scored.n
 """

@@ -28,6 +28,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 GRAM_SCALE = 0.25
 PER_LABEL, MAX_CHARS = 1_500, 8_000  # bounds of the training sample
 ROUNDS, EPOCHS, BATCH, RATE = 3, 4, 128, 0.01
+LEAST_STEPS = 150  # of a round; a small sample is gone over more often
 THRESHOLD = 0.7
 LANES = 2_048  # windows that run side by side
 BLOCK_WORDS = 1 << 19  # words whose inputs are held at once
@@ -269,7 +270,7 @@ def train(sample: list[tuple[str, int]], seed: int = 0) -> Net:
         valid_now = np.concatenate([valid[:, chosen], np.ones((WINDOW, len(stutter)), np.float32)], axis=1)
         weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
         weight = np.minimum(weight, 5)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, len(y) // BATCH)))):
             for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
                 used, local = np.unique(tok_now[:, part], return_inverse=True)
                 if used[-1] != n_words:
