@@ -21,6 +21,12 @@ MAX_DEPTH = 122.5
 BEV_PIXELS, BEV_METRES = 400, 60.0
 
 
+def kept(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column, without the rows where it is null. A filter would be pushed below and take a copy of the value with it
+    for each place that names it; a generator computes the value once."""
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+
+
 def point(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
@@ -32,9 +38,9 @@ def corners(lwh: Column | str, m: Column | str) -> Column:
 
 
 def gather(vertices: Column | str, order: Sequence[int]) -> Column:
-    """Vertices in another order; an index that is not there gives null."""
+    """Vertices in another order; an index that is not there gives null. Name a column that is there, as each vertex names it."""
     v = F.col(vertices) if isinstance(vertices, str) else vertices
-    return F.transform(F.array(*map(F.lit, order)), lambda i: F.get(v, i))
+    return F.array(*(F.get(v, F.lit(i)) for i in order))
 
 
 def box_polyline(vertices: Column | str) -> Column:
@@ -66,11 +72,11 @@ def closed(vertices: Column | str) -> Column:
 
 
 def segments(features: DataFrame, vertices: str = "vertices") -> DataFrame:
-    """One row for each pair of consecutive vertices: seg_id, a and b instead of the vertices."""
+    """One row for each pair of consecutive vertices: seg_id, p0 and p1 instead of the vertices."""
     n = F.size(vertices)
     pairs = F.when(n > 1, F.arrays_zip(F.slice(vertices, 1, n - 1).alias("a"), F.slice(vertices, 2, n - 1).alias("b")))
     keep = [c for c in features.columns if c != vertices]
-    return features.select(*keep, F.posexplode(pairs).alias("seg_id", "__s")).select(*keep, "seg_id", F.col("__s.a").alias("a"), F.col("__s.b").alias("b"))
+    return features.select(*keep, F.posexplode(pairs).alias("seg_id", "__s")).select(*keep, "seg_id", F.col("__s.a").alias("p0"), F.col("__s.b").alias("p1"))
 
 
 def densified(features: DataFrame, interval: float = DENSE_INTERVAL, vertices: str = "vertices") -> DataFrame:
@@ -78,10 +84,10 @@ def densified(features: DataFrame, interval: float = DENSE_INTERVAL, vertices: s
     last, and the line's last vertex ends it. Single vertices are their own line."""
     keep = [c for c in features.columns if c != vertices]
     s = segments(features, vertices)
-    length = mat.norm([F.col("b")[a] - F.col("a")[a] for a in "xyz"])
+    length = mat.norm([F.col("p1")[a] - F.col("p0")[a] for a in "xyz"])
     s = s.withColumn("__n", F.greatest((length / interval).cast("int"), F.lit(2))).withColumn("__k", F.explode(F.expr("sequence(0, __n - 2)")))
     t = F.col("__k") / (F.col("__n") - 1)
-    on = s.select(*keep, F.col("seg_id").alias("__seg"), "__k", *(mat.lerp(F.col("a")[c], F.col("b")[c], t).alias(c) for c in "xyz"))
+    on = s.select(*keep, F.col("seg_id").alias("__seg"), "__k", *(mat.lerp(F.col("p0")[c], F.col("p1")[c], t).alias(c) for c in "xyz"))
     end = features.filter(F.size(vertices) > 0).select(*keep, F.size(vertices).alias("__seg"), F.lit(0).alias("__k"), *(F.element_at(vertices, -1)[c].alias(c) for c in "xyz"))
     return on.unionByName(end).select(*keep, F.struct("__seg", "__k").alias("ord"), *"xyz")
 

@@ -74,7 +74,7 @@ def overlay(image: DataFrame, condition: DataFrame, keys: Sequence[str] = IMAGE,
 def line_raster(segments: DataFrame, w: int, h: int, width: int, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Pixels within width / 2 of a segment. segments: keys, prim_id, seg_id, u1, v1, u2, v2, r, g, b; the later primitive
     wins. A segment is cut to the image first, so its pixels are bounded by the image."""
-    s = segments.withColumn("c", geometry.clipped_to_image(*(F.col(x).cast("double") for x in ("u1", "v1", "u2", "v2")), F.lit(w), F.lit(h))).filter("c IS NOT NULL")
+    s = geometry.kept(segments, "c", geometry.clipped_to_image(*(F.col(x).cast("double") for x in ("u1", "v1", "u2", "v2")), F.lit(w), F.lit(h)))
     s = s.select(*keys, "prim_id", "seg_id", *RGB, "c.*")
     pad = width / 2
     low = lambda a, b, n: F.greatest(F.floor(F.least(a, b) - pad), F.lit(0)).cast("int")
@@ -138,9 +138,9 @@ def hull_raster(polygons: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE
 def _in_camera(features: DataFrame, cameras: DataFrame, keys: Sequence[str]) -> DataFrame:
     """features (clip_id, [frame,] prim_id, colour, vertices) seen by each camera: vertices in camera space. cameras: keys, m,
     fx, fy, cx, cy, w, h."""
-    on = [k for k in keys if k in features.columns]
-    f = features.join(cameras.withColumn("__inv", mat.affine_inv("m")), on)
-    return f.withColumn("vertices", mat.apply_vertices("__inv", F.col("vertices")))
+    on = [k for k in keys if k in features.columns and k in cameras.columns]
+    f = features.join(geometry.kept(cameras, "__inv", mat.affine_inv("m")), on)
+    return geometry.kept(f, "vertices", mat.apply_vertices("__inv", F.col("vertices")))
 
 
 def _project(p: Column) -> tuple[Column, Column]:
@@ -153,10 +153,10 @@ def draw_lines(features: DataFrame, cameras: DataFrame, w: int, h: int, width: i
     front = F.exists("vertices", lambda p: p["z"] > 0)
     near = F.array_min(F.transform("vertices", lambda p: p["z"])) <= geometry.MAX_DEPTH
     s = geometry.segments(f.filter(front & near & (F.size("vertices") >= 2)).select(*keys, "prim_id", *RGB, "fx", "fy", "cx", "cy", "vertices"))
-    a, b = geometry.segment_near_clip([F.col("a")[c] for c in "xyz"], [F.col("b")[c] for c in "xyz"])
-    depth = (F.col("a.z") + F.col("b.z")) / 2
-    s = s.withColumn("__a", geometry.point(*a)).withColumn("__b", geometry.point(*b)).filter("__a.z > 0 AND __b.z > 0")
-    (u1, v1), (u2, v2) = _project(F.col("__a")), _project(F.col("__b"))
+    a, b = geometry.segment_near_clip([F.col("p0")[c] for c in "xyz"], [F.col("p1")[c] for c in "xyz"])
+    depth = (F.col("p0.z") + F.col("p1.z")) / 2
+    s = geometry.kept(s, "__e", F.when((a[2] > 0) & (b[2] > 0), F.struct(geometry.point(*a).alias("a"), geometry.point(*b).alias("b"))))
+    (u1, v1), (u2, v2) = _project(F.col("__e.a")), _project(F.col("__e.b"))
     s = s.select(*keys, "prim_id", "seg_id", u1.alias("u1"), v1.alias("v1"), u2.alias("u2"), v2.alias("v2"), *(geometry.depth_shade(depth, F.col(c)).alias(c) for c in RGB))
     return line_raster(s, w, h, width, keys)
 
@@ -164,13 +164,14 @@ def draw_lines(features: DataFrame, cameras: DataFrame, w: int, h: int, width: i
 def draw_hulls(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Convex areas (clip_id, prim_id, vertices, r, g, b) filled with the shade of their mean depth."""
     f = _in_camera(features, cameras, keys)
-    f = f.withColumn("vertices", geometry.near_plane_clipped("vertices")).withColumn("vertices", F.filter("vertices", lambda p: p["z"] > 1e-6))
+    f = geometry.kept(f, "vertices", F.filter(geometry.near_plane_clipped("vertices"), lambda p: p["z"] > 1e-6))
     px = F.transform("vertices", lambda p: F.struct(*(F.when(F.abs(c) < 1e7, c).cast("int").cast("double").alias(n) for c, n in zip(_project(p), "uv"))))
     z = F.transform("vertices", lambda p: p["z"])
-    f = f.withColumn("px", px).withColumn("z", z).filter((F.size("px") >= 3) & (F.array_min("z") <= geometry.MAX_DEPTH))
-    f = f.filter(F.exists("px", lambda p: camera.inside(p["u"], p["v"], F.lit(w), F.lit(h))))
-    mean = F.aggregate("z", mat.d(0), lambda acc, x: acc + x) / F.size("z")
-    f = f.select(*keys, "prim_id", F.filter("px", lambda p: p["u"].isNotNull() & p["v"].isNotNull()).alias("px"), *(geometry.depth_shade(mean, F.col(c)).alias(c) for c in RGB))
+    f = geometry.kept(f, "__h", F.when(F.size("vertices") >= 3, F.struct(px.alias("px"), z.alias("z"))))
+    seen = F.exists("__h.px", lambda p: camera.inside(p["u"], p["v"], F.lit(w), F.lit(h)))
+    f = f.filter(seen & (F.array_min("__h.z") <= geometry.MAX_DEPTH))
+    f = f.withColumn("__mean", F.aggregate("__h.z", mat.d(0), lambda acc, x: acc + x) / F.size("__h.z"))
+    f = f.select(*keys, "prim_id", F.filter("__h.px", lambda p: p["u"].isNotNull() & p["v"].isNotNull()).alias("px"), *(geometry.depth_shade(F.col("__mean"), F.col(c)).alias(c) for c in RGB))
     return hull_raster(f.withColumn("ring", hull_ring("px")), w, h, keys)
 
 
@@ -207,7 +208,7 @@ def draw_map(features: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFra
 def draw_boxes(objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
     """Boxes of objects (clip_id, frame, track_id, object_type, lwh, m) as lines in their class's colour; of a class the later
     track in string order is on top, and the classes are merged by channel."""
-    o = objects.withColumn("cls", obj.drawn_class(F.col("object_type"))).withColumn("vertices", geometry.box_polyline(geometry.corners("lwh", "m")))
+    o = objects.withColumn("cls", obj.drawn_class(F.col("object_type"))).withColumn("__c", geometry.corners("lwh", "m")).withColumn("vertices", geometry.box_polyline("__c"))
     for i, c in enumerate(RGB):
         pick = F
         for name, rgb in CLASS_COLOURS.items():
@@ -224,15 +225,15 @@ def hdmap_condition(features: DataFrame, objects: DataFrame, cameras: DataFrame,
 
 
 def bev_map(segments: DataFrame, egos: DataFrame, pixels: int = geometry.BEV_PIXELS, metres: float = geometry.BEV_METRES, width: int = 2) -> DataFrame:
-    """Bird's-eye images (clip_id, frame, u, v, r, g, b) of world segments (clip_id, [frame,] prim_id, seg_id, a, b, colour) around
+    """Bird's-eye images (clip_id, frame, u, v, r, g, b) of world segments (clip_id, [frame,] prim_id, seg_id, p0, p1, colour) around
     each ego pose; a segment with neither end inside is left out. A segment of 2 m along the ego's axis is added in white."""
     on = [k for k in ("clip_id", "frame") if k in segments.columns]
-    s = segments.join(egos, on).select("clip_id", "frame", "prim_id", "seg_id", "a", "b", *RGB, "m")
+    s = segments.join(egos, on).select("clip_id", "frame", "prim_id", "seg_id", "p0", "p1", *RGB, "m")
     x, t = [mat.rot("m")[i] for i in (0, 3, 6)], mat.shift("m")
     end = lambda k: geometry.point(*(b + k * a for a, b in zip(x, t)))
-    me = egos.select("clip_id", "frame", F.lit("~ego").alias("prim_id"), F.lit(0).alias("seg_id"), end(-1).alias("a"), end(1).alias("b"), *(F.lit(255).alias(c) for c in RGB), "m")
+    me = egos.select("clip_id", "frame", F.lit("~ego").alias("prim_id"), F.lit(0).alias("seg_id"), end(-1).alias("p0"), end(1).alias("p1"), *(F.lit(255).alias(c) for c in RGB), "m")
     s = s.withColumn("prim_id", F.col("prim_id").cast("string")).unionByName(me)
-    (u1, v1), (u2, v2) = (geometry.bev_pixel("m", [F.col(e)[c] for c in "xyz"], pixels, metres) for e in "ab")
+    (u1, v1), (u2, v2) = (geometry.bev_pixel("m", [F.col(e)[c] for c in "xyz"], pixels, metres) for e in ("p0", "p1"))
     s = s.select("clip_id", "frame", "prim_id", "seg_id", *RGB, u1.alias("u1"), v1.alias("v1"), u2.alias("u2"), v2.alias("v2"))
     n = F.lit(pixels)
     s = s.filter(camera.inside(F.col("u1"), F.col("v1"), n, n) | camera.inside(F.col("u2"), F.col("v2"), n, n))
@@ -240,8 +241,9 @@ def bev_map(segments: DataFrame, egos: DataFrame, pixels: int = geometry.BEV_PIX
 
 
 def object_segments(objects: DataFrame) -> DataFrame:
-    """(clip_id, frame, prim_id, seg_id, a, b) of the box lines of objects; a frame without objects has no rows."""
-    o = objects.select("clip_id", "frame", F.col("track_id").alias("prim_id"), geometry.box_polyline(geometry.corners("lwh", "m")).alias("vertices"))
+    """(clip_id, frame, prim_id, seg_id, p0, p1) of the box lines of objects; a frame without objects has no rows."""
+    o = objects.withColumn("__c", geometry.corners("lwh", "m"))
+    o = o.select("clip_id", "frame", F.col("track_id").alias("prim_id"), geometry.box_polyline("__c").alias("vertices"))
     return geometry.segments(o)
 
 

@@ -78,10 +78,15 @@ def chat_prompts(tasks: DataFrame, system: str, template: str) -> DataFrame:
     return tasks.withColumn("messages", F.array(turn("system", F.lit(system)), turn("user", F.format_string(template, "text", "variation"))))
 
 
-def batch_ids(rows: DataFrame, order: str, size: int, group: Sequence[str]) -> DataFrame:
-    """Adds batch: consecutive numbers of `size` rows each, by order inside each group."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return rows.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+def batch_ids(rows: DataFrame, order: str, size: int, group: Sequence[str], lane: Column | None = None, lanes: int = 1) -> DataFrame:
+    """Adds batch: numbers of at most `size` rows each, by order inside each group.
+
+    A group is numbered in one task; a large one takes a lane (a number below lanes, such as a hash of the row), and the
+    batches of a lane are numbered apart from those of the others."""
+    at = F.lit(0) if lane is None else lane
+    n = F.row_number().over(Window.partitionBy(*group, "__lane").orderBy(order))
+    numbered = rows.withColumn("__lane", at.cast("long")).withColumn("batch", F.floor((n - 1) / size) * lanes + F.col("__lane"))
+    return numbered.withColumn("batch", F.col("batch").cast("long")).drop("__lane")
 
 
 def batch_infer(rows: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.Series]], accept: Callable[[object], bool] = lambda _: True, out: str = "response", retries: int = RETRIES) -> DataFrame:

@@ -33,14 +33,14 @@ def _boxes(v: DataFrame, at: int, n: int = 5) -> DataFrame:
 
 
 _BOX = """box AS (
-  SELECT clip_id, r::VARCHAR AS track_id, r, e0 AS bx, e1 AS by, e2 AS bz, cos(e3) AS c, sin(e3) AS s, (abs(e9) + 1) * 2 AS l, (abs(e10) + 1) * 2 AS w, (abs(e11) + 1) * 2 AS h,
+  SELECT clip_id, r::VARCHAR AS track_id, r, e0 AS bx, e1 AS b_y, e2 AS bz, cos(e3) AS c, sin(e3) AS s, (abs(e9) + 1) * 2 AS l, (abs(e10) + 1) * 2 AS w, (abs(e11) + 1) * 2 AS h,
     e4 AS tx, e5 AS ty, e6 AS tz, cos(e7) AS tc, sin(e7) AS ts FROM v WHERE r <= 5)"""
 
 
 def _held(scale: str) -> str:
     return f"""held AS (
-  SELECT v.clip_id, v.id AS point_id, (e0 - bx) * c + (e1 - by) * s AS qx, (e1 - by) * c - (e0 - bx) * s AS qy, e2 - bz AS qz, b.track_id, b.tx, b.ty, b.tz, b.tc, b.ts FROM v JOIN box b ON v.clip_id = b.clip_id
-  WHERE abs((e0 - bx) * c + (e1 - by) * s) <= l / 2 * {scale} + 1e-6 AND abs((e1 - by) * c - (e0 - bx) * s) <= w / 2 * {scale} + 1e-6 AND abs(e2 - bz) <= h / 2 * {scale} + 1e-6)"""
+  SELECT v.clip_id, v.id AS point_id, (e0 - bx) * c + (e1 - b_y) * s AS qx, (e1 - b_y) * c - (e0 - bx) * s AS qy, e2 - bz AS qz, b.track_id, b.tx, b.ty, b.tz, b.tc, b.ts FROM v JOIN box b ON v.clip_id = b.clip_id
+  WHERE abs((e0 - bx) * c + (e1 - b_y) * s) <= l / 2 * {scale} + 1e-6 AND abs((e1 - b_y) * c - (e0 - bx) * s) <= w / 2 * {scale} + 1e-6 AND abs(e2 - bz) <= h / 2 * {scale} + 1e-6)"""
 
 
 def points_in_boxes(spark, sf_dir):

@@ -32,9 +32,14 @@ def variation_maps(captions: DataFrame) -> DataFrame:
 
 
 def success_report(results: DataFrame) -> DataFrame:
-    """n_ok, n_failed, failures (the keys that failed, sorted) and all_ok of results(key, ok)."""
+    """n_ok, n_failed and all_ok of results(key, ok); a null counts as a failure."""
     bad = ~F.coalesce("ok", F.lit(False))
-    return results.agg(F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_failed"), F.sort_array(F.collect_list(F.when(bad, F.col("key")))).alias("failures"), (F.count_if(bad) == 0).alias("all_ok"))
+    return results.agg(F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_failed"), (F.count_if(bad) == 0).alias("all_ok"))
+
+
+def failures(results: DataFrame) -> DataFrame:
+    """The keys that failed, as rows: their number has no bound."""
+    return results.filter(~F.coalesce("ok", F.lit(False))).select("key")
 
 
 def sample_tars(members: DataFrame) -> DataFrame:
