@@ -1,24 +1,4 @@
-import tempfile
-
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark():
-    folder = tempfile.mkdtemp(prefix="spark-")
-    s = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.local.dir", folder)
-        .config("spark.checkpoint.dir", f"file://{folder}/checkpoint")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    return s
 
 
 @pytest.fixture(scope="session")
