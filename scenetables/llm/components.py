@@ -2,11 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenetables.llm.common import discard, materialize
 
+#: Links that a task contracts at a time; its memory does not depend on the table.
+CHUNK = 200_000
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The same components by fewer edges: CHUNK links at a time become a star around the smallest node of each part."""
+
+    def stars(parent: dict[int, int]) -> pa.RecordBatch:
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        pairs = [(r, x) for x in parent if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        n = 0
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = parent.setdefault(a, a), parent.setdefault(b, b)
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                parent[max(x, y)] = min(x, y)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield stars(parent)
+                parent, n = {}, 0
+        yield stars(parent)
+
+    return edges.mapInArrow(run, "a long, b long")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,12 +63,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """links(a, b), any order and direction -> (node, root): root is the smallest node reachable. Nodes without a
     link to another node are not returned. Edges stay in tables from first to last; each round is written to the
-    shared scratch folder, so the lineage is one round long. The number of rounds grows with the logarithm of
-    the longest chain."""
+    shared scratch folder, so the lineage is one round long. Tasks first contract the links they hold; the number of
+    rounds then grows with the logarithm of the longest chain of what is left."""
     edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        new = materialize(_small_star(_large_star(edges)), "edges")
+        new = materialize(_small_star(_large_star(_contracted(edges))), "edges")
         discard(edges)
         edges = new
         mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
