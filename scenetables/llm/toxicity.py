@@ -26,12 +26,13 @@ HIDDEN, DIM = 8, 8
 WORD_BITS, GRAM_BITS = 18, 17
 PREFIXES = (3, 4, 5, 6, 7, 8)
 GRAM_SCALE = 0.25
-PER_LABEL, MAX_CHARS = 1_500, 8_000  # bounds of the training sample
+PER_LABEL, MAX_CHARS = 1_200, 8_000  # bounds of the training sample
 ROUNDS, EPOCHS, BATCH, RATE = 3, 4, 128, 0.01
 LEAST_STEPS = 150  # of a round; a small sample is gone over more often
 THRESHOLD = 0.7
 LANES = 2_048  # windows that run side by side
-BLOCK_WORDS = 1 << 19  # words whose inputs are held at once
+SLICE = 256  # texts whose words are held at once
+BLOCK_WORDS = 1 << 18  # words whose inputs are held at once
 
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[:128] = 32
@@ -107,7 +108,7 @@ class Net:
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
-        small = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
+        small = lambda *shape, s: rng.standard_normal(shape, np.float32) * np.float32(s)
         self.words, self.grams = small(1 << WORD_BITS, DIM, s=0.02), small(1 << GRAM_BITS, DIM, s=0.02)
         self.grams[0] = 0
         self.p = {}
@@ -187,8 +188,15 @@ class Net:
             gx[d] = np.stack([np.bincount(at, row, n_words) for row in flat]).astype(np.float32)
         return g, gx
 
+    def window_logits(self, v: Words, tok: np.ndarray, valid: np.ndarray, pad: int) -> np.ndarray:
+        """Logits of windows whose inputs are made for their words alone."""
+        used, local = np.unique(np.append(tok.ravel(), pad), return_inverse=True)
+        return self.forward(self.project(self.inputs(_subset(v, used))), local[:-1].reshape(tok.shape), valid)
+
     def logits(self, texts: pa.Array) -> np.ndarray:
         """The highest window logit of each text; that of one empty window for a text without words."""
+        if len(texts) > SLICE:  # the words of so many texts at a time
+            return np.concatenate([self.logits(texts.slice(i, SLICE)) for i in range(0, len(texts), SLICE)])
         best = np.full(len(texts), np.nan, np.float32)
         dictionary, ids, bounds = tokens(texts)
         at = 0
@@ -214,13 +222,21 @@ def laid_out(ids: np.ndarray, start: np.ndarray, size: np.ndarray, pad: int) ->
     return np.where(valid, ids[np.minimum(start + t, len(ids) - 1)], pad), valid.astype(np.float32)
 
 
-def _contrast(buckets: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """How much more often than by chance a bucket occurs in texts of label 1: a clipped z-score of document counts."""
-    pairs = np.unique(buckets * (len(label) + 1) + text)
-    b, y = pairs // (len(label) + 1), label[pairs % (len(label) + 1)]
-    n, pos = np.bincount(b, minlength=size), np.bincount(b, y, size)
-    rate = label.mean()
-    return np.clip((pos - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate) + 0.5), -8, 8).astype(np.float32)
+def _contrasts(v: Words, ids: np.ndarray, bounds: np.ndarray, label: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much more often than by chance the buckets of words and of n-grams occur in texts of label 1: clipped z-scores of
+    document counts. Texts are counted some at a time, so memory follows the number of buckets."""
+    sizes = (1 << WORD_BITS, 1 << GRAM_BITS)
+    n, pos = [np.zeros(k) for k in sizes], [np.zeros(k) for k in sizes]
+    for t in np.flatnonzero(use):
+        w = np.unique(ids[bounds[t] : bounds[t + 1]])
+        grams = np.concatenate([v.prefix[w].ravel(), v.gram[_ranges(v.starts[w], v.counts[w])]])
+        for k, found in enumerate((np.unique(v.word[w]), np.unique(grams))):
+            n[k][found] += 1
+            pos[k][found] += label[t]
+    rate = label[use].mean()
+    wz, gz = (np.clip((p - c * rate) / np.sqrt(np.maximum(c, 1) * rate * (1 - rate) + 0.5), -8, 8).astype(np.float32) for c, p in zip(n, pos))
+    gz[0] = 0
+    return wz, gz
 
 
 def train(sample: list[tuple[str, int]], seed: int = 0) -> Net:
@@ -236,27 +252,20 @@ def train(sample: list[tuple[str, int]], seed: int = 0) -> Net:
     n_words = len(dictionary)
     start, size, text = windows(bounds)
     apart = rng.random(len(label)) < 0.2
-    word_text = np.repeat(np.arange(len(label)), np.diff(bounds))
-    seen = ~apart[word_text]
-    wz = _contrast(v.word[ids[seen]], word_text[seen], label, 1 << WORD_BITS)
-    pairs = np.unique(ids[seen].astype(np.int64) * len(label) + word_text[seen])
-    of_word, of_text = pairs // len(label), pairs % len(label)
-    every = np.concatenate([v.prefix[of_word].ravel(), v.gram[_ranges(v.starts[of_word], v.counts[of_word])]])
-    every_text = np.concatenate([np.repeat(of_text, len(PREFIXES)), np.repeat(of_text, v.counts[of_word])])
-    gz = _contrast(every, every_text, label, 1 << GRAM_BITS)
-    gz[0] = 0
+    wz, gz = _contrasts(v, ids, bounds, label, ~apart)
     net.words[:, 0] += wz / 4
     net.grams[:, 0] += gz / 4
     evidence = np.append(wz[v.word[:-1]] + gz[v.prefix[:-1]].max(1), -20)
     tok, valid = laid_out(ids, start, size, n_words)
+    tok = tok.astype(np.int32)
     power = evidence[tok].max(0)
+    harmless = ids[np.repeat(label == 0, np.diff(bounds))]
     slots = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items()}
     sums = {"words": np.full(1 << WORD_BITS, 1e-4, np.float32), "grams": np.full(1 << GRAM_BITS, 1e-4, np.float32)}
     t_adam = 0
     for round_ in range(ROUNDS):
         if round_:
-            px = net.project(net.inputs(v))
-            power = np.concatenate([net.forward(px, tok[:, i : i + LANES], valid[:, i : i + LANES]) for i in range(0, len(start), LANES)])
+            power = np.concatenate([net.window_logits(v, tok[:, i : i + LANES], valid[:, i : i + LANES], n_words) for i in range(0, len(start), LANES)])
         top = np.full(len(label), -np.inf)
         np.maximum.at(top, text, power)
         yes = (label[text] == 1) & ~apart[text] & (power >= np.minimum(top[text], 2.0 if round_ else 12.0))
@@ -264,7 +273,7 @@ def train(sample: list[tuple[str, int]], seed: int = 0) -> Net:
         chosen = np.flatnonzero(yes | no)
         y = yes[chosen].astype(np.float32)
         # one word over and over, which no window of the sample may show: negative whenever a harmless text has the word
-        stutter = rng.choice(ids[label[word_text] == 0], max(1, len(chosen) // 10))
+        stutter = rng.choice(harmless, max(1, len(chosen) // 10))
         y = np.append(y, np.zeros(len(stutter), np.float32))
         tok_now = np.concatenate([tok[:, chosen], np.tile(stutter, (WINDOW, 1))], axis=1)
         valid_now = np.concatenate([valid[:, chosen], np.ones((WINDOW, len(stutter)), np.float32)], axis=1)
@@ -296,6 +305,7 @@ def train(sample: list[tuple[str, int]], seed: int = 0) -> Net:
                 _adagrad(net.words, sums["words"], sub.word[:-1], dw)
                 _adagrad(net.grams, sums["grams"], np.concatenate([sub.prefix.ravel(), sub.gram]), np.concatenate([np.repeat(dc, len(PREFIXES), 0), np.repeat(dc, sub.counts, 0)]))
                 net.grams[0] = 0
+    del tok, valid, tok_now, valid_now, evidence, power
     _calibrate(net, texts, label, apart)
     return net
 
