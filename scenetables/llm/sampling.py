@@ -17,23 +17,31 @@ def held_out(id_col: Column) -> Column:
     return fold(id_col) == HELD_OUT
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list[tuple[str, object]]:
-    """(text, label) pairs of at most per_label rows for each label, chosen by a hash of the row, for fitting on the driver.
-
-    rows(doc_id, text, label). Only rows of at most max_chars characters are taken, and taken whole, so the sample is at
-    most per_label x max_chars x labels characters whatever the size of the table. Counting goes over all rows; the
-    hash threshold of a label is its share, so no sort and no window is needed."""
-    rows = rows.filter(F.col("text").isNotNull() & F.col(label).isNotNull() & (F.length("text") <= max_chars) & ~held_out(F.col("doc_id")))
-    counts = dict(rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect())
+def bounded_sample(docs: DataFrame, label: str, per_label: int, max_chars: int, labels: DataFrame | None = None) -> list[tuple[str, object]]:
+    """(text, label) pairs of at most per_label rows for each label, chosen by a hash of the id, for fitting on the driver.
+
+    docs(doc_id, text) has the label, or labels(doc_id, label) does, a row for each id. Only rows of at most max_chars
+    characters are taken, and taken whole, so the sample is at most per_label x max_chars x labels characters whatever the
+    size of the table. Counting goes over all rows, without their texts; the hash threshold of a label is its share, so no
+    sort and no window is needed. The chosen ids, a few times per_label at most, are sent to the texts, not the texts to them."""
+    usable = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars) & ~held_out(F.col("doc_id")))
+    narrow = usable.select("doc_id", *([label] if labels is None else []))
+    narrow = (narrow if labels is None else narrow.join(labels.select("doc_id", label), "doc_id")).filter(F.col(label).isNotNull())
+    counts = dict(narrow.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect())
     if not counts:
         return []
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == value, F.lit(min(1.0, 1.1 * per_label / n))).otherwise(share)
-    point = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 20)) / float(1 << 20)
-    found = rows.withColumn("__p", point).filter(F.col("__p") < share).select("text", label, "__p").limit(2 * per_label * len(counts)).collect()
+    most = 2 * per_label * len(counts)
+    point = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)).alias("__p")
+    if labels is None:
+        found = usable.select("text", label, point).filter(F.col(label).isNotNull() & (F.col("__p") < share))
+    else:
+        chosen = narrow.select("doc_id", label, point).filter(F.col("__p") < share).distinct().limit(most)
+        found = usable.join(F.broadcast(chosen), "doc_id").select("text", label, "__p")
     out, seen = [], dict.fromkeys(counts, 0)
-    for text, value, _ in sorted(found, key=lambda r: (r[2], r[0])):
+    for text, value, _ in sorted(found.limit(most).collect(), key=lambda r: (r[2], r[0])):
         if value in seen and seen[value] < per_label:
             seen[value] += 1
             out.append((text, value))
