@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Java form of the word pattern that the contracts use.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Folders made for sessions without the setting, by application.
+_LOCAL: dict[str, str] = {}
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -31,9 +33,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder of the cluster (spark.checkpoint.dir). A machine-local one is made only where the
     setting is missing, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = found or spark.sparkContext.getCheckpointDir() or _LOCAL.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scenetables-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="scenetables-")
     return found.rstrip("/")
 
 
