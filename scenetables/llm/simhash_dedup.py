@@ -10,7 +10,7 @@ then the exact Hamming distance are tested inside the join, so only true links l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -108,10 +108,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each class the row with the smallest id stays (nulls last, then the smaller text
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """docs without near-duplicates, whose classes (doc_id, text_key, root) find(docs, id_col, text_col) gives: of each class the row with the smallest id stays (nulls last, then the smaller text
     key; of fully equal ids and texts, the first row by its columns). Columns stay as they are."""
-    marks = near_duplicates(docs, id_col, text_col)
+    marks = find(docs, id_col, text_col)
     best = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("__keep_id"), F.col("best.text_key").alias("__keep_key"))
     d = docs.withColumn("__text_key", text_key(F.col(text_col)))
