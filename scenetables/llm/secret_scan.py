@@ -2,7 +2,7 @@
 
 A byte-pair vocabulary spends few tokens on strings it has seen in text and many on random ones. Candidate runs with
 a low number of characters per token are reported as `token`, after known digests (hex of a digest's length),
-UUIDs and identifiers (words joined by separators) are put aside.
+UUIDs and identifiers (words joined by separators) are put aside. Pieces between separators are tested too.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _IDENTIFIER = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/=+]+(?:[A-Za-z]+|[0-9]+))*[-_/=+]*")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
 _ENCODINGS: dict = {}
 
 
@@ -49,11 +50,31 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
+def _odd(s: str, path: str) -> bool:
+    """Whether a piece has few characters per token. One token is a known word; digits alone are a number unless very long."""
+    n = len(encoding(path).encode_ordinary(s))
+    return n > 1 and len(s) / n <= MAX_CHARS_PER_TOKEN and (not s.isdigit() or len(s) >= MIN_CHARS)
+
+
+def _known(s: str) -> bool:
+    return len(s) in DIGEST_CHARS and bool(_DIGEST.fullmatch(s))
+
+
 def inefficient(s: str, path: str) -> bool:
-    """Whether s looks random: a mix of letters and digits, no known digest or identifier, few characters per token."""
-    if s.isalpha() or not any(c.isalpha() for c in s) or not any(c.isdigit() for c in s):
+    """Whether s looks random: no known digest, and few characters per token, either in pieces between separators
+    that stand together, so that words beside a key don't hide it, or in the whole, unless that is an identifier
+    (letters and numbers joined by separators, the letters efficient)."""
+    if _known(s) or _UUID.fullmatch(s):
         return False
-    if len(s) in DIGEST_CHARS and _DIGEST.fullmatch(s) or _UUID.fullmatch(s) or _IDENTIFIER.fullmatch(s):
+    together = odd = 0
+    for p in _PIECE.findall(s):
+        if not _known(p) and _odd(p, path):
+            together, odd = together + len(p), odd + len(p)
+            if together >= MIN_CHARS:
+                return True
+        elif len(p) > 3:  # a short piece says nothing
+            together = 0
+    if not any(c.isalpha() for c in s) or _IDENTIFIER.fullmatch(s) and odd < MIN_CHARS // 2:
         return False
     return len(s) / len(encoding(path).encode_ordinary(s)) <= MAX_CHARS_PER_TOKEN
 

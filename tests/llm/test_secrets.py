@@ -43,3 +43,22 @@ def test_rows_nulls_and_clashing_columns(spark, documents, corpus_dir):
     assert secret_spans(clash).count() == 4 and secret_spans(d.limit(0)).count() == 0
     kept = mask_secrets(clash)
     assert kept.columns == clash.columns and sorted(x.text or "" for x in kept.collect()) == ["", "", "[SECRET]", "[SECRET]"]
+
+
+def test_letter_only_and_prefixed_keys():
+    rng = random.Random(3)
+    token = lambda t: [(s, e) for k, s, e in find_secrets(t) if k == "token"]
+    low, both = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lost = 0
+    for n in (20, 24, 32, 40):
+        for letters in (low, both, both + "0123456789"):
+            for _ in range(40):
+                key = "".join(rng.choice(letters) for _ in range(n))
+                if n in (32, 40) and re.fullmatch("[0-9a-f]+", key):
+                    continue
+                for t in (key, f"the_application_configuration_directory={key}", f"international/development/production/{key}/environment"):
+                    lost += token(f"see {t} there") != [(4, 4 + len(t))]
+    assert lost <= 14  # 1 % of 1,440: a few lower-case strings look like words
+    assert token("xKqWzTrbYpLm_VnGhJdQsRfCk-83920175")
+    for t in ("the_very_long_identifier_number_12", "counterrevolutionaries", "2024-01-15-10-30-00-000", "/usr/lib/python3/dist-packages/numpy", "a/b/c/d/e/f/g/h/i/j/k", "=" * 40, "-" * 25, "D41D8CD98F00B204E9800998ECF8427E"):
+        assert not token(t), t
