@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Java form of the word pattern that the contracts use.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders made for sessions without the setting, by application.
 _LOCAL: dict[str, str] = {}
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,20 +31,28 @@ def words(c: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster (spark.checkpoint.dir). A machine-local one is made only where the
-    setting is missing, as in tests."""
+    """Shared folder of the cluster (spark.checkpoint.dir). Without the setting a local folder is made on a local master,
+    as in tests; elsewhere that is an error, since executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.sparkContext.getCheckpointDir() or _LOCAL.get(spark.sparkContext.applicationId)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="scenetables-")
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: a lost executor then costs a read, not the plan."""
+    """Write df to the shared scratch folder and read it back: a lost executor then costs a read, not the plan. The
+    shuffle files of the write go when it ends, as the table stands for them."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -7,8 +7,8 @@ import pytest
 from scenetables.llm import suffix_dedup as sd
 
 
-def brute(texts, length):
-    """(n_bytes, n_removed, n_spans, kept digest) of each text by counting every window."""
+def covered(texts, length):
+    """Which bytes of each text lie in a window of `length` that occurs again, by counting every window."""
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
     out = []
@@ -17,9 +17,21 @@ def brute(texts, length):
         for i in range(len(r) - length + 1):
             if seen[r[i : i + length]] > 1:
                 gone[i : i + length] = [True] * length
+        out.append(gone)
+    return out
+
+
+def runs(gone):
+    return sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+
+
+def brute(texts, length, report):
+    """(n_bytes, n_removed, n_spans, kept digest, n_repeats, repeated_bytes) of each text."""
+    out = []
+    for t, gone, seen in zip(texts, covered(texts, length), covered(texts, report)):
+        r = (t or "").encode()
         kept = bytes(b for b, g in zip(r, gone) if not g)
-        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        out.append((len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((len(r), sum(gone), runs(gone), hashlib.sha256(kept).hexdigest(), runs(seen), sum(seen)))
     return out
 
 
@@ -37,50 +49,80 @@ def corpus(rng, n, alphabet, length):
     return [*texts, "", None, *texts[:2], "ab" * length, "x" * (3 * length)]
 
 
-def spans_of(texts, length, gram):
-    """What the operator's parts say of a small corpus, without Spark and with all anchors in sorted classes."""
+def spans_of(texts, length, report, gram):
+    """Bytes in repeats of `length` and of `report`, by the operator's parts, without Spark and with all anchors in sorted classes."""
     classes = {}
     for k, t in enumerate(texts):
         raw = (t or "").encode()
-        for g, _, start, lead, span in sd.text_anchors(raw, length, gram):
-            classes.setdefault(g, []).append((k, raw[start : start + span + length], start, lead, span))
-    gone = [[False] * len((t or "").encode()) for t in texts]
+        for g, _, start, lead, _, size in zip(*(c.tolist() for c in sd.text_anchors(raw, report, length, gram))):
+            classes.setdefault(g, []).append((k, raw[start : start + size], start, lead))
+    gone, seen = ([[False] * len((t or "").encode()) for t in texts] for _ in range(2))
     for rows in classes.values():
         if len(rows) > 1:
-            for k, s, e in sd._class_spans([r[1:] for r in rows], length):
-                gone[rows[k][0]][s:e] = [True] * (e - s)
-    return [sum(g) for g in gone]
+            for k, s, e, name in sd.class_spans([r[1:] for r in rows], report):
+                assert name == sd.name_of((texts[rows[k][0]] or "").encode()[s:e])
+                for mark, n in ((gone, length), (seen, report)):
+                    if e - s >= n:
+                        mark[rows[k][0]][s:e] = [True] * (e - s)
+    return [(sum(g), sum(h)) for g, h in zip(gone, seen)]
 
 
-@pytest.mark.parametrize("seed", range(8))
+@pytest.mark.parametrize("seed", range(12))
 def test_interval_tree_against_counting(seed, monkeypatch):
     rng = random.Random(seed)
     if seed % 2:
         monkeypatch.setattr(sd, "CHUNK", 37)
-    length, gram = (24, 6) if seed % 3 else (12, 12)
+    length, report, gram = ((24, 24, 6), (12, 12, 12), (24, 15, 5))[seed % 3]
     texts = corpus(rng, 25, "abé" if seed < 4 else "abcdefgh ", length)
-    assert spans_of(texts, length, gram) == [b[1] for b in brute(texts, length)]
+    assert spans_of(texts, length, report, gram) == [(b[1], b[5]) for b in brute(texts, length, report)]
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-def test_rows_against_counting(spark, documents, monkeypatch, limit):
+@pytest.mark.parametrize("limit,report", [(4096, 25), (3, 25), (3, 40)])
+def test_rows_against_counting(spark, documents, monkeypatch, limit, report):
     monkeypatch.setattr(sd, "CLASS", limit)
     texts = corpus(random.Random(11), 30, "abcd", 40)
     rows = [(None if k == 3 else k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (5, texts[6])]
     d = documents(rows).withColumnRenamed("lang", "spans").withColumnRenamed("source", "gram")
-    got = sd.remove_repeats(d, length=40, gram=8).collect()
-    want = brute([t for _, t in rows], 40)
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == sorted(
+    got = sd.remove_repeats(d, length=40, report=report, gram=8).collect()
+    want = brute([t for _, t in rows], 40, report)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest(), r.n_repeats, r.repeated_bytes) for r in got) == sorted(
         (i is None, i or 0, *w) for (i, _), w in zip(rows, want)
     )
 
 
+def test_one_passage_before_many_endings(spark, documents, monkeypatch):
+    """A passage shorter than `length` with another ending in each text: a class that no sort may hold."""
+    monkeypatch.setattr(sd, "CLASS", 4)
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(33))
+    texts = [passage + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for _ in range(30)] + [passage * 2]
+    got = {r.doc_id: r for r in sd.remove_repeats(documents(list(enumerate(texts))), length=40, report=25, gram=8).collect()}
+    assert [(got[k].n_removed, got[k].n_repeats, got[k].repeated_bytes) for k in range(len(texts))] == [(b[1], b[4], b[5]) for b in brute(texts, 40, 25)]
+
+
+def test_groups_hold_all_occurrences(spark, documents):
+    """Every maximal repeat of a small corpus is a group, with each place where no longer repeat covers it."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    a, b = word(60), word(50)
+    texts = [word(20) + a + word(20), a + word(9), word(9) + a + b + word(5), word(30) + b, word(100)]
+    got = sd.repeat_groups(documents(list(enumerate(texts))), report=40, gram=10).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.name, r.n_bytes, r.occurrences), set()).add((r.doc_id, r.start))
+    places = {texts[next(iter(v))[0]][next(iter(v))[1] :][: k[1]]: v for k, v in groups.items()}
+    assert all(len(v) == k[2] for k, v in groups.items())
+    assert {k: places[k] for k in (a, b)} == {a: {(0, 20), (1, 0), (2, 9)}, b: {(2, 69), (3, 30)}}
+    assert all(texts[d][s:].startswith(t) for t, v in places.items() for d, s in v)
+
+
 def test_empty_table(spark, documents):
     assert sd.remove_repeats(documents([(1, "a")]).limit(0)).count() == 0
+    assert sd.repeat_groups(documents([(1, "a")]).limit(0)).count() == 0
 
 
 def test_query(spark, documents, corpus_dir):
     long = "".join(random.Random(5).choice("abcdefghij ") for _ in range(1500))
-    texts = [long, "p" + long[300:900], long[:399], None, "short", long[1000:] + long[:450]]
+    texts = [long, "p" + long[300:900], long[:399], None, "short", long[1000:] + long[:450], "q" + long[700:990] + "r"]
     got = {r.doc_id: tuple(r)[1:] for r in sd.op2_suffix_dedup(spark, corpus_dir(documents=documents(list(enumerate(texts))))).collect()}
-    assert [got[k] for k in range(len(texts))] == brute(texts, 400)
+    assert [got[k] for k in range(len(texts))] == brute(texts, 400, 256)
