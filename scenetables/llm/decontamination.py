@@ -2,12 +2,16 @@
 
 An item of n words is compared with the windows of n words of each document. Windows that can reach the similarity at
 all have most of their shingles in the benchmark; this lossless bound leaves a few windows around each passage.
-Their SimHashes meet those of the items of the same length by multi-index Hamming blocks: fingerprints within RADIUS
-bits agree in at least one of RADIUS + 1 blocks. The weighted similarity of the shingles, repeats counted, then decides.
+Their SimHashes of 256 bits meet those of the items of the same length by multi-index Hamming blocks: 16 blocks of 16 bits, of which the items,
+the small side, probe every value within FLIPS bits. Fingerprints within RADIUS bits always meet, 3 % of unrelated ones
+do. A document shorter than an item is one window, for which bits say too little: it meets the items that have one of the
+first fifth of its shingles, which a similarity of 0.8 implies. The weighted similarity of the shingles, repeats counted, then decides.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +19,14 @@ from scenetables.llm.common import materialize, table, text_key, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Two windows at a similarity of 0.8 differ in 10 of 64 bits on average, with a deviation of 3.
-RADIUS = 20
+#: A fingerprint: so many hashes of 64 bits for each shingle, in blocks of so many bits.
+HASHES, BLOCK = 4, 16
+BLOCKS = HASHES * 64 // BLOCK
+#: Bits that may differ in the block by which two fingerprints meet. At a similarity of 0.8 a bit differs with a probability of
+#: 0.15, so that a pair misses all blocks with one of 0.000003; no fingerprints within RADIUS miss each other.
+FLIPS = 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+PROBES = [sum(1 << i for i in c) for k in range(FLIPS + 1) for c in combinations(range(BLOCK), k)]
 #: Beyond so many distinct benchmark shingles (about 16 bytes each) the first join is shuffled, not broadcast.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -27,16 +37,35 @@ def shingles(w: Column, k: int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(k), *(F.get(w, i + j) for j in range(k))))).otherwise(F.array().cast("array<long>"))
 
 
-def simhash(h: Column) -> Column:
-    """Bits set in more than half of the hashes."""
-    bit = lambda acc, b: F.when(2 * F.size(F.filter(h, lambda x: F.call_function("getbit", x, b) == 1)) > F.size(h), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+def fingerprint(h: Column) -> Column:
+    """BLOCKS numbers of BLOCK bits: the bits set in more than half of the shingles, by HASHES hashes of each. Two counts of 32 bits
+    share a long, so a shingle takes 32 additions a hash."""
+    names = [f"s{j}" for j in range(32)]
+    both = F.lit(1 << 32 | 1)
+
+    def of(q: int) -> Column:
+        add = lambda acc, x: F.struct(*((acc[c] + F.shiftrightunsigned(x, j).bitwiseAND(both)).alias(c) for j, c in enumerate(names)))
+        count = lambda acc, bit: F.shiftrightunsigned(acc[names[bit % 32]], bit // 32 * 32).bitwiseAND(F.lit(0xFFFFFFFF))
+        number = lambda acc, k: sum((F.when(2 * count(acc, BLOCK * k + i) > F.size(h), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(BLOCK)), F.lit(0))
+        zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
+        return F.aggregate(F.transform(h, lambda x: F.xxhash64(F.lit(q), x)), zero, add, lambda acc: F.array(*(number(acc, k) for k in range(64 // BLOCK))))
+
+    return F.concat(*(of(q) for q in range(HASHES)))
+
+
+def block_key(block: Column, value: Column) -> Column:
+    return F.shiftleft(block, BLOCK).bitwiseOR(value)
+
+
+def probes(items: DataFrame, *cols: str) -> DataFrame:
+    """cols and key: every block value within FLIPS bits of an item's (column fp)."""
+    each = items.select(*cols, F.posexplode("fp").alias("block", "value")).withColumn("flip", F.explode(F.array(*map(F.lit, PROBES))))
+    return each.select(*cols, block_key(F.col("block"), F.col("value").bitwiseXOR(F.col("flip"))).alias("key"))
 
 
-def blocks(fp: Column) -> Column:
-    """The block keys of a fingerprint: RADIUS + 1 disjoint runs of bits, each tagged with its number."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return F.array(*(F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << b - a) - 1)).bitwiseOR(F.lit(i << 8)) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+def first_block(a: Column, b: Column) -> Column:
+    """Number of the first block that two fingerprints meet by."""
+    return (F.array_position(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= FLIPS), True) - 1).cast("int")
 
 
 def item_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -47,7 +76,7 @@ def item_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     h = shingles(F.col("w"), SHINGLE)
     for k in range(1, SHINGLE):
         h = F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(h)
-    return i.select("item_id", "n", "k", h.alias("h")).withColumn("fp", simhash(F.col("h")))
+    return i.select("item_id", "n", "k", h.alias("h")).withColumn("fp", fingerprint(F.col("h")))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -67,11 +96,16 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     known = F.broadcast(marks) if marks.count() <= BROADCAST_SHINGLES else marks
     if not sizes:
         return docs.select("doc_id", "text_key", F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts")).filter("false")
-    found = None
-    for k in sizes:
-        each = docs.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
-        each = each.join(known.filter(F.col("k") == k).select("h", "n"), "h").select("doc_id", "text_key", "size", "n", "pos")
-        found = each if found is None else found.unionByName(each)
+    # a row for each place, whose words are hashed as they lie in the array; both run in generated code
+    each = docs.withColumn("size", F.size("w")).filter(F.col("size") >= sizes[0])
+    each = each.select("doc_id", "text_key", "size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - sizes[0])).alias("pos"))
+    at_k = lambda k: F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), *(F.get("w", F.col("pos") + j) for j in range(k))).alias("h"))
+    if len(sizes) == 1:
+        each = each.select("doc_id", "text_key", "size", "pos", at_k(sizes[0]).alias("x")).select("doc_id", "text_key", "size", "pos", "x.k", "x.h")
+    else:
+        here = F.filter(F.array(*(at_k(k) for k in sizes)), lambda x: F.col("pos") + x["k"] <= F.col("size"))
+        each = each.select("doc_id", "text_key", "size", "pos", F.inline(here))
+    found = each.join(known, ["h", "k"]).select("doc_id", "text_key", "size", "n", "pos")
     at = found.groupBy("doc_id", "text_key", "n").agg(F.sort_array(F.collect_set("pos")).alias("pos"), F.first("size").alias("size"))
     m = F.col("n") - F.least("n", F.lit(SHINGLE)) + 1
     at = at.withColumn("m", m).withColumn("need", F.when(F.col("size") < F.col("n"), F.ceil(8 * m / 10)).otherwise(F.ceil(8 * m / 9)).cast("int")).filter("size(pos) >= need")
@@ -100,14 +134,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     h = shingles(F.col("w"), SHINGLE)
     for k in range(1, SHINGLE):
         h = F.when(F.col("n") == k, shingles(F.col("w"), k)).otherwise(h)
-    there = there.select("doc_id", "text_key", "n", "s", h.alias("wh")).filter("size(wh) > 0").withColumn("wfp", simhash(F.col("wh")))
-    there = materialize(there.distinct(), "fingerprints")
-    left = there.withColumn("block", F.explode(blocks(F.col("wfp"))))
-    right = items.select("item_id", F.col("n").alias("n2"), F.col("h").alias("ih"), F.col("fp").alias("ifp"), F.explode(blocks(F.col("fp"))).alias("b2"))
-    near = F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS
-    # of the blocks in which two fingerprints agree, only the first speaks for them
-    first = F.array_min(F.array_intersect(blocks(F.col("wfp")), blocks(F.col("ifp")))) == F.col("block")
-    pairs = left.join(right, (left["n"] == right["n2"]) & (left["block"] == right["b2"]) & near & first)
+    there = there.select("doc_id", "text_key", "n", "s", (F.size("w") < F.col("n")).alias("short"), h.alias("wh"))
+    there = materialize(there.withColumn("fp", F.when(~F.col("short"), fingerprint(F.col("wh")))), "fingerprints")
+    i = items.select("item_id", F.col("n").alias("n2"), F.col("h").alias("ih"), "fp")
+    left = there.filter("NOT short").select("doc_id", "text_key", "n", "s", "wh", F.col("fp").alias("wfp"), F.posexplode("fp").alias("block", "value"))
+    right = probes(i.withColumn("ifp", F.col("fp")), "item_id", "n2", "ih", "ifp")
+    # of the blocks in which two fingerprints meet, only the first speaks for them
+    pairs = left.join(right, (left["n"] == right["n2"]) & (block_key(left["block"], left["value"]) == right["key"])).filter(first_block(F.col("wfp"), F.col("ifp")) == F.col("block"))
+    names = ["doc_id", "text_key", "item_id", "n", "s", "ih", "wh"]
+    few = there.filter("short").select("doc_id", "text_key", "n", "s", "wh", F.explode(F.array_distinct(F.slice(F.sort_array("wh"), F.lit(1), F.floor(F.size("wh") / 5).cast("int") + 1))).alias("x"))
+    of = i.select("item_id", "n2", "ih", F.explode(F.array_distinct("ih")).alias("y"))
+    pairs = pairs.select(*names).unionByName(few.join(of, (few["n"] == of["n2"]) & (few["x"] == of["y"])).select(*names))
     both = _overlap(F.col("ih"), F.col("wh"))
     pairs = pairs.select("doc_id", "text_key", "item_id", "n", "s", (both / (F.size("ih") + F.size("wh") - both)).alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
     best = pairs.groupBy("doc_id", "text_key", "item_id", F.col("n").cast("long").alias("n_words")).agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"))).alias("best"))

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from scenetables.llm import decontamination as de
 from scenetables.llm import url_filter as uf
@@ -45,6 +46,30 @@ def test_items_against_all_windows(spark, documents, corpus_dir):
     assert got == want and len(got) > 30
 
 
+def test_blocks_select_and_lose_nothing(spark):
+    """Items against windows of their length with some shingles replaced: all pairs of 0.8 or more meet, and few unrelated ones do."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        m = rng.choice([9, 12, 20, 36, 60, 200])
+        item = [rng.getrandbits(63) for _ in range(m)]
+        for lost in range(m // 9 + 1):
+            rows.append((k, m, item, [*item[lost:], *(rng.getrandbits(63) for _ in range(lost))]))
+    fp = spark.createDataFrame(rows, "item int, m int, a array<long>, b array<long>").select("item", "m", de.fingerprint(F.col("a")).alias("a"), de.fingerprint(F.col("b")).alias("b")).collect()
+    near = lambda x, y: [sum(v) for v in [[(p ^ q).bit_count() for p, q in zip(x, y)]]][0]
+    meets = lambda x, y: any((p ^ q).bit_count() <= de.FLIPS for p, q in zip(x, y))
+    assert all(meets(r.a, r.b) for r in fp)
+    apart = [(x, y) for i, x in enumerate(fp) for y in fp[i + 1 :] if x.item != y.item]
+    assert sum(meets(x.a, y.b) for x, y in apart) < 0.05 * len(apart)
+    assert all(meets(x.a, y.b) for x, y in apart if near(x.a, y.b) <= de.RADIUS)
+    probes = de.probes(spark.createDataFrame([(1, fp[0].a)], "item_id int, fp array<int>"), "item_id").collect()
+    assert len(probes) == de.BLOCKS * len(de.PROBES) == len({r.key for r in probes})
+    # bits by hand
+    h = spark.createDataFrame([([5, 7, 7],)], "h array<long>").select(de.fingerprint(F.col("h")).alias("fp"), *(F.array(*(F.xxhash64(F.lit(q), F.get("h", i)) for i in range(3))).alias(f"x{q}") for q in range(de.HASHES))).first()
+    bits = [sum(x >> j & 1 for x in h[f"x{q}"]) > 1.5 for q in range(de.HASHES) for j in range(64)]
+    assert h.fp == [sum(bits[16 * k + i] << i for i in range(16)) for k in range(de.BLOCKS)]
+
+
 def test_decontaminate_edges(spark, documents, monkeypatch):
     item = " ".join("z%d" % k for k in range(25))
     d = documents([(1, "before " + item + " after"), (1, "before " + item + " after"), (2, "clean words only"), (None, item), (3, None)]).withColumnRenamed("lang", "n").withColumnRenamed("source", "item_id")
