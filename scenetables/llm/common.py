@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 #: Java form of the word pattern that the contracts use.
 WORD = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of writes to the scratch folder: shuffle files go when the write ends, and Arrow batches are bounded in bytes, so that
+#: very long texts do not meet in one.
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 #: Folders made for sessions without the setting, by application.
 _LOCAL: dict[str, str] = {}
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,16 +45,17 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: a lost executor then costs a read, not the plan. The
-    shuffle files of the write go when it ends, as the table stands for them."""
+    """Write df to the shared scratch folder and read it back: a lost executor then costs a read, not the plan."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
+    before = {k: spark.conf.get(k, None) for k in _WRITES}
     try:
-        spark.conf.set(_CLEANUP, "true")
+        for k, v in _WRITES.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

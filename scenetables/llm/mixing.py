@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal blocks of words.
 
 Targets are filled like water: every source gets its weight's share, a source stops at `max_repeats` times its own
-words, and what it cannot take is shared again by weight. Blocks of BLOCK words go to the sources by highest
+words, and what it cannot take is shared again by weight. Blocks go to the sources by highest
 quotients, target / (2 k + 1), and the blocks of a source go to its shards in the same way, so every shard knows an
-integer quota. In a shard the documents lie in seeded order on a ring of words, and its quota of blocks is
+integer quota; a source at its limit takes all its shards whole. A block has BLOCK words, or fewer where the smallest target asks for it, so that each target has
+BLOCKS_OF_LEAST blocks or single words. In a shard the documents lie in seeded order on a ring of words, and its quota of blocks is
 taken from a seeded block onwards.
 """
 
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from scenetables.llm.common import WORD, materialize, table
 
 BLOCK = 64
-SHARD_WORDS = 200_000
-MAX_SHARDS = 65_536
+BLOCKS_OF_LEAST = 16
+SHARD_WORDS = 200_000  # a shard is one task of the last window
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 7
@@ -33,30 +34,32 @@ def _number(hex_digest: Column) -> Column:
 
 
 def sized(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """__id, __source, __size (words; null text: 0) and a seeded key for each row, and the columns to keep."""
+    """id, source, size (words; null text: 0) and a seeded key for each row, and `row`, a struct of the columns to keep."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    kept = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []
     return docs.select(
-        *(F.col(f"`{c}`") for c in keep), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size"),
-        _seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("__key"),
+        *kept, F.col("doc_id").alias("id"), F.col("source").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        _seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("key"),
     )
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per source: __source, src (number in code point order, null last), source_size, target.
+    """One row per source: source, src (number in code point order, null last), source_size, target.
 
     The single-partition windows run over one row per source, after the partial sums."""
-    s = sizes.groupBy("__source").agg(F.sum("__size").alias("source_size"))
-    s = s.withColumn("src", F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())).cast("long"))
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = s.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("src") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
     s = s.withColumn("cap", F.col("source_size") * max_repeats)
     order = Window.orderBy(F.col("cap") / F.col("w"), "src")
-    below, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(below), F.lit(0))) / F.sum("w").over(rest)
+    below, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    left = lambda c, of: F.sum(c).over(every) - F.coalesce(F.sum(of).over(below), F.lit(0))
+    level = left("source_size", "cap") / left("w", "w")
     s = s.withColumn("level", level).withColumn("open", F.col("level") <= F.col("cap") / F.col("w"))
     # the first level that its own source can take is the water line
     s = s.withColumn("line", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), "src", "level"))).over(Window.partitionBy()))
     capped = F.struct(F.col("cap") / F.col("w"), F.col("src")) < F.struct(F.col("line.col1"), F.col("line.src"))
-    return s.select("__source", "src", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("line.level") * F.col("w")).alias("target"))
+    return s.select("source", "src", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("line.level") * F.col("w")).alias("target"))
 
 
 def apportion(rows: DataFrame, group: Sequence[str], key: str, votes: str, seats: str, out: str) -> DataFrame:
@@ -84,46 +87,49 @@ def apportion(rows: DataFrame, group: Sequence[str], key: str, votes: str, seats
 def mixture(sizes: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (from sized()) with source_size, target and taken. sizes: the same rows without other columns."""
     sources = source_targets(sizes)
-    total = F.sum("source_size").over(Window.partitionBy())
-    sources = sources.withColumn("one", F.lit(1)).withColumn("blocks", F.round(total / BLOCK).cast("long"))
+    every = Window.partitionBy()
+    least = F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / BLOCKS_OF_LEAST)
+    sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.coalesce(least, F.lit(1)))).cast("long"))
+    sources = sources.withColumn("one", F.lit(1)).withColumn("blocks", F.round(F.sum("source_size").over(every) / F.col("block")).cast("long"))
     sources = apportion(sources, ["one"], "src", "target", "blocks", "won")
-    sources = sources.withColumn("won", F.least("won", F.floor(F.col("source_size") * MAX_REPEATS / BLOCK).cast("long")))
-    sources = sources.withColumn("n_shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long"))
-    sources = materialize(sources.select("__source", "src", "source_size", "target", "won", "n_shards"), "sources")
+    sources = sources.withColumn("full", F.col("target") >= F.col("source_size") * MAX_REPEATS)
+    sources = sources.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
+    sources = materialize(sources.select("source", "src", "source_size", "target", "block", "won", "full", "n_shards"), "sources")
 
     def placed(d: DataFrame) -> DataFrame:
-        s = sources.withColumnRenamed("__source", "__s")
-        return d.join(s, d["__source"].eqNullSafe(s["__s"])).drop("__s").withColumn("shard", F.pmod(_number(F.col("__key")), F.col("n_shards")))
+        s = sources.withColumnRenamed("source", "s")
+        return d.join(s, d["source"].eqNullSafe(s["s"])).drop("s").withColumn("shard", F.pmod(_number(F.col("key")), F.col("n_shards")))
 
-    shards = placed(sizes).groupBy("src", "shard").agg(F.sum("__size").alias("words"), F.first("won").alias("won"))
+    shards = placed(sizes).groupBy("src", "shard").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("won", "full", "block")))
     shards = apportion(shards, ["src"], "shard", "words", "won", "quota")
-    shards = shards.withColumn("quota", F.least("quota", F.floor(F.col("words") * MAX_REPEATS / BLOCK).cast("long")))
-    first = F.pmod(_number(_seeded(F.col("src").cast("string"), F.col("shard").cast("string"))), F.greatest(F.lit(1), F.ceil(F.col("words") / BLOCK).cast("long"))) * BLOCK
-    shards = shards.select("src", "shard", "words", (F.col("quota") * BLOCK).alias("want"), first.alias("first"))
-    line = Window.partitionBy("src", "shard").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    d = placed(rows).withColumn("hi", F.sum("__size").over(line)).withColumn("lo", F.col("hi") - F.col("__size")).join(shards, ["src", "shard"])
+    limit = F.col("words") * MAX_REPEATS
+    want = F.when(F.col("full"), limit).otherwise(F.least(F.col("quota") * F.col("block"), limit))
+    first = F.pmod(_number(_seeded(F.col("src").cast("string"), F.col("shard").cast("string"))), F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("block")).cast("long"))) * F.col("block")
+    shards = shards.select("src", "shard", "words", want.alias("want"), first.alias("first"))
+    line = Window.partitionBy("src", "shard").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    d = placed(rows).withColumn("hi", F.sum("size").over(line)).withColumn("lo", F.col("hi") - F.col("size")).join(shards, ["src", "shard"])
     passes = F.when(F.col("words") > 0, F.floor(F.col("want") / F.greatest("words", F.lit(1)))).otherwise(F.lit(0)).cast("long")
     end = F.col("first") + F.col("want") - passes * F.col("words")
     arc = lambda a, b: F.greatest(F.lit(0), F.least(F.col("hi"), b) - F.greatest(F.col("lo"), a))
-    taken = passes * F.col("__size") + arc(F.col("first"), F.least(end, F.col("words"))) + arc(F.lit(0), end - F.col("words"))
-    return d.withColumn("taken", taken.cast("long")).drop("src", "shard", "won", "n_shards", "words", "want", "first", "hi", "lo")
+    taken = passes * F.col("size") + arc(F.col("first"), F.least(end, F.col("words"))) + arc(F.lit(0), end - F.col("words"))
+    return d.select(*rows.columns, "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Rows of docs that the mixture takes, with their columns and size, source_size, target and taken (replacing columns
-    of those names). A null text has no words and is never taken; a null source is a source of its own, the last;
-    equal ids and texts share a shard and split its quota by position; an empty table gives an empty result."""
+    of those names; any other names may occur). A null text has no words and is never taken; a null source is a source of its own, the last;
+    equal ids and texts share a shard and split its quota by position; an empty table gives an empty result. A document is taken word by word, however long it is."""
     named = ("size", "source_size", "target", "taken")
     keep = [c for c in docs.columns if c not in named]
     sizes = materialize(sized(docs), "sizes")
     out = mixture(sizes, sized(docs, keep)).filter("taken > 0")
-    return out.select(*(F.col(f"`{c}`") for c in keep), F.col("__size").alias("size"), "source_size", "target", "taken")
+    return out.select("row.*", *named)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents."""
     sizes = materialize(sized(table(spark, sf_dir, "documents")), "sizes")
-    return mixture(sizes, sizes).select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken")
+    return mixture(sizes, sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 #: The same by brute force: all quotients are listed and the highest taken.
@@ -144,26 +150,27 @@ levels AS (
 line AS (SELECT min(ord) AS ord, arg_min(level, ord) AS level FROM levels WHERE level <= cap::DOUBLE / w),
 targets AS (
   SELECT l.source, l.src, l.source_size, CASE WHEN l.ord < line.ord THEN l.cap::DOUBLE ELSE line.level * l.w END AS target FROM levels l, line),
-seats AS (SELECT round(sum(source_size)::DOUBLE / {BLOCK})::BIGINT AS n FROM targets),
+size AS (SELECT greatest(1, least({BLOCK}, coalesce(floor(min(target) FILTER (target > 0) / {BLOCKS_OF_LEAST}), 1)))::BIGINT AS block FROM targets),
+seats AS (SELECT round(sum(source_size)::DOUBLE / any_value(block))::BIGINT AS n FROM targets, size),
 won AS (
   SELECT src, count(*) AS n FROM (
-    SELECT src, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, src) AS r FROM targets, unnest(range((target / {BLOCK})::BIGINT + 200)) AS t(k)), seats
+    SELECT src, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, src) AS r FROM targets, size, unnest(range((target / block)::BIGINT + 200)) AS t(k)), seats
   WHERE r <= seats.n GROUP BY src),
 quota AS (
-  SELECT t.*, least(coalesce(w.n, 0), floor(t.source_size * {MAX_REPEATS} / {BLOCK}::DOUBLE)::BIGINT) AS won,
-         greatest(1, least({MAX_SHARDS}, ceil(t.source_size / {SHARD_WORDS}::DOUBLE)))::BIGINT AS n_shards
-  FROM targets t LEFT JOIN won w USING (src)),
+  SELECT t.*, coalesce(w.n, 0) AS won, block, target >= source_size * {MAX_REPEATS} AS whole,
+         greatest(1, ceil(t.source_size / {SHARD_WORDS}::DOUBLE))::BIGINT AS n_shards
+  FROM targets t CROSS JOIN size LEFT JOIN won w USING (src)),
 placed AS (
   SELECT d.doc_id, d.size, d.key, q.*, ('0x' || key[1:8])::BIGINT % q.n_shards AS shard FROM sized d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source),
-shards AS (SELECT src, shard, sum(size)::BIGINT AS words, any_value(won) AS won FROM placed GROUP BY src, shard),
+shards AS (SELECT src, shard, sum(size)::BIGINT AS words, any_value(won) AS won, any_value(block) AS block, any_value(whole) AS whole FROM placed GROUP BY src, shard),
 shard_won AS (
   SELECT src, shard, count(*) AS n FROM (
     SELECT src, shard, won, row_number() OVER (PARTITION BY src ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS r
     FROM (SELECT *, sum(words) OVER (PARTITION BY src) AS every FROM shards) s, unnest(range((won * words::DOUBLE / greatest(every, 1))::BIGINT + 200)) AS t(k))
   WHERE r <= won GROUP BY src, shard),
 shard_want AS (
-  SELECT s.src, s.shard, s.words, least(coalesce(w.n, 0), floor(s.words * {MAX_REPEATS} / {BLOCK}::DOUBLE)::BIGINT) * {BLOCK} AS want,
-         ('0x' || md5('{SEED}:' || s.src || ':' || s.shard)[1:8])::BIGINT % greatest(1, ceil(s.words / {BLOCK}::DOUBLE)::BIGINT) * {BLOCK} AS first
+  SELECT s.src, s.shard, s.words, CASE WHEN whole THEN s.words * {MAX_REPEATS} ELSE least(coalesce(w.n, 0) * block, s.words * {MAX_REPEATS}) END AS want,
+         ('0x' || md5('{SEED}:' || s.src || ':' || s.shard)[1:8])::BIGINT % greatest(1, ceil(s.words / block::DOUBLE)::BIGINT) * block AS first
   FROM shards s LEFT JOIN shard_won w USING (src, shard)),
 lined AS (
   SELECT p.doc_id, p.size, p.source_size, p.target, w.words, w.want, w.first,

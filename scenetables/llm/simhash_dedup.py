@@ -110,15 +110,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """docs without near-duplicates, whose classes (doc_id, text_key, root) find(docs, id_col, text_col) gives: of each class the row with the smallest id stays (nulls last, then the smaller text
-    key; of fully equal ids and texts, the first row by its columns). Columns stay as they are."""
+    key; of fully equal ids and texts, the first row by its columns). Columns stay as they are; names that begin with `__keep` are reserved. What stays is
+    settled on ids and keys, and the texts are shuffled once; only rows of an equal id and text are ranked."""
     marks = find(docs, id_col, text_col)
     best = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("__keep_id"), F.col("best.text_key").alias("__keep_key"))
-    d = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    kept = d.join(best, d[id_col].eqNullSafe(best["__keep_id"]) & (d["__text_key"] == best["__keep_key"]), "left_semi")
+    times = marks.groupBy(F.col("doc_id").alias("__keep_id"), F.col("text_key").alias("__keep_key")).agg(F.count("*").alias("__keep_times"))
+    best = best.select(F.col("best.doc_id").alias("i"), F.col("best.text_key").alias("k"))
+    best = materialize(times.join(best, times["__keep_id"].eqNullSafe(best["i"]) & (times["__keep_key"] == best["k"]), "left_semi"), "best")
+    d = docs.join(best, docs[id_col].eqNullSafe(best["__keep_id"]) & (text_key(docs[text_col]) == best["__keep_key"]))
     order = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
-    w = Window.partitionBy("__text_key", id_col).orderBy(*(F.col(f"`{c}`") for c in order))
-    return kept.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__text_key")
+    w = Window.partitionBy("__keep_key", "__keep_id").orderBy(*(F.col(f"`{c}`") for c in order))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    some = d.filter("__keep_times > 1").withColumn("__keep_rank", F.row_number().over(w)).filter("__keep_rank = 1").select(*names)
+    return d.filter("__keep_times = 1").select(*names).unionByName(some)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
