@@ -31,9 +31,9 @@ _LETTERS[128:] = np.arange(128, 256)
 
 def subwords(raw: bytes) -> Iterator[np.ndarray]:
     """Hashed subwords of a whole text, a chunk at a time; n-grams across two words are left out."""
-    b = _LETTERS[np.frombuffer(b" " + raw + b" ", np.uint8)].astype(np.uint32)
+    b = np.frombuffer(b" " + raw + b" ", np.uint8)
     for at in range(0, len(b), CHUNK):
-        c = b[at : at + CHUNK + max(GRAMS) - 1]
+        c = _LETTERS[b[at : at + CHUNK + max(GRAMS) - 1]].astype(np.uint32)
         for n in GRAMS:
             size = min(CHUNK, len(c) - n + 1)
             if size <= 0:
@@ -122,8 +122,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, rejected): one row per row of docs. `und`, score 0 and rejected for a null text, a text
-    without a letter, or a model without languages; else the likeliest language, rejected under the model's threshold."""
+    """(doc_id, lang_pred, score, rejected): one row per row of docs, repeated rows too; an empty table gives an empty result. `und`, score 0 and rejected for a null text, a text
+    without a letter, or a model without languages; else the likeliest language (the first by code point in ties), rejected under the model's threshold. A very long text
+    is read CHUNK bytes at a time. Only the id and the text are read, so other columns may have any names."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.when(F.regexp_like(F.col(text_col), F.lit(r"\p{L}")), F.col(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

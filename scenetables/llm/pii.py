@@ -117,7 +117,8 @@ def joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): spans is an array of (kind, start, end), empty for a null or empty text. One row per row of docs;
-    only the id and the text are read. A text is worked on whole, in a time in proportion to its length."""
+    only the id and the text are read, so other columns may have any names. Repeated rows each get a row, and an empty table gives an empty result.
+    A text is worked on whole, in a time in proportion to its length."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT = 3, 1
+#: Bounds of a sample as a whole: characters, and labels that can be learned.
+SAMPLE_CHARS, MAX_LABELS = 160_000_000, 10_000
 
 
 def fold(id_col: Column) -> Column:
@@ -21,28 +23,30 @@ def bounded_sample(docs: DataFrame, label: str, per_label: int, max_chars: int,
     """(text, label) pairs of at most per_label rows for each label, chosen by a hash of the id, for fitting on the driver.
 
     docs(doc_id, text) has the label, or labels(doc_id, label) does, a row for each id. Only rows of at most max_chars
-    characters are taken, and taken whole, so the sample is at most per_label x max_chars x labels characters whatever the
-    size of the table. Counting goes over all rows, without their texts; the hash threshold of a label is its share, so no
-    sort and no window is needed. The chosen ids, a few times per_label at most, are sent to the texts, not the texts to them."""
+    characters are taken, and taken whole. All labels share SAMPLE_CHARS characters: where there are many, each gets fewer rows; beyond
+    MAX_LABELS, the most frequent are learned. Counting goes over all rows, without their texts; the hash threshold of a label is its share, so no
+    sort and no window over the table is needed. The chosen ids, a few more than the rows wanted, are sent to the texts, not the texts to them.
+    The choice depends on ids, labels and texts alone, not on the order of rows. Null texts and labels are left out; an empty table gives an empty list."""
     usable = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars) & ~held_out(F.col("doc_id")))
     narrow = usable.select("doc_id", *([label] if labels is None else []))
     narrow = (narrow if labels is None else narrow.join(labels.select("doc_id", label), "doc_id")).filter(F.col(label).isNotNull())
-    counts = dict(narrow.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect())
+    counted = narrow.groupBy(label).count()
+    counts = counted.orderBy(F.desc("count"), label).limit(MAX_LABELS).collect()
     if not counts:
         return []
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == value, F.lit(min(1.0, 1.1 * per_label / n))).otherwise(share)
-    most = 2 * per_label * len(counts)
+    per_label = max(1, min(per_label, SAMPLE_CHARS // (max_chars * len(counts))))
+    share = docs.sparkSession.createDataFrame([(value, min(1.0, (1.1 * per_label + 5) / n)) for value, n in counts], counted.select(label, F.lit(0.0).alias("__share")).schema)
+    most = (per_label * 5 // 4 + 8) * len(counts) + 100
     point = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)).alias("__p")
+    few = lambda d, *cols: d.join(F.broadcast(share), label).filter(F.col("__p") < F.col("__share")).select(*cols, label, "__p").orderBy("__p", *cols).limit(most)
     if labels is None:
-        found = usable.select("text", label, point).filter(F.col(label).isNotNull() & (F.col("__p") < share))
+        found = few(usable.select("text", label, point), "text")
     else:
-        chosen = narrow.select("doc_id", label, point).filter(F.col("__p") < share).distinct().limit(most)
-        found = usable.join(F.broadcast(chosen), "doc_id").select("text", label, "__p")
-    out, seen = [], dict.fromkeys(counts, 0)
-    for text, value, _ in sorted(found.limit(most).collect(), key=lambda r: (r[2], r[0])):
-        if value in seen and seen[value] < per_label:
+        chosen = few(narrow.select("doc_id", label, point).distinct(), "doc_id")
+        found = usable.join(F.broadcast(chosen), "doc_id").select("text", label, "__p").orderBy("__p", "text").limit(most)
+    out, seen = [], dict.fromkeys((value for value, _ in counts), 0)
+    for text, value, _ in sorted(found.collect(), key=lambda r: (r[2], r[0])):
+        if seen[value] < per_label:
             seen[value] += 1
             out.append((text, value))
     return out

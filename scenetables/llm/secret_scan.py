@@ -108,8 +108,9 @@ def mask(t: str | None, path: str = VOCABULARY) -> str | None:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, spans): spans is an array of (kind, start, end), empty for a null or empty text; one row per row of docs.
-    Only the id and the text are read, so other columns may have any names."""
+    """(doc_id, spans): spans is an array of (kind, start, end), empty for a null or empty text; one row per row of docs, repeated
+    rows too; an empty table gives an empty result. A very long text is scanned whole, run by run. Only the id and the text are read, so other columns may have any names.
+    vocabulary is a path that every executor can open."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -122,7 +123,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs with the secrets of the text column masked; all rows and other columns stay."""
+    """docs with the secrets of the text column masked; all rows, repeated ones too, and other columns stay, whatever their names. A null
+    text stays null, an empty one empty; an empty table gives an empty result; a very long text is masked whole."""
 
     @F.pandas_udf("string")
     def masked(texts):

@@ -350,7 +350,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_char
 
 
 def toxicity(docs: DataFrame, net: Net, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column `out`, the score from 0 to 1 of the whole text. A null text scores as an empty one does."""
+    """docs with a column `out`, the score from 0 to 1 of the whole text; a column of that name is an error.
+
+    A null text scores as an empty one does, and so does a text without words. Equal texts score equally, repeated rows each get a
+    row, an empty table gives an empty result, and other columns stay, whatever their names. A very long text is scored in all its windows,
+    BLOCK_WORDS words at a time."""
+    if out in docs.columns:
+        raise ValueError(f"docs already has a column {out}")
     state = {"net": net}
 
     @F.pandas_udf("double")

@@ -32,9 +32,10 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
 
 def split_url(pages: DataFrame, url_col: str) -> DataFrame:
     """Adds __host and __path; both are empty for null and for a url without ://."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    pattern = F.lit(r"(?s)^.*?://([^/?#]*)([^?#]*)")
-    return pages.withColumn("__host", ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", 1))).withColumn("__path", F.coalesce(F.regexp_substr(F.regexp_replace(url, r"(?s)^.*?://[^/?#]*", ""), F.lit(r"^[^?#]+")), F.lit(""))).withColumn("__path", F.when(F.regexp_like(url, pattern), F.col("__path")).otherwise(F.lit("")))
+    url, head = F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://[^/?#]*"
+    rest = F.regexp_substr(F.regexp_replace(url, head, ""), F.lit(r"^[^?#]+"))
+    path = F.when(F.regexp_like(url, F.lit(head)), F.coalesce(rest, F.lit(""))).otherwise(F.lit(""))
+    return pages.withColumns({"__host": ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), "__path": path})
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
@@ -42,7 +43,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
 
     rules(host, path, verdict): a rule fits its host and all subdomains if the path starts with the rule's; the longest
     (host and path together, then the longer host, then the greater text) wins; DEFAULT without one. Nulls in rules are
-    ignored. Every row of pages gets one row, repeated rows too; an empty rule table leaves the default."""
+    ignored. Every row of pages gets one row, repeated rows too; an empty rule table leaves the default. A very long url is expanded by its
+    host's labels and the rules' path lengths only. All columns of pages stay; names that begin with two underscores are reserved."""
     r = rules.filter("host IS NOT NULL AND path IS NOT NULL").select(ascii_lower(F.col("host")).alias("rh"), F.col("path").alias("rp"), "verdict")
     r = r.withColumn("rule", F.concat("rh", "rp")).withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     # at most as many numbers as the longest rule path has characters
@@ -55,10 +57,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     said = places.select("__host", "__cut", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).withColumn("prefix", F.explode("prefixes"))
     said = said.withColumn("full", F.sha2(F.concat("suffix", "prefix"), 256))
     hits = said.join(r, F.substring("full", 1, PREFIX_HEX) == r["short"]).filter("full = digest")
-    best = hits.groupBy("__host", "__cut").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rh").alias("nh"), "rule", "verdict")).alias("best"))
-    best = best.select(F.col("__host").alias("h"), F.col("__cut").alias("c"), F.col("best.rule").alias("__rule"), F.col("best.verdict").alias("__verdict"))
-    out = p.join(best, (p["__host"] == best["h"]) & (p["__cut"] == best["c"]), "left").drop("h", "c", "__cut")
-    return out.withColumn("__verdict", F.coalesce("__verdict", F.lit(DEFAULT)))
+    best = hits.groupBy("__host", "__cut").agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rh").alias("nh"), "rule", "verdict")).alias("__best"))
+    best = best.select("__host", "__cut", F.col("__best.rule").alias("__rule"), F.col("__best.verdict").alias("__said"))
+    out = p.join(best, ["__host", "__cut"], "left")
+    return out.select(*(F.col(f"`{c}`") for c in pages.columns), "__host", "__path", "__rule", F.coalesce("__said", F.lit(DEFAULT)).alias("__verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,111 @@ def test_subwords_do_not_depend_on_chunks(monkeypatch):
     whole = np.sort(np.concatenate(list(li.subwords(raw))))
     monkeypatch.setattr(li, "CHUNK", 17)
     assert (np.sort(np.concatenate(list(li.subwords(raw)))) == whole).all()
+
+
+def plain_logit(net, text):
+    """The highest window logit of a text, a word and a step at a time in float64."""
+    w = "".join(c.lower() if c.isascii() and c.isalnum() else " " if c.isascii() else c for c in text).split()
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    logits, at = [], 0
+    while True:
+        part = w[at : at + tx.WINDOW]
+        x = [net.inputs(tx.word_features(pa.array([v])))[:, 0].astype(np.float64) for v in part]
+        states = {}
+        for d in "fb":
+            h, u, hs = np.zeros(tx.HIDDEN), net.p[f"u{d}"], []
+            for v in x if d == "f" else x[::-1]:
+                gx, gh = net.p[f"w{d}"] @ v + net.p[f"c{d}"][:, 0], u @ h
+                z, r = sigmoid(gx[: tx.HIDDEN] + gh[: tx.HIDDEN]), sigmoid(gx[tx.HIDDEN : 2 * tx.HIDDEN] + gh[tx.HIDDEN : 2 * tx.HIDDEN])
+                h = (1 - z) * np.tanh(gx[2 * tx.HIDDEN :] + r * gh[2 * tx.HIDDEN :]) + z * h
+                hs.append(h)
+            states[d] = hs if d == "f" else hs[::-1]
+        both = np.array([np.concatenate(s) for s in zip(states["f"], states["b"])])
+        a = np.exp(both @ net.p["att"])
+        logits.append(float(a / a.sum() @ (both @ net.p["out"]) + net.p["bias"][0]))
+        if at + tx.WINDOW >= len(w):
+            return max(logits)
+        at += tx.STRIDE
+
+
+def test_scores_against_plain_windows():
+    rng = random.Random(11)
+    net = tx.train(texts(rng, 120))
+    some = [t for t, _ in texts(rng, 12)] + ["one", "É Ü ß mixed-Case, words!", " ".join(f"w{k % 7}" for k in range(33)), " ".join(f"w{k}" for k in range(49))]
+    got = net.logits(pa.array(some))
+    assert all(abs(g - plain_logit(net, t)) < 2e-3 * max(1, abs(g)) for g, t in zip(got, some))
+
+
+def test_recurrent_states_add_to_single_words():
+    """Ablation: whether `mark` harms depends on the word before it, and all texts hold the same words. With their order lost, the scores say little."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(1500):
+        y = rng.random() < 0.5
+        fill = [rng.choice(["lo", "rem", "ip"]) for _ in range(12)]
+        i, j = sorted(rng.sample(range(12), 2))
+        pairs = [("bad", "mark"), ("good", "thing")] if y else [("good", "mark"), ("bad", "thing")]
+        rng.shuffle(pairs)
+        rows.append((" ".join([*fill[:i], *pairs[0], *fill[i:j], *pairs[1], *fill[j:]]), int(y)))
+    net = tx.train(rows[:1200])
+    test = rows[1200:]
+    right = lambda of: np.mean([(s >= 0.5) == y for s, (_, y) in zip(net.score(pa.array([of(t) for t, _ in test])), test)])
+    assert right(str) > 0.95 and right(lambda t: " ".join(rng.sample(t.split(), len(t.split())))) < 0.75
+
+
+def test_language_scores_against_plain_counting():
+    rng = np.random.default_rng(3)
+    model = li.Model(["a", "b", "c"], rng.normal(0, 1, (1 << li.BITS, 3)).astype(np.float32), np.array([0.1, -0.2, 0.0]), 1.7, 0.5)
+
+    def plain(text):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in b" " + text.encode() + b" ")
+        total, n = np.zeros(3), 0
+        for k in li.GRAMS:
+            for i in range(len(b) - k + 1):
+                g = b[i : i + k]
+                if 32 in g[1:-1] or (g[0] == 32 and g[-1] == 32):
+                    continue
+                h = int.from_bytes(g, "little") ^ (k * 0x9E3779B1 & 0xFFFFFFFF)
+                total += model.logits[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - li.BITS]
+                n += 1
+        e = np.exp((total / max(n, 1) + model.bias) / model.temperature)
+        return e / e.sum()
+
+    for t in ("Ab, cd!", "", "é", "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich. " * 3):
+        assert np.allclose(model.score(t.encode()), plain(t), atol=1e-6)
+
+
+def test_chunks_of_a_long_text_count_alike(monkeypatch):
+    text = ("Some words, and été; " * 400).encode()
+    whole = np.sort(np.concatenate(list(li.subwords(text))))
+    monkeypatch.setattr(li, "CHUNK", 97)
+    assert np.array_equal(whole, np.sort(np.concatenate(list(li.subwords(text)))))
+
+
+def test_samples_cover_all_labels_within_the_bound(spark, documents, monkeypatch):
+    from scenetables.llm import sampling
+
+    rows = [(k, f"text number {k}", f"lang{k % 1300}") for k in range(5200)]
+    got = sampling.bounded_sample(documents(rows).select("doc_id", "text", "lang"), "lang", 3, 100)
+    labels = {y for _, y in got}
+    assert len(labels) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}) and len(labels) > 1100
+    monkeypatch.setattr(sampling, "SAMPLE_CHARS", 100 * 1300 * 2)
+    few = sampling.bounded_sample(documents(rows).select("doc_id", "text", "lang"), "lang", 300, 100)
+    assert max(sum(y == x for _, y in few) for x in ("lang0", "lang1", "lang7")) <= 2
+    # many rows of one id: the same sample, however the rows lie
+    many = [(0, f"t{k}", "en") for k in range(900)] + [(k, f"u{k}", "en") for k in range(40)]
+    one, two = (sampling.bounded_sample(documents(m).repartition(n).select("doc_id", "text", "lang"), "lang", 20, 100) for m, n in ((many, 3), (many[::-1], 7)))
+    assert one == two and len(one) == 20
+    assert sampling.bounded_sample(documents(rows[:1]).limit(0).select("doc_id", "text", "lang"), "lang", 3, 100) == []
+
+
+def test_toxicity_keeps_columns_and_refuses_a_clash(spark, documents):
+    import pytest
+
+    net = tx.Net(0)
+    d = documents([(1, "a b"), (1, "a b"), (2, None)])
+    got = tx.toxicity(d, net).collect()
+    assert len(got) == 3 and got[0].score == got[1].score and set(d.columns) < set(got[0].asDict())
+    assert tx.toxicity(d.limit(0), net).count() == 0
+    with pytest.raises(ValueError):
+        tx.toxicity(d, net, out="lang")

@@ -100,6 +100,13 @@ def test_rules_edges(spark):
     assert uf.judge(pages.limit(0), rules).count() == 0
 
 
+def test_judge_keeps_all_columns(spark):
+    names = ["h", "c", "rule", "verdict", "host", "path", "suffix", "prefix"]
+    pages = spark.createDataFrame([(1, "http://x.com/en/1", *names)] * 2, ["page_id", "url", *names])
+    got = uf.judge(pages, uf.rule_table(spark, uf.RULES)).collect()
+    assert len(got) == 2 and all(r[n] == n for r in got for n in names) and all(r["__verdict"] == "block" for r in got)
+
+
 @pytest.mark.parametrize("query", [de.op8_decontamination, uf.op9_url_filter])
 def test_no_python_in_the_plan(spark, documents, corpus_dir, query):
     folder = corpus_dir(
