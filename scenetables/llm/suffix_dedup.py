@@ -288,23 +288,25 @@ def _settled(docs: DataFrame, found: DataFrame, report: int, length: int, cells:
     """Spans of the anchor rows, and the scratch tables that they are read from."""
     found = materialize(found, "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).filter("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
+    grams = materialize(grams, "grams")  # a table of its own, so that a hot gram's rows are a join key that Spark can split
     again = materialize(found.join(grams, "gram"), "again")
     discard(found)
+    discard(grams)
     whole = ["doc_id", "text_key", "start", (F.col("start") + F.col("size")).alias("end"), F.col("ctx").alias("name")]
     out = [again.filter("NOT mixed").select(*whole)]
     mixed = again.filter("mixed")
     place = F.struct("doc_id", "text_key", "start", "lead", "span", "size")
     contexts = materialize(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("place")), "contexts")
     out.append(mixed.join(contexts.filter("n > 1").select("gram", "ctx"), ["gram", "ctx"]).select(*whole))
-    classes = contexts.groupBy("gram").agg(F.count("*").alias("members"))
+    classes = materialize(contexts.groupBy("gram").agg(F.count("*").alias("members")), "classes")
     rows = contexts.join(classes, "gram").select("gram", "place.*", (F.col("members") > CLASS).alias("big"))
     if not cells:
         # a class is one window of `report` bytes by now: all its members repeat that window, and contexts say the rest
         out.append(mixed.select("doc_id", "text_key", "start", (F.col("start") + report).alias("end"), F.col("gram").alias("name")))
-        return out, [again, contexts]
+        return out, [again, contexts, classes]
     data = materialize(_with_data(docs, rows), "contexts-data")
     out.append(sorted_classes(data.filter("NOT big"), report))
-    tables = [again, contexts, data]
+    tables = [again, contexts, classes, data]
     if not data.filter("big").isEmpty():
         more, kept = _settled(docs, finer(data.filter("big"), cells[0], report, length), report, length, cells[1:])
         out, tables = out + more, tables + kept
