@@ -63,6 +63,34 @@ def inside(u: Column, v: Column, w: Column, h: Column) -> Column:
     return (u >= 0) & (u < w) & (v >= 0) & (v < h)
 
 
+#: Columns of the models; an f-theta camera has a null fx, a pinhole one a null fw.
+PINHOLE_MODEL, FTHETA_MODEL = ("fx", "fy", "cx", "cy"), ("fw", "lin", "max_angle", "edge_r", "edge_dr")
+
+
+def model_columns(cameras: DataFrame) -> list[str]:
+    """The columns of cameras that project() needs: those of pinhole, and those of f-theta where cameras have them."""
+    return [*PINHOLE_MODEL, *(FTHETA_MODEL if "fw" in cameras.columns else ())]
+
+
+def project(model: list[str], p: Column) -> tuple[Column, Column]:
+    """Pixel of a camera-space struct x, y, z by the row's model: fx, fy, cx, cy, or where fw is not null the f-theta columns."""
+    xyz = [p[c] for c in "xyz"]
+    pin = pinhole_project(*(F.col(c) for c in PINHOLE_MODEL), xyz)
+    if "fw" not in model:
+        return pin
+    wide = ftheta_project(F.col("fw"), F.col("lin"), F.col("cx"), F.col("cy"), F.col("max_angle"), F.col("edge_r"), F.col("edge_dr"), xyz)
+    return tuple(F.when(F.col("fw").isNull(), a).otherwise(b) for a, b in zip(pin, wide))
+
+
+def camera_models(pinhole: DataFrame, ftheta: DataFrame) -> DataFrame:
+    """(clip_id, camera, w, h and the columns of project()) of pinhole cameras and calibrated f-theta cameras together."""
+    names = ["clip_id", "camera", "w", "h", *PINHOLE_MODEL, *FTHETA_MODEL]
+    of = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names))
+    a, b = of(pinhole), of(ftheta)
+    kinds = {c: next(t for d in (pinhole, ftheta) for n, t in d.dtypes if n == c) for c in names}
+    return a.select(*(F.col(c).cast(kinds[c]) for c in names)).unionByName(b.select(*(F.col(c).cast(kinds[c]) for c in names)))
+
+
 # f-theta -----------------------------------------------------------------------------------------------------
 
 
@@ -212,6 +240,16 @@ def calibrate_ftheta(cameras: DataFrame, key: tuple[str, ...] = ("clip_id", "cam
     return both.withColumn("edge_dr", slope).drop("border")
 
 
+def ftheta_models(intrinsics: DataFrame, w: int | None = None, h: int | None = None, key: tuple[str, ...] = ("clip_id", "camera")) -> DataFrame:
+    """Calibrated f-theta cameras from vectors of 11 or 14 floats (key, values), resized to w x h where these are given. Rows
+    without values are left out: report them from with_default_intrinsics()."""
+    c = intrinsics.filter("values IS NOT NULL").select(*key, parse_ftheta(F.col("values")).alias("s")).select(*key, "s.*")
+    if w and h:
+        new = ftheta_rescale(F.col("poly"), F.col("is_bw"), F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), w / F.col("w"), h / F.col("h"))
+        c = c.select(*key, "lin", "is_bw", *(x.alias(n) for x, n in zip(new, ("poly", "cx", "cy", "w", "h"))))
+    return calibrate_ftheta(c, key)
+
+
 def ray_grid(intrinsics: DataFrame) -> DataFrame:
     """(clip_id, camera, u, v, x, y, z): the unit ray of the middle of every pixel of pinhole cameras (fx, fy, cx, cy, w, h)."""
     g = intrinsics.withColumn("v", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("u", F.explode(F.expr("sequence(0, w - 1)")))

@@ -139,16 +139,21 @@ def clipped_to_image(u1: Column, v1: Column, u2: Column, v2: Column, w: Column,
     return F.when(ok & (low <= high), F.struct(a[0].alias("u1"), a[1].alias("v1"), b[0].alias("u2"), b[1].alias("v2")))
 
 
-def visible(points: DataFrame, prim: Sequence[str], least: int, hull: bool = False) -> DataFrame:
-    """Primitives worth drawing, from their projected vertices (prim keys, u, v, z, w, h).
+def worth_drawing(px: str, w: Column, h: Column, least: int, hull: bool = False) -> Column:
+    """Whether a primitive is worth drawing, from its projected vertices (array of u, v, z).
 
     A line needs a vertex in front and one inside the image, a hull one vertex that is both; the nearest vertex is within
     MAX_DEPTH, and there are at least `least` vertices."""
-    front = F.col("z") > 0
-    seen = (F.col("u") >= 0) & (F.col("u") < F.col("w")) & (F.col("v") >= 0) & (F.col("v") < F.col("h"))
-    g = points.groupBy(*prim).agg(F.bool_or(front).alias("__front"), F.bool_or(seen).alias("__seen"), F.bool_or(front & seen).alias("__both"), F.min("z").alias("__near"), F.count("*").alias("__n"))
-    ok = F.col("__both") if hull else F.col("__front") & F.col("__seen")
-    return g.filter(ok & (F.col("__near") <= MAX_DEPTH) & (F.col("__n") >= least)).select(*prim)
+    front = lambda p: p["z"] > 0
+    seen = lambda p: F.coalesce((F.bround(p["u"]) >= 0) & (F.bround(p["u"]) < w) & (F.bround(p["v"]) >= 0) & (F.bround(p["v"]) < h), F.lit(False))
+    both = F.exists(px, lambda p: front(p) & seen(p)) if hull else F.exists(px, front) & F.exists(px, seen)
+    return (F.size(px) >= least) & both & (F.array_min(F.transform(px, lambda p: p["z"])) <= MAX_DEPTH)
+
+
+def visible(points: DataFrame, prim: Sequence[str], least: int, hull: bool = False) -> DataFrame:
+    """Primitives worth drawing by worth_drawing(), from rows of projected vertices (prim keys, u, v, z, w, h)."""
+    g = points.groupBy(*prim).agg(F.collect_list(F.struct("u", "v", "z")).alias("__px"), F.first("w").alias("__w"), F.first("h").alias("__h"))
+    return g.filter(worth_drawing("__px", F.col("__w"), F.col("__h"), least, hull)).select(*prim)
 
 
 def bev_pixel(ego: Column | str, p: Sequence[Column], pixels: int = BEV_PIXELS, metres: float = BEV_METRES) -> tuple[Column, Column]:

@@ -35,6 +35,8 @@ CLASS_COLOURS = {
     "Cyclist": (255, 255, 0),
     "Others": (255, 255, 255),
 }
+#: Of bird's-eye images: colour of the ego's segment, and radii of the discs at the ego and along its path.
+EGO, CENTRE, DOT = (255, 0, 0), 3, 1
 DENSE_LAYERS, DENSE_STEP = ("lanelines", "road_boundaries"), 0.8
 
 
@@ -136,40 +138,44 @@ def hull_raster(polygons: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE
 
 
 def _in_camera(features: DataFrame, cameras: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """features (clip_id, [frame,] prim_id, colour, vertices) seen by each camera: vertices in camera space. cameras: keys, m,
-    fx, fy, cx, cy, w, h."""
+    """features (clip_id, [frame,] prim_id, colour, vertices) seen by each camera: vertices in camera space. cameras: keys, m, and a
+    model as in camera.project."""
     on = [k for k in keys if k in features.columns and k in cameras.columns]
     f = features.join(geometry.kept(cameras, "__inv", mat.affine_inv("m")), on)
     return geometry.kept(f, "vertices", mat.apply_vertices("__inv", F.col("vertices")))
 
 
-def _project(p: Column) -> tuple[Column, Column]:
-    return camera.pinhole_project(*(F.col(c) for c in ("fx", "fy", "cx", "cy")), [p["x"], p["y"], p["z"]])
+def _at(p: Column, model: list[str]) -> Column:
+    """u, v and z of a vertex in camera space."""
+    u, v = camera.project(model, p)
+    return F.struct(u.alias("u"), v.alias("v"), p["z"].alias("z"))
 
 
 def draw_lines(features: DataFrame, cameras: DataFrame, w: int, h: int, width: int, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Polylines (clip_id, prim_id, vertices, r, g, b) drawn with depth shading; the whole line has its nearest part's culls."""
+    """Polylines (clip_id, prim_id, vertices, r, g, b) drawn with depth shading, by cameras of either model; the culls of geometry.worth_drawing
+    go by the whole line. Under distortion a line is drawn between its vertices: densify it first where that matters."""
     f = _in_camera(features, cameras, keys)
-    front = F.exists("vertices", lambda p: p["z"] > 0)
-    near = F.array_min(F.transform("vertices", lambda p: p["z"])) <= geometry.MAX_DEPTH
-    s = geometry.segments(f.filter(front & near & (F.size("vertices") >= 2)).select(*keys, "prim_id", *RGB, "fx", "fy", "cx", "cy", "vertices"))
+    model = camera.model_columns(cameras)
+    f = geometry.kept(f, "__px", F.transform("vertices", lambda p: _at(p, model)))
+    s = geometry.segments(f.filter(geometry.worth_drawing("__px", F.lit(w), F.lit(h), 2)).select(*keys, "prim_id", *RGB, *model, "vertices"))
     a, b = geometry.segment_near_clip([F.col("p0")[c] for c in "xyz"], [F.col("p1")[c] for c in "xyz"])
     depth = (F.col("p0.z") + F.col("p1.z")) / 2
     s = geometry.kept(s, "__e", F.when((a[2] > 0) & (b[2] > 0), F.struct(geometry.point(*a).alias("a"), geometry.point(*b).alias("b"))))
-    (u1, v1), (u2, v2) = _project(F.col("__e.a")), _project(F.col("__e.b"))
+    (u1, v1), (u2, v2) = (camera.project(model, F.col(e)) for e in ("__e.a", "__e.b"))
     s = s.select(*keys, "prim_id", "seg_id", u1.alias("u1"), v1.alias("v1"), u2.alias("u2"), v2.alias("v2"), *(geometry.depth_shade(depth, F.col(c)).alias(c) for c in RGB))
     return line_raster(s, w, h, width, keys)
 
 
 def draw_hulls(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Convex areas (clip_id, prim_id, vertices, r, g, b) filled with the shade of their mean depth."""
+    """Convex areas (clip_id, prim_id, vertices, r, g, b) filled with the shade of their mean depth, by cameras of either model."""
     f = _in_camera(features, cameras, keys)
+    model = camera.model_columns(cameras)
+    f = geometry.kept(f, "__px", F.transform("vertices", lambda p: _at(p, model)))
+    f = f.filter(geometry.worth_drawing("__px", F.lit(w), F.lit(h), 3, hull=True))
     f = geometry.kept(f, "vertices", F.filter(geometry.near_plane_clipped("vertices"), lambda p: p["z"] > 1e-6))
-    px = F.transform("vertices", lambda p: F.struct(*(F.when(F.abs(c) < 1e7, c).cast("int").cast("double").alias(n) for c, n in zip(_project(p), "uv"))))
+    px = F.transform("vertices", lambda p: F.struct(*(F.when(F.abs(c) < 1e7, c).cast("int").cast("double").alias(n) for c, n in zip(camera.project(model, p), "uv"))))
     z = F.transform("vertices", lambda p: p["z"])
     f = geometry.kept(f, "__h", F.when(F.size("vertices") >= 3, F.struct(px.alias("px"), z.alias("z"))))
-    seen = F.exists("__h.px", lambda p: camera.inside(p["u"], p["v"], F.lit(w), F.lit(h)))
-    f = f.filter(seen & (F.array_min("__h.z") <= geometry.MAX_DEPTH))
     f = f.withColumn("__mean", F.aggregate("__h.z", mat.d(0), lambda acc, x: acc + x) / F.size("__h.z"))
     f = f.select(*keys, "prim_id", F.filter("__h.px", lambda p: p["u"].isNotNull() & p["v"].isNotNull()).alias("px"), *(geometry.depth_shade(F.col("__mean"), F.col(c)).alias(c) for c in RGB))
     return hull_raster(f.withColumn("ring", hull_ring("px")), w, h, keys)
@@ -200,7 +206,7 @@ def draw_map(features: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFra
     cols = ["clip_id", "layer", "prim_id", *RGB, "vertices"]
     lines = lines.filter(~F.col("layer").isin(*DENSE_LAYERS)).select(*cols).unionByName(dense.select(*cols))
     keys = [*IMAGE, "layer"]
-    cams = cameras.select(*IMAGE, "m", "fx", "fy", "cx", "cy", "w", "h")
+    cams = cameras.select(*IMAGE, "m", *camera.model_columns(cameras))
     drawn = [draw_lines(lines, cams, w, h, MAP_WIDTH, keys), draw_hulls(f.filter("geom_type <> 'polyline'").select(*cols), cams, w, h, keys)]
     return merged([d.drop("layer") for d in drawn])
 
@@ -215,29 +221,43 @@ def draw_boxes(objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFr
             pick = pick.when(F.col("cls") == name, F.lit(rgb[i]))
         o = o.withColumn(c, pick)
     o = o.select("clip_id", "frame", F.col("track_id").alias("prim_id"), "cls", *RGB, "vertices")
-    cams = cameras.select(*IMAGE, "m", "fx", "fy", "cx", "cy", "w", "h")
+    cams = cameras.select(*IMAGE, "m", *camera.model_columns(cameras))
     return merged([draw_lines(o, cams, w, h, BOX_WIDTH, [*IMAGE, "cls"]).drop("cls")])
 
 
 def hdmap_condition(features: DataFrame, objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
-    """The map and the boxes of each camera image, merged."""
+    """The map and the boxes of each camera image, merged. cameras: clip_id, camera, frame, m and a model as in camera.project, pinhole and f-theta mixed
+    if wanted (camera.camera_models)."""
     return merged([draw_map(features, cameras, w, h), draw_boxes(objects, cameras, w, h)])
 
 
-def bev_map(segments: DataFrame, egos: DataFrame, pixels: int = geometry.BEV_PIXELS, metres: float = geometry.BEV_METRES, width: int = 2) -> DataFrame:
+def bev_map(segments: DataFrame, egos: DataFrame, pixels: int = geometry.BEV_PIXELS, metres: float = geometry.BEV_METRES, width: int = 2, path: DataFrame | None = None) -> DataFrame:
     """Bird's-eye images (clip_id, frame, u, v, r, g, b) of world segments (clip_id, [frame,] prim_id, seg_id, p0, p1, colour) around
-    each ego pose; a segment with neither end inside is left out. A segment of 2 m along the ego's axis is added in white."""
+    each ego pose; a segment with neither end inside is left out. A segment of 2 m along the ego's axis is added in EGO's colour. The ground of these
+    images is white, so black pixels are rows too: with a path (clip_id, x, y, z), a disc of CENTRE pixels at the ego and one of DOT pixels at each place of
+    the clip's path lie over the lines."""
     on = [k for k in ("clip_id", "frame") if k in segments.columns]
     s = segments.join(egos, on).select("clip_id", "frame", "prim_id", "seg_id", "p0", "p1", *RGB, "m")
     x, t = [mat.rot("m")[i] for i in (0, 3, 6)], mat.shift("m")
     end = lambda k: geometry.point(*(b + k * a for a, b in zip(x, t)))
-    me = egos.select("clip_id", "frame", F.lit("~ego").alias("prim_id"), F.lit(0).alias("seg_id"), end(-1).alias("p0"), end(1).alias("p1"), *(F.lit(255).alias(c) for c in RGB), "m")
+    me = egos.select("clip_id", "frame", F.lit("~ego").alias("prim_id"), F.lit(0).alias("seg_id"), end(-1).alias("p0"), end(1).alias("p1"), *(F.lit(x).alias(c) for x, c in zip(EGO, RGB)), "m")
     s = s.withColumn("prim_id", F.col("prim_id").cast("string")).unionByName(me)
     (u1, v1), (u2, v2) = (geometry.bev_pixel("m", [F.col(e)[c] for c in "xyz"], pixels, metres) for e in ("p0", "p1"))
     s = s.select("clip_id", "frame", "prim_id", "seg_id", *RGB, u1.alias("u1"), v1.alias("v1"), u2.alias("u2"), v2.alias("v2"))
     n = F.lit(pixels)
     s = s.filter(camera.inside(F.col("u1"), F.col("v1"), n, n) | camera.inside(F.col("u2"), F.col("v2"), n, n))
-    return line_raster(s, pixels, pixels, width, ["clip_id", "frame"])
+    keys = ["clip_id", "frame"]
+    lines = line_raster(s, pixels, pixels, width, keys)
+    if path is None:
+        return lines
+    u, v = geometry.bev_pixel("m", [F.col(c) for c in "xyz"], pixels, metres)
+    dots = path.join(egos, [k for k in keys if k in path.columns]).select(*keys, u.cast("int").alias("u"), v.cast("int").alias("v"), F.lit(DOT).alias("radius"))
+    dots = dots.filter((u >= 0) & (v >= 0)).unionByName(egos.select(*keys, *(F.lit(pixels // 2).alias(c) for c in "uv"), F.lit(CENTRE).alias("radius")))
+    dots = dots.filter(camera.inside(F.col("u"), F.col("v"), n, n)).distinct()
+    dots = dots.withColumn("__a", F.explode(F.expr("sequence(-radius, radius)"))).withColumn("__b", F.explode(F.expr("sequence(-radius, radius)"))).filter("__a * __a + __b * __b <= radius * radius")
+    black = dots.select(*keys, (F.col("u") + F.col("__a")).alias("u"), (F.col("v") + F.col("__b")).alias("v")).filter(camera.inside(F.col("u"), F.col("v"), n, n)).distinct()
+    black = black.select("*", *(F.lit(0).alias(c) for c in RGB))
+    return lines.join(black, [*keys, "u", "v"], "left_anti").unionByName(black)
 
 
 def object_segments(objects: DataFrame) -> DataFrame:

@@ -78,13 +78,14 @@ def extrapolate_poses(poses: DataFrame, keys: Sequence[str], extra: int = 2) ->
 def bracket(spine: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """spine(keys, frame) with prev and next: the nearest labelled frames at or before and at or after it, or null.
 
-    One window over the union of both, by clip; tracks are joined afterwards, so a track that is missing at one of the
+    One window over the union of both, by clip, in either direction: each row adds to a running value, so the time follows the number of frames.
+    Of a spine row and a label at the same frame, the label comes first in its direction. Tracks are joined afterwards, so a track that is missing at one of the
     bracketing frames is not bridged."""
     s = spine.select(*keys, "frame", F.lit(None).cast("int").alias("__label"))
     both = s.unionByName(labels.select(*keys, "frame", F.col("frame").cast("int").alias("__label")).distinct())
-    w = Window.partitionBy(*keys).orderBy("frame")
-    before, after = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    out = both.select(*keys, "frame", "__label", F.last("__label", True).over(before).alias("prev"), F.first("__label", True).over(after).alias("next"))
+    up = Window.partitionBy(*keys).orderBy("frame", F.col("__label").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("frame"), F.col("__label").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.select(*keys, "frame", "__label", F.last("__label", True).over(up).alias("prev"), F.last("__label", True).over(down).alias("next"))
     return out.filter("__label IS NULL").drop("__label")
 
 

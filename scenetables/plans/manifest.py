@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Kinds of rewriting.
 REWRITES = ("Golden hour", "Morning", "Night", "Rainy", "Snowy", "Sunny", "Foggy")
 #: View, order in a prompt.
 VIEWS = (
@@ -26,6 +27,7 @@ PREFIXES = {
     "pinhole_side_left": "The video is captured from a camera mounted on a car. The camera is facing to the left.",
     "pinhole_side_right": "The video is captured from a camera mounted on a car. The camera is facing to the right.",
 }
+#: What comes before the new caption, and what a model may put before its answer.
 MARKER, THINKING = "New caption:", "<think>\n\n</think>\n\n"
 RETRIES = 3
 
@@ -78,6 +80,32 @@ def chat_prompts(tasks: DataFrame, system: str, template: str) -> DataFrame:
     return tasks.withColumn("messages", F.array(turn("system", F.lit(system)), turn("user", F.format_string(template, "text", "variation"))))
 
 
+#: Follow-up turns that give vehicles other colours; the second has a place for the caption.
+COLOUR_TURNS = (
+    "Name each place in the caption where a vehicle has a colour. Add nothing if no vehicle has one.",
+    "Give each of those vehicles another colour and answer with the caption alone, as it stands if no vehicle has a colour.\nCaption: %s",
+)
+
+
+def with_turn(chats: DataFrame, said: Column, ask: Column) -> DataFrame:
+    """chats (messages) with the assistant's answer and the user's next turn added; a null answer, which calls for another try, adds only the turn."""
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    more = F.filter(F.array(turn("assistant", said), turn("user", ask)), lambda m: m["content"].isNotNull())
+    return chats.withColumn("messages", F.concat("messages", more))
+
+
+def colour_turns(chats: DataFrame, caption: str = "text", answers: tuple[str, str] = ("response", "places")) -> DataFrame:
+    """chats with the two turns of a change of colours; answers: columns with the model's answers to the rewriting and to the first of these turns."""
+    first = with_turn(chats, F.col(answers[0]), F.lit(COLOUR_TURNS[0]))
+    return with_turn(first, F.col(answers[1]), F.format_string(COLOUR_TURNS[1], caption))
+
+
+def embedded(responses: DataFrame, out: str = "response") -> DataFrame:
+    """responses of an encoder (JSON of embedding and mask in `out`) as embedding, mask and n_tokens, cut to the mask; failed rows are left out."""
+    e = responses.withColumn("__e", F.from_json(out, "struct<embedding: array<array<float>>, mask: array<int>>")).filter("__e.mask IS NOT NULL")
+    return truncated_embeddings(e.select(*(c for c in responses.columns if c not in (out, "error")), "__e.embedding", "__e.mask"))
+
+
 def batch_ids(rows: DataFrame, order: str, size: int, group: Sequence[str], lane: Column | None = None, lanes: int = 1) -> DataFrame:
     """Adds batch: numbers of at most `size` rows each, by order inside each group.
 

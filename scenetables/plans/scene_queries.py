@@ -12,29 +12,34 @@ W, H = 64, 48
 RGB = raster.RGB
 
 
+#: Vectors in a row of which a label makes one clip, so that clips are bounded and their number grows.
+BLOCK = 200
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_id (label), id, r (rank in the label), e0..e11 times 10."""
+    """clip_id (a label's part of a block of vectors), id, r (rank in the clip), e0..e11 times 10."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return e.select(F.col("label").alias("clip_id"), F.col("vec_id").alias("id"), n.alias("r"), *((F.col("embedding")[i].cast("double") * 10).alias(f"e{i}") for i in range(12)))
+    clip = F.col("label").cast("long") * 1_000_000 + F.floor(F.col("vec_id") / BLOCK)
+    n = F.row_number().over(Window.partitionBy("clip_id").orderBy("vec_id"))
+    return e.withColumn("clip_id", clip).select("clip_id", F.col("vec_id").alias("id"), n.alias("r"), *((F.col("embedding")[i].cast("double") * 10).alias(f"e{i}") for i in range(12)))
 
 
-_V = "v AS (SELECT label AS clip_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, " + ", ".join(f"embedding[{i + 1}]::DOUBLE * 10 AS e{i}" for i in range(12)) + " FROM embeddings)"
+_V = f"e AS (SELECT label::BIGINT * 1000000 + vec_id // {BLOCK} AS clip_id, vec_id AS id, embedding FROM embeddings), v AS (SELECT clip_id, id, row_number() OVER (PARTITION BY clip_id ORDER BY id) AS r, " + ", ".join(f"embedding[{i + 1}]::DOUBLE * 10 AS e{i}" for i in range(12)) + " FROM e)"
 
 
 def _points(v: DataFrame) -> DataFrame:
     return v.select("clip_id", F.lit(0).alias("frame"), F.col("id").alias("point_id"), F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
 
 
-def _boxes(v: DataFrame, at: int, n: int = 5) -> DataFrame:
+def _boxes(v: DataFrame, at: int) -> DataFrame:
+    """A box of every vector."""
     m = mat.pose(mat.yaw(F.col(f"e{at + 3}")), [F.col(f"e{at + i}") for i in range(3)])
-    b = v.filter(F.col("r") <= n)
-    return b.select("clip_id", F.lit(0).alias("frame"), F.col("r").cast("string").alias("track_id"), F.lit("Car").alias("object_type"), F.lit(True).alias("is_moving"), F.array(*((F.abs(f"e{i}") + 1) * 2 for i in (9, 10, 11))).alias("lwh"), m.alias("m"))
+    return v.select("clip_id", F.lit(0).alias("frame"), F.col("id").cast("string").alias("track_id"), F.lit("Car").alias("object_type"), F.lit(True).alias("is_moving"), F.array(*((F.abs(f"e{i}") + 1) * 2 for i in (9, 10, 11))).alias("lwh"), m.alias("m"))
 
 
 _BOX = """box AS (
-  SELECT clip_id, r::VARCHAR AS track_id, r, e0 AS bx, e1 AS b_y, e2 AS bz, cos(e3) AS c, sin(e3) AS s, (abs(e9) + 1) * 2 AS l, (abs(e10) + 1) * 2 AS w, (abs(e11) + 1) * 2 AS h,
-    e4 AS tx, e5 AS ty, e6 AS tz, cos(e7) AS tc, sin(e7) AS ts FROM v WHERE r <= 5)"""
+  SELECT clip_id, id::VARCHAR AS track_id, e0 AS bx, e1 AS b_y, e2 AS bz, cos(e3) AS c, sin(e3) AS s, (abs(e9) + 1) * 2 AS l, (abs(e10) + 1) * 2 AS w, (abs(e11) + 1) * 2 AS h,
+    e4 AS tx, e5 AS ty, e6 AS tz, cos(e7) AS tc, sin(e7) AS ts FROM v)"""
 
 
 def _held(scale: str) -> str:
@@ -49,15 +54,15 @@ def points_in_boxes(spark, sf_dir):
 
 
 def move_points(spark, sf_dir):
-    """Points carried to their box's second place; the third box of each clip has none."""
+    """Points carried to their box's second place; one box of five has none."""
     v = _vectors(spark, sf_dir)
-    out = points.moved_with_boxes(_points(v), _boxes(v, 0), _boxes(v, 4).filter("track_id <> '3'"))
+    out = points.moved_with_boxes(_points(v), _boxes(v, 0), _boxes(v.filter("id % 5 <> 3"), 4))
     return out.select("clip_id", "point_id", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
 def move_points_masked(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    out = points.moved_with_boxes(_points(v), _boxes(v, 0), _boxes(v, 4).filter("track_id <> '3'"), drop=False)
+    out = points.moved_with_boxes(_points(v), _boxes(v, 0), _boxes(v.filter("id % 5 <> 3"), 4), drop=False)
     return out.groupBy("clip_id").agg(F.count("*").alias("n"), F.count_if("mask").alias("n_valid"))
 
 
@@ -69,7 +74,7 @@ def near_points(spark, sf_dir):
 def sweep_window(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    f = e.select(F.col("user_id").alias("clip_id"), (n - 1).alias("frame")).filter("frame < 50")
+    f = e.select(F.col("user_id").alias("clip_id"), (n - 1).alias("frame"))
     return points.sweep_window(f, f.filter("frame % 3 = 0"))
 
 
@@ -110,7 +115,7 @@ def ray_round_trip(spark, sf_dir):
 
 def forward_domain(spark, sf_dir):
     """How far polynomials rise; the coefficients come from vectors."""
-    v = _vectors(spark, sf_dir).filter("r <= 3")
+    v = _vectors(spark, sf_dir)
     c = v.select("clip_id", F.col("id").alias("camera"), F.array(mat.d(0), mat.d(100), F.col("e0") * 5, -F.abs("e1") * 10).alias("fw"), mat.d(150).alias("border"))
     return camera.forward_domain(c).select("clip_id", "camera", F.round("max_angle", 6).alias("max_angle"))
 
@@ -165,19 +170,18 @@ def dilated_mask(spark, sf_dir):
 
 
 def line_raster(spark, sf_dir):
-    """Segments of 5 pixels' width between the places of two coordinates, inside the image."""
-    v = _vectors(spark, sf_dir).filter("r <= 8")
-    at = lambda i, n: F.floor((F.col(f"e{i}") + 4) / 8 * (n - 1))
-    inside = " AND ".join(f"abs(e{i}) < 4" for i in range(4))
-    s = v.filter(inside).select("clip_id", F.col("id").alias("prim_id"), F.lit(0).alias("seg_id"), at(0, W).alias("u1"), at(1, H).alias("v1"), at(2, W).alias("u2"), at(3, H).alias("v2"), *((F.col("id") * k % 256).cast("int").alias(c) for k, c in zip((1, 3, 7), RGB)))
+    """Segments of 5 pixels' width between the places of two coordinates, cut to the image."""
+    v = _vectors(spark, sf_dir)
+    at = lambda i, n: F.floor((F.col(f"e{i}") + 2) / 4 * (n - 1))
+    s = v.select("clip_id", F.col("id").alias("prim_id"), F.lit(0).alias("seg_id"), at(0, W).alias("u1"), at(1, H).alias("v1"), at(2, W).alias("u2"), at(3, H).alias("v2"), *((F.col("id") * k % 256).cast("int").alias(c) for k, c in zip((1, 3, 7), RGB)))
     return raster.line_raster(s, W, H, 5, ["clip_id"])
 
 
 def hull_raster(spark, sf_dir):
-    """Hulls of each clip's first vectors' places, eight at a time."""
+    """Hulls of each clip's vectors' places, eight at a time."""
     v = _vectors(spark, sf_dir)
     p = v.groupBy("clip_id", F.floor((F.col("r") - 1) / 8).alias("prim_id")).agg(F.array_sort(F.collect_list(F.struct(((F.col("e0") + 4) * 8).alias("u"), ((F.col("e1") + 4) * 6).alias("v")))).alias("px"))
-    p = p.filter("prim_id < 3").select("clip_id", "prim_id", raster.hull_ring("px").alias("ring"), *((F.col("prim_id") * 50 + 50).cast("int").alias(c) for c in RGB))
+    p = p.select("clip_id", "prim_id", raster.hull_ring("px").alias("ring"), *((F.col("prim_id") * 20 % 200 + 50).cast("int").alias(c) for c in RGB))
     return raster.hull_raster(p, W, H, ["clip_id"])
 
 
@@ -197,8 +201,8 @@ def depth_colours(spark, sf_dir):
 
 
 def densified_lines(spark, sf_dir):
-    """Points every 0.8 along each clip's line through its first vectors."""
-    v = _vectors(spark, sf_dir).filter("r <= 10")
+    """Points every 0.8 along each clip's line through its vectors."""
+    v = _vectors(spark, sf_dir)
     f = v.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("r", F.col("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z")))).alias("p"))
     f = f.select("clip_id", F.transform("p", lambda p: geometry.point(p["x"], p["y"], p["z"])).alias("vertices"))
     d = geometry.densified(f, 0.8)
@@ -217,11 +221,23 @@ _DEPTH_SPLATS = [_splat(k) for k in ("nearest", "bilinear", "gaussian")]
 QUERIES = {f.__name__: f for f in (points_in_boxes, move_points, move_points_masked, near_points, sweep_window, bev_nearest, pinhole_zbuffer, ray_round_trip, forward_domain, *_DEPTH_SPLATS, layer_max, overlay, dilated_mask, line_raster, hull_raster, removal_mask, depth_colours, densified_lines, video_grid)}
 
 _MOVED = f"""WITH {_V}, {_BOX}, {_held('1.2::DOUBLE')},
-one AS (SELECT clip_id, point_id, bool_or(track_id = '3') AS gone, arg_min(track_id, track_id) AS track_id FROM held GROUP BY ALL),
+one AS (SELECT clip_id, point_id, bool_or(track_id::BIGINT % 5 = 3) AS gone, arg_min(track_id, track_id) AS track_id FROM held GROUP BY ALL),
 moved AS (
   SELECT v.clip_id, v.id AS point_id, coalesce(gone, false) AS gone, CASE WHEN h.track_id IS NULL THEN e0 ELSE tc * qx - ts * qy + tx END AS x,
     CASE WHEN h.track_id IS NULL THEN e1 ELSE ts * qx + tc * qy + ty END AS y, CASE WHEN h.track_id IS NULL THEN e2 ELSE qz + tz END AS z
   FROM v LEFT JOIN one ON one.clip_id = v.clip_id AND one.point_id = v.id LEFT JOIN held h ON h.clip_id = one.clip_id AND h.point_id = one.point_id AND h.track_id = one.track_id)"""
+
+
+def cut_sql(w: int, h: int) -> str:
+    """Segments s (clip_id, id, u1, v1, u2, v2) cut to the image by the parameters at which they enter and leave it."""
+    return f"""sides AS (
+  SELECT s.*, u2 - u1 AS du, v2 - v1 AS dv, p, q FROM s, LATERAL (SELECT unnest([u1 - u2, u2 - u1, v1 - v2, v2 - v1]) AS p, unnest([u1, {w - 1} - u1, v1, {h - 1} - v1]) AS q)),
+span AS (
+  SELECT clip_id, id, u1, v1, du, dv, greatest(0, coalesce(max(q / p) FILTER (p < 0), 0)) AS lo, least(1, coalesce(min(q / p) FILTER (p > 0), 1)) AS hi, bool_or(p = 0 AND q < 0) AS gone
+  FROM sides GROUP BY clip_id, id, u1, v1, du, dv),
+cut AS (SELECT clip_id, id, u1 + lo * du AS u1, v1 + lo * dv AS v1, u1 + hi * du AS u2, v1 + hi * dv AS v2 FROM span WHERE NOT gone AND lo <= hi)"""
+
+
 _THICK = "SELECT clip_id, u + a AS u, v + b AS v, max(r) AS r, max(g) AS g, max(b_) AS b FROM (SELECT clip_id, u, v, r, g, b AS b_ FROM {z}), unnest(range(-{h}, {h} + 1)) AS t(a), unnest(range(-{h}, {h} + 1)) AS q(b) WHERE u + a BETWEEN 0 AND 63 AND v + b BETWEEN 0 AND 47 GROUP BY ALL"
 
 ORACLE_SQL = {
@@ -230,7 +246,7 @@ ORACLE_SQL = {
     "move_points_masked": f"{_MOVED} SELECT clip_id, count(*) AS n, count_if(NOT gone)::BIGINT AS n_valid FROM moved GROUP BY clip_id",
     "near_points": f"WITH {_V} SELECT clip_id, count(*) AS n FROM v WHERE sqrt(e0 * e0 + e1 * e1 + e2 * e2) >= 1 GROUP BY clip_id",
     "sweep_window": """WITH f AS (SELECT user_id AS clip_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS frame FROM events),
-g AS (SELECT * FROM f WHERE frame < 50), e AS (SELECT clip_id, max(frame) AS last FROM g GROUP BY clip_id)
+g AS (SELECT * FROM f), e AS (SELECT clip_id, max(frame) AS last FROM g GROUP BY clip_id)
 SELECT g.clip_id, g.frame, k::INTEGER AS "offset", least((round_even(least(greatest(g.frame + k, 0), last) / 3.0, 0) * 3)::INTEGER, last // 3 * 3)::INTEGER AS sweep
 FROM g JOIN e USING (clip_id), unnest([-2, -1, 0, 1, 2]) AS t(k)""",
     "bev_nearest": f"""WITH {_V}, ego AS (SELECT clip_id, e0 AS x, e1 AS y FROM v WHERE r = 1),
@@ -243,7 +259,7 @@ FROM ego JOIN g USING (clip_id) JOIN m USING (clip_id)""",
 r AS (SELECT *, CASE WHEN a <= 1.2::DOUBLE THEN 20 * a + 1.5::DOUBLE * a * a * a - 0.2::DOUBLE * a * a * a * a * a
   ELSE 20 * 1.2::DOUBLE + 1.5::DOUBLE * pow(1.2::DOUBLE, 3) - 0.2::DOUBLE * pow(1.2::DOUBLE, 5) + (a - 1.2::DOUBLE) * (20 + 4.5::DOUBLE * pow(1.2::DOUBLE, 2) - pow(1.2::DOUBLE, 4)) END / flat AS k FROM a)
 SELECT clip_id, id, round(1.1::DOUBLE * k * e0 + 0.02::DOUBLE * k * e1 + 32, 4) AS u, round(-0.01::DOUBLE * k * e0 + k * e1 + 24, 4) AS v FROM r""",
-    "forward_domain": f"""WITH {_V}, c AS (SELECT clip_id, id, e0 * 5 AS q, -abs(e1) * 10 AS k FROM v WHERE r <= 3),
+    "forward_domain": f"""WITH {_V}, c AS (SELECT clip_id, id, e0 * 5 AS q, -abs(e1) * 10 AS k FROM v),
 s AS (SELECT clip_id, id, i, i * pi() / 2000 AS a, q, k FROM c, unnest(range(1, 2001)) AS t(i)),
 h AS (SELECT clip_id, id, i, CASE WHEN 100 + 2 * q * a + 3 * k * a * a <= 0 THEN i - 1 WHEN 100 * a + q * a * a + k * a * a * a > 150 THEN i END AS stop FROM s)
 SELECT clip_id, id AS camera, round(coalesce(arg_min(stop, i) FILTER (WHERE stop IS NOT NULL), 2000) * pi() / 2000, 6) AS max_angle FROM h GROUP BY ALL""",
@@ -261,12 +277,22 @@ SELECT t.clip_id, t.u::INTEGER AS u, t.v::INTEGER AS v, """ + ", ".join(f"least(
     "dilated_mask": f"""WITH {_V}, {_P}, {_Z}, d AS (SELECT DISTINCT clip_id, u + a AS u, v + b_ AS v FROM z, unnest(range(-5, 6)) AS t(a), unnest(range(-5, 6)) AS q(b_) WHERE u + a BETWEEN 0 AND 63 AND v + b_ BETWEEN 0 AND 47)
 SELECT clip_id, count(*) AS n, sum(u * 100 + v)::BIGINT AS checksum FROM d GROUP BY clip_id""",
     "line_raster": f"""WITH {_V}, s AS (
-  SELECT clip_id, id, floor((e0 + 4) / 8 * 63) AS u1, floor((e1 + 4) / 8 * 47) AS v1, floor((e2 + 4) / 8 * 63) AS u2, floor((e3 + 4) / 8 * 47) AS v2
-  FROM v WHERE r <= 8 AND abs(e0) < 4 AND abs(e1) < 4 AND abs(e2) < 4 AND abs(e3) < 4),
-t AS (SELECT s.*, u, v, pow(u2 - u1, 2) + pow(v2 - v1, 2) AS n2 FROM s, unnest(range(64)) AS a(u), unnest(range(48)) AS b(v)),
+  SELECT clip_id, id, floor((e0 + 2) / 4 * 63) AS u1, floor((e1 + 2) / 4 * 47) AS v1, floor((e2 + 2) / 4 * 63) AS u2, floor((e3 + 2) / 4 * 47) AS v2 FROM v),
+{cut_sql(W, H)},
+t AS (SELECT c.*, u, v, pow(u2 - u1, 2) + pow(v2 - v1, 2) AS n2 FROM cut c, unnest(range(64)) AS a(u), unnest(range(48)) AS b(v)),
 k AS (SELECT *, CASE WHEN n2 = 0 THEN 0 ELSE least(greatest(((u - u1) * (u2 - u1) + (v - v1) * (v2 - v1)) / n2, 0), 1) END AS k FROM t),
 p AS (SELECT clip_id, u, v, max(id) AS id FROM k WHERE pow(u - u1 - k * (u2 - u1), 2) + pow(v - v1 - k * (v2 - v1), 2) <= 6.25 GROUP BY ALL)
 SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, (id % 256)::INTEGER AS r, (id * 3 % 256)::INTEGER AS g, (id * 7 % 256)::INTEGER AS b FROM p""",
+    "hull_raster": f"""WITH {_V}, q AS (SELECT clip_id, (r - 1) // 8 AS prim_id, (e0 + 4) * 8 AS u, (e1 + 4) * 6 AS v FROM v),
+n AS (SELECT clip_id, prim_id FROM q GROUP BY ALL HAVING count(DISTINCT (u, v)) >= 3),
+rows AS (SELECT y FROM unnest(range({H})) AS t(y)),
+-- the hull's chord in a row of pixels lies between the extremes of all segments of two vertices that cross the row
+x AS (
+  SELECT a.clip_id, a.prim_id, y, CASE WHEN a.v = b.v THEN a.u ELSE a.u + (b.u - a.u) * ((y - a.v) / (b.v - a.v)) END AS x
+  FROM q a JOIN q b ON a.clip_id = b.clip_id AND a.prim_id = b.prim_id JOIN n ON n.clip_id = a.clip_id AND n.prim_id = a.prim_id, rows WHERE a.v <= y AND b.v >= y),
+chord AS (SELECT clip_id, prim_id, y, greatest(ceil(min(x) - 1e-9), 0)::INTEGER AS lo, least(floor(max(x) + 1e-9), {W - 1})::INTEGER AS hi FROM x GROUP BY ALL),
+px AS (SELECT clip_id, u::INTEGER AS u, y::INTEGER AS v, max(prim_id) AS p FROM chord, unnest(range(lo, hi + 1)) AS t(u) GROUP BY ALL)
+SELECT clip_id, u, v, (p * 20 % 200 + 50)::INTEGER AS r, (p * 20 % 200 + 50)::INTEGER AS g, (p * 20 % 200 + 50)::INTEGER AS b FROM px""",
     "removal_mask": f"""WITH {_V}, {_BOX}, {_held('1')}, px AS (
   SELECT clip_id, id, floor((e0 + 4) * 8)::INTEGER AS u, floor((e1 + 4) * 6)::INTEGER AS v FROM v WHERE floor((e0 + 4) * 8) BETWEEN 0 AND 63 AND floor((e1 + 4) * 6) BETWEEN 0 AND 47),
 g AS (SELECT h.clip_id, h.track_id, min(u) AS a, max(u) AS b, min(v) AS c, max(v) AS e FROM held h JOIN px ON px.clip_id = h.clip_id AND px.id = h.point_id GROUP BY ALL),
@@ -275,10 +301,10 @@ SELECT clip_id, count(*) AS n, count_if(hit)::BIGINT AS n_removed FROM (
   SELECT px.clip_id, px.id, coalesce(bool_or(u BETWEEN u0 AND u1 AND v BETWEEN v0 AND v1), false) AS hit FROM px LEFT JOIN q USING (clip_id) GROUP BY px.clip_id, px.id) GROUP BY clip_id""",
     "depth_colours": f"""WITH {_V}, d AS (SELECT id, least(abs(e2) * 60, 122.5::DOUBLE) AS d, abs(e2) * 60 AS raw FROM v)
 SELECT id, trunc(2 * (122.5::DOUBLE - d) / 255 * 98)::INTEGER AS r, trunc(2 * (122.5::DOUBLE - d) / 255 * 183)::INTEGER AS g, trunc(2 * (122.5::DOUBLE - d) / 255 * 249)::INTEGER AS b, trunc(least(raw, 75) / 75 * 255)::INTEGER AS grey FROM d""",
-    "densified_lines": f"""WITH {_V}, s AS (SELECT a.clip_id, a.e0 AS x0, a.e1 AS y0, a.e2 AS z0, b.e0 AS x1, b.e1 AS y1, b.e2 AS z1 FROM v a JOIN v b ON a.clip_id = b.clip_id AND b.r = a.r + 1 WHERE b.r <= 10),
+    "densified_lines": f"""WITH {_V}, s AS (SELECT a.clip_id, a.e0 AS x0, a.e1 AS y0, a.e2 AS z0, b.e0 AS x1, b.e1 AS y1, b.e2 AS z1 FROM v a JOIN v b ON a.clip_id = b.clip_id AND b.r = a.r + 1),
 n AS (SELECT *, greatest(trunc(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) / 0.8::DOUBLE)::BIGINT, 2) AS n FROM s),
 p AS (SELECT clip_id, x0 + (x1 - x0) * k / (n - 1) AS x, y0 + (y1 - y0) * k / (n - 1) AS y, z0 + (z1 - z0) * k / (n - 1) AS z FROM n, unnest(range(n - 1)) AS t(k)
-  UNION ALL SELECT clip_id, arg_max(e0, r), arg_max(e1, r), arg_max(e2, r) FROM v WHERE r <= 10 GROUP BY clip_id)
+  UNION ALL SELECT clip_id, arg_max(e0, r), arg_max(e1, r), arg_max(e2, r) FROM v GROUP BY clip_id)
 SELECT clip_id, count(*) AS n, round(sum(x), 4) AS x, round(sum(y), 4) AS y, round(sum(z), 4) AS z FROM p GROUP BY clip_id""",
     "video_grid": f"""WITH {_V}, {_P}, px AS (SELECT *, round_even(u, 0)::INTEGER AS pu, round_even(v, 0)::INTEGER AS pv, id % 5 AS view FROM p WHERE abs(u) < 1e6 AND abs(v) < 1e6),
 z AS (SELECT clip_id, view, pu AS u, pv AS v, arg_min(r, (z, id)) AS r, arg_min(g, (z, id)) AS g, arg_min(b, (z, id)) AS b FROM px WHERE pu >= 0 AND pu < {W} AND pv >= 0 AND pv < {H} GROUP BY ALL)

@@ -42,9 +42,7 @@ def track_chunks(spark, sf_dir):
 
 def track_extrapolate(spark, sf_dir):
     up = resample.upsample(_tracks(spark, sf_dir), ["clip_id"], ["x"])
-    full = resample.extrapolate(up, ["clip_id"], ["x"])
-    last = full.groupBy("clip_id").agg(F.max("frame").alias("last"))
-    return full.join(last, "clip_id").filter("frame > last - 3").select("clip_id", "frame", F.round("x", 4).alias("x"))
+    return resample.extrapolate(up, ["clip_id"], ["x"]).select("clip_id", "frame", F.round("x", 4).alias("x"))
 
 
 def render_frames(spark, sf_dir):
@@ -103,7 +101,7 @@ def sign_align(spark, sf_dir):
 
 
 def _yaw_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tracks(spark, sf_dir).filter("frame < 40")
+    t = _tracks(spark, sf_dir)
     return t.select("clip_id", "frame", mat.pose(mat.yaw(F.col("x")), [F.col("x"), F.col("frame").cast("double"), mat.d(0)]).alias("m"))
 
 
@@ -122,17 +120,18 @@ def camera_poses(spark, sf_dir):
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects: the event types of a user's every second day, at x = the day's largest value."""
+    """Objects: the event types of a user's days, at x = the day's largest value; a day is two frames, the second of them without labels."""
     e = _table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    e = e.withColumn("frame", F.datediff("day", F.lit("2024-01-01").cast("date")))
-    g = e.filter("frame % 2 = 0").groupBy(F.col("user_id").alias("clip_id"), "frame", F.col("event_type").alias("track_id")).agg(F.max("value").alias("x"))
+    e = e.withColumn("frame", 2 * F.datediff("day", F.lit("2024-01-01").cast("date")))
+    g = e.groupBy(F.col("user_id").alias("clip_id"), "frame", F.col("event_type").alias("track_id")).agg(F.max("value").alias("x"))
     at = mat.pose([mat.d(1), mat.d(0), mat.d(0), mat.d(0), mat.d(1), mat.d(0), mat.d(0), mat.d(0), mat.d(1)], [F.col("x"), mat.d(0), mat.d(0)])
     return g.select("clip_id", "frame", "track_id", F.lit("Car").alias("object_type"), (F.col("x") > 5).alias("is_moving"), F.array("x", "x", "x").alias("lwh"), at.alias("m"))
 
 
 def object_match(spark, sf_dir):
     o = _typed(spark, sf_dir)
-    frames = o.select("clip_id").distinct().withColumn("frame", F.explode(F.expr("sequence(0, 26)")))
+    ends = o.groupBy("clip_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    frames = ends.select("clip_id", F.explode(F.expr("sequence(a - 1, b + 1)")).alias("frame"))
     out = objects.interpolate_objects(o, frames)
     return out.select("clip_id", "frame", "track_id", "is_moving", F.round(F.col("m")[3], 4).alias("x"), F.round(F.col("lwh")[0], 4).alias("l"))
 
@@ -169,7 +168,8 @@ SELECT c.clip_id, c.chunk, count(*) AS n, round(sum(x), 4) AS sum_x FROM chunks
     "track_extrapolate": f"""WITH {_UP}, ends AS (
   SELECT clip_id, max(frame) AS last, arg_max(x, frame) AS x FROM up GROUP BY clip_id),
 steps AS (SELECT e.clip_id, e.last, e.x, e.x - coalesce(u.x, e.x) AS d FROM ends e LEFT JOIN up u ON u.clip_id = e.clip_id AND u.frame = e.last - 1)
-SELECT clip_id, (last + k)::INTEGER AS frame, round(x + k * d, 4) AS x FROM steps, unnest([0, 1, 2]) AS t(k)""",
+SELECT clip_id, frame, round(x, 4) AS x FROM up UNION ALL
+SELECT clip_id, (last + k)::INTEGER AS frame, round(x + k * d, 4) AS x FROM steps, unnest([1, 2]) AS t(k)""",
     "render_frames": f"WITH {_TRACKS} SELECT clip_id, (frame // 3)::INTEGER AS pos, frame FROM tracks WHERE frame % 3 = 0 AND frame // 3 < 90",
     "hold_track": f"WITH {_DAILY} SELECT clip_id, frame, CASE WHEN pf IS NULL THEN nv ELSE pv END AS value FROM around",
     "linear_track": f"""WITH {_DAILY} SELECT clip_id, frame,
@@ -191,20 +191,19 @@ SELECT clip_id, frame, round(frame - ha, 4) AS lx, round(value - k * ha, 4) AS l
 d AS (SELECT *, CASE WHEN w * lag(w) OVER o + x * lag(x) OVER o + y * lag(y) OVER o + z * lag(z) OVER o < 0 THEN 1 ELSE 0 END AS f FROM q WINDOW o AS (PARTITION BY clip_id ORDER BY frame)),
 s AS (SELECT *, CASE WHEN (sum(f) OVER (PARTITION BY clip_id ORDER BY frame)) % 2 = 1 THEN -1 ELSE 1 END AS s FROM d)
 SELECT clip_id, frame, round(w * s, 6) AS w, round(x * s, 6) AS x, round(y * s, 6) AS y, round(z * s, 6) AS z FROM s""",
-    "pose_resample": f"""WITH {_TRACKS}, pairs AS (SELECT *, lead(x) OVER (PARTITION BY clip_id ORDER BY frame) AS nx FROM tracks WHERE frame < 40),
+    "pose_resample": f"""WITH {_TRACKS}, pairs AS (SELECT *, lead(x) OVER (PARTITION BY clip_id ORDER BY frame) AS nx FROM tracks),
 turns AS (SELECT *, atan2(sin(nx - x), cos(nx - x)) AS turn FROM pairs),
 up AS (SELECT clip_id, (frame * 3 + k)::INTEGER AS frame, x + coalesce(turn, 0) * k / 3.0 AS yaw, x + coalesce(nx - x, 0) * k / 3.0 AS px, frame + k / 3.0 AS py
   FROM turns, unnest(range(CASE WHEN nx IS NULL THEN 1 ELSE 3 END)) AS t(k))
 SELECT clip_id, frame, round(cos(yaw), 4) + 0.0 AS cos, round(sin(yaw), 4) + 0.0 AS sin, round(px, 4)::DOUBLE AS x, round(py::DOUBLE, 4) AS y FROM up""",
-    "camera_poses": f"""WITH {_TRACKS}, p AS (SELECT clip_id, c::INTEGER AS camera, frame, x, c * 0.5::DOUBLE AS e, c + 1.0::DOUBLE AS ex FROM tracks, unnest([0, 1]) AS t(c) WHERE frame < 40)
+    "camera_poses": f"""WITH {_TRACKS}, p AS (SELECT clip_id, c::INTEGER AS camera, frame, x, c * 0.5::DOUBLE AS e, c + 1.0::DOUBLE AS ex FROM tracks, unnest([0, 1]) AS t(c))
 SELECT clip_id, camera, frame, round(x + cos(x) * ex - sin(x) * 0.5::DOUBLE, 4) + 0.0 AS x, round(frame + sin(x) * ex + cos(x) * 0.5::DOUBLE, 4) + 0.0 AS y, round(2.0::DOUBLE, 4) AS z,
   round(sin(x + e), 4) + 0.0 AS right_x, round(cos(x + e), 4) + 0.0 AS forward_x, -1.0::DOUBLE AS down_z FROM p""",
     "object_match": """WITH o AS (
-  SELECT user_id AS clip_id, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS frame, event_type AS track_id, max(value) AS x
-  FROM events WHERE date_diff('day', DATE '2024-01-01', ts::DATE) % 2 = 0 GROUP BY ALL),
-used AS (SELECT * FROM o WHERE frame <= 26),
+  SELECT user_id AS clip_id, 2 * date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS frame, event_type AS track_id, max(value) AS x FROM events GROUP BY ALL),
+used AS (SELECT * FROM o),
 labelled AS (SELECT DISTINCT clip_id, frame FROM used),
-spine AS (SELECT clip_id, f::INTEGER AS frame FROM (SELECT DISTINCT clip_id FROM o), unnest(range(27)) AS t(f)),
+spine AS (SELECT clip_id, f::INTEGER AS frame FROM (SELECT clip_id, min(frame) AS a, max(frame) AS b FROM o GROUP BY clip_id), unnest(range(a - 1, b + 2)) AS t(f)),
 b AS (SELECT s.clip_id, s.frame, p.frame AS pf, n.frame AS nf FROM spine s
   ASOF JOIN labelled p ON s.clip_id = p.clip_id AND s.frame >= p.frame ASOF LEFT JOIN labelled n ON s.clip_id = n.clip_id AND s.frame <= n.frame),
 m AS (SELECT b.*, p.track_id, p.x AS px, n.x AS nx FROM b JOIN used p ON p.clip_id = b.clip_id AND p.frame = b.pf

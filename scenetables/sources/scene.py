@@ -118,6 +118,12 @@ def pinhole_intrinsics(members: DataFrame) -> DataFrame:
     return i.select("clip_id", "camera", F.lit("pinhole").alias("model"), *(F.col("x")[k].alias(n) for k, n in enumerate(("fx", "fy", "cx", "cy"))), *(F.col("x")[k].cast("int").alias(n) for k, n in ((4, "w"), (5, "h"))))
 
 
+def ftheta_intrinsics(members: DataFrame) -> DataFrame:
+    """(clip_id, camera, values) from `ftheta_intrinsic.{camera}`: vectors of 11 or 14 floats, for with_default_intrinsics() and camera.ftheta_models()."""
+    i = members.filter("ext = 'npy' AND startswith(field, 'ftheta_intrinsic.')")
+    return i.select("clip_id", F.substring_index("field", "ftheta_intrinsic.", -1).alias("camera"), npy_items("bytes").alias("values"))
+
+
 def with_default_intrinsics(cameras: DataFrame, own: DataFrame, rig: DataFrame, names: DataFrame) -> DataFrame:
     """cameras(clip_id, camera) with their own intrinsics, or those of the default rig under the camera's name there.
 
@@ -187,7 +193,7 @@ def record_timestamps(records: DataFrame) -> DataFrame:
 class LidarSource(DataSource):
     """spark.read.format("lidar_tar").option("paths", json).load(): one partition for each tar, points of all its frames.
 
-    For files over the 2 GB that binaryFile can hold; paths must be open to the executors as files."""
+    For files over the 2 GB that binaryFile can hold; paths are files of the executors, or URIs of a store that Arrow's file systems know."""
 
     @classmethod
     def name(cls) -> str:
@@ -200,6 +206,16 @@ class LidarSource(DataSource):
         return _LidarReader(json.loads(self.options["paths"]))
 
 
+def _opened(path: str):
+    """A local path, or a URI of any store that Arrow reads."""
+    if "://" not in path:
+        return open(path.removeprefix("file:"), "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inner)
+
+
 class _LidarReader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -210,7 +226,7 @@ class _LidarReader(DataSourceReader):
     def read(self, partition):
         import numpy as np
 
-        with open(partition.value, "rb") as f:
+        with _opened(partition.value) as f:
             for clip, field, ext, content in _members(f):
                 if ext == "npz" and field.endswith(".lidar_raw"):
                     z = np.load(io.BytesIO(content))

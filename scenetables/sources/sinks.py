@@ -66,6 +66,18 @@ def object_members(objects: DataFrame) -> DataFrame:
     return g.select("clip_id", F.format_string("%06d.all_object_info.json", "frame").alias("name"), F.col("j").cast("binary").alias("bytes"))
 
 
-def settings(text: str) -> dict:
-    """Settings of a dataset, with MAX_CHUNK -1 where it is missing."""
-    return {"MAX_CHUNK": -1} | json.loads(text)
+def settings(text: str, post_training: bool | None = None) -> dict:
+    """Settings of a dataset, with MAX_CHUNK -1 where it is missing. post_training lays the section of that mode over the common ones; a
+    dataset without the section is an error."""
+    common = json.loads(text)
+    if post_training is None:
+        return {"MAX_CHUNK": -1} | common
+    mode = "POST_TRAINING" if post_training else "NOT_POST_TRAINING"
+    return {"MAX_CHUNK": -1} | {k: v for k, v in common.items() if not k.endswith("POST_TRAINING")} | common[mode]
+
+
+def write_embeddings(rows: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+    """Captions and their embeddings (view, clip_id, chunk, text, embedding, ...) as Parquet by view and clip bucket, with `name`, the clip and the chunk
+    that follows it; a clip's chunks lie together, sorted. remaining() on (view, name) tells what a resumed run has to do."""
+    b = rows.withColumn("name", F.concat("clip_id", "chunk")).withColumn("bucket", F.pmod(F.xxhash64("clip_id"), F.lit(buckets)).cast("int"))
+    b.repartition("view", "bucket").sortWithinPartitions("view", "bucket", "clip_id", "chunk").write.mode(mode).partitionBy("view", "bucket").parquet(path)

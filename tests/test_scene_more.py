@@ -96,7 +96,7 @@ def test_birds_eye_map(spark):
     seg = spark.createDataFrame([("c", 0, 0, (-5.0, 3.0, 0.0), (5.0, 3.0, 0.0), 200, 0, 0), ("c", 1, 0, (90.0, 0.0, 0.0), (99.0, 0.0, 0.0), 0, 200, 0)], "clip_id string, prim_id int, seg_id int, p0 struct<x:double,y:double,z:double>, p1 struct<x:double,y:double,z:double>, r int, g int, b int")
     egos = spark.createDataFrame([("c", 0, I16)], "clip_id string, frame int, m array<double>")
     out = {(r.u, r.v): (r.r, r.g, r.b) for r in raster.bev_map(seg, egos, 60, 60.0).collect()}
-    assert out[30, 30] == (255, 255, 255) and out[27, 28] == (200, 0, 0) and all(c[1] in (0, 255) for c in out.values())
+    assert out[30, 30] == (255, 0, 0) and out[27, 28] == (200, 0, 0) and all(c[1] in (0, 255) for c in out.values())
 
 
 def test_default_intrinsics(spark):
