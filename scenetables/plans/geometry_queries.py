@@ -217,7 +217,7 @@ def bev_map(spark, sf_dir):
     s = geometry.segments(_lines(v)).withColumn("prim_id", F.format_string("%04d", "seg_id")).select("*", *(F.lit(x).alias(c) for x, c in zip((10, 200, 30), raster.RGB)))
     ego = v.filter("r = 1").select("clip_id", F.lit(0).alias("frame"), mat.pose(mat.yaw(F.col("e3")), [F.col("e4"), F.col("e5"), mat.d(0)]).alias("m"))
     path = v.select("clip_id", F.col("e6").alias("x"), F.col("e7").alias("y"), mat.d(0).alias("z"))
-    return raster.bev_map(s, ego, BEV, 8.0, 2, path).drop("frame")
+    return raster.bev_map(s, ego, BEV, 8.0, 3, path).drop("frame")
 
 
 QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, splat_projection, bev_map)}
@@ -421,7 +421,7 @@ w AS (
   UNION ALL SELECT clip_id, '~ego', tx - c, ty - s, tx + c, ty + s FROM ego),
 b AS (SELECT clip_id, p AS id, {BEV / 2}::DOUBLE - (c * (y1 - ty) - s * (x1 - tx)) * {BEV / 8}::DOUBLE AS u1, {BEV / 2}::DOUBLE - (c * (x1 - tx) + s * (y1 - ty)) * {BEV / 8}::DOUBLE AS v1,
   {BEV / 2}::DOUBLE - (c * (y2 - ty) - s * (x2 - tx)) * {BEV / 8}::DOUBLE AS u2, {BEV / 2}::DOUBLE - (c * (x2 - tx) + s * (y2 - ty)) * {BEV / 8}::DOUBLE AS v2 FROM w JOIN ego USING (clip_id)),
-{_raster_sql(f"s AS (SELECT * FROM b WHERE (u1 >= 0 AND u1 < {BEV} AND v1 >= 0 AND v1 < {BEV}) OR (u2 >= 0 AND u2 < {BEV} AND v2 >= 0 AND v2 < {BEV}))", BEV, BEV, 2, "clip_id, id")},
+{_raster_sql(f"s AS (SELECT * FROM b WHERE (u1 >= 0 AND u1 < {BEV} AND v1 >= 0 AND v1 < {BEV}) OR (u2 >= 0 AND u2 < {BEV} AND v2 >= 0 AND v2 < {BEV}))", BEV, BEV, 3, "clip_id, id")},
 lines AS (SELECT clip_id, u, v, max(id) AS id FROM hit GROUP BY ALL),
 places AS (SELECT clip_id, {BEV / 2}::DOUBLE - (c * (e7 - ty) - s * (e6 - tx)) * {BEV / 8}::DOUBLE AS u, {BEV / 2}::DOUBLE - (c * (e6 - tx) + s * (e7 - ty)) * {BEV / 8}::DOUBLE AS v FROM v JOIN ego USING (clip_id)),
 discs AS (SELECT DISTINCT clip_id, floor(u)::INTEGER AS u, floor(v)::INTEGER AS v, 1 AS r FROM places WHERE u >= 0 AND v >= 0 AND u < {BEV} AND v < {BEV} UNION ALL SELECT clip_id, {BEV // 2}, {BEV // 2}, 3 FROM ego),

@@ -233,4 +233,4 @@ def embedding_tasks(captions: DataFrame, videos: DataFrame, done: DataFrame, vie
 
 def shuffled(clips: DataFrame, seed: int = 0) -> DataFrame:
     """Clips in an order that a seed decides; write it, or take its head, as order is a property of output alone."""
-    return clips.orderBy(F.xxhash64("clip_id", F.lit(seed)), "clip_id")
+    return clips.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("clip_id").cast("string"))), "clip_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenetables.plans import manifest
-from scenetables.sources import sinks
+from scenetables.sources import scene, sinks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,17 +81,16 @@ def map_explode(spark, sf_dir):
 
 
 def unpivot(spark, sf_dir):
-    """Regions laid out wide and long again."""
-    r = _table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("key"), F.col("r_name").alias("name"))
-    keys = sorted(x.key for x in r.collect())
-    wide = r.groupBy().pivot("key", keys).agg(F.first("name"))
-    return wide.unpivot([], keys, "key", "name")
+    """Measures of order lines, a row for each line and measure."""
+    l = _table(spark, sf_dir, "lineitem")
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return l.select("l_orderkey", "l_linenumber", *names).unpivot(["l_orderkey", "l_linenumber"], names, "key", "value")
 
 
 def folder_filter(spark, sf_dir):
-    """Pages by the first part of their path, of three folders."""
+    """Pages by the first part of their path: those of the common folder and of the folders of one type."""
     p = _table(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2)).alias("folder"))
-    return p.filter(F.col("folder").isin("en", "fr", "de"))
+    return scene.in_folders(p, ["en"], {"west": ["fr", "de"], "south": ["es"]}, ["west"])
 
 
 def names(spark, sf_dir):
@@ -101,9 +100,9 @@ def names(spark, sf_dir):
 
 
 def shuffled_clips(spark, sf_dir):
-    """Customers in a seeded order."""
+    """The head of customers in a seeded order: a sample of 100."""
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip_id"))
-    return manifest.shuffled(c)
+    return manifest.shuffled(c, 7).limit(100)
 
 
 QUERIES = {f.__name__: f for f in (variations, resume, success_report, failures, variation_maps, complete_views, batches, caption_match, generation_tasks, map_explode, unpivot, folder_filter, names, shuffled_clips)}
@@ -127,8 +126,8 @@ SELECT k.key, d.lang, k.path, k.n_videos FROM documents d JOIN k ON d.doc_id::VA
 WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""",
     "map_explode": """SELECT event_type, k, count(*) AS n, sum(json_extract_string(props, '$.' || k)::BIGINT)::BIGINT AS total
 FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL""",
-    "unpivot": "SELECT 'r' || r_regionkey AS key, r_name AS name FROM region",
+    "unpivot": "SELECT l_orderkey, l_linenumber, key, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME key VALUE value)",
     "folder_filter": "SELECT page_id, split_part(split_part(url, '://', 2), '/', 2) AS folder FROM pages WHERE split_part(split_part(url, '://', 2), '/', 2) IN ('en', 'fr', 'de')",
     "names": """SELECT p_partkey, p_partkey || '_' || p_partkey % 3 AS clip_id, regexp_replace('segment-' || p_partkey || '_' || p_partkey % 3, '_0$', '') AS key, '_' || p_partkey % 3 AS chunk, 'part_key_name' AS name FROM part""",
-    "shuffled_clips": "SELECT c_custkey AS clip_id FROM customer",
+    "shuffled_clips": "SELECT c_custkey AS clip_id FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 100",
 }

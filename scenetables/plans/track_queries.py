@@ -87,8 +87,9 @@ def bezier_handles(spark, sf_dir):
 
 
 def bezier_track(spark, sf_dir):
+    """Values are halfway between two roundings at the middle of a gap, so a little is added."""
     d = _daily(spark, sf_dir)
-    return resample.bezier(_spine(d), d, ["clip_id"]).select("clip_id", "frame", F.round("value", 4).alias("value"))
+    return resample.bezier(_spine(d), d, ["clip_id"]).select("clip_id", "frame", F.round(F.col("value") + 3e-8, 4).alias("value"))
 
 
 def timeline_range(spark, sf_dir):
@@ -158,6 +159,16 @@ def moving_objects(spark, sf_dir):
     return l.groupBy(F.col("l_suppkey").alias("clip_id"), objects.drawn_class(F.col("kind")).alias("cls")).agg(F.count("*").alias("n"), F.count_if(speed).alias("n_moving"))
 
 
+_GAPS = """gaps AS (
+  SELECT *, (frame - lag(frame) OVER w)::DOUBLE AS ga, value - lag(value) OVER w AS ra, (lead(frame) OVER w - frame)::DOUBLE AS gb, lead(value) OVER w - value AS rb
+  FROM daily WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
+capped AS (SELECT *, ga IS NOT NULL AND gb IS NOT NULL AS inner_, least(ga, 5 * gb) AS ca FROM gaps),
+sized AS (
+  SELECT *, CASE WHEN inner_ THEN ca ELSE coalesce(ga, gb, 2.5614::DOUBLE) END / 2.5614::DOUBLE AS ha,
+    CASE WHEN inner_ THEN least(gb, 5 * ca) ELSE coalesce(ga, gb, 2.5614::DOUBLE) END / 2.5614::DOUBLE AS hb,
+    CASE WHEN inner_ AND ra * rb > 0 THEN (ra / ga + rb / gb) / 2 ELSE 0 END AS s FROM capped),
+sloped AS (SELECT *, CASE WHEN abs(s) * ha > abs(ra) THEN ra / ha WHEN abs(s) * hb > abs(rb) THEN rb / hb ELSE s END AS k FROM sized)"""
+
 QUERIES = {f.__name__: f for f in (track_resample, track_chunks, track_extrapolate, render_frames, hold_track, linear_track, bezier_handles, bezier_track, timeline_range, sign_align, pose_resample, camera_poses, object_match, static_clean, moving_objects)}
 
 ORACLE_SQL = {
@@ -174,16 +185,19 @@ SELECT clip_id, (last + k)::INTEGER AS frame, round(x + k * d, 4) AS x FROM step
     "hold_track": f"WITH {_DAILY} SELECT clip_id, frame, CASE WHEN pf IS NULL THEN nv ELSE pv END AS value FROM around",
     "linear_track": f"""WITH {_DAILY} SELECT clip_id, frame,
   round(CASE WHEN pf IS NULL THEN nv WHEN nf IS NULL OR nf = pf THEN pv ELSE pv + (nv - pv) * ((frame - pf)::DOUBLE / (nf - pf)::DOUBLE) END, 4) AS value FROM around""",
-    "bezier_handles": f"""WITH {_DAILY}, gaps AS (
-  SELECT *, (frame - lag(frame) OVER w)::DOUBLE AS ga, value - lag(value) OVER w AS ra, (lead(frame) OVER w - frame)::DOUBLE AS gb, lead(value) OVER w - value AS rb
-  FROM daily WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
-capped AS (SELECT *, ga IS NOT NULL AND gb IS NOT NULL AS inner_, least(ga, 5 * gb) AS ca FROM gaps),
-sized AS (
-  SELECT *, CASE WHEN inner_ THEN ca ELSE coalesce(ga, gb, 2.5614::DOUBLE) END / 2.5614::DOUBLE AS ha,
-    CASE WHEN inner_ THEN least(gb, 5 * ca) ELSE coalesce(ga, gb, 2.5614::DOUBLE) END / 2.5614::DOUBLE AS hb,
-    CASE WHEN inner_ AND ra * rb > 0 THEN (ra / ga + rb / gb) / 2 ELSE 0 END AS s FROM capped),
-sloped AS (SELECT *, CASE WHEN abs(s) * ha > abs(ra) THEN ra / ha WHEN abs(s) * hb > abs(rb) THEN rb / hb ELSE s END AS k FROM sized)
+    "bezier_handles": f"""WITH {_DAILY}, {_GAPS}
 SELECT clip_id, frame, round(frame - ha, 4) AS lx, round(value - k * ha, 4) AS ly, round(frame + hb, 4) AS rx, round(value + k * hb, 4) AS ry FROM sloped""",
+    "bezier_track": f"""WITH RECURSIVE {_DAILY}, {_GAPS},
+knots AS (SELECT clip_id, frame, value, frame - ha AS lx, value - k * ha AS ly, frame + hb AS rx, value + k * hb AS ry FROM sloped),
+ends AS (
+  SELECT a.clip_id, a.frame, a.pf, a.nf, a.pv, a.nv, p.rx, p.ry, n.lx, n.ly FROM around a LEFT JOIN knots p ON p.clip_id = a.clip_id AND p.frame = a.pf LEFT JOIN knots n ON n.clip_id = a.clip_id AND n.frame = a.nf),
+half AS (
+  SELECT clip_id, frame, pf, nf, rx, lx, 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM ends WHERE pf < nf
+  UNION ALL SELECT clip_id, frame, pf, nf, rx, lx, step + 1, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END FROM (
+    SELECT *, pf * pow(1 - mid, 3) + 3 * rx * pow(1 - mid, 2) * mid + 3 * lx * (1 - mid) * mid * mid + nf * pow(mid, 3) < frame AS low FROM (SELECT *, (lo + hi) / 2 AS mid FROM half WHERE step < 60))),
+found AS (SELECT clip_id, frame, (lo + hi) / 2 AS s FROM half WHERE step = 60)
+SELECT e.clip_id, e.frame, round(CASE WHEN pf IS NULL THEN nv WHEN s IS NULL THEN pv ELSE pv * pow(1 - s, 3) + 3 * ry * pow(1 - s, 2) * s + 3 * ly * (1 - s) * s * s + nv * pow(s, 3) END + 3e-8, 4) AS value
+FROM ends e LEFT JOIN found f ON f.clip_id = e.clip_id AND f.frame = e.frame""",
     "timeline_range": f"""WITH {_DAILY} SELECT clip_id, least(0, min(frame - 3))::INTEGER AS first_t, greatest(0, max(frame - 3))::INTEGER AS last_t,
   least(0, min(frame - 3)) < greatest(0, max(frame - 3)) AS enabled FROM daily GROUP BY clip_id""",
     "sign_align": """WITH q AS (

@@ -134,3 +134,85 @@ def test_near_points_and_returns(spark):
     p = spark.createDataFrame([("TOP", 1.0, 2.0, 2.0), ("TOP", 1.0, 1.0, 1.0), ("SIDE", 9.0, 0.0, 0.0)], "sensor string, x double, y double, z double")
     both = points.merged_returns(p, p)
     assert both.count() == 4 and points.near_filtered(both).count() == 2
+
+
+def test_camera_models_together(spark):
+    """A pinhole camera, and f-theta cameras from vectors of either direction that mean the same lens."""
+    fw, bw = [0.0, 100.0, 0.0, 0.0, 0.0, 0.0], [0.0, 0.01, 0.0, 0.0, 0.0, 0.0]
+    vectors = spark.createDataFrame([("c", "a", [32.0, 24.0, 64.0, 48.0, *fw, 0.0]), ("c", "b", [32.0, 24.0, 64.0, 48.0, *bw, 1.0, 1.0, 0.0, 0.0]), ("c", "none", None)], "clip_id string, camera string, values array<double>")
+    small = camera.ftheta_models(vectors, 32, 24)
+    pin = spark.createDataFrame([("c", "p", 50.0, 50.0, 16.0, 12.0, 32, 24)], "clip_id string, camera string, fx double, fy double, cx double, cy double, w int, h int")
+    every = camera.camera_models(pin, small)
+    assert every.count() == 3
+    rows = every.withColumn("p", F.struct(mat.d(0.2).alias("x"), mat.d(-0.1).alias("y"), mat.d(2).alias("z")))
+    u, v = camera.project(camera.model_columns(rows), F.col("p"))
+    got = {r.camera: (r.u, r.v) for r in rows.select("camera", u.alias("u"), v.alias("v")).collect()}
+    assert got["p"] == pytest.approx((21, 9.5))
+    angle, flat = math.atan2(math.hypot(0.2, 0.1), 2), math.hypot(0.2, 0.1)
+    for c in "ab":
+        assert got[c] == pytest.approx((16 + 50 * angle * 0.2 / flat, 12 - 50 * angle * 0.1 / flat), abs=1e-3)
+
+
+def test_ftheta_intrinsics_from_tars(spark, tmp_path):
+    import io
+    import tarfile
+
+    (tmp_path / "ftheta_intrinsic").mkdir()
+    with tarfile.open(tmp_path / "ftheta_intrinsic" / "c.tar", "w") as tar:
+        out = io.BytesIO()
+        np.save(out, np.arange(14.0))
+        info = tarfile.TarInfo("c.ftheta_intrinsic.front.npy")
+        info.size = len(out.getvalue())
+        tar.addfile(info, io.BytesIO(out.getvalue()))
+    r = scene.ftheta_intrinsics(scene.read_tars(spark, str(tmp_path), "ftheta_intrinsic")).first()
+    assert (r.clip_id, r.camera, r["values"]) == ("c", "front", list(map(float, range(14))))
+
+
+def test_lidar_by_uri(spark, tmp_path):
+    import io
+    import tarfile
+
+    path = tmp_path / "c.tar"
+    with tarfile.open(path, "w") as tar:
+        out = io.BytesIO()
+        np.savez(out, xyz=np.ones((2, 3)), lidar_to_world=np.eye(4))
+        info = tarfile.TarInfo("c.000003.lidar_raw.npz")
+        info.size = len(out.getvalue())
+        tar.addfile(info, io.BytesIO(out.getvalue()))
+    spark.dataSource.register(scene.LidarSource)
+    for at in (str(path), f"file://{path}"):
+        r = spark.read.format("lidar_tar").option("paths", json.dumps([at])).load().first()
+        assert (r.clip_id, r.frame, len(r.points)) == ("c", 3, 2)
+
+
+def test_settings_by_mode():
+    from scenetables.sources import sinks
+
+    text = '{"INPUT_POSE_FPS": 30, "POST_TRAINING": {"MAX_CHUNK": 2, "OVERLAP_FRAME": 1}, "NOT_POST_TRAINING": {"OVERLAP_FRAME": 0}}'
+    assert sinks.settings(text, True) == {"INPUT_POSE_FPS": 30, "MAX_CHUNK": 2, "OVERLAP_FRAME": 1}
+    assert sinks.settings(text, False) == {"INPUT_POSE_FPS": 30, "MAX_CHUNK": -1, "OVERLAP_FRAME": 0}
+    with pytest.raises(KeyError):
+        sinks.settings("{}", True)
+
+
+def test_embeddings_by_view_and_chunk(spark, tmp_path):
+    from scenetables.sources import sinks
+
+    rows = spark.createDataFrame([("front", "c", "_0", "a car", [[1.0]]), ("front", "c", "_1", "a bus", [[2.0]]), ("left", "d", "_0", "a tram", [[3.0]])], "view string, clip_id string, chunk string, text string, embedding array<array<double>>")
+    sinks.write_embeddings(rows, str(tmp_path / "e"), 4)
+    back = spark.read.parquet(str(tmp_path / "e"))
+    assert {(r.view, r.name, r.text, r.embedding[0][0]) for r in back.collect()} == {("front", "c_0", "a car", 1.0), ("front", "c_1", "a bus", 2.0), ("left", "d_0", "a tram", 3.0)}
+    todo = sinks.remaining(rows.withColumn("name", F.concat("clip_id", "chunk")), back.filter("chunk = '_0'"), ["view", "name"])
+    assert [r.name for r in todo.collect()] == ["c_1"]
+
+
+def test_brackets_take_linear_time(spark):
+    """A clip of 100,000 frames with few labels; a frame from each row to the clip's end would take minutes."""
+    import time
+
+    sp = spark.range(100_000).select(F.lit("c").alias("clip_id"), F.col("id").cast("int").alias("frame"))
+    labels = sp.filter("frame % 30000 = 7")
+    began = time.time()
+    r = resample.bracket(sp, labels, ["clip_id"]).agg(F.count("*").alias("n"), F.sum("prev").alias("p"), F.sum("next").alias("x")).first()
+    assert r.n == 100_000 and time.time() - began < 60
+    assert r.p == 30000 * 7 + 30000 * 30007 + 30000 * 60007 + (100_000 - 90007) * 90007 and r.x == 8 * 7 + 30000 * (30007 + 60007 + 90007)
