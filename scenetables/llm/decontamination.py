@@ -63,11 +63,6 @@ def probes(items: DataFrame, *cols: str) -> DataFrame:
     return each.select(*cols, block_key(F.col("block"), F.col("value").bitwiseXOR(F.col("flip"))).alias("key"))
 
 
-def first_block(a: Column, b: Column) -> Column:
-    """Number of the first block that two fingerprints meet by."""
-    return (F.array_position(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= FLIPS), True) - 1).cast("int")
-
-
 def item_table(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, n (words), k (words of a shingle: SHINGLE, or all of a shorter item), h (shingle hashes), fp. Items without
     words are left out."""
@@ -123,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Nulls: a null text has no words and a null id is an id of its own. Repeated rows give one result, and so do items of the same
     id and length. An empty table on either side gives an empty result. Other columns are not read."""
-    items = materialize(item_table(benchmark), "items")
+    items = materialize(item_table(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
     d = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     d = d.filter(F.col("text").isNotNull())
     wins = materialize(candidate_windows(d.select("doc_id", "text_key", words(F.col("text")).alias("w")), items), "windows")
@@ -135,16 +130,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(1, SHINGLE):
         h = F.when(F.col("n") == k, shingles(F.col("w"), k)).otherwise(h)
     there = there.select("doc_id", "text_key", "n", "s", (F.size("w") < F.col("n")).alias("short"), h.alias("wh"))
-    there = materialize(there.withColumn("fp", F.when(~F.col("short"), fingerprint(F.col("wh")))), "fingerprints")
-    i = items.select("item_id", F.col("n").alias("n2"), F.col("h").alias("ih"), "fp")
-    left = there.filter("NOT short").select("doc_id", "text_key", "n", "s", "wh", F.col("fp").alias("wfp"), F.posexplode("fp").alias("block", "value"))
-    right = probes(i.withColumn("ifp", F.col("fp")), "item_id", "n2", "ih", "ifp")
-    # of the blocks in which two fingerprints meet, only the first speaks for them
-    pairs = left.join(right, (left["n"] == right["n2"]) & (block_key(left["block"], left["value"]) == right["key"])).filter(first_block(F.col("wfp"), F.col("ifp")) == F.col("block"))
-    names = ["doc_id", "text_key", "item_id", "n", "s", "ih", "wh"]
-    few = there.filter("short").select("doc_id", "text_key", "n", "s", "wh", F.explode(F.array_distinct(F.slice(F.sort_array("wh"), F.lit(1), F.floor(F.size("wh") / 5).cast("int") + 1))).alias("x"))
-    of = i.select("item_id", "n2", "ih", F.explode(F.array_distinct("ih")).alias("y"))
-    pairs = pairs.select(*names).unionByName(few.join(of, (few["n"] == of["n2"]) & (few["x"] == of["y"])).select(*names))
+    there = there.withColumn("fp", F.when(~F.col("short"), fingerprint(F.col("wh")))).withColumn("window", F.monotonically_increasing_id())
+    there = materialize(there, "fingerprints")
+    # narrow rows meet, and shingles follow the pairs that did; the probes are many more than Spark expects, so they are not broadcast
+    left = there.filter("NOT short").select("window", "n", F.posexplode("fp").alias("block", "value")).select("window", "n", block_key(F.col("block"), F.col("value")).alias("key"))
+    right = probes(items, "item", "n").hint("merge")
+    few = there.filter("short").select("window", "n", F.explode(F.slice(F.sort_array("wh"), F.lit(1), F.floor(F.size("wh") / 5).cast("int") + 1)).alias("x"))
+    of = items.select("item", "n", F.explode(F.array_distinct("h")).alias("x"))
+    pairs = left.join(right, ["n", "key"]).select("window", "item").unionByName(few.join(of, ["n", "x"]).select("window", "item")).distinct()
+    pairs = pairs.join(there, "window").join(items.select("item", "item_id", F.col("h").alias("ih")), "item")
     both = _overlap(F.col("ih"), F.col("wh"))
     pairs = pairs.select("doc_id", "text_key", "item_id", "n", "s", (both / (F.size("ih") + F.size("wh") - both)).alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
     best = pairs.groupBy("doc_id", "text_key", "item_id", F.col("n").cast("long").alias("n_words")).agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"))).alias("best"))
