@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetables.functions import mat
@@ -42,12 +42,19 @@ def record_objects(records: DataFrame) -> DataFrame:
     return r.select("clip_id", (F.col("frame") * 3).alias("frame"), "track_id", kind.alias("object_type"), moving.alias("is_moving"), F.array("l", "w", "h").alias("lwh"), mat.heading_pose("vehicle_m", F.col("heading"), centre).alias("m"))
 
 
+def _with_track(objects: DataFrame, of_track: DataFrame) -> DataFrame:
+    """objects with the columns of their track's row, null where it has none. The means are summed before the shuffle, so a long track
+    is no task of its own; as a join key Spark can split it."""
+    t = of_track.withColumnsRenamed({k: f"__{k}" for k in TRACK})
+    on = [objects[k].eqNullSafe(t[f"__{k}"]) for k in TRACK]
+    return objects.join(t, on[0] & on[1], "left").drop(*(f"__{k}" for k in TRACK))
+
+
 def static_sizes(objects: DataFrame) -> DataFrame:
     """The mean size of a track's rows that do not move, in those rows; moving rows keep theirs."""
-    w = Window.partitionBy(*TRACK)
-    still = ~F.col("is_moving")
-    mean = F.array(*(F.avg(F.when(still, F.col("lwh")[i])).over(w) for i in range(3)))
-    return objects.withColumn("lwh", F.when(still, mean).otherwise(F.col("lwh")))
+    still = objects.filter("NOT is_moving").groupBy(*TRACK).agg(F.array(*(F.avg(F.col("lwh")[i]) for i in range(3))).alias("__lwh"))
+    o = _with_track(objects, still)
+    return o.withColumn("lwh", F.when(~F.col("is_moving"), F.col("__lwh")).otherwise(F.col("lwh"))).drop("__lwh")
 
 
 def static_poses(objects: DataFrame) -> DataFrame:
@@ -56,23 +63,20 @@ def static_poses(objects: DataFrame) -> DataFrame:
     Rows whose heading is within OUTLIER_COSINE of the mean heading count. Each is made a rotation; translation, front and
     up are averaged, front and up normalised, and left is up x front, normalised (up is not made orthogonal again).
     A track whose rows all are outliers keeps its poses."""
-    w = Window.partitionBy(*TRACK)
-    still = ~F.col("is_moving")
-    o = objects.withColumn("__h", F.when(still, F.array(*mat.heading("m"))))
-    o = o.withColumn("__mean", F.array(*(F.avg(F.col("__h")[i]).over(w) for i in range(3))))
+    still = objects.filter("NOT is_moving").select(*TRACK, "m", F.array(*mat.heading("m")).alias("__h"))
+    mean = still.groupBy(*TRACK).agg(F.array(*(F.avg(F.col("__h")[i]) for i in range(3))).alias("__mean"))
     near = mat.dot(mat.vec("__h"), mat.unit(mat.vec("__mean"))) > OUTLIER_COSINE
-    o = o.withColumn("__r", F.when(still & near, mat.nearest_rotation("m")))
-    mean = lambda i: F.avg(F.col("__r")[i]).over(w)
-    o = o.withColumn("__a", F.when(still, F.array(*(mean(i) for i in (3, 7, 11, 0, 4, 8, 2, 6, 10)))))
+    kept = _with_track(still, mean).filter(near).select(*TRACK, mat.nearest_rotation("m").alias("__r"))
+    a = kept.groupBy(*TRACK).agg(F.array(*(F.avg(F.col("__r")[i]) for i in (3, 7, 11, 0, 4, 8, 2, 6, 10))).alias("__a"))
     front, up = mat.unit([F.col("__a")[i] for i in (3, 4, 5)]), mat.unit([F.col("__a")[i] for i in (6, 7, 8)])
-    o = o.withColumn("__f", F.array(*front)).withColumn("__u", F.array(*up))
+    a = a.withColumn("__f", F.array(*front)).withColumn("__u", F.array(*up))
     left = mat.unit(mat.cross(mat.vec("__u"), mat.vec("__f")))
-    robust = mat.from_axes(mat.vec("__f"), left, mat.vec("__u"), [F.col("__a")[i] for i in range(3)])
-    return o.withColumn("m", F.when(F.col("__a")[0].isNotNull(), robust).otherwise(F.col("m"))).drop("__h", "__mean", "__r", "__a", "__f", "__u")
+    a = a.select(*TRACK, mat.from_axes(mat.vec("__f"), left, mat.vec("__u"), [F.col("__a")[i] for i in range(3)]).alias("__robust"))
+    return _with_track(objects, a).withColumn("m", F.when(~F.col("is_moving"), F.coalesce("__robust", "m")).otherwise(F.col("m"))).drop("__robust")
 
 
 def clean_static(objects: DataFrame) -> DataFrame:
-    """Sizes and poses of tracks' still rows, made one. Both steps share the partitioning by clip and track."""
+    """Sizes and poses of tracks' still rows, made one. All joins and sums share the partitioning by clip and track."""
     return static_poses(static_sizes(objects))
 
 

@@ -169,7 +169,8 @@ def with_inputs(tasks: DataFrame, listing: DataFrame, folders: Sequence[str]) ->
 def complete_views(listing: DataFrame, views: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """(clip_id, paths): clips that have every view of every kind; paths (kind -> array in view order).
 
-    listing: clip_id, kind, view, path. Division by counting: the views are a small table, so it is broadcast."""
+    listing: clip_id, kind, view, path. Division by counting. views is a dimension table, a row
+    for each camera of a rig, and is broadcast as such."""
     l = listing.filter(F.col("kind").isin(*kinds)).join(F.broadcast(views), "view")
     one = l.groupBy("clip_id", "kind", "view", "ord").agg(F.min("path").alias("path"))
     g = one.groupBy("clip_id", "kind").agg(F.array_sort(F.collect_list(F.struct("ord", "path"))).alias("p"), F.count("*").alias("n"))

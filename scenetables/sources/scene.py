@@ -127,8 +127,8 @@ def ftheta_intrinsics(members: DataFrame) -> DataFrame:
 def with_default_intrinsics(cameras: DataFrame, own: DataFrame, rig: DataFrame, names: DataFrame) -> DataFrame:
     """cameras(clip_id, camera) with their own intrinsics, or those of the default rig under the camera's name there.
 
-    own: clip_id, camera, values; rig: camera, values; names: camera, rig_camera. values stay null where neither is known, so
-    that such cameras can be reported."""
+    own: clip_id, camera, values; rig: camera, values; names: camera, rig_camera. rig and names are dimension tables, a row for each
+    camera of a rig, and are broadcast as such. values stay null where neither is known, so that such cameras can be reported."""
     r = names.join(rig.withColumnsRenamed({"camera": "rig_camera", "values": "__default"}), "rig_camera", "left").select("camera", "__default")
     out = cameras.join(own, ["clip_id", "camera"], "left").join(F.broadcast(r), "camera", "left")
     return out.select("clip_id", "camera", F.coalesce("values", "__default").alias("values"), (F.col("values").isNull() & F.col("__default").isNotNull()).alias("is_default"))
