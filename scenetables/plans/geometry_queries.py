@@ -11,6 +11,7 @@ from scenetables.plans.scene_queries import _BOX, _V, _boxes, _points, _vectors,
 
 W, H = 64, 48
 BEV = 80
+LAYERS = ("crosswalks", "poles", "lanelines")
 #: Coefficients of the f-theta cameras here: forward (angle to pixels), backward (pixels to angle), and the linear part.
 FW, BW, LIN = (0, 30, 0, 1.5, 0, -0.2), (0, 0.02, 0, 0.000004), (1.1, 0.02, -0.01)
 EDGE = 1.2
@@ -203,6 +204,17 @@ def box_raster(spark, sf_dir):
     return out.select("clip_id", "u", "v", *raster.RGB)
 
 
+def map_raster(spark, sf_dir):
+    """Map features of four vectors each, in front of the camera: areas, lines, and lines that are densified."""
+    v = _vectors(spark, sf_dir)
+    at = F.floor((F.col("r") - 1) / 4)
+    p = F.struct("r", F.abs("e0").alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
+    f = v.groupBy("clip_id", at.cast("int").alias("feature_id")).agg(F.array_sort(F.collect_list(p)).alias("p"))
+    layer = F.element_at(F.array(*map(F.lit, LAYERS)), (F.col("feature_id") % 3 + 1).cast("int"))
+    f = f.select("clip_id", layer.alias("layer"), "feature_id", F.transform("p", lambda q: geometry.point(q["x"], q["y"], q["z"])).alias("vertices"))
+    return raster.draw_map(f, _camera(v), W, H).select("clip_id", "u", "v", *raster.RGB)
+
+
 def splat_projection(spark, sf_dir):
     """Points in front of a camera of either model, projected for splatting."""
     v = _vectors(spark, sf_dir)
@@ -220,7 +232,7 @@ def bev_map(spark, sf_dir):
     return raster.bev_map(s, ego, BEV, 8.0, 3, path).drop("frame")
 
 
-QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, splat_projection, bev_map)}
+QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, map_raster, splat_projection, bev_map)}
 
 
 def _rounded(*pairs: str) -> str:
@@ -412,6 +424,30 @@ WHERE id % 3 <> 0 AND sqrt(e0 * e0 + e1 * e1 + e2 * e2) >= 1.5::DOUBLE""",
 top AS (SELECT clip_id, u, v, track_id::BIGINT % 5 AS cls, arg_max(depth, (track_id, seg)) AS depth FROM hit GROUP BY ALL),
 lit AS (SELECT clip_id, u, v, {', '.join('CASE cls ' + ' '.join(f"WHEN {k} THEN {_SHADE.format(c=rgb[i])}" for k, (_, rgb) in enumerate(_CLASS)) + f' END AS {c}' for i, c in enumerate(raster.RGB))} FROM top)
 SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, max(r) AS r, max(g) AS g, max(b) AS b FROM lit GROUP BY ALL""",
+    "map_raster": f"""WITH {_V}, f AS (SELECT clip_id, (r - 1) // 4 AS prim, r, -e1 AS x, -(e2 - 1) AS y, abs(e0) + 6 AS z FROM v),
+px AS (SELECT *, {_pixel('x', 'y', 'z')[0]} AS u, {_pixel('x', 'y', 'z')[1]} AS w, prim % 3 AS kind FROM f),
+-- areas
+seen AS (SELECT clip_id, prim, avg(z) AS depth FROM px WHERE kind = 0 GROUP BY ALL
+  HAVING count(*) >= 3 AND bool_or(round_even(u, 0) BETWEEN 0 AND {W - 1} AND round_even(w, 0) BETWEEN 0 AND {H - 1}) AND min(z) <= 122.5::DOUBLE),
+q AS (SELECT clip_id, prim, r, trunc(u) AS u, trunc(w) AS w FROM px JOIN seen USING (clip_id, prim)),
+flat AS (SELECT a.clip_id, a.prim FROM q a JOIN q b USING (clip_id, prim) JOIN q c USING (clip_id, prim) GROUP BY ALL HAVING max(abs((b.u - a.u) * (c.w - a.w) - (b.w - a.w) * (c.u - a.u))) = 0),
+rows AS (SELECT y FROM unnest(range({H})) AS t(y)),
+x AS (SELECT a.clip_id, a.prim, y, CASE WHEN a.w = b.w THEN a.u ELSE a.u + (b.u - a.u) * ((y - a.w) / (b.w - a.w)) END AS x FROM q a JOIN q b ON a.clip_id = b.clip_id AND a.prim = b.prim ANTI JOIN flat ON flat.clip_id = a.clip_id AND flat.prim = a.prim, rows WHERE a.w <= y AND b.w >= y),
+chord AS (SELECT clip_id, prim, y, greatest(ceil(min(x) - 1e-9), 0)::INTEGER AS lo, least(floor(max(x) + 1e-9), {W - 1})::INTEGER AS hi FROM x GROUP BY ALL),
+area AS (SELECT clip_id, u::INTEGER AS u, y::INTEGER AS v, max(prim) AS prim FROM chord, unnest(range(lo, hi + 1)) AS t(u) GROUP BY ALL),
+-- lines, every edge of the second kind in pieces
+edge AS (SELECT clip_id, prim, kind, r, x AS x0, y AS y0, z AS z0, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(z) OVER o AS z1 FROM px WHERE kind > 0 WINDOW o AS (PARTITION BY clip_id, prim ORDER BY r)),
+cutin AS (SELECT *, CASE WHEN kind = 1 THEN 2 ELSE greatest(trunc(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) / 0.8::DOUBLE)::BIGINT, 2) END AS n FROM edge WHERE x1 IS NOT NULL),
+piece AS (SELECT clip_id, prim, r * 1000 + k AS seg, x0 + (x1 - x0) * k / (n - 1) AS ax, y0 + (y1 - y0) * k / (n - 1) AS ay, z0 + (z1 - z0) * k / (n - 1) AS az,
+  x0 + (x1 - x0) * (k + 1) / (n - 1) AS bx, y0 + (y1 - y0) * (k + 1) / (n - 1) AS b_y, z0 + (z1 - z0) * (k + 1) / (n - 1) AS bz FROM cutin, unnest(range(n - 1)) AS t(k)),
+vertex AS (SELECT clip_id, prim, seg, ax AS x, ay AS y, az AS z FROM piece UNION ALL SELECT clip_id, prim, seg, bx, b_y, bz FROM piece),
+place AS (SELECT clip_id, prim, z, {_pixel('x', 'y', 'z')[0]} AS u, {_pixel('x', 'y', 'z')[1]} AS w FROM vertex),
+drawn AS (SELECT clip_id, prim FROM place GROUP BY ALL HAVING bool_or(round_even(u, 0) BETWEEN 0 AND {W - 1} AND round_even(w, 0) BETWEEN 0 AND {H - 1}) AND min(z) <= 122.5::DOUBLE),
+{_raster_sql(f"s AS (SELECT clip_id, (prim, seg, (az + bz) / 2) AS id, {_PA[0]} AS u1, {_PA[1]} AS v1, {_PB[0]} AS u2, {_PB[1]} AS v2 FROM piece JOIN drawn USING (clip_id, prim))", W, H, raster.MAP_WIDTH, "clip_id, id[1] AS prim, id[2] AS seg, id[3] AS depth")},
+line AS (SELECT clip_id, u, v, prim % 3 AS kind, arg_max(depth, (prim, seg)) AS depth FROM hit GROUP BY ALL),
+every AS (SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, kind, depth FROM line UNION ALL SELECT clip_id, u, v, 0, depth FROM area JOIN seen USING (clip_id, prim)),
+lit AS (SELECT clip_id, u, v, {', '.join('CASE kind ' + ' '.join(f"WHEN {k} THEN {_SHADE.format(c=next(y[2 + i] for y in raster.LAYERS if y[0] == n))}" for k, n in enumerate(LAYERS)) + f' END AS {c}' for i, c in enumerate(raster.RGB))} FROM every)
+SELECT clip_id, u, v, max(r) AS r, max(g) AS g, max(b) AS b FROM lit GROUP BY ALL""",
     "splat_projection": f"""WITH {_V}, c AS (SELECT clip_id, -e1 AS x, -(e2 - 1) AS y, e0 + 6 AS z FROM v),
 p AS (SELECT clip_id, {_pixel('x', 'y', 'z', (1, 0, 0))[0]} AS pu, {_pixel('x', 'y', 'z', (1, 0, 0))[1]} AS pv, z FROM c WHERE z > 0)
 SELECT clip_id, count(*) AS n, round(sum(pu), 4) + 0.0 AS pu, round(sum(pv), 4) + 0.0 AS pv, round(sum(z), 4) + 0.0 AS depth FROM p GROUP BY clip_id""",

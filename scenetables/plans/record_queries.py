@@ -126,6 +126,34 @@ def _total(axis: str):
     return F.aggregate("vertices", mat.d(0), lambda acc, p: acc + p[axis])
 
 
+def pose_tars(spark, sf_dir):
+    """Camera poses and intrinsics of both models written as array members of tar samples, and read back."""
+    v = _vectors(spark, sf_dir)
+    clip = F.col("clip_id").cast("string")
+    poses = v.select(clip.alias("clip_id"), F.lit("front_wide").alias("camera"), (F.col("r") - 1).alias("frame"), mat.pose(mat.yaw(F.col("e3")), [F.col(f"e{i}") for i in range(3)]).alias("m"))
+    first = v.filter("r = 1")
+    of = lambda n: first.select(clip.alias("clip_id"), F.lit("front_wide").alias("camera"), F.array(*((F.col(f"e{i}") if i < 12 else mat.d(1)) for i in range(n))).alias("values"))
+    members = sinks.pose_members(poses).unionByName(sinks.intrinsic_members(of(6), "pinhole")).unionByName(sinks.intrinsic_members(of(14), "ftheta"))
+    back = scene.tar_members(sinks.sample_tars(members).select(F.col("tar").alias("content")))
+    i = scene.pinhole_intrinsics(back).select("clip_id", "camera", "fx", "cy")
+    f = scene.ftheta_intrinsics(back).select("clip_id", "camera", F.col("values")[10].alias("e10"), F.size("values").alias("n"))
+    out = scene.camera_poses(back, "front_wide").join(i, ["clip_id", "camera"]).join(f, ["clip_id", "camera"])
+    return out.select("clip_id", "camera", "frame", *(_r(F.col("m")[k]).alias(n) for n, k in (*_FLAT, ("z", 11))), *(_r(F.col(c)).alias(c) for c in ("fx", "cy", "e10")), "n")
+
+
+def inferred(spark, sf_dir):
+    """A model of the caller's over documents: the number of words, refused for every fifth document, and an error for one language."""
+
+    def make():
+        def model(rows):
+            return [None if d % 5 == 0 else str(len(t.split(" "))) for d, t in zip(rows["doc_id"], rows["text"])]
+
+        return model
+
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return manifest.batch_infer(d, make, accept=lambda x: x != "1").select("doc_id", "response", "error")
+
+
 def map_json(spark, sf_dir):
     """Lines, areas and raw cuboids of a clip as layer JSON, read as map features."""
     v = _vectors(spark, sf_dir)
@@ -232,7 +260,7 @@ def multiview_tasks(spark, sf_dir):
     return out.select("clip_id", "output", F.array_join(F.col("paths")["hdmap"], ",").alias("paths"))
 
 
-QUERIES = {f.__name__: f for f in (pose_track, novel_paths, spin_track, all_tracks, edited_keyframes, record_objects, record_features, record_calibrations, default_intrinsics, tar_round_trip, map_json, layer_colours, multiview_captions, clip_selection, paired_files, video_chunks, chats, rewritten, caption_tasks, embedding_cut, embedding_tasks, multiview_tasks)}
+QUERIES = {f.__name__: f for f in (pose_track, novel_paths, spin_track, all_tracks, edited_keyframes, record_objects, record_features, record_calibrations, default_intrinsics, tar_round_trip, pose_tars, inferred, map_json, layer_colours, multiview_captions, clip_selection, paired_files, video_chunks, chats, rewritten, caption_tasks, embedding_cut, embedding_tasks, multiview_tasks)}
 
 #: Key poses at the frames of the spine: straight lines of x and of the quaternion (w, z), aligned along the track.
 _POSES = f"""{_DAILY},
@@ -274,6 +302,11 @@ SELECT l_orderkey AS clip_id, 'camera_' || lower(l_returnflag) AS camera, l_quan
     "default_intrinsics": """WITH c AS (SELECT DISTINCT l_suppkey, l_partkey % 40 AS k FROM lineitem), n AS (SELECT DISTINCT p_partkey % 40 AS k FROM part)
 SELECT l_suppkey::VARCHAR AS clip_id, 'c' || c.k AS camera, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey::DOUBLE WHEN n.k IS NOT NULL AND n.k <> 7 THEN -1.0::DOUBLE END AS first, l_suppkey % 3 <> 0 AND n.k IS NOT NULL AND n.k <> 7 AS is_default FROM c LEFT JOIN n USING (k)""",
     "tar_round_trip": f"WITH {_V} SELECT clip_id::VARCHAR AS clip_id, 0 AS frame, id::VARCHAR AS track_id, 'Car' AS object_type, true AS is_moving, round(e0, 4) + 0.0 AS x, round(sin(e3), 4) + 0.0 AS sin, round((abs(e11) + 1) * 2, 4) + 0.0 AS h FROM v",
+    "pose_tars": f"""WITH {_V}, f AS (SELECT clip_id, e0, e3, e10 FROM v WHERE r = 1)
+SELECT v.clip_id::VARCHAR AS clip_id, 'front_wide' AS camera, (r - 1)::INTEGER AS frame, round(cos(v.e3), 4) + 0.0 AS cos, round(sin(v.e3), 4) + 0.0 AS sin, round(v.e0, 4) + 0.0 AS x, round(v.e1, 4) + 0.0 AS y, round(v.e2, 4) + 0.0 AS z,
+  round(f.e0, 4) + 0.0 AS fx, round(f.e3, 4) + 0.0 AS cy, round(f.e10, 4) + 0.0 AS e10, 14 AS n FROM v JOIN f USING (clip_id)""",
+    "inferred": """WITH n AS (SELECT doc_id, doc_id % 5 = 0 OR len(string_split(text, ' ')) = 1 AS bad, len(string_split(text, ' '))::VARCHAR AS n FROM documents)
+SELECT doc_id, CASE WHEN NOT bad THEN n END AS response, CASE WHEN bad THEN 'not accepted' END AS error FROM n""",
     "map_json": f"""WITH {_V} SELECT clip_id::VARCHAR AS clip_id, 'poles' AS layer, (r - 1)::INTEGER AS feature_id, (['polyline', 'polygon', 'cuboid3d'])[id % 3 + 1] AS geom_type, CASE WHEN id % 3 = 2 THEN 8 ELSE 2 END AS n,
   {', '.join(f'round(CASE WHEN id % 3 = 2 THEN 8 * e{i} ELSE e{i} + e{i + 3} END, 4) + 0.0 AS {a}' for i, a in enumerate('xyz'))} FROM v""",
     "layer_colours": f"SELECT page_id, layer, geom_type, r, g, b FROM pages JOIN {_LAYERS} ON page_id % {len(raster.LAYERS)} = k",

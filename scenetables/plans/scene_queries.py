@@ -66,6 +66,13 @@ def move_points_masked(spark, sf_dir):
     return out.groupBy("clip_id").agg(F.count("*").alias("n"), F.count_if("mask").alias("n_valid"))
 
 
+def move_points_strict(spark, sf_dir):
+    """Points carried to their box's second place, which every box must have."""
+    v = _vectors(spark, sf_dir)
+    out = points.moved_with_boxes(_points(v), _boxes(v, 0), _boxes(v, 4), strict=True)
+    return out.select("clip_id", "point_id", *(F.round(c, 4).alias(c) for c in "xyz"))
+
+
 def near_points(spark, sf_dir):
     v = _points(_vectors(spark, sf_dir))
     return points.near_filtered(v, 1.0).groupBy("clip_id").agg(F.count("*").alias("n"))
@@ -104,6 +111,13 @@ _Z = f"""px AS (SELECT *, round_even(u, 0)::INTEGER AS pu, round_even(v, 0)::INT
 z AS (SELECT clip_id, pu AS u, pv AS v, arg_min(r, (z, id)) AS r, arg_min(g, (z, id)) AS g, arg_min(b, (z, id)) AS b FROM px WHERE pu >= 0 AND pu < {W} AND pv >= 0 AND pv < {H} GROUP BY ALL)"""
 
 
+def cropped_images(spark, sf_dir):
+    """The middle of each raster, and its pixels in an image of twice the size."""
+    z = geometry.center_cropped(raster.z_buffer(_projected(_vectors(spark, sf_dir)), ["clip_id"]), W, H, 32, 24)
+    u, v = geometry.resized(F.col("u"), F.col("v"), F.lit(32), F.lit(24), 64, 48)
+    return z.select("clip_id", "u", "v", *RGB, u.cast("int").alias("big_u"), v.cast("int").alias("big_v"))
+
+
 def ray_round_trip(spark, sf_dir):
     """Points projected by an f-theta camera, and the angle of their rays."""
     v = _vectors(spark, sf_dir)
@@ -218,7 +232,7 @@ def video_grid(spark, sf_dir):
 
 
 _DEPTH_SPLATS = [_splat(k) for k in ("nearest", "bilinear", "gaussian")]
-QUERIES = {f.__name__: f for f in (points_in_boxes, move_points, move_points_masked, near_points, sweep_window, bev_nearest, pinhole_zbuffer, ray_round_trip, forward_domain, *_DEPTH_SPLATS, layer_max, overlay, dilated_mask, line_raster, hull_raster, removal_mask, depth_colours, densified_lines, video_grid)}
+QUERIES = {f.__name__: f for f in (points_in_boxes, move_points, move_points_masked, move_points_strict, near_points, sweep_window, bev_nearest, pinhole_zbuffer, cropped_images, ray_round_trip, forward_domain, *_DEPTH_SPLATS, layer_max, overlay, dilated_mask, line_raster, hull_raster, removal_mask, depth_colours, densified_lines, video_grid)}
 
 _MOVED = f"""WITH {_V}, {_BOX}, {_held('1.2::DOUBLE')},
 one AS (SELECT clip_id, point_id, bool_or(track_id::BIGINT % 5 = 3) AS gone, arg_min(track_id, track_id) AS track_id FROM held GROUP BY ALL),
@@ -244,6 +258,7 @@ ORACLE_SQL = {
     "points_in_boxes": f"WITH {_V}, {_BOX}, {_held('1.2::DOUBLE')} SELECT clip_id, point_id, track_id FROM held",
     "move_points": f"{_MOVED} SELECT clip_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM moved WHERE NOT gone",
     "move_points_masked": f"{_MOVED} SELECT clip_id, count(*) AS n, count_if(NOT gone)::BIGINT AS n_valid FROM moved GROUP BY clip_id",
+    "move_points_strict": f"{_MOVED.replace('track_id::BIGINT % 5 = 3', 'false')} SELECT clip_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM moved",
     "near_points": f"WITH {_V} SELECT clip_id, count(*) AS n FROM v WHERE sqrt(e0 * e0 + e1 * e1 + e2 * e2) >= 1 GROUP BY clip_id",
     "sweep_window": """WITH f AS (SELECT user_id AS clip_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS frame FROM events),
 g AS (SELECT * FROM f), e AS (SELECT clip_id, max(frame) AS last FROM g GROUP BY clip_id)
@@ -255,6 +270,7 @@ m AS (SELECT clip_id, e0 AS tx, e1 AS ty, cos(e3) AS c, sin(e3) AS s FROM v WHER
 SELECT clip_id, round(height, 4) AS height, round(200 - (c * (y - ty) - s * (x - tx)) * (400 / 60.0::DOUBLE), 4) AS u, round(200 - (c * (x - tx) + s * (y - ty)) * (400 / 60.0::DOUBLE), 4) AS v
 FROM ego JOIN g USING (clip_id) JOIN m USING (clip_id)""",
     "pinhole_zbuffer": f"WITH {_V}, {_P}, {_Z} SELECT * FROM z",
+    "cropped_images": f"WITH {_V}, {_P}, {_Z} SELECT clip_id, u - 16 AS u, v - 12 AS v, r, g, b, (u - 16) * 2 AS big_u, (v - 12) * 2 AS big_v FROM z WHERE u BETWEEN 16 AND 47 AND v BETWEEN 12 AND 35",
     "ray_round_trip": f"""WITH {_V}, a AS (SELECT clip_id, id, e0, e1, sqrt(e0 * e0 + e1 * e1) AS flat, acos(e2 / sqrt(e0 * e0 + e1 * e1 + e2 * e2)) AS a FROM v),
 r AS (SELECT *, CASE WHEN a <= 1.2::DOUBLE THEN 20 * a + 1.5::DOUBLE * a * a * a - 0.2::DOUBLE * a * a * a * a * a
   ELSE 20 * 1.2::DOUBLE + 1.5::DOUBLE * pow(1.2::DOUBLE, 3) - 0.2::DOUBLE * pow(1.2::DOUBLE, 5) + (a - 1.2::DOUBLE) * (20 + 4.5::DOUBLE * pow(1.2::DOUBLE, 2) - pow(1.2::DOUBLE, 4)) END / flat AS k FROM a)

@@ -59,6 +59,33 @@ def sample_tars(members: DataFrame) -> DataFrame:
     return members.select("clip_id", "name", "bytes").groupBy("clip_id").applyInPandas(pack, "clip_id string, tar binary")
 
 
+@F.pandas_udf("binary")
+def npy_bytes(items: pd.Series, shapes: pd.Series) -> pd.Series:
+    """.npy files of arrays of doubles, row by row, in the shapes given."""
+    import numpy as np
+
+    def one(x, shape) -> bytes | None:
+        if x is None:
+            return None
+        out = io.BytesIO()
+        np.save(out, np.asarray(x, dtype=float).reshape(tuple(shape)))
+        return out.getvalue()
+
+    return pd.Series([one(x, s) for x, s in zip(items, shapes)], dtype=object)
+
+
+def pose_members(poses: DataFrame) -> DataFrame:
+    """(clip_id, name, bytes): camera poses (clip_id, camera, frame, m) as members that sources.scene.camera_poses() reads."""
+    name = F.concat(F.format_string("%06d.pose.", "frame"), "camera", F.lit(".npy"))
+    return poses.select("clip_id", name.alias("name"), npy_bytes("m", F.array(F.lit(4), F.lit(4))).alias("bytes"))
+
+
+def intrinsic_members(intrinsics: DataFrame, model: str) -> DataFrame:
+    """(clip_id, name, bytes): intrinsic vectors (clip_id, camera, values) of a model, pinhole or ftheta."""
+    name = F.concat(F.lit(f"{model}_intrinsic."), F.col("camera"), F.lit(".npy"))
+    return intrinsics.select("clip_id", name.alias("name"), npy_bytes("values", F.array(F.size("values"))).alias("bytes"))
+
+
 def object_members(objects: DataFrame) -> DataFrame:
     """(clip_id, name, bytes): objects as one JSON member for each frame, as sources.scene.objects() reads them."""
     o = F.struct(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("m", i * 4 + 1, 4)).alias("object_to_world"), F.col("lwh").alias("object_lwh"), F.col("is_moving").alias("object_is_moving"), "object_type")
