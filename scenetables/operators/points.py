@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetables.functions import camera, mat
+from scenetables.operators.geometry import depth_grey, kept
 
 SLACK = 1e-6
 CELL = 8.0  # metres of a grid cell
@@ -136,14 +137,15 @@ def removal_mask(pixels: DataFrame, rectangles: DataFrame, image: Sequence[str],
 def project_for_splat(points: DataFrame, cameras: DataFrame, keys: Sequence[str] = ("clip_id", "camera", "frame")) -> DataFrame:
     """(keys, pu, pv, depth) of world points in front of the camera. cameras: keys, m (camera to world), and fx, fy, cx, cy,
     or for f-theta also fw, max_angle, edge_r and edge_dr (fw null for pinhole; the linear part is left out)."""
-    p = points.join(cameras, list(keys)).withColumn("__c", F.array(*mat.inv_apply("m", [F.col(c) for c in "xyz"])))
+    p = kept(points.join(cameras, list(keys)), "__c", F.array(*mat.inv_apply("m", [F.col(c) for c in "xyz"])))
     c = mat.vec("__c")
     pin = camera.pinhole_project(F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"), c)
     if "fw" in cameras.columns:
         lin = F.array(mat.d(1), mat.d(0), mat.d(0))
         wide = camera.ftheta_project(F.col("fw"), lin, F.col("cx"), F.col("cy"), F.col("max_angle"), F.col("edge_r"), F.col("edge_dr"), c)
         pin = tuple(F.when(F.col("fw").isNull(), a).otherwise(b) for a, b in zip(pin, wide))
-    return p.filter(c[2] > 0).select(*keys, pin[0].alias("pu"), pin[1].alias("pv"), c[2].alias("depth"))
+    p = kept(p.select(*keys, *(x for x in ("fx", "fy", "cx", "cy", *camera.FTHETA_MODEL) if x in p.columns), "__c"), "__p", F.when(c[2] > 0, F.struct(pin[0].alias("pu"), pin[1].alias("pv"), c[2].alias("depth"))))
+    return p.select(*keys, "__p.*")
 
 
 def _kernel(kind: str, size: int, sigma: float) -> list[tuple[int, int]]:
@@ -193,14 +195,14 @@ def lidar_condition(points: DataFrame, sweeps: DataFrame, objects: DataFrame, fr
     hits = window.join(held, ["clip_id", "sweep"]).join(at, ["clip_id", "frame", "track_id"], "left")
     one = hits.groupBy("clip_id", "frame", "offset", "sweep", "point_id").agg(F.min_by(F.struct("bm", "tm"), "track_id").alias("move"), F.bool_or(F.col("tm").isNull()).alias("gone"))
     p = fanned.join(one, ["clip_id", "frame", "offset", "sweep", "point_id"], "left").filter("gone IS NULL OR NOT gone")
-    p = p.withColumn("__l", F.when(F.col("move").isNotNull(), F.array(*mat.inv_apply(F.col("move.bm"), [F.col(c) for c in "xyz"]))))
-    p = p.select("clip_id", "frame", *(F.coalesce(c, F.col(n)).alias(n) for c, n in zip(mat.apply(F.col("move.tm"), mat.vec("__l")), "xyz")))
+    local = F.when(F.col("move").isNotNull(), F.array(*mat.inv_apply(F.col("move.bm"), [F.col(c) for c in "xyz"])))
+    p = p.withColumn("__l", F.explode(F.array(local)))  # computed once, null where a point does not move
+    p = kept(p, "__at", F.array(*(F.coalesce(c, F.col(n)) for c, n in zip(mat.apply(F.col("move.tm"), mat.vec("__l")), "xyz"))))
+    p = p.select("clip_id", "frame", *(F.col("__at")[i].alias(n) for i, n in enumerate("xyz")))
     keys = ["clip_id", "camera", "frame"]
     of = cameras.select("clip_id", "camera", "frame").distinct()
     seen = project_for_splat(p.join(of, ["clip_id", "frame"]), cameras, keys)
     seen = seen.filter(F.col("pu").between(-size_margin, w + size_margin) & F.col("pv").between(-size_margin, h + size_margin))
-    from scenetables.operators.geometry import depth_grey
-
     return depth_splat(seen, keys, w, h, kernel).select(*keys, "u", "v", depth_grey(F.col("depth")).alias("grey"))
 
 

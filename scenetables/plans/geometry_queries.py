@@ -215,6 +215,19 @@ def map_raster(spark, sf_dir):
     return raster.draw_map(f, _camera(v), W, H).select("clip_id", "u", "v", *raster.RGB)
 
 
+def lidar_condition(spark, sf_dir):
+    """Depth images of three sweeps a clip, gathered over windows of render frames; points in moving boxes follow them."""
+    v = _vectors(spark, sf_dir)
+    p = v.select("clip_id", (F.col("r") % 3 * 3).alias("frame"), F.col("id").alias("point_id"), *((F.col(f"e{i}") * 3).alias(a) for i, a in enumerate("xyz")))
+    sweeps = v.filter("r <= 3").select("clip_id", ((F.col("r") - 1) * 3).alias("frame"), mat.pose(mat.yaw(F.col("e3")), [F.col("e4"), F.col("e5"), mat.d(0)]).alias("m"))
+    o = v.filter("r % 5 = 0").withColumn("frame", F.explode(F.expr("sequence(0, 6)")))
+    m = mat.pose(mat.yaw(F.col("e6")), [F.col("e0") * 3 + F.col("frame") * 0.5, F.col("e1") * 3, F.col("e2") * 3])
+    o = o.select("clip_id", "frame", F.col("id").cast("string").alias("track_id"), F.lit("Car").alias("object_type"), F.lit(True).alias("is_moving"), F.array(*((F.abs(f"e{i}") + 1) * 2 for i in (9, 10, 11))).alias("lwh"), m.alias("m"))
+    frames = v.select("clip_id").distinct().withColumn("frame", F.explode(F.expr("sequence(0, 7)")))
+    cameras = _camera(v).drop("lin", "frame").join(frames, "clip_id")
+    return points.lidar_condition(p, sweeps, o, frames, cameras, W, H).select("clip_id", "frame", "u", "v", "grey")
+
+
 def splat_projection(spark, sf_dir):
     """Points in front of a camera of either model, projected for splatting."""
     v = _vectors(spark, sf_dir)
@@ -232,7 +245,7 @@ def bev_map(spark, sf_dir):
     return raster.bev_map(s, ego, BEV, 8.0, 3, path).drop("frame")
 
 
-QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, map_raster, splat_projection, bev_map)}
+QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, map_raster, lidar_condition, splat_projection, bev_map)}
 
 
 def _rounded(*pairs: str) -> str:
@@ -448,6 +461,31 @@ line AS (SELECT clip_id, u, v, prim % 3 AS kind, arg_max(depth, (prim, seg)) AS
 every AS (SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, kind, depth FROM line UNION ALL SELECT clip_id, u, v, 0, depth FROM area JOIN seen USING (clip_id, prim)),
 lit AS (SELECT clip_id, u, v, {', '.join('CASE kind ' + ' '.join(f"WHEN {k} THEN {_SHADE.format(c=next(y[2 + i] for y in raster.LAYERS if y[0] == n))}" for k, n in enumerate(LAYERS)) + f' END AS {c}' for i, c in enumerate(raster.RGB))} FROM every)
 SELECT clip_id, u, v, max(r) AS r, max(g) AS g, max(b) AS b FROM lit GROUP BY ALL""",
+    "lidar_condition": f"""WITH {_V},
+pts AS (SELECT clip_id, id AS point_id, r % 3 * 3 AS sweep, e0 * 3 AS x, e1 * 3 AS y, e2 * 3 AS z FROM v WHERE sqrt(pow(e0 * 3, 2) + pow(e1 * 3, 2) + pow(e2 * 3, 2)) >= 3),
+sw AS (SELECT clip_id, (r - 1) * 3 AS sweep, cos(e3) AS c, sin(e3) AS s, e4 AS tx, e5 AS ty FROM v WHERE r <= 3),
+world AS (SELECT clip_id, sweep, point_id, c * x - s * y + tx AS x, s * x + c * y + ty AS y, z FROM pts JOIN sw USING (clip_id, sweep)),
+obj AS (SELECT clip_id, id::VARCHAR AS track, f AS frame, e0 * 3 + f * 0.5::DOUBLE AS ox, e1 * 3 AS oy, e2 * 3 AS oz, cos(e6) AS c, sin(e6) AS s, (abs(e9) + 1) * 2 AS l, (abs(e10) + 1) * 2 AS w, (abs(e11) + 1) * 2 AS h
+  FROM v, unnest(range(7)) AS t(f) WHERE r % 5 = 0),
+held AS (
+  SELECT q.clip_id, sweep, point_id, track, (x - ox) * c + (y - oy) * s AS qx, (y - oy) * c - (x - ox) * s AS qy, z - oz AS qz FROM world q JOIN obj o ON o.clip_id = q.clip_id AND o.frame = q.sweep
+  WHERE abs((x - ox) * c + (y - oy) * s) <= l / 2 * 1.2::DOUBLE + 1e-6 AND abs((y - oy) * c - (x - ox) * s) <= w / 2 * 1.2::DOUBLE + 1e-6 AND abs(z - oz) <= h / 2 * 1.2::DOUBLE + 1e-6),
+win AS (SELECT clip_id, f AS frame, k, least(round_even(least(greatest(f + k, 0), 7) / 3.0, 0) * 3, 6)::BIGINT AS sweep FROM (SELECT DISTINCT clip_id FROM v), unnest(range(8)) AS t(f), unnest([-2, -1, 0, 1, 2]) AS q(k)),
+one AS (SELECT a.clip_id, a.frame, a.k, a.sweep, h.point_id, min(h.track) AS track, bool_or(o.track IS NULL) AS gone FROM win a JOIN held h ON h.clip_id = a.clip_id AND h.sweep = a.sweep
+  LEFT JOIN obj o ON o.clip_id = a.clip_id AND o.track = h.track AND o.frame = a.frame GROUP BY ALL),
+moved AS (
+  SELECT a.clip_id, a.frame, CASE WHEN n.track IS NULL THEN p.x ELSE o.c * h.qx - o.s * h.qy + o.ox END AS x, CASE WHEN n.track IS NULL THEN p.y ELSE o.s * h.qx + o.c * h.qy + o.oy END AS y, CASE WHEN n.track IS NULL THEN p.z ELSE h.qz + o.oz END AS z
+  FROM win a JOIN world p ON p.clip_id = a.clip_id AND p.sweep = a.sweep LEFT JOIN one n ON n.clip_id = a.clip_id AND n.frame = a.frame AND n.k = a.k AND n.sweep = a.sweep AND n.point_id = p.point_id
+  LEFT JOIN held h ON h.clip_id = a.clip_id AND h.sweep = a.sweep AND h.point_id = p.point_id AND h.track = n.track LEFT JOIN obj o ON o.clip_id = a.clip_id AND o.track = n.track AND o.frame = a.frame
+  WHERE NOT coalesce(gone, false)),
+cam AS (SELECT clip_id, frame, -y AS x, -(z - 1) AS y, x + 6 AS z FROM moved),
+pp AS (SELECT clip_id, frame, {_pixel('x', 'y', 'z', (1, 0, 0))[0]} AS pu, {_pixel('x', 'y', 'z', (1, 0, 0))[1]} AS pv, z AS depth FROM cam WHERE z > 0),
+sp AS (SELECT * FROM pp WHERE pu BETWEEN -4 AND {W + 4} AND pv BETWEEN -4 AND {H + 4}),
+top AS (SELECT clip_id, frame, max(ln(1 + least(depth, 1000))) + 1e-7 AS top FROM sp GROUP BY ALL),
+fw AS (SELECT sp.*, 1 / (exp(ln(1 + least(depth, 1000)) / top * 50) + 1e-7) AS f FROM sp JOIN top USING (clip_id, frame)),
+o AS (SELECT *, floor(pu)::INTEGER + a AS u, floor(pv)::INTEGER + b AS v FROM fw, unnest([-2, -1, 0, 1, 2]) AS t(a), unnest([-2, -1, 0, 1, 2]) AS q(b)),
+g AS (SELECT clip_id, frame, u, v, sum(depth * f * k) / sum(f * k) AS depth FROM (SELECT *, exp(-0.5::DOUBLE * (pow(pu - u - 0.5::DOUBLE, 2) + pow(pv - v - 0.5::DOUBLE, 2))) AS k FROM o WHERE u BETWEEN 0 AND {W - 1} AND v BETWEEN 0 AND {H - 1}) GROUP BY ALL HAVING sum(f * k) > 0)
+SELECT clip_id, frame::INTEGER AS frame, u, v, trunc(least(greatest(depth, 0), 75) / 75 * 255)::INTEGER AS grey FROM g""",
     "splat_projection": f"""WITH {_V}, c AS (SELECT clip_id, -e1 AS x, -(e2 - 1) AS y, e0 + 6 AS z FROM v),
 p AS (SELECT clip_id, {_pixel('x', 'y', 'z', (1, 0, 0))[0]} AS pu, {_pixel('x', 'y', 'z', (1, 0, 0))[1]} AS pv, z FROM c WHERE z > 0)
 SELECT clip_id, count(*) AS n, round(sum(pu), 4) + 0.0 AS pu, round(sum(pv), 4) + 0.0 AS pv, round(sum(z), 4) + 0.0 AS depth FROM p GROUP BY clip_id""",
