@@ -8,14 +8,16 @@ UUIDs and identifiers (words joined by separators) are put aside. Pieces between
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenetables.llm.common import table
+from scenetables.llm.common import small_batches, table
 
 BASE = ("assign", "access", "hex")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -39,12 +41,19 @@ _PIECE = re.compile(r"[A-Za-z0-9]+")
 _ENCODINGS: dict = {}
 
 
+def shipped(docs: DataFrame, path: str) -> DataFrame:
+    """docs as it is; the rank file, where the driver has it, goes with the job to executors that lack it."""
+    if os.path.exists(path):
+        docs.sparkSession.sparkContext.addFile(path)
+    return docs
+
+
 def encoding(path: str):
     """The tokenizer of a rank file, read once in each Python worker."""
     if path not in _ENCODINGS:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         _ENCODINGS[path] = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
     return _ENCODINGS[path]
@@ -110,8 +119,8 @@ def mask(t: str | None, path: str = VOCABULARY) -> str | None:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, spans): spans is an array of (kind, start, end), empty for a null or empty text; one row per row of docs, repeated
     rows too; an empty table gives an empty result. A very long text is scanned whole, run by run. Only the id and the text are read, so other columns may have any names.
-    vocabulary is a path that every executor can open."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    vocabulary is a path that the driver can open, or every executor."""
+    d = shipped(docs, vocabulary).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +128,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [[{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t.as_py(), vocabulary)] for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
+    return small_batches(d).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -130,7 +139,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
     def masked(texts):
         return texts.map(lambda t: mask(t, vocabulary))
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    return small_batches(shipped(docs, vocabulary)).withColumn(text_col, masked(F.col(text_col)))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
