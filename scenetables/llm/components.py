@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenetables.llm.common import discard, materialize
+from scenetables.llm.common import discard, materialize, small_batches
 
 #: Links that a task contracts at a time; its memory does not depend on the table.
 CHUNK = 200_000
@@ -43,34 +43,41 @@ def _contracted(edges: DataFrame) -> DataFrame:
                 parent, n = {}, 0
         yield stars(parent)
 
-    return edges.mapInArrow(run, "a long, b long")
+    return small_batches(edges).mapInArrow(run, "a long, b long")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+def _lowest(edges: DataFrame, key: str, value: Column) -> DataFrame:
+    """The smallest value of each key, as a table of its own: joined back, a star's centre is then a key whose rows Spark can split."""
+    return materialize(edges.groupBy(key).agg(value.alias("m")), "lowest")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Here b is the larger end of every edge, and m its smallest neighbour."""
-    low = edges.groupBy("b").agg(F.min("a").alias("m"))
-    ends = edges.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y"))
-    out = ends.unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
-    return out.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _star_round(edges: DataFrame) -> DataFrame:
+    """A large-star step, in which larger neighbours are hung onto the smallest one, then a small-star step on what that gives."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = _lowest(both, "a", F.least(F.min("b"), F.col("a")))
+    large = materialize(both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), "large")
+    # here b is the larger end of every edge, and m its smallest neighbour
+    least = _lowest(large, "b", F.min("a"))
+    ends = large.join(least, "b").select(F.col("m").alias("x"), F.col("a").alias("y"))
+    out = ends.unionByName(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).filter("x <> y")
+    new = materialize(out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    for table in (low, large, least):
+        discard(table)
+    return new
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links(a, b), any order and direction -> (node, root): root is the smallest node reachable. Nodes without a
-    link to another node are not returned. Edges stay in tables from first to last; each round is written to the
-    shared scratch folder, so the lineage is one round long. Tasks first contract the links they hold; the number of
+    link to another node are not returned; nulls are left out, and an empty table gives an empty result. Edges stay in tables from first to last; each step is written to the
+    shared scratch folder, so the lineage is one step long. Tasks first contract the links they hold; the number of
     rounds then grows with the logarithm of the longest chain of what is left."""
     edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        new = materialize(_small_star(_large_star(_contracted(edges))), "edges")
+        contracted = materialize(_contracted(edges), "contracted")
         discard(edges)
-        edges = new
+        edges = _star_round(contracted)
+        discard(contracted)
         mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seen == (mark["n"], mark["x"]):
             break
