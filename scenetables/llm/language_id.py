@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenetables.llm.common import table
+from scenetables.llm.common import small_batches, table
 from scenetables.llm.sampling import bounded_sample, held_out
 
 BITS, DIM = 16, 16
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *new], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return small_batches(d).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

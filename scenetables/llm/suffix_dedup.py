@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from scenetables.llm.common import discard, materialize, table, text_key
+from scenetables.llm.common import discard, materialize, small_batches, table, text_key
 
 LENGTH = 400
 REPORT = 256
@@ -110,7 +110,7 @@ def anchors(docs: DataFrame, report: int = REPORT, length: int = LENGTH, gram: i
                 cols = [pa.array(np.concatenate([f[i] for f in found])) for i in range(len(_KINDS))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_key").take(of), *cols], ["doc_id", "text_key", *_NAMES])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, {_ROW}")
+    return small_batches(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, {_ROW}")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -222,7 +222,7 @@ def sorted_classes(rows: DataFrame, report: int) -> DataFrame:
         if last:
             yield _span_batch(last, kind)
 
-    return ordered.mapInArrow(run, f"doc_id {id_type}, text_key long, {_SPAN}")
+    return small_batches(ordered).mapInArrow(run, f"doc_id {id_type}, text_key long, {_SPAN}")
 
 
 def _span_batch(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
@@ -251,7 +251,7 @@ def finer(rows: DataFrame, cell: int, report: int, length: int) -> DataFrame:
             at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), *new], ["doc_id", "text_key", *_NAMES])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_key long, {_ROW}")
+    return small_batches(rows).mapInArrow(run, f"doc_id {id_type}, text_key long, {_ROW}")
 
 
 def _with_data(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _with_data(docs: DataFrame, rows: DataFrame) -> DataFrame:
                         of, rows_, data, held = [], [], [], 0
             yield out(b, of, rows_, data)
 
-    return d.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, gram long, start long, lead int, span int, big boolean, data binary")
+    return small_batches(d).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, gram long, start long, lead int, span int, big boolean, data binary")
 
 
 def _settled(docs: DataFrame, found: DataFrame, report: int, length: int, cells: tuple[int, ...]) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -377,7 +377,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 new = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *new], names)
 
-    return both.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, n_repeats long, repeated_bytes long")
+    return small_batches(both).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, n_repeats long, repeated_bytes long")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

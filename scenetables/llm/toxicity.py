@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenetables.llm.common import table
+from scenetables.llm.common import small_batches, table
 from scenetables.llm.sampling import bounded_sample, held_out
 
 WINDOW, STRIDE = 32, 16
@@ -363,7 +363,7 @@ def toxicity(docs: DataFrame, net: Net, text_col: str = "text", out: str = "scor
     def score(texts):
         return _series(state["net"].score(pa.array(texts, pa.string(), from_pandas=True)))
 
-    return docs.withColumn(out, score(F.col(text_col)))
+    return small_batches(docs).withColumn(out, score(F.col(text_col)))
 
 
 def _series(values: np.ndarray):

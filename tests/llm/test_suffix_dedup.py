@@ -126,3 +126,23 @@ def test_query(spark, documents, corpus_dir):
     texts = [long, "p" + long[300:900], long[:399], None, "short", long[1000:] + long[:450], "q" + long[700:990] + "r"]
     got = {r.doc_id: tuple(r)[1:] for r in sd.op2_suffix_dedup(spark, corpus_dir(documents=documents(list(enumerate(texts))))).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts, 400, 256)
+
+
+def test_passages_of_over_fifty_words_are_reported(spark, documents, corpus_dir):
+    """Passages of 52 words and some 300 bytes, below the length that removes, in two to nine documents each; clean documents beside them."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(52) for _ in range(12)]
+    assert all(256 <= len(p) < 400 for p in passages)
+    rows, planted = [], set()
+    for k in range(200):
+        body = text(rng.randint(60, 400))
+        if k % 4 == 0:
+            at = body.index(" ", rng.randrange(len(body) // 2))
+            body = body[:at] + " " + passages[k // 4 % 12] + body[at:]
+            planted.add(k)
+        rows.append((k, body))
+    got = {r.doc_id: r for r in sd.op2_suffix_dedup(spark, corpus_dir(documents=documents(rows))).collect()}
+    assert {k for k, r in got.items() if r.n_repeats} == planted and not any(r.n_removed for r in got.values())
+    assert all(len(passages[k // 4 % 12]) <= got[k].repeated_bytes <= len(passages[k // 4 % 12]) + 6 for k in planted)
