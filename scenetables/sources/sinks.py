@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 256
 
@@ -59,7 +60,7 @@ def sample_tars(members: DataFrame) -> DataFrame:
     return members.select("clip_id", "name", "bytes").groupBy("clip_id").applyInPandas(pack, "clip_id string, tar binary")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def npy_bytes(items: pd.Series, shapes: pd.Series) -> pd.Series:
     """.npy files of arrays of doubles, row by row, in the shapes given."""
     import numpy as np
