@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -78,6 +80,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return memory that Python has freed to the system, where the C library can: after training, the driver is small again."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_key(text: Column) -> Column:
     """64-bit key of a text, null apart from the empty text. Used with the row's id, never alone, so that a
     collision of two texts cannot mix up documents."""

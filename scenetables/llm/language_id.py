@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenetables.llm.common import small_batches, table
+from scenetables.llm.common import give_back, small_batches, table
 from scenetables.llm.sampling import bounded_sample, held_out
 
 BITS, DIM = 16, 16
@@ -118,7 +118,9 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:
     """Trains on a bounded sample (per_language documents of each language of at most max_chars characters) of the rows
     that are not held out. docs has doc_id, text and lang."""
-    return train(bounded_sample(docs.select("doc_id", "text", "lang"), "lang", per_language, max_chars))
+    model = train(bounded_sample(docs.select("doc_id", "text", "lang"), "lang", per_language, max_chars))
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenetables.llm.common import small_batches, table
+from scenetables.llm.common import give_back, small_batches, table
 from scenetables.llm.sampling import bounded_sample, held_out
 
 WINDOW, STRIDE = 32, 16
@@ -346,7 +346,9 @@ def _calibrate(net: Net, texts: pa.Array, label: np.ndarray, apart: np.ndarray)
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> Net:
     """Trains on at most per_label documents of each label, of at most max_chars characters, from the rows not held out."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(bounded_sample(docs.select("doc_id", "text"), "toxic", per_label, max_chars, known))
+    net = train(bounded_sample(docs.select("doc_id", "text"), "toxic", per_label, max_chars, known))
+    give_back()
+    return net
 
 
 def toxicity(docs: DataFrame, net: Net, text_col: str = "text", out: str = "score") -> DataFrame:
