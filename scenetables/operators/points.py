@@ -14,7 +14,9 @@ SLACK = 1e-6
 CELL = 8.0  # metres of a grid cell
 NEAR = 3.0
 MOVE_SCALE = 1.2
-SATURATION = 50.0
+SATURATION, FAR = 50.0, 1000.0  # of splats: how fast weights fall with depth, and the depth at which they stay
+#: Pixels outside the image from which a kernel may still reach in.
+SIZE_MARGIN = 4
 
 
 def near_filtered(points: DataFrame, least: float = NEAR) -> DataFrame:
@@ -148,7 +150,7 @@ def project_for_splat(points: DataFrame, cameras: DataFrame, keys: Sequence[str]
     return p.select(*keys, "__p.*")
 
 
-def _kernel(kind: str, size: int, sigma: float) -> list[tuple[int, int]]:
+def kernel_offsets(kind: str, size: int) -> list[tuple[int, int]]:
     if kind == "nearest":
         return [(0, 0)]
     if kind == "bilinear":
@@ -163,12 +165,12 @@ def depth_splat(projected: DataFrame, keys: Sequence[str], w: int, h: int, kerne
 
     A point's weight is its kernel's share times 1 / exp(50 log1p(depth) / the image's largest log1p), so near points win.
     The kernel is a table of offsets; the points are summed before the shuffle."""
-    top = projected.groupBy(*keys).agg((F.max(F.log1p(F.least("depth", mat.d(1000)))) + 1e-7).alias("__top"))
+    top = projected.groupBy(*keys).agg((F.max(F.log1p(F.least("depth", mat.d(FAR)))) + 1e-7).alias("__top"))
     p = projected.join(top, list(keys))
-    p = p.withColumn("__f", 1 / (F.exp(F.log1p(F.least("depth", mat.d(1000))) / F.col("__top") * SATURATION) + 1e-7))
+    p = p.withColumn("__f", 1 / (F.exp(F.log1p(F.least("depth", mat.d(FAR))) / F.col("__top") * SATURATION) + 1e-7))
     base = F.bround if kernel == "nearest" else F.floor
     p = p.withColumn("__u", base("pu").cast("int")).withColumn("__v", base("pv").cast("int"))
-    table = F.array(*(F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in _kernel(kernel, size, sigma)))
+    table = F.array(*(F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a, b in kernel_offsets(kernel, size)))
     p = p.withColumn("__o", F.explode(table)).withColumn("u", F.col("__u") + F.col("__o.du")).withColumn("v", F.col("__v") + F.col("__o.dv"))
     p = p.filter(F.col("u").between(0, w - 1) & F.col("v").between(0, h - 1))
     share = {
@@ -202,9 +204,5 @@ def lidar_condition(points: DataFrame, sweeps: DataFrame, objects: DataFrame, fr
     keys = ["clip_id", "camera", "frame"]
     of = cameras.select("clip_id", "camera", "frame").distinct()
     seen = project_for_splat(p.join(of, ["clip_id", "frame"]), cameras, keys)
-    seen = seen.filter(F.col("pu").between(-size_margin, w + size_margin) & F.col("pv").between(-size_margin, h + size_margin))
+    seen = seen.filter(F.col("pu").between(-SIZE_MARGIN, w + SIZE_MARGIN) & F.col("pv").between(-SIZE_MARGIN, h + SIZE_MARGIN))
     return depth_splat(seen, keys, w, h, kernel).select(*keys, "u", "v", depth_grey(F.col("depth")).alias("grey"))
-
-
-#: Pixels outside the image from which a kernel may still reach in.
-size_margin = 4

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenetables.functions import camera, mat
-from scenetables.operators import geometry, objects as obj
+from scenetables.operators import geometry, objects as obj, tiles
 
 IMAGE = ("clip_id", "camera", "frame")
 RGB = ("r", "g", "b")
@@ -137,12 +137,15 @@ def hull_raster(polygons: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE
     return p.groupBy(*keys, "u", "v").agg(F.max_by(F.struct(*RGB), "prim_id").alias("c")).select(*keys, "u", "v", "c.*")
 
 
-def _in_camera(features: DataFrame, cameras: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """features (clip_id, [frame,] prim_id, colour, vertices) seen by each camera: vertices in camera space. cameras: keys, m, and a
-    model as in camera.project."""
+def _in_camera(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Sequence[str]) -> DataFrame:
+    """features (clip_id, [frame,] prim_id, colour, vertices) that each camera may see: vertices in camera space. cameras: keys, m, and a
+    model as in camera.project. Features of a clip meet cameras by visibility tiles, those of a frame by their frame."""
     on = [k for k in keys if k in features.columns and k in cameras.columns]
-    f = features.join(geometry.kept(cameras, "__inv", mat.affine_inv("m")), on)
-    return geometry.kept(f, "vertices", mat.apply_vertices("__inv", F.col("vertices")))
+    cams = tiles.camera_view(geometry.kept(cameras, "__inv", mat.affine_inv("m")), w, h)
+    f = tiles.with_place(features)
+    met = f.join(cams, on) if "frame" in on else tiles.meeting(f, cams, on)
+    seen = tiles.in_view(met).drop("__at", "__view")
+    return geometry.kept(seen, "vertices", mat.apply_vertices("__inv", F.col("vertices")))
 
 
 def _at(p: Column, model: list[str]) -> Column:
@@ -154,7 +157,7 @@ def _at(p: Column, model: list[str]) -> Column:
 def draw_lines(features: DataFrame, cameras: DataFrame, w: int, h: int, width: int, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Polylines (clip_id, prim_id, vertices, r, g, b) drawn with depth shading, by cameras of either model; the culls of geometry.worth_drawing
     go by the whole line. Under distortion a line is drawn between its vertices: densify it first where that matters."""
-    f = _in_camera(features, cameras, keys)
+    f = _in_camera(features, cameras, w, h, keys)
     model = camera.model_columns(cameras)
     f = geometry.kept(f, "__px", F.transform("vertices", lambda p: _at(p, model)))
     s = geometry.segments(f.filter(geometry.worth_drawing("__px", F.lit(w), F.lit(h), 2)).select(*keys, "prim_id", *RGB, *model, "vertices"))
@@ -168,7 +171,7 @@ def draw_lines(features: DataFrame, cameras: DataFrame, w: int, h: int, width: i
 
 def draw_hulls(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Convex areas (clip_id, prim_id, vertices, r, g, b) filled with the shade of their mean depth, by cameras of either model."""
-    f = _in_camera(features, cameras, keys)
+    f = _in_camera(features, cameras, w, h, keys)
     model = camera.model_columns(cameras)
     f = geometry.kept(f, "__px", F.transform("vertices", lambda p: _at(p, model)))
     f = f.filter(geometry.worth_drawing("__px", F.lit(w), F.lit(h), 3, hull=True))
@@ -231,13 +234,29 @@ def hdmap_condition(features: DataFrame, objects: DataFrame, cameras: DataFrame,
     return merged([draw_map(features, cameras, w, h), draw_boxes(objects, cameras, w, h)])
 
 
+def _around(rows: DataFrame, ends: list[Column], egos: DataFrame, metres: float) -> DataFrame:
+    """rows (clip_id, [frame,] ...) with the egos around which one of their ends may lie within a square of `metres`, once for each such ego. Rows
+    of a clip meet egos by visibility tiles, those of a frame by their frame."""
+    if "frame" in rows.columns:
+        return rows.join(egos, ["clip_id", "frame"])
+    r = mat.rot("m")
+    flat = F.abs(r[2]) + F.abs(r[5]) <= 1e-9  # else height moves a place on the ground
+    reach = F.when(flat, mat.norm([F.abs(r[i]) + F.abs(r[i + 1]) for i in (0, 3)]) * metres / 2 + 1e-6)
+    view = F.struct(*(c.alias(a) for c, a in zip(mat.shift("m"), "xy")), reach.alias("base"), mat.d(0).alias("grow"))
+    e = rows.select("*", F.posexplode(F.array(*(F.struct(*(p[a].alias(a) for a in "xyz"), mat.d(0).alias("size")) for p in ends))).alias("__end", "__at"))
+    met = tiles.meeting(e, egos.withColumn("__view", view), ["clip_id"], metres / 2)
+    if len(ends) > 1:  # the second end speaks where the first one is not there
+        there = lambda p: F.coalesce(mat.norm([p[a] - F.col(f"__view.{a}") for a in "xy"]) <= F.col("__view.base"), F.lit(True))
+        met = met.filter(F.when(F.col("__end") == 0, there(ends[0])).otherwise(there(ends[1]) & ~there(ends[0])))
+    return met.drop("__end", "__at", "__view")
+
+
 def bev_map(segments: DataFrame, egos: DataFrame, pixels: int = geometry.BEV_PIXELS, metres: float = geometry.BEV_METRES, width: int = 2, path: DataFrame | None = None) -> DataFrame:
     """Bird's-eye images (clip_id, frame, u, v, r, g, b) of world segments (clip_id, [frame,] prim_id, seg_id, p0, p1, colour) around
     each ego pose; a segment with neither end inside is left out. A segment of 2 m along the ego's axis is added in EGO's colour. The ground of these
     images is white, so black pixels are rows too: with a path (clip_id, x, y, z), a disc of CENTRE pixels at the ego and one of DOT pixels at each place of
     the clip's path lie over the lines."""
-    on = [k for k in ("clip_id", "frame") if k in segments.columns]
-    s = segments.join(egos, on).select("clip_id", "frame", "prim_id", "seg_id", "p0", "p1", *RGB, "m")
+    s = _around(segments, [F.col("p0"), F.col("p1")], egos, metres).select("clip_id", "frame", "prim_id", "seg_id", "p0", "p1", *RGB, "m")
     x, t = [mat.rot("m")[i] for i in (0, 3, 6)], mat.shift("m")
     end = lambda k: geometry.point(*(b + k * a for a, b in zip(x, t)))
     me = egos.select("clip_id", "frame", F.lit("~ego").alias("prim_id"), F.lit(0).alias("seg_id"), end(-1).alias("p0"), end(1).alias("p1"), *(F.lit(x).alias(c) for x, c in zip(EGO, RGB)), "m")
@@ -251,7 +270,7 @@ def bev_map(segments: DataFrame, egos: DataFrame, pixels: int = geometry.BEV_PIX
     if path is None:
         return lines
     u, v = geometry.bev_pixel("m", [F.col(c) for c in "xyz"], pixels, metres)
-    dots = path.join(egos, [k for k in keys if k in path.columns]).select(*keys, u.cast("int").alias("u"), v.cast("int").alias("v"), F.lit(DOT).alias("radius"))
+    dots = _around(path, [F.struct(*"xyz")], egos, metres).select(*keys, u.cast("int").alias("u"), v.cast("int").alias("v"), F.lit(DOT).alias("radius"))
     dots = dots.filter((u >= 0) & (v >= 0)).unionByName(egos.select(*keys, *(F.lit(pixels // 2).alias(c) for c in "uv"), F.lit(CENTRE).alias("radius")))
     dots = dots.filter(camera.inside(F.col("u"), F.col("v"), n, n)).distinct()
     dots = dots.withColumn("__a", F.explode(F.expr("sequence(-radius, radius)"))).withColumn("__b", F.explode(F.expr("sequence(-radius, radius)"))).filter("__a * __a + __b * __b <= radius * radius")

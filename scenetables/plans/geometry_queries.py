@@ -15,6 +15,8 @@ LAYERS = ("crosswalks", "poles", "lanelines")
 #: Coefficients of the f-theta cameras here: forward (angle to pixels), backward (pixels to angle), and the linear part.
 FW, BW, LIN = (0, 30, 0, 1.5, 0, -0.2), (0, 0.02, 0, 0.000004), (1.1, 0.02, -0.01)
 EDGE = 1.2
+#: Of the drive: metres from frame to frame, and quarters of that over which the map is strewn.
+STEP, ROAD = 150.0, 24
 
 
 def _r(c, n: int = 4):
@@ -196,11 +198,15 @@ def _camera(v: DataFrame) -> DataFrame:
     )
 
 
+def _kinds(boxes: DataFrame) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("Bus", "Person", "Rider", "Car", "Tree"))), (F.col("track_id").cast("long") % 5 + 1).cast("int"))
+    return boxes.withColumn("object_type", kind)
+
+
 def box_raster(spark, sf_dir):
     """The boxes of each clip as lines in the image of a pinhole or an f-theta camera."""
     v = _vectors(spark, sf_dir)
-    kind = F.element_at(F.array(*map(F.lit, ("Bus", "Person", "Rider", "Car", "Tree"))), (F.col("track_id").cast("long") % 5 + 1).cast("int"))
-    out = raster.draw_boxes(_boxes(v, 0).withColumn("object_type", kind), _camera(v), W, H)
+    out = raster.draw_boxes(_kinds(_boxes(v, 0)), _camera(v), W, H)
     return out.select("clip_id", "u", "v", *raster.RGB)
 
 
@@ -215,6 +221,25 @@ def map_raster(spark, sf_dir):
     return raster.draw_map(f, _camera(v), W, H).select("clip_id", "u", "v", *raster.RGB)
 
 
+def _drive(v: DataFrame) -> DataFrame:
+    """_camera() at four frames of a clip, along a road on which most of the map is out of sight."""
+    c = _camera(v).drop("frame").withColumn("frame", F.explode(F.expr("sequence(0, 3)")))
+    return c.withColumn("m", mat.pose(mat.rot("m"), [F.col("m")[3] + F.col("frame") * STEP, F.col("m")[7], F.col("m")[11]]))
+
+
+def hdmap_condition(spark, sf_dir):
+    """The map along a road and the boxes of each frame, in the images of a camera that drives there."""
+    v = _vectors(spark, sf_dir)
+    at = F.floor((F.col("r") - 1) / 4)
+    p = F.struct("r", (F.abs("e0") + (at % ROAD) * STEP / 4).alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
+    f = v.groupBy("clip_id", at.cast("int").alias("feature_id")).agg(F.array_sort(F.collect_list(p)).alias("p"))
+    layer = F.element_at(F.array(*map(F.lit, LAYERS)), (F.col("feature_id") % 3 + 1).cast("int"))
+    f = f.select("clip_id", layer.alias("layer"), "feature_id", F.transform("p", lambda q: geometry.point(q["x"], q["y"], q["z"])).alias("vertices"))
+    o = _kinds(_boxes(v, 0)).withColumn("frame", (F.col("track_id").cast("long") % 4).cast("int"))
+    o = o.withColumn("m", mat.pose(mat.rot("m"), [F.col("m")[3] + F.col("frame") * STEP, F.col("m")[7], F.col("m")[11]]))
+    return raster.hdmap_condition(f, o, _drive(v), W, H).select("clip_id", "frame", "u", "v", *raster.RGB)
+
+
 def lidar_condition(spark, sf_dir):
     """Depth images of three sweeps a clip, gathered over windows of render frames; points in moving boxes follow them."""
     v = _vectors(spark, sf_dir)
@@ -245,7 +270,7 @@ def bev_map(spark, sf_dir):
     return raster.bev_map(s, ego, BEV, 8.0, 3, path).drop("frame")
 
 
-QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, map_raster, lidar_condition, splat_projection, bev_map)}
+QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, map_raster, hdmap_condition, lidar_condition, splat_projection, bev_map)}
 
 
 def _rounded(*pairs: str) -> str:
@@ -357,6 +382,48 @@ _PA, _PB = _pixel("ax", "ay", "az"), _pixel("bx", "b_y", "bz")
 _SHADE = "trunc(2 * (122.5::DOUBLE - least(greatest(depth, 0), 122.5::DOUBLE)) / 255 * {c})::INTEGER"
 _CLASS = [(kind, raster.CLASS_COLOURS[kind]) for kind in ("Truck", "Pedestrian", "Cyclist", "Car", "Others")]
 
+def _box_sql(vectors: str) -> str:
+    """Boxes of the vectors `v` as lines in the image of their clip."""
+    return f"""WITH {vectors}, {_CAMERA},
+{_raster_sql(f"s AS (SELECT clip_id, (track_id, seg, depth) AS id, {_PA[0]} AS u1, {_PA[1]} AS v1, {_PB[0]} AS u2, {_PB[1]} AS v2 FROM ends WHERE az > 0 AND bz > 0)", W, H, raster.BOX_WIDTH, "clip_id, id[1] AS track_id, id[2] AS seg, id[3] AS depth")},
+top AS (SELECT clip_id, u, v, track_id::BIGINT % 5 AS cls, arg_max(depth, (track_id, seg)) AS depth FROM hit GROUP BY ALL),
+lit AS (SELECT clip_id, u, v, {', '.join('CASE cls ' + ' '.join(f"WHEN {k} THEN {_SHADE.format(c=rgb[i])}" for k, (_, rgb) in enumerate(_CLASS)) + f' END AS {c}' for i, c in enumerate(raster.RGB))} FROM top)
+SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, max(r) AS r, max(g) AS g, max(b) AS b FROM lit GROUP BY ALL"""
+
+
+def _map_sql(vectors: str, f: str) -> str:
+    """Map features `f` (clip_id, prim, r, and x, y, z in the camera) in the image of their clip."""
+    return f"""WITH {vectors}, f AS ({f}),
+px AS (SELECT *, {_pixel('x', 'y', 'z')[0]} AS u, {_pixel('x', 'y', 'z')[1]} AS w, prim % 3 AS kind FROM f),
+-- areas
+seen AS (SELECT clip_id, prim, avg(z) AS depth FROM px WHERE kind = 0 GROUP BY ALL
+  HAVING count(*) >= 3 AND bool_or(round_even(u, 0) BETWEEN 0 AND {W - 1} AND round_even(w, 0) BETWEEN 0 AND {H - 1}) AND min(z) <= 122.5::DOUBLE),
+q AS (SELECT clip_id, prim, r, trunc(u) AS u, trunc(w) AS w FROM px JOIN seen USING (clip_id, prim)),
+flat AS (SELECT a.clip_id, a.prim FROM q a JOIN q b USING (clip_id, prim) JOIN q c USING (clip_id, prim) GROUP BY ALL HAVING max(abs((b.u - a.u) * (c.w - a.w) - (b.w - a.w) * (c.u - a.u))) = 0),
+rows AS (SELECT y FROM unnest(range({H})) AS t(y)),
+x AS (SELECT a.clip_id, a.prim, y, CASE WHEN a.w = b.w THEN a.u ELSE a.u + (b.u - a.u) * ((y - a.w) / (b.w - a.w)) END AS x FROM q a JOIN q b ON a.clip_id = b.clip_id AND a.prim = b.prim ANTI JOIN flat ON flat.clip_id = a.clip_id AND flat.prim = a.prim, rows WHERE a.w <= y AND b.w >= y),
+chord AS (SELECT clip_id, prim, y, greatest(ceil(min(x) - 1e-9), 0)::INTEGER AS lo, least(floor(max(x) + 1e-9), {W - 1})::INTEGER AS hi FROM x GROUP BY ALL),
+area AS (SELECT clip_id, u::INTEGER AS u, y::INTEGER AS v, max(prim) AS prim FROM chord, unnest(range(lo, hi + 1)) AS t(u) GROUP BY ALL),
+-- lines, every edge of the second kind in pieces
+edge AS (SELECT clip_id, prim, kind, r, x AS x0, y AS y0, z AS z0, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(z) OVER o AS z1 FROM px WHERE kind > 0 WINDOW o AS (PARTITION BY clip_id, prim ORDER BY r)),
+cutin AS (SELECT *, CASE WHEN kind = 1 THEN 2 ELSE greatest(trunc(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) / 0.8::DOUBLE)::BIGINT, 2) END AS n FROM edge WHERE x1 IS NOT NULL),
+piece AS (SELECT clip_id, prim, r * 1000 + k AS seg, x0 + (x1 - x0) * k / (n - 1) AS ax, y0 + (y1 - y0) * k / (n - 1) AS ay, z0 + (z1 - z0) * k / (n - 1) AS az,
+  x0 + (x1 - x0) * (k + 1) / (n - 1) AS bx, y0 + (y1 - y0) * (k + 1) / (n - 1) AS b_y, z0 + (z1 - z0) * (k + 1) / (n - 1) AS bz FROM cutin, unnest(range(n - 1)) AS t(k)),
+vertex AS (SELECT clip_id, prim, seg, ax AS x, ay AS y, az AS z FROM piece UNION ALL SELECT clip_id, prim, seg, bx, b_y, bz FROM piece),
+place AS (SELECT clip_id, prim, z, {_pixel('x', 'y', 'z')[0]} AS u, {_pixel('x', 'y', 'z')[1]} AS w FROM vertex),
+drawn AS (SELECT clip_id, prim FROM place GROUP BY ALL HAVING bool_or(round_even(u, 0) BETWEEN 0 AND {W - 1} AND round_even(w, 0) BETWEEN 0 AND {H - 1}) AND min(z) <= 122.5::DOUBLE),
+{_raster_sql(f"s AS (SELECT clip_id, (prim, seg, (az + bz) / 2) AS id, {_PA[0]} AS u1, {_PA[1]} AS v1, {_PB[0]} AS u2, {_PB[1]} AS v2 FROM piece JOIN drawn USING (clip_id, prim))", W, H, raster.MAP_WIDTH, "clip_id, id[1] AS prim, id[2] AS seg, id[3] AS depth")},
+line AS (SELECT clip_id, u, v, prim % 3 AS kind, arg_max(depth, (prim, seg)) AS depth FROM hit GROUP BY ALL),
+every AS (SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, kind, depth FROM line UNION ALL SELECT clip_id, u, v, 0, depth FROM area JOIN seen USING (clip_id, prim)),
+lit AS (SELECT clip_id, u, v, {', '.join('CASE kind ' + ' '.join(f"WHEN {k} THEN {_SHADE.format(c=next(y[2 + i] for y in raster.LAYERS if y[0] == n))}" for k, n in enumerate(LAYERS)) + f' END AS {c}' for i, c in enumerate(raster.RGB))} FROM every)
+SELECT clip_id, u, v, max(r) AS r, max(g) AS g, max(b) AS b FROM lit GROUP BY ALL"""
+
+
+#: A clip's frame is a clip of its own in these queries, with the frame before its number; that leaves the number even or odd.
+_FRAME = 10_000_000_000
+_STREWN = f"""SELECT frame * {_FRAME} + clip_id AS clip_id, prim, r, x, y, z FROM (
+  SELECT clip_id, frame, (r - 1) // 4 AS prim, r, -e1 AS x, -(e2 - 1) AS y, abs(e0) + (r - 1) // 4 % {ROAD} * {STEP / 4}::DOUBLE - frame * {STEP}::DOUBLE + 6 AS z FROM v, unnest(range(4)) AS t(frame)) WHERE z > 0"""
+
 ORACLE_SQL = {
     "box_corners": f"WITH {_V}, {_CORNER} SELECT clip_id, track_id, k, {_rounded('x: x', 'y: y', 'z: z')} FROM corner",
     "box_lines": f"""WITH {_V}, {_CORNER}, o AS (SELECT i, ([{', '.join(map(str, geometry.BOX_LINE))}])[i + 1] AS a, ([{', '.join(map(str, geometry.BOX_LINE))}])[i + 2] AS b FROM unnest(range(15)) AS t(i))
@@ -432,35 +499,11 @@ SELECT f.clip_id, f::INTEGER AS frame, id::VARCHAR AS track_id, round(e0, 4) + 0
     "world_points": f"""WITH {_V}, s AS (SELECT clip_id, cos(e3) AS c, sin(e3) AS s, e4 AS tx, e5 AS ty FROM v WHERE r = 1)
 SELECT v.clip_id, id AS point_id, 'TOP' AS sensor, {_rounded('x: c * e0 - s * e1 + tx', 'y: s * e0 + c * e1 + ty', 'z: e2 + 1')} FROM v JOIN s USING (clip_id)
 WHERE id % 3 <> 0 AND sqrt(e0 * e0 + e1 * e1 + e2 * e2) >= 1.5::DOUBLE""",
-    "box_raster": f"""WITH {_V}, {_CAMERA},
-{_raster_sql(f"s AS (SELECT clip_id, (track_id, seg, depth) AS id, {_PA[0]} AS u1, {_PA[1]} AS v1, {_PB[0]} AS u2, {_PB[1]} AS v2 FROM ends WHERE az > 0 AND bz > 0)", W, H, raster.BOX_WIDTH, "clip_id, id[1] AS track_id, id[2] AS seg, id[3] AS depth")},
-top AS (SELECT clip_id, u, v, track_id::BIGINT % 5 AS cls, arg_max(depth, (track_id, seg)) AS depth FROM hit GROUP BY ALL),
-lit AS (SELECT clip_id, u, v, {', '.join('CASE cls ' + ' '.join(f"WHEN {k} THEN {_SHADE.format(c=rgb[i])}" for k, (_, rgb) in enumerate(_CLASS)) + f' END AS {c}' for i, c in enumerate(raster.RGB))} FROM top)
-SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, max(r) AS r, max(g) AS g, max(b) AS b FROM lit GROUP BY ALL""",
-    "map_raster": f"""WITH {_V}, f AS (SELECT clip_id, (r - 1) // 4 AS prim, r, -e1 AS x, -(e2 - 1) AS y, abs(e0) + 6 AS z FROM v),
-px AS (SELECT *, {_pixel('x', 'y', 'z')[0]} AS u, {_pixel('x', 'y', 'z')[1]} AS w, prim % 3 AS kind FROM f),
--- areas
-seen AS (SELECT clip_id, prim, avg(z) AS depth FROM px WHERE kind = 0 GROUP BY ALL
-  HAVING count(*) >= 3 AND bool_or(round_even(u, 0) BETWEEN 0 AND {W - 1} AND round_even(w, 0) BETWEEN 0 AND {H - 1}) AND min(z) <= 122.5::DOUBLE),
-q AS (SELECT clip_id, prim, r, trunc(u) AS u, trunc(w) AS w FROM px JOIN seen USING (clip_id, prim)),
-flat AS (SELECT a.clip_id, a.prim FROM q a JOIN q b USING (clip_id, prim) JOIN q c USING (clip_id, prim) GROUP BY ALL HAVING max(abs((b.u - a.u) * (c.w - a.w) - (b.w - a.w) * (c.u - a.u))) = 0),
-rows AS (SELECT y FROM unnest(range({H})) AS t(y)),
-x AS (SELECT a.clip_id, a.prim, y, CASE WHEN a.w = b.w THEN a.u ELSE a.u + (b.u - a.u) * ((y - a.w) / (b.w - a.w)) END AS x FROM q a JOIN q b ON a.clip_id = b.clip_id AND a.prim = b.prim ANTI JOIN flat ON flat.clip_id = a.clip_id AND flat.prim = a.prim, rows WHERE a.w <= y AND b.w >= y),
-chord AS (SELECT clip_id, prim, y, greatest(ceil(min(x) - 1e-9), 0)::INTEGER AS lo, least(floor(max(x) + 1e-9), {W - 1})::INTEGER AS hi FROM x GROUP BY ALL),
-area AS (SELECT clip_id, u::INTEGER AS u, y::INTEGER AS v, max(prim) AS prim FROM chord, unnest(range(lo, hi + 1)) AS t(u) GROUP BY ALL),
--- lines, every edge of the second kind in pieces
-edge AS (SELECT clip_id, prim, kind, r, x AS x0, y AS y0, z AS z0, lead(x) OVER o AS x1, lead(y) OVER o AS y1, lead(z) OVER o AS z1 FROM px WHERE kind > 0 WINDOW o AS (PARTITION BY clip_id, prim ORDER BY r)),
-cutin AS (SELECT *, CASE WHEN kind = 1 THEN 2 ELSE greatest(trunc(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) / 0.8::DOUBLE)::BIGINT, 2) END AS n FROM edge WHERE x1 IS NOT NULL),
-piece AS (SELECT clip_id, prim, r * 1000 + k AS seg, x0 + (x1 - x0) * k / (n - 1) AS ax, y0 + (y1 - y0) * k / (n - 1) AS ay, z0 + (z1 - z0) * k / (n - 1) AS az,
-  x0 + (x1 - x0) * (k + 1) / (n - 1) AS bx, y0 + (y1 - y0) * (k + 1) / (n - 1) AS b_y, z0 + (z1 - z0) * (k + 1) / (n - 1) AS bz FROM cutin, unnest(range(n - 1)) AS t(k)),
-vertex AS (SELECT clip_id, prim, seg, ax AS x, ay AS y, az AS z FROM piece UNION ALL SELECT clip_id, prim, seg, bx, b_y, bz FROM piece),
-place AS (SELECT clip_id, prim, z, {_pixel('x', 'y', 'z')[0]} AS u, {_pixel('x', 'y', 'z')[1]} AS w FROM vertex),
-drawn AS (SELECT clip_id, prim FROM place GROUP BY ALL HAVING bool_or(round_even(u, 0) BETWEEN 0 AND {W - 1} AND round_even(w, 0) BETWEEN 0 AND {H - 1}) AND min(z) <= 122.5::DOUBLE),
-{_raster_sql(f"s AS (SELECT clip_id, (prim, seg, (az + bz) / 2) AS id, {_PA[0]} AS u1, {_PA[1]} AS v1, {_PB[0]} AS u2, {_PB[1]} AS v2 FROM piece JOIN drawn USING (clip_id, prim))", W, H, raster.MAP_WIDTH, "clip_id, id[1] AS prim, id[2] AS seg, id[3] AS depth")},
-line AS (SELECT clip_id, u, v, prim % 3 AS kind, arg_max(depth, (prim, seg)) AS depth FROM hit GROUP BY ALL),
-every AS (SELECT clip_id, u::INTEGER AS u, v::INTEGER AS v, kind, depth FROM line UNION ALL SELECT clip_id, u, v, 0, depth FROM area JOIN seen USING (clip_id, prim)),
-lit AS (SELECT clip_id, u, v, {', '.join('CASE kind ' + ' '.join(f"WHEN {k} THEN {_SHADE.format(c=next(y[2 + i] for y in raster.LAYERS if y[0] == n))}" for k, n in enumerate(LAYERS)) + f' END AS {c}' for i, c in enumerate(raster.RGB))} FROM every)
-SELECT clip_id, u, v, max(r) AS r, max(g) AS g, max(b) AS b FROM lit GROUP BY ALL""",
+    "box_raster": _box_sql(_V),
+    "map_raster": _map_sql(_V, "SELECT clip_id, (r - 1) // 4 AS prim, r, -e1 AS x, -(e2 - 1) AS y, abs(e0) + 6 AS z FROM v"),
+    "hdmap_condition": f"""SELECT (clip_id % {_FRAME})::BIGINT AS clip_id, (clip_id // {_FRAME})::INTEGER AS frame, u, v, max(r) AS r, max(g) AS g, max(b) AS b FROM (
+  SELECT * FROM ({_map_sql(_V, _STREWN)}) UNION ALL
+  SELECT * FROM ({_box_sql(_V.replace("v AS (", "v0 AS (") + f", v AS (SELECT * REPLACE (id % 4 * {_FRAME} + clip_id AS clip_id) FROM v0)")})) GROUP BY ALL""",
     "lidar_condition": f"""WITH {_V},
 pts AS (SELECT clip_id, id AS point_id, r % 3 * 3 AS sweep, e0 * 3 AS x, e1 * 3 AS y, e2 * 3 AS z FROM v WHERE sqrt(pow(e0 * 3, 2) + pow(e1 * 3, 2) + pow(e2 * 3, 2)) >= 3),
 sw AS (SELECT clip_id, (r - 1) * 3 AS sweep, cos(e3) AS c, sin(e3) AS s, e4 AS tx, e5 AS ty FROM v WHERE r <= 3),

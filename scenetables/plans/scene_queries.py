@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenetables.functions import camera, mat
-from scenetables.operators import geometry, points, raster
+from scenetables.operators import dense, geometry, points, raster
 
 W, H = 64, 48
 RGB = raster.RGB
@@ -111,6 +111,11 @@ _Z = f"""px AS (SELECT *, round_even(u, 0)::INTEGER AS pu, round_even(v, 0)::INT
 z AS (SELECT clip_id, pu AS u, pv AS v, arg_min(r, (z, id)) AS r, arg_min(g, (z, id)) AS g, arg_min(b, (z, id)) AS b FROM px WHERE pu >= 0 AND pu < {W} AND pv >= 0 AND pv < {H} GROUP BY ALL)"""
 
 
+def dense_z_buffer(spark, sf_dir):
+    """The same images, each filled by a kernel."""
+    return dense.z_buffer(_projected(_vectors(spark, sf_dir)), W, H, ["clip_id"])
+
+
 def cropped_images(spark, sf_dir):
     """The middle of each raster, and its pixels in an image of twice the size."""
     z = geometry.center_cropped(raster.z_buffer(_projected(_vectors(spark, sf_dir)), ["clip_id"]), W, H, 32, 24)
@@ -138,12 +143,12 @@ def _splat_points(v: DataFrame) -> DataFrame:
     return v.filter("e2 > 0.05").select("clip_id", (F.col("e0") * 4 / F.col("e2") + 8).alias("pu"), (F.col("e1") * 4 / F.col("e2") + 8).alias("pv"), (F.col("e2") * 10).alias("depth"))
 
 
-def _splat(kernel: str):
+def _splat(kernel: str, splat, name: str):
     def run(spark, sf_dir):
-        s = points.depth_splat(_splat_points(_vectors(spark, sf_dir)), ["clip_id"], 16, 16, kernel)
+        s = splat(_splat_points(_vectors(spark, sf_dir)), ["clip_id"], 16, 16, kernel)
         return s.select("clip_id", "u", "v", F.round("depth", 4).alias("depth"))
 
-    run.__name__ = f"depth_splat_{kernel}"
+    run.__name__ = f"{name}_{kernel}"
     return run
 
 
@@ -183,12 +188,20 @@ def dilated_mask(spark, sf_dir):
     return d.groupBy("clip_id").agg(F.count("*").alias("n"), F.sum(F.col("u") * 100 + F.col("v")).alias("checksum"))
 
 
-def line_raster(spark, sf_dir):
-    """Segments of 5 pixels' width between the places of two coordinates, cut to the image."""
-    v = _vectors(spark, sf_dir)
+def _segments(v: DataFrame) -> DataFrame:
+    """Segments between the places of two coordinates."""
     at = lambda i, n: F.floor((F.col(f"e{i}") + 2) / 4 * (n - 1))
-    s = v.select("clip_id", F.col("id").alias("prim_id"), F.lit(0).alias("seg_id"), at(0, W).alias("u1"), at(1, H).alias("v1"), at(2, W).alias("u2"), at(3, H).alias("v2"), *((F.col("id") * k % 256).cast("int").alias(c) for k, c in zip((1, 3, 7), RGB)))
-    return raster.line_raster(s, W, H, 5, ["clip_id"])
+    return v.select("clip_id", F.col("id").alias("prim_id"), F.lit(0).alias("seg_id"), at(0, W).alias("u1"), at(1, H).alias("v1"), at(2, W).alias("u2"), at(3, H).alias("v2"), *((F.col("id") * k % 256).cast("int").alias(c) for k, c in zip((1, 3, 7), RGB)))
+
+
+def line_raster(spark, sf_dir):
+    """Segments of 5 pixels' width, cut to the image."""
+    return raster.line_raster(_segments(_vectors(spark, sf_dir)), W, H, 5, ["clip_id"])
+
+
+def dense_lines(spark, sf_dir):
+    """The same images, each filled by a kernel."""
+    return dense.line_raster(_segments(_vectors(spark, sf_dir)), W, H, 5, ["clip_id"])
 
 
 def hull_raster(spark, sf_dir):
@@ -231,8 +244,8 @@ def video_grid(spark, sf_dir):
     return raster.video_grid(z, views, W, H, 3).drop("frame")
 
 
-_DEPTH_SPLATS = [_splat(k) for k in ("nearest", "bilinear", "gaussian")]
-QUERIES = {f.__name__: f for f in (points_in_boxes, move_points, move_points_masked, move_points_strict, near_points, sweep_window, bev_nearest, pinhole_zbuffer, cropped_images, ray_round_trip, forward_domain, *_DEPTH_SPLATS, layer_max, overlay, dilated_mask, line_raster, hull_raster, removal_mask, depth_colours, densified_lines, video_grid)}
+_DEPTH_SPLATS = [_splat(k, f, n) for f, n in ((points.depth_splat, "depth_splat"), (dense.depth_splat, "dense_splat")) for k in ("nearest", "bilinear", "gaussian")]
+QUERIES = {f.__name__: f for f in (points_in_boxes, move_points, move_points_masked, move_points_strict, near_points, sweep_window, bev_nearest, pinhole_zbuffer, dense_z_buffer, cropped_images, ray_round_trip, forward_domain, *_DEPTH_SPLATS, layer_max, overlay, dilated_mask, line_raster, dense_lines, hull_raster, removal_mask, depth_colours, densified_lines, video_grid)}
 
 _MOVED = f"""WITH {_V}, {_BOX}, {_held('1.2::DOUBLE')},
 one AS (SELECT clip_id, point_id, bool_or(track_id::BIGINT % 5 = 3) AS gone, arg_min(track_id, track_id) AS track_id FROM held GROUP BY ALL),
@@ -326,3 +339,4 @@ SELECT clip_id, count(*) AS n, round(sum(x), 4) AS x, round(sum(y), 4) AS y, rou
 z AS (SELECT clip_id, view, pu AS u, pv AS v, arg_min(r, (z, id)) AS r, arg_min(g, (z, id)) AS g, arg_min(b, (z, id)) AS b FROM px WHERE pu >= 0 AND pu < {W} AND pv >= 0 AND pv < {H} GROUP BY ALL)
 SELECT clip_id, (u + view % 3 * 66 + CASE WHEN view >= 3 THEN 33 ELSE 0 END)::INTEGER AS u, (v + view // 3 * 50)::INTEGER AS v, r, g, b FROM z""",
 }
+ORACLE_SQL |= {f"dense_{n}": ORACLE_SQL[of] for n, of in (("z_buffer", "pinhole_zbuffer"), ("lines", "line_raster"), *((f"splat_{k}", f"depth_splat_{k}") for k in ("nearest", "bilinear", "gaussian")))}
