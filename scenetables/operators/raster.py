@@ -42,8 +42,8 @@ DENSE_LAYERS, DENSE_STEP = ("lanelines", "road_boundaries"), 0.8
 
 def z_buffer(points: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     """The colour of the nearest point of each pixel. points: keys, id, u, v (not rounded), z, w, h, r, g, b; those behind the
-    camera or outside the image are left out, and the smaller id wins at equal depths."""
-    p = points.filter("z > 0").withColumn("u", F.bround("u").cast("int")).withColumn("v", F.bround("v").cast("int"))
+    camera or outside the image, or without a place, are left out, and the smaller id wins at equal depths."""
+    p = points.filter("z > 0 AND abs(u) < 1e9 AND abs(v) < 1e9").withColumn("u", F.bround("u").cast("int")).withColumn("v", F.bround("v").cast("int"))
     p = p.filter(camera.inside(F.col("u"), F.col("v"), F.col("w"), F.col("h")))
     return p.groupBy(*keys, "u", "v").agg(F.min_by(F.struct(*RGB), F.struct("z", "id")).alias("c")).select(*keys, "u", "v", "c.*")
 
@@ -137,11 +137,16 @@ def hull_raster(polygons: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE
     return p.groupBy(*keys, "u", "v").agg(F.max_by(F.struct(*RGB), "prim_id").alias("c")).select(*keys, "u", "v", "c.*")
 
 
+def prepared(cameras: DataFrame, w: int, h: int) -> DataFrame:
+    """cameras with what drawing needs of them, once for all that is drawn: inverse poses and views."""
+    return cameras if "__view" in cameras.columns else tiles.camera_view(geometry.kept(cameras, "__inv", mat.affine_inv("m")), w, h)
+
+
 def _in_camera(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Sequence[str]) -> DataFrame:
     """features (clip_id, [frame,] prim_id, colour, vertices) that each camera may see: vertices in camera space. cameras: keys, m, and a
     model as in camera.project. Features of a clip meet cameras by visibility tiles, those of a frame by their frame."""
     on = [k for k in keys if k in features.columns and k in cameras.columns]
-    cams = tiles.camera_view(geometry.kept(cameras, "__inv", mat.affine_inv("m")), w, h)
+    cams = prepared(cameras, w, h)
     f = tiles.with_place(features)
     met = f.join(cams, on) if "frame" in on else tiles.meeting(f, cams, on)
     seen = tiles.in_view(met).drop("__at", "__view")
@@ -197,6 +202,10 @@ def with_layers(features: DataFrame) -> DataFrame:
     return f.withColumn("geom_type", known)
 
 
+def _cameras(cameras: DataFrame, w: int, h: int) -> DataFrame:
+    return prepared(cameras, w, h).select(*IMAGE, "__inv", "__view", *camera.model_columns(cameras))
+
+
 def draw_map(features: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
     """All layers of map_features (clip_id, layer, feature_id, vertices) in each camera image: areas and cuboids as hulls, the
     others as lines, two layers of them densified; the layers are merged by channel."""
@@ -209,7 +218,7 @@ def draw_map(features: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFra
     cols = ["clip_id", "layer", "prim_id", *RGB, "vertices"]
     lines = lines.filter(~F.col("layer").isin(*DENSE_LAYERS)).select(*cols).unionByName(dense.select(*cols))
     keys = [*IMAGE, "layer"]
-    cams = cameras.select(*IMAGE, "m", *camera.model_columns(cameras))
+    cams = _cameras(cameras, w, h)
     drawn = [draw_lines(lines, cams, w, h, MAP_WIDTH, keys), draw_hulls(f.filter("geom_type <> 'polyline'").select(*cols), cams, w, h, keys)]
     return merged([d.drop("layer") for d in drawn])
 
@@ -224,14 +233,15 @@ def draw_boxes(objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFr
             pick = pick.when(F.col("cls") == name, F.lit(rgb[i]))
         o = o.withColumn(c, pick)
     o = o.select("clip_id", "frame", F.col("track_id").alias("prim_id"), "cls", *RGB, "vertices")
-    cams = cameras.select(*IMAGE, "m", *camera.model_columns(cameras))
+    cams = _cameras(cameras, w, h)
     return merged([draw_lines(o, cams, w, h, BOX_WIDTH, [*IMAGE, "cls"]).drop("cls")])
 
 
 def hdmap_condition(features: DataFrame, objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
     """The map and the boxes of each camera image, merged. cameras: clip_id, camera, frame, m and a model as in camera.project, pinhole and f-theta mixed
     if wanted (camera.camera_models)."""
-    return merged([draw_map(features, cameras, w, h), draw_boxes(objects, cameras, w, h)])
+    cams = prepared(cameras, w, h)
+    return merged([draw_map(features, cams, w, h), draw_boxes(objects, cams, w, h)])
 
 
 def _around(rows: DataFrame, ends: list[Column], egos: DataFrame, metres: float) -> DataFrame:
