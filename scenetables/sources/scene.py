@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _OBJECT = "map<string, struct<object_to_world: array<array<double>>, object_lwh: array<double>, object_is_moving: boolean, object_type: string>>"
 _VERTEX = "array<array<double>>"
@@ -190,51 +189,8 @@ def record_timestamps(records: DataFrame) -> DataFrame:
     return records.select("clip_id", (F.col("frame") * 3).alias("frame"), F.timestamp_micros("micros").alias("ts"))
 
 
-class LidarSource(DataSource):
-    """spark.read.format("lidar_tar").option("paths", json).load(): one partition for each tar, points of all its frames.
-
-    For files over the 2 GB that binaryFile can hold; paths are files of the executors, or URIs of a store that Arrow's file systems know."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "lidar_tar"
-
-    def schema(self) -> str:
-        return "clip_id string, frame int, m array<double>, points array<array<double>>"
-
-    def reader(self, schema):
-        return _LidarReader(json.loads(self.options["paths"]))
-
-
-def _opened(path: str):
-    """A local path, or a URI of any store that Arrow reads."""
-    if "://" not in path:
-        return open(path.removeprefix("file:"), "rb")
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_stream(inner)
-
-
-class _LidarReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition):
-        import numpy as np
-
-        with _opened(partition.value) as f:
-            for clip, field, ext, content in _members(f):
-                if ext == "npz" and field.endswith(".lidar_raw"):
-                    z = np.load(io.BytesIO(content))
-                    yield clip, int(field.split(".")[0]), z["lidar_to_world"].astype(float).ravel().tolist(), z["xyz"].astype(float).reshape(-1, 3).tolist()
-
-
 def lidar_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lidar_points (clip_id, frame, point_id, x, y, z) and lidar_sweeps (clip_id, frame, m)."""
+    """lidar_points (clip_id, frame, point_id, x, y, z) and lidar_sweeps (clip_id, frame, m) of what tars.read_lidar() reads."""
     p = raw.select("clip_id", "frame", F.posexplode("points").alias("point_id", "p"))
     return p.select("clip_id", "frame", F.col("point_id").cast("long").alias("point_id"), *(F.col("p")[i].alias(c) for i, c in enumerate("xyz"))), raw.select("clip_id", "frame", "m")
 

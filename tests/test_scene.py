@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scenetables.functions import camera, mat
 from scenetables.operators import geometry, objects, points, raster, resample
 from scenetables.plans import manifest, scenes
-from scenetables.sources import scene, sinks
+from scenetables.sources import scene, sinks, tars
 from scenetables.streaming import resume
 
 I16 = [float(x) for x in mat.IDENTITY]
@@ -285,10 +285,10 @@ def test_lidar_condition(spark):
 
 def test_tar_round_trip_and_scans(spark, tmp_path):
     o = spark.createDataFrame([("c1", f, t, "Car", t == "b", [1.0, 2.0, 3.0], rz(10 * f)) for f in (0, 3) for t in "ab"], OBJECTS)
-    tars = sinks.sample_tars(sinks.object_members(o)).collect()
+    packed = sinks.sample_tars(sinks.object_members(o)).collect()
     folder = tmp_path / "all_object_info"
     folder.mkdir()
-    for r in tars:
+    for r in packed:
         (folder / f"{r.clip_id}.tar").write_bytes(r.tar)
     back = scene.objects(scene.read_tars(spark, f"file://{tmp_path}", "all_object_info"))
     key = lambda r: (r.frame, r.track_id)
@@ -308,8 +308,7 @@ def test_tar_round_trip_and_scans(spark, tmp_path):
     m = scene.read_tars(spark, f"file://{tmp_path}", "pose")
     got = scene.camera_poses(m, "front").collect()
     assert [(r.frame, r.m) for r in got] == [(0, I16)] and scene.camera_poses(m).count() == 2
-    spark.dataSource.register(scene.LidarSource)
-    pts, sweeps = scene.lidar_tables(spark.read.format("lidar_tar").option("paths", json.dumps([str(lidar / "c1.tar")])).load())
+    pts, sweeps = scene.lidar_tables(tars.read_lidar(spark, str(lidar / "c1.tar")))
     assert sorted((r.frame, r.point_id, r.x, r.z) for r in pts.collect()) == [(3, 0, 0, 2), (3, 1, 3, 5)] and sweeps.first().m == I16
     listing = scene.files(spark, f"file://{tmp_path}")
     assert scene.in_folders(listing, ["pose"], {"lidar": ["lidar_raw"]}, ["lidar"]).count() == 2

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scenetables.functions import camera, mat
 from scenetables.operators import geometry, objects, points, raster, resample
 from scenetables.plans import manifest
-from scenetables.sources import scene
+from scenetables.sources import scene, tars
 from test_scene import I16, OBJECTS, one, rz
 
 
@@ -179,9 +179,8 @@ def test_lidar_by_uri(spark, tmp_path):
         info = tarfile.TarInfo("c.000003.lidar_raw.npz")
         info.size = len(out.getvalue())
         tar.addfile(info, io.BytesIO(out.getvalue()))
-    spark.dataSource.register(scene.LidarSource)
     for at in (str(path), f"file://{path}"):
-        r = spark.read.format("lidar_tar").option("paths", json.dumps([at])).load().first()
+        r = tars.read_lidar(spark, at).first()
         assert (r.clip_id, r.frame, len(r.points)) == ("c", 3, 2)
 
 
