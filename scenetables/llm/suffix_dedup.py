@@ -5,12 +5,12 @@ suffixes at such anchors need sorting. Occurrences of an anchor form a class; a
 of REPORT bytes cover, and the bytes after them up to LENGTH from the last start. Classes of one member are dropped by counts of
 grams alone. Equal contexts repeat each other, which a hash settles. For the rest of a class the suffixes from the anchor are
 sorted; a stack scan of their common prefixes walks the interval tree, and at every interval the left extensions of its
-members are compared. That gives each occurrence its maximal repeats, whatever the order of the occurrences; the
-repeated bytes name the group, so that all occurrences of a maximal repeat share a name. Classes of more than CLASS members
+members are compared. That gives each occurrence the longest repeats it takes part in, whatever the order of the occurrences. Classes of more than CLASS members
 are first cut into finer ones, by more of the text around the anchor, down to single windows, which need no sorting; so
 no class grows with the corpus.
 
-Repeats of REPORT bytes or more are reported; bytes go where a repeat of LENGTH or more covers them.
+Repeats of REPORT bytes or more are reported; bytes go where a repeat of LENGTH or more covers them. The groups of maximal repeats,
+each whole and with all its occurrences, are made in repeat_groups.
 """
 
 from __future__ import annotations
@@ -314,10 +314,8 @@ def _settled(docs: DataFrame, found: DataFrame, report: int, length: int, cells:
 
 
 def repeats(docs: DataFrame, report: int = REPORT, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_key, start, end, name) of docs (doc_id, text_key, text): repeated byte strings of `report` bytes or more, with all
-    their occurrences. The union of the spans is every byte covered by a string of `report` bytes that also starts anywhere else;
-    that of the spans of `length` or more is the same for `length`. Rows of a name are occurrences of one
-    string. In classes over CLASS members a long repeat comes as its windows."""
+    """(doc_id, text_key, start, end, name) of docs (doc_id, text_key, text): pieces of repeated byte strings, of `report` bytes or more. The union of the spans is every byte covered by a string of `report` bytes that also starts anywhere else;
+    that of the spans of `length` or more is the same for `length`. Rows of a name hold one string."""
     parts, tables = _settled(docs, anchors(docs, report, length, gram), report, length, CELLS)
     every = parts[0]
     for p in parts[1:]:
@@ -328,16 +326,6 @@ def repeats(docs: DataFrame, report: int = REPORT, length: int = LENGTH, gram: i
     return every
 
 
-def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: int = REPORT, gram: int = GRAM) -> DataFrame:
-    """(name, n_bytes, occurrences, doc_id, start): one row per occurrence of each group of maximal repeats of `report` bytes or more.
-
-    Null texts count as empty; repeated rows are occurrences once; an empty table gives an empty result."""
-    d = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = repeats(d, report, max(report, LENGTH), gram).withColumn("n_bytes", F.col("end") - F.col("start"))
-    sizes = found.groupBy("name", "n_bytes").agg(F.count("*").alias("occurrences"))
-    return found.join(sizes, ["name", "n_bytes"]).select("name", "n_bytes", "occurrences", "doc_id", "start")
-
-
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):

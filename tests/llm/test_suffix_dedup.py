@@ -100,25 +100,8 @@ def test_one_passage_before_many_endings(spark, documents, monkeypatch):
     assert [(got[k].n_removed, got[k].n_repeats, got[k].repeated_bytes) for k in range(len(texts))] == [(b[1], b[4], b[5]) for b in brute(texts, 40, 25)]
 
 
-def test_groups_hold_all_occurrences(spark, documents):
-    """Every maximal repeat of a small corpus is a group, with each place where no longer repeat covers it."""
-    rng = random.Random(6)
-    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
-    a, b = word(60), word(50)
-    texts = [word(20) + a + word(20), a + word(9), word(9) + a + b + word(5), word(30) + b, word(100)]
-    got = sd.repeat_groups(documents(list(enumerate(texts))), report=40, gram=10).collect()
-    groups = {}
-    for r in got:
-        groups.setdefault((r.name, r.n_bytes, r.occurrences), set()).add((r.doc_id, r.start))
-    places = {texts[next(iter(v))[0]][next(iter(v))[1] :][: k[1]]: v for k, v in groups.items()}
-    assert all(len(v) == k[2] for k, v in groups.items())
-    assert {k: places[k] for k in (a, b)} == {a: {(0, 20), (1, 0), (2, 9)}, b: {(2, 69), (3, 30)}}
-    assert all(texts[d][s:].startswith(t) for t, v in places.items() for d, s in v)
-
-
 def test_empty_table(spark, documents):
     assert sd.remove_repeats(documents([(1, "a")]).limit(0)).count() == 0
-    assert sd.repeat_groups(documents([(1, "a")]).limit(0)).count() == 0
 
 
 def test_query(spark, documents, corpus_dir):
