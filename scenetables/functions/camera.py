@@ -5,12 +5,14 @@ Polynomials are arrays of doubles, lowest order first. The linear part of an f-t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetables.functions.mat import Vec, d, norm
 
-DOMAIN_STEPS = 2000
+DOMAIN_STEPS, DOMAIN_BLOCK = 2000, 40
 FIT_SAMPLES = 500
 SUPPORTED_DEGREES = (4, 5)
 
@@ -180,6 +182,13 @@ def rig_cameras(rigs: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are computed once for a row, though lambdas name them again and again: a generator is not copied into what follows it."""
+    for name, value in values.items():
+        df = df.withColumn(name, F.explode(F.array(value)))
+    return df
+
+
 def _solve(n: int):
     """Gauss elimination of an n x (n + 1) system, as an aggregate over array rows, on the JVM."""
     def run(system: Column) -> Column:
@@ -194,45 +203,67 @@ def _solve(n: int):
     return run
 
 
-def fit_inverse(cameras: DataFrame, degree: int = 5, key: tuple[str, ...] = ("clip_id", "camera")) -> DataFrame:
+def fit_inverse(cameras: DataFrame, degree: int = 5) -> DataFrame:
     """Adds `inverse`: the polynomial without intercept that maps the values of `poly` over [0, domain] back, by least
-    squares on FIT_SAMPLES samples. cameras: the key, poly and domain; fit each distinct camera once.
+    squares on FIT_SAMPLES samples. cameras: poly and domain; each row is solved by itself.
 
     Samples are scaled to [0, 1] first: in pixels the normal equations of degree 5 are too ill-conditioned to solve."""
     if degree not in SUPPORTED_DEGREES:
         raise ValueError(f"degree must be one of {SUPPORTED_DEGREES}")
-    s = cameras.select(*key, "poly", "domain", F.explode(F.sequence(F.lit(0), F.lit(FIT_SAMPLES - 1))).alias("i"))
-    s = s.withColumn("y", F.col("domain") * F.col("i") / (FIT_SAMPLES - 1)).withColumn("x", horner(F.col("poly"), F.col("y")))
-    top = s.groupBy(*key).agg(F.max("x").alias("scale"), F.max("y").alias("height"))
-    s = s.join(top, list(key)).withColumn("x", F.try_divide(F.col("x"), F.col("scale"))).withColumn("y", F.try_divide(F.col("y"), F.col("height")))
-    power = lambda k: F.pow(F.col("x"), d(k))
-    sums = s.groupBy(*key, "scale", "height").agg(*(F.sum(power(k)).alias(f"x{k}") for k in range(2, 2 * degree + 1)), *(F.sum(power(k) * F.col("y")).alias(f"y{k}") for k in range(1, degree + 1)))
-    system = F.array(*(F.array(*(F.col(f"x{i + j}") for j in range(1, degree + 1)), F.col(f"y{i}")) for i in range(1, degree + 1)))
-    solved = sums.select(*key, "scale", "height", _solve(degree)(system).alias("c"))
-    inverse = F.concat(F.array(d(0)), F.transform("c", lambda c, i: c * F.col("height") / F.pow(F.col("scale"), i + 1)))
-    return cameras.join(solved.select(*key, inverse.alias("inverse")), list(key))
-
-
-def forward_domain(cameras: DataFrame, key: tuple[str, ...] = ("clip_id", "camera")) -> DataFrame:
+    c = _once(cameras, __rev=F.reverse("poly")).withColumn("__top", F.col("domain").cast("double"))
+    value = lambda y: F.aggregate("__rev", d(0), lambda acc, k: acc * y + k)
+    steps = F.sequence(F.lit(0), F.lit(FIT_SAMPLES - 1))
+    c = _once(c, __x=F.transform(steps, lambda i: value(F.col("__top") * i / (FIT_SAMPLES - 1))))
+    c = _once(c, __scale=F.array_max("__x"))
+    samples = F.zip_with("__x", steps, lambda x, i: F.struct(F.try_divide(x, F.col("__scale")).alias("x"), F.try_divide(F.col("__top") * i / (FIT_SAMPLES - 1), F.col("__top")).alias("y")))
+    c = _once(c, __samples=samples)
+    total = lambda of: F.aggregate("__samples", d(0), lambda acc, s: acc + of(s))
+    powers = [total(lambda s, k=k: F.pow(s["x"], d(k))) for k in range(1, 2 * degree + 1)]
+    c = _once(c, __s=F.array(*powers, *(total(lambda s, k=k: F.pow(s["x"], d(k)) * s["y"]) for k in range(1, degree + 1))))
+    at = lambda k: F.col("__s")[k - 1]
+    system = F.array(*(F.array(*(at(i + j) for j in range(1, degree + 1)), F.col("__s")[2 * degree + i - 1]) for i in range(1, degree + 1)))
+    c = _once(c, __c=_solve(degree)(system))
+    inverse = F.concat(F.array(d(0)), F.transform("__c", lambda k, i: k * F.col("__top") / F.pow(F.col("__scale"), (i + 1).cast("double"))))
+    return c.withColumn("inverse", inverse).select(*cameras.columns, "inverse")
+
+
+def forward_domain(cameras: DataFrame) -> DataFrame:
     """Adds max_angle, scanned in steps of pi / DOMAIN_STEPS: the last angle before the forward polynomial `fw` stops rising,
-    or the first at which it passes `border`; pi if neither happens."""
-    s = cameras.select(*key, "fw", "border", F.explode(F.sequence(F.lit(1), F.lit(DOMAIN_STEPS))).alias("i"))
-    s = s.withColumn("angle", F.col("i") * F.pi() / DOMAIN_STEPS)
-    falls, leaves = horner(derivative(F.col("fw")), F.col("angle")) <= 0, horner(F.col("fw"), F.col("angle")) > F.col("border")
-    s = s.withColumn("stop", F.when(falls, F.col("i") - 1).when(leaves, F.col("i")))
-    at = s.groupBy(*key).agg(F.min(F.when(falls | leaves, F.struct("i", "stop"))).alias("hit"))
-    return cameras.join(at.select(*key, (F.coalesce(F.col("hit.stop"), F.lit(DOMAIN_STEPS)) * F.pi() / DOMAIN_STEPS).alias("max_angle")), list(key))
-
-
-def calibrate_ftheta(cameras: DataFrame, key: tuple[str, ...] = ("clip_id", "camera")) -> DataFrame:
+    or the first at which it passes `border`; pi if neither happens. Each row is solved by itself.
+
+    Blocks of DOMAIN_BLOCK steps are passed over where the value and the slope in the middle are farther from their limits than they can
+    change in half a block; the others are scanned, up to the first block whose middle is beyond a limit."""
+    step = math.pi / DOMAIN_STEPS
+    c = _once(cameras, __rev=F.reverse("fw"), __slope=F.reverse(derivative(F.col("fw"))))
+    most = lambda k: F.aggregate(F.transform("fw", lambda a, i: F.abs(a) * (i if k == 1 else i * (i - 1)) * F.pow(d(math.pi), F.greatest(i - k, F.lit(0)).cast("double"))), d(0), lambda acc, x: acc + x)
+    reach = DOMAIN_BLOCK / 2 * step
+    c = _once(c, __m1=most(1) * reach, __m2=most(2) * reach)
+    value = lambda poly, i: F.aggregate(poly, d(0), lambda acc, k: acc * (i * F.pi() / DOMAIN_STEPS) + k)
+    middle = lambda b: b * DOMAIN_BLOCK + DOMAIN_BLOCK / 2
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(DOMAIN_STEPS // DOMAIN_BLOCK - 1)), lambda b: F.struct(b.alias("b"), value("__slope", middle(b)).alias("s"), value("__rev", middle(b)).alias("v")))
+    c = _once(c, __blocks=blocks)
+    over = lambda x, by: (x["s"] <= by * F.col("__m2")) | (x["v"] > F.col("border") - by * F.col("__m1"))
+    c = _once(c, __end=F.coalesce(F.array_min(F.transform(F.filter("__blocks", lambda x: over(x, F.lit(0))), lambda x: x["b"])), F.lit(DOMAIN_STEPS)))
+    near = F.filter("__blocks", lambda x: (x["b"] <= F.col("__end")) & over(x, F.lit(1.000001)))
+
+    def scanned(x: Column) -> Column:
+        steps = F.sequence(x["b"] * DOMAIN_BLOCK + 1, (x["b"] + 1) * DOMAIN_BLOCK)
+        stops = F.transform(steps, lambda i: F.when(value("__slope", i) <= 0, F.struct(i.alias("i"), (i - 1).alias("stop"))).when(value("__rev", i) > F.col("border"), F.struct(i.alias("i"), i.alias("stop"))))
+        return F.array_min(stops)
+
+    hit = F.array_min(F.transform(near, scanned))
+    return c.withColumn("max_angle", F.coalesce(hit["stop"], F.lit(DOMAIN_STEPS)) * F.pi() / DOMAIN_STEPS).select(*cameras.columns, "max_angle")
+
+
+def calibrate_ftheta(cameras: DataFrame) -> DataFrame:
     """Adds bw, fw, max_angle, edge_r and edge_dr to f-theta cameras (poly, is_bw, lin, cx, cy, w, h).
 
     The missing direction is fitted over the image's radius. A slope that is not positive at the edge is an error."""
     c = cameras.withColumn("border", border_radius(F.col("cx"), F.col("cy"), F.col("w"), F.col("h")))
-    back = fit_inverse(c.filter("is_bw").withColumn("domain", F.col("border")), key=key).withColumns({"bw": F.col("poly"), "fw": F.col("inverse")})
+    back = fit_inverse(c.filter("is_bw").withColumn("domain", F.col("border"))).withColumns({"bw": F.col("poly"), "fw": F.col("inverse")})
     ahead = c.filter("NOT is_bw").withColumn("fw", F.col("poly"))
-    ahead = forward_domain(ahead, key).withColumnRenamed("max_angle", "domain")
-    ahead = fit_inverse(ahead, key=key).withColumn("bw", F.col("inverse"))
+    ahead = forward_domain(ahead).withColumnRenamed("max_angle", "domain")
+    ahead = fit_inverse(ahead).withColumn("bw", F.col("inverse"))
     both = back.unionByName(ahead).drop("domain", "inverse")
     both = both.withColumn("max_angle", ftheta_fov(F.col("bw"), F.col("lin"), F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))["max_angle"])
     both = both.withColumn("edge_r", horner(F.col("fw"), F.col("max_angle"))).withColumn("edge_dr", horner(derivative(F.col("fw")), F.col("max_angle")))
@@ -247,7 +278,7 @@ def ftheta_models(intrinsics: DataFrame, w: int | None = None, h: int | None = N
     if w and h:
         new = ftheta_rescale(F.col("poly"), F.col("is_bw"), F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), w / F.col("w"), h / F.col("h"))
         c = c.select(*key, "lin", "is_bw", *(x.alias(n) for x, n in zip(new, ("poly", "cx", "cy", "w", "h"))))
-    return calibrate_ftheta(c, key)
+    return calibrate_ftheta(c)
 
 
 def ray_grid(intrinsics: DataFrame) -> DataFrame:

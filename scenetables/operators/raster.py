@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scenetables.functions import camera, mat
 from scenetables.operators import geometry, objects as obj, tiles
@@ -96,25 +94,29 @@ def line_raster(segments: DataFrame, w: int, h: int, width: int, keys: Sequence[
     return s.groupBy(*keys, "u", "v").agg(F.max_by(F.struct(*RGB), F.struct("prim_id", "seg_id")).alias("c")).select(*keys, "u", "v", "c.*")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])))
-def hull_ring(rings: pd.Series) -> pd.Series:
-    """Convex hull of a few vertices (structs u, v), counter-clockwise, by the monotone chain."""
+def hull_ring(ring: Column | str) -> Column:
+    """Convex hull of vertices (structs u, v), counter-clockwise from the leftmost one: from each vertex of the hull goes on the one that has all others on its
+    left, the farthest of those in line. Fewer than three vertices come back where there is no area."""
+    kind = "struct<u:double,v:double>"
+    ps = F.array_distinct(F.filter(F.col(ring) if isinstance(ring, str) else ring, lambda p: p["u"].isNotNull() & p["v"].isNotNull())).cast(f"array<{kind}>")
 
-    def hull(ps):
-        ps = sorted({(p["u"], p["v"]) for p in (ps if ps is not None else ()) if p is not None})
-        if len(ps) < 3:
-            return [{"u": a, "v": b} for a, b in ps]
-        halves = []
-        for seq in (ps, ps[::-1]):
-            chain: list = []
-            for p in seq:
-                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
-                    chain.pop()
-                chain.append(p)
-            halves += chain[:-1]
-        return [{"u": a, "v": b} for a, b in halves]
+    def wrapped(ps: Column) -> Column:
+        start = F.array_min(ps)
 
-    return rings.map(hull)
+        def after(p: Column) -> Column:
+            def better(b: Column, r: Column) -> Column:
+                side = (b["u"] - p["u"]) * (r["v"] - p["v"]) - (b["v"] - p["v"]) * (r["u"] - p["u"])
+                away = lambda x: (x["u"] - p["u"]) ** 2 + (x["v"] - p["v"]) ** 2
+                return F.when((away(b) == 0) | (side < 0) | ((side == 0) & (away(r) > away(b))), r).otherwise(b)
+
+            return F.aggregate(ps, p, better)
+
+        step = lambda acc: F.transform(F.array(after(acc["p"])), lambda q: F.struct(q.alias("p"), F.when(q == start, acc["ring"]).otherwise(F.concat(acc["ring"], F.array(q))).alias("ring"), (q == start).alias("done")))[0]
+        first = F.struct(start.alias("p"), F.array(start).alias("ring"), F.lit(False).alias("done"))
+        state = f"struct<p:{kind},ring:array<{kind}>,done:boolean>"
+        return F.aggregate(F.sequence(F.lit(1), F.size(ps)), first.cast(state), lambda acc, _: F.when(acc["done"], acc).otherwise(step(acc)).cast(state))["ring"]
+
+    return F.transform(F.array(ps), lambda ps: F.when(F.size(ps) > 2, wrapped(ps)).otherwise(ps))[0]
 
 
 def hull_raster(polygons: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -186,7 +188,7 @@ def draw_hulls(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Se
     f = geometry.kept(f, "__h", F.when(F.size("vertices") >= 3, F.struct(px.alias("px"), z.alias("z"))))
     f = f.withColumn("__mean", F.aggregate("__h.z", mat.d(0), lambda acc, x: acc + x) / F.size("__h.z"))
     f = f.select(*keys, "prim_id", F.filter("__h.px", lambda p: p["u"].isNotNull() & p["v"].isNotNull()).alias("px"), *(geometry.depth_shade(F.col("__mean"), F.col(c)).alias(c) for c in RGB))
-    return hull_raster(f.withColumn("ring", hull_ring("px")), w, h, keys)
+    return hull_raster(geometry.kept(f, "ring", hull_ring("px")), w, h, keys)
 
 
 def layer_table(spark) -> DataFrame:

@@ -133,6 +133,21 @@ def ftheta_vectors(spark, sf_dir):
     return out.select("clip_id", "id", *(_r(F.col("x")[i]).alias(f"x{i}") for i in range(14)), *(_r(F.col("fov")[n]).alias(f"fov_{n}") for n in ("h", "v", "max_angle")))
 
 
+def _polynomials(v: DataFrame) -> DataFrame:
+    """f-theta cameras, a polynomial of each vector: backward ones for even ids, forward ones for odd ids."""
+    back = F.array(mat.d(0), mat.d(0.02) + F.abs("e0") / 1000, F.abs("e1") / 1e5, F.abs("e2") / 1e7, mat.d(0), mat.d(0))
+    ahead = F.array(mat.d(0), 40 + F.abs("e0"), F.col("e1") / 10, 1 + F.abs("e2") / 10, mat.d(0), mat.d(0))
+    is_bw = F.col("id") % 2 == 0
+    return v.select("clip_id", F.col("id").alias("camera"), F.when(is_bw, back).otherwise(ahead).alias("poly"), is_bw.alias("is_bw"), _array((1, 0, 0)).alias("lin"), mat.d(31).alias("cx"), mat.d(25).alias("cy"), F.lit(W).alias("w"), F.lit(H).alias("h"))
+
+
+def ftheta_calibration(spark, sf_dir):
+    """Polynomials fitted the other way, and what lies at the image's edge."""
+    c = camera.calibrate_ftheta(_polynomials(_vectors(spark, sf_dir)))
+    at = lambda poly, x: camera.horner(F.col(poly), mat.d(x))
+    return c.select("clip_id", "camera", *(_r(x, 3).alias(n) for n, x in (("ahead_1", at("fw", 0.1)), ("ahead_5", at("fw", 0.5)), ("max_angle", F.col("max_angle")), ("edge_r", F.col("edge_r")), ("edge_dr", F.col("edge_dr")))), *(_r(at("bw", x), 4).alias(f"back_{x}") for x in (5, 30)))
+
+
 def slerp_track(spark, sf_dir):
     """Each clip's unit quaternions at every third frame, aligned and interpolated."""
     v = _vectors(spark, sf_dir)
@@ -270,7 +285,7 @@ def bev_map(spark, sf_dir):
     return raster.bev_map(s, ego, BEV, 8.0, 3, path).drop("frame")
 
 
-QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, map_raster, hdmap_condition, lidar_condition, splat_projection, bev_map)}
+QUERIES = {f.__name__: f for f in (box_corners, box_lines, box_outlines, cuboid_vertices, closed_rings, near_clipped_lines, near_clipped_segments, grounded_poses, pinhole_rays, ftheta_rays, ray_grid, ftheta_vectors, ftheta_calibration, slerp_track, squad_track, pose_extrapolate, rig_expansion, objects_at_labels, world_points, box_raster, map_raster, hdmap_condition, lidar_condition, splat_projection, bev_map)}
 
 
 def _rounded(*pairs: str) -> str:
@@ -348,6 +363,34 @@ def _log(q: list[str]) -> list[str]:
     return [f"(CASE WHEN {v} > 1e-12 THEN atan2({v}, {q[0]}) / greatest({v}, 1e-12) ELSE 1 END * {c})" for c in q[1:]]
 
 
+def _five(p: str, x: str) -> str:
+    """A polynomial without intercept, of degree 5."""
+    return " + ".join(f"{p}{k} * pow({x}::DOUBLE, {k})" for k in range(1, 6))
+
+
+def _eliminated() -> str:
+    """CTEs g0 to g5: the normal equations of degree 5, solved one unknown at a time."""
+    out = ["g0 AS (SELECT clip_id, camera, scale, height, " + ", ".join([*(f"sum(pow(x, {i + j})) AS m{i}{j}" for i in range(1, 6) for j in range(1, 6)), *(f"sum(pow(x, {i}) * y) AS m{i}6" for i in range(1, 6))]) + " FROM unit GROUP BY ALL)"]
+    for k in range(1, 6):
+        cells = [f"m{k}{j} / m{k}{k} AS m{k}{j}" if i == k else f"m{i}{j} - m{i}{k} * (m{k}{j} / m{k}{k}) AS m{i}{j}" for i in range(1, 6) for j in range(1, 7)]
+        out.append(f"g{k} AS (SELECT clip_id, camera, scale, height, {', '.join(cells)} FROM g{k - 1})")
+    return ",\n".join(out)
+
+
+#: Calibrated polynomials `edged`: fw and bw, the angle a of the image's farthest corner. The domain of forward ones is found step by step.
+_CALIBRATED = f"""p AS (SELECT clip_id, id AS camera, id % 2 = 0 AS back, CASE WHEN id % 2 = 0 THEN 0.02::DOUBLE + abs(e0) / 1000 ELSE 40 + abs(e0) END AS p1, CASE WHEN id % 2 = 0 THEN abs(e1) / 1e5::DOUBLE ELSE e1 / 10 END AS p2,
+  CASE WHEN id % 2 = 0 THEN abs(e2) / 1e7::DOUBLE ELSE 1 + abs(e2) / 10 END AS p3, sqrt(33.0::DOUBLE * 33 + 25 * 25) AS border FROM v),
+steps AS (SELECT clip_id, camera, i, CASE WHEN p1 + 2 * p2 * t + 3 * p3 * t * t <= 0 THEN i - 1 WHEN p1 * t + p2 * t * t + p3 * t * t * t > border THEN i END AS stop FROM (SELECT *, i * pi() / 2000 AS t FROM p, unnest(range(1, 2001)) AS s(i) WHERE NOT back)),
+domains AS (SELECT clip_id, camera, coalesce(arg_min(stop, i) FILTER (stop IS NOT NULL), 2000) * pi() / 2000 AS top FROM steps GROUP BY ALL),
+sampled AS (SELECT p.*, coalesce(d.top, border) * i / 499 AS y FROM p LEFT JOIN domains d USING (clip_id, camera), unnest(range(500)) AS s(i)),
+valued AS (SELECT *, p1 * y + p2 * y * y + p3 * y * y * y AS x FROM sampled),
+scaled AS (SELECT *, max(x) OVER w AS scale, max(y) OVER w AS height FROM valued WINDOW w AS (PARTITION BY clip_id, camera)),
+unit AS (SELECT clip_id, camera, x / scale AS x, y / height AS y, scale, height FROM scaled),
+{_eliminated()},
+fits AS (SELECT clip_id, camera, {', '.join(f'm{k}6 * height / pow(scale, {k}) AS f{k}' for k in range(1, 6))} FROM g5),
+polys AS (SELECT clip_id, camera, border, {', '.join(f"CASE WHEN back THEN {a} ELSE {b} END AS bw{k}, CASE WHEN back THEN {b} ELSE {a} END AS fw{k}" for k in range(1, 6) for a, b in [(f'p{k}' if k < 4 else '0', f'f{k}')])} FROM p JOIN fits USING (clip_id, camera)),
+edged AS (SELECT *, acos(cos({_five('bw', 'r')})) AS a FROM (SELECT *, sqrt(32.0::DOUBLE * 32 + 25 * 25) AS r FROM polys))"""
+
 _HELD = "CASE WHEN pf IS NULL THEN n_{c} WHEN nf IS NULL OR pf = nf THEN p_{c} ELSE q_{c} END"
 _SEGMENT_CUT = "t + {e}"
 
@@ -467,6 +510,9 @@ SELECT clip_id, id, {_rounded('x0: cx / 2', 'x1: cy / 2')}, 32.0::DOUBLE AS x2,
   0.0::DOUBLE AS x7, 0.0::DOUBLE AS x8, 0.0::DOUBLE AS x9, CASE WHEN bw THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x10, 1.0::DOUBLE AS x11, 0.0::DOUBLE AS x12, 0.0::DOUBLE AS x13,
   round({_angle('0', 'cy')} + {_angle(str(W - 1), 'cy')}, 4) + 0.0 AS fov_h, round({_angle('cx', '0')} + {_angle('cx', str(H - 1))}, 4) + 0.0 AS fov_v,
   round(greatest({_angle('0', '0')}, {_angle(str(W - 1), '0')}, {_angle('0', str(H - 1))}, {_angle(str(W - 1), str(H - 1))}), 4) + 0.0 AS fov_max_angle FROM s""",
+    "ftheta_calibration": f"""WITH {_V}, {_CALIBRATED}
+SELECT clip_id, camera, round({_five('fw', '0.1')}, 3) + 0.0 AS ahead_1, round({_five('fw', '0.5')}, 3) + 0.0 AS ahead_5, round(a, 3) + 0.0 AS max_angle, round({_five('fw', 'a')}, 3) + 0.0 AS edge_r,
+  round(fw1 + 2 * fw2 * a + 3 * fw3 * a * a + 4 * fw4 * pow(a, 3) + 5 * fw5 * pow(a, 4), 3) + 0.0 AS edge_dr, round({_five('bw', '5')}, 4) + 0.0 AS back_5, round({_five('bw', '30')}, 4) + 0.0 AS back_30 FROM edged""",
     "slerp_track": f"""WITH {_V}, {_SIGNED},
 b AS (SELECT p.clip_id, p.frame, a.frame AS pf, c.frame AS nf, {', '.join(f'a.{x} AS p_{x}, c.{x} AS n_{x}' for x in 'wxyz')}
   FROM spine p ASOF LEFT JOIN s a ON a.clip_id = p.clip_id AND p.frame >= a.frame ASOF LEFT JOIN s c ON c.clip_id = p.clip_id AND p.frame <= c.frame),
