@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenetables.operators import ranks
+
 #: Kinds of rewriting.
 REWRITES = ("Golden hour", "Morning", "Night", "Rainy", "Snowy", "Sunny", "Foggy")
 #: View, order in a prompt.
@@ -106,15 +108,10 @@ def embedded(responses: DataFrame, out: str = "response") -> DataFrame:
     return truncated_embeddings(e.select(*(c for c in responses.columns if c not in (out, "error")), "__e.embedding", "__e.mask"))
 
 
-def batch_ids(rows: DataFrame, order: str, size: int, group: Sequence[str], lane: Column | None = None, lanes: int = 1) -> DataFrame:
-    """Adds batch: numbers of at most `size` rows each, by order inside each group.
-
-    A group is numbered in one task; a large one takes a lane (a number below lanes, such as a hash of the row), and the
-    batches of a lane are numbered apart from those of the others."""
-    at = F.lit(0) if lane is None else lane
-    n = F.row_number().over(Window.partitionBy(*group, "__lane").orderBy(order))
-    numbered = rows.withColumn("__lane", at.cast("long")).withColumn("batch", F.floor((n - 1) / size) * lanes + F.col("__lane"))
-    return numbered.withColumn("batch", F.col("batch").cast("long")).drop("__lane")
+def batch_ids(rows: DataFrame, order: str, size: int, group: Sequence[str]) -> DataFrame:
+    """Adds batch: numbers of `size` rows each, by order inside each group, the last one smaller. A group is spread over tasks (ranks.numbered)."""
+    n = ranks.numbered(rows, [order], group, "__n")
+    return n.select(*rows.columns, F.floor(F.col("__n") / size).cast("long").alias("batch"))
 
 
 def batch_infer(rows: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.Series]], accept: Callable[[object], bool] = lambda _: True, out: str = "response", retries: int = RETRIES) -> DataFrame:
@@ -233,5 +230,6 @@ def embedding_tasks(captions: DataFrame, videos: DataFrame, done: DataFrame, vie
 
 
 def shuffled(clips: DataFrame, seed: int = 0) -> DataFrame:
-    """Clips in an order that a seed decides; write it, or take its head, as order is a property of output alone."""
-    return clips.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("clip_id").cast("string"))), "clip_id")
+    """Clips with `ord`, their place (0, 1, ...) in an order that a seed decides. A place is a column, as rows have no order that lasts."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("clip_id").cast("string")))
+    return ranks.numbered(clips, [key, F.col("clip_id")], out="ord")

@@ -53,9 +53,9 @@ def complete_views(spark, sf_dir):
 
 
 def batches(spark, sf_dir):
-    """Documents of each source in batches of 25, numbered in 16 lanes so that a large source has no single task."""
+    """Documents of each source in batches of 25."""
     d = _table(spark, sf_dir, "documents").select("source", "doc_id")
-    return manifest.batch_ids(d, "doc_id", 25, ["source"], lane=F.pmod("doc_id", F.lit(16)), lanes=16)
+    return manifest.batch_ids(d, "doc_id", 25, ["source"])
 
 
 def caption_match(spark, sf_dir):
@@ -100,9 +100,9 @@ def names(spark, sf_dir):
 
 
 def shuffled_clips(spark, sf_dir):
-    """The head of customers in a seeded order: a sample of 100."""
+    """The places of customers in a seeded order."""
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip_id"))
-    return manifest.shuffled(c, 7).limit(100)
+    return manifest.shuffled(c, 7)
 
 
 QUERIES = {f.__name__: f for f in (variations, resume, success_report, failures, variation_maps, complete_views, batches, caption_match, generation_tasks, map_explode, unpivot, folder_filter, names, shuffled_clips)}
@@ -118,7 +118,7 @@ FROM documents, unnest([{', '.join(f"'{k}'" for k in manifest.REWRITES)}]) AS t(
 SELECT clip_id, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS json FROM c GROUP BY clip_id""",
     "complete_views": """WITH f AS (SELECT user_id || ':' || ts::DATE AS clip_id, event_type, printf('%09d', min(event_id)) AS path FROM events GROUP BY ALL)
 SELECT clip_id, string_agg(path, ',' ORDER BY event_type) AS paths FROM f GROUP BY clip_id HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events)""",
-    "batches": "SELECT source, doc_id, ((row_number() OVER (PARTITION BY source, doc_id % 16 ORDER BY doc_id) - 1) // 25 * 16 + doc_id % 16)::BIGINT AS batch FROM documents",
+    "batches": "SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 25)::BIGINT AS batch FROM documents",
     "caption_match": r"""WITH p AS (SELECT regexp_extract(url, '/(\d+)[^/0-9]*', 1) AS stem, printf('%012d', page_id) AS path FROM pages),
 k AS (SELECT regexp_replace(stem, '_0$', '') AS key, min(path) AS path, count(*) AS n_videos FROM p WHERE stem <> '' GROUP BY ALL)
 SELECT k.key, d.lang, k.path, k.n_videos FROM documents d JOIN k ON d.doc_id::VARCHAR = k.key""",
@@ -129,5 +129,5 @@ FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events) GROUP
     "unpivot": "SELECT l_orderkey, l_linenumber, key, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME key VALUE value)",
     "folder_filter": "SELECT page_id, split_part(split_part(url, '://', 2), '/', 2) AS folder FROM pages WHERE split_part(split_part(url, '://', 2), '/', 2) IN ('en', 'fr', 'de')",
     "names": """SELECT p_partkey, p_partkey || '_' || p_partkey % 3 AS clip_id, regexp_replace('segment-' || p_partkey || '_' || p_partkey % 3, '_0$', '') AS key, '_' || p_partkey % 3 AS chunk, 'part_key_name' AS name FROM part""",
-    "shuffled_clips": "SELECT c_custkey AS clip_id FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 100",
+    "shuffled_clips": "SELECT c_custkey AS clip_id, row_number() OVER (ORDER BY md5('7:' || c_custkey), c_custkey) - 1 AS ord FROM customer",
 }
