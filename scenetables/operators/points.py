@@ -70,19 +70,34 @@ def _inside(scale: float) -> Column:
     return out
 
 
+def _bounds(scale: float, cell: float) -> Column:
+    """Struct of a box's place on the ground (at), half the sides of the square around it (reach), and the level whose cells are as wide as that; null
+    where one of them is no number."""
+    r = mat.rot("bm")
+    reach = [sum((F.abs(r[3 * i + j]) * F.col("lwh")[j] for j in range(3)), mat.d(0)) / 2 * scale + SLACK for i in range(2)]
+    at = mat.shift("bm")[:2]
+    level = F.greatest(F.ceil(F.log2(2 * F.greatest(*reach) / cell)), F.lit(0)).cast("int")
+    sound = F.greatest(*(F.abs(x) for x in (*reach, *at))) < 1e15  # false for what is no number
+    return F.when(sound, F.struct(F.array(*at).alias("at"), F.array(*reach).alias("reach"), level.alias("level")))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: Sequence[str] = ("clip_id", "frame"), scale: float = 1.0, moving_only: bool = False, cell: float = CELL) -> DataFrame:
     """Columns of points and the track_id, lwh and bm (pose) of every box of the same keys that holds them.
 
-    A box is sent to the grid cells its bounding square meets and a point to its own cell, so the join has an equi key and
-    its work follows the points near boxes, not the pairs of a frame."""
+    A box lies at the level of a grid of several levels whose cells are as wide as its bounding square, so it is sent to four cells at most, whatever its size; a point
+    probes its cell at each level that boxes lie at. The join has an equi key, and its work follows the points near boxes, not the pairs of a frame. Boxes whose
+    place or size is no number hold no point."""
     b = boxes.filter("is_moving") if moving_only else boxes
-    b = b.select(*keys, "track_id", "lwh", F.col("m").alias("bm"))
-    r = mat.rot("bm")
-    reach = lambda i: sum((F.abs(r[3 * i + j]) * F.col("lwh")[j] for j in range(3)), mat.d(0)) / 2 * scale + SLACK
-    span = lambda i: F.sequence(F.floor((mat.shift("bm")[i] - reach(i)) / cell), F.floor((mat.shift("bm")[i] + reach(i)) / cell))
-    b = b.withColumn("__cx", F.explode(span(0))).withColumn("__cy", F.explode(span(1)))
-    p = points.withColumn("__cx", F.floor(F.col("x") / cell)).withColumn("__cy", F.floor(F.col("y") / cell))
-    return p.join(b, [*keys, "__cx", "__cy"]).filter(_inside(scale)).drop("__cx", "__cy")
+    b = kept(b.select(*keys, "track_id", "lwh", F.col("m").alias("bm")), "__box", _bounds(scale, cell))
+    # as many levels as powers of two between the smallest and the largest box: a few
+    levels = sorted(r[0] for r in b.select("__box.level").distinct().collect())
+    side = lambda level: F.pow(mat.d(2), level.cast("double")) * cell
+    own = side(F.col("__box.level"))
+    span = lambda i: F.sequence(F.floor((F.col("__box.at")[i] - F.col("__box.reach")[i]) / own), F.floor((F.col("__box.at")[i] + F.col("__box.reach")[i]) / own))
+    b = b.withColumn("__cx", F.explode(span(0))).withColumn("__cy", F.explode(span(1))).withColumn("__level", F.col("__box.level")).drop("__box")
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumn("__cx", F.floor(F.col("x") / side(F.col("__level")))).withColumn("__cy", F.floor(F.col("y") / side(F.col("__level"))))
+    return p.join(b, [*keys, "__level", "__cx", "__cy"]).filter(_inside(scale)).drop("__level", "__cx", "__cy")
 
 
 def moved_with_boxes(points: DataFrame, source: DataFrame, target: DataFrame, scale: float = MOVE_SCALE, moving_only: bool = True, keys: Sequence[str] = ("clip_id", "frame"), drop: bool = True, strict: bool = False) -> DataFrame:

@@ -215,3 +215,29 @@ def test_brackets_take_linear_time(spark):
     r = resample.bracket(sp, labels, ["clip_id"]).agg(F.count("*").alias("n"), F.sum("prev").alias("p"), F.sum("next").alias("x")).first()
     assert r.n == 100_000 and time.time() - began < 60
     assert r.p == 30000 * 7 + 30000 * 30007 + 30000 * 60007 + (100_000 - 90007) * 90007 and r.x == 8 * 7 + 30000 * (30007 + 60007 + 90007)
+
+
+def test_points_in_boxes_of_all_sizes(spark):
+    """Boxes from centimetres to a kilometre against all pairs; a box is sent to four cells at most."""
+    r = np.random.default_rng(11)
+    boxes = []
+    for k in range(60):
+        lwh = (10 ** r.uniform(-2, 3, 3)).tolist()
+        boxes.append(("c", k % 2, f"t{k:02d}", "Car", True, lwh, rz(float(r.uniform(0, 360)), [*r.uniform(-300, 300, 2).tolist(), float(r.uniform(-5, 5))])))
+    boxes += [("c", 0, "nan", "Car", True, [math.nan, 1.0, 1.0], rz(0)), ("c", 0, "far", "Car", True, [1.0, 1.0, 1.0], rz(0, (math.inf, 0, 0)))]
+    p = [("c", k % 2, k, *map(float, r.uniform(-400, 400, 2)), float(r.uniform(-5, 5))) for k in range(1500)] + [("c", 0, 9999, math.nan, 0.0, 0.0)]
+    b = spark.createDataFrame(boxes, OBJECTS)
+    pts = spark.createDataFrame(p, "clip_id string, frame int, point_id long, x double, y double, z double")
+    got = sorted((x.point_id, x.track_id) for x in points.points_in_boxes(pts, b, scale=1.1, cell=2.0).collect())
+
+    def holds(box, q):
+        m = np.array(box[6]).reshape(4, 4)
+        local = np.linalg.inv(m[:3, :3]) @ (np.array(q) - m[:3, 3])
+        return bool((np.abs(local) <= np.array(box[5]) / 2 * 1.1 + 1e-6).all())
+
+    want = sorted((q[2], box[2]) for q in p[:-1] for box in boxes[:60] if q[1] == box[1] and holds(box, q[3:]))
+    assert len(want) > 80 and got == want
+    cells = b.limit(60).withColumn("bm", F.col("m")).select(points._bounds(1.1, 2.0).alias("b"))
+    for row in cells.collect():
+        side = 2.0 * 2**row.b.level
+        assert all(math.floor((a + x) / side) - math.floor((a - x) / side) <= 1 for a, x in zip(row.b.at, row.b.reach))
