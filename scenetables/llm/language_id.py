@@ -2,7 +2,8 @@
 
 Subwords are byte n-grams (2 to 4 bytes, with a space for each word border) of the text with A-Z lower-cased and
 other ASCII non-letters read as spaces. Their hashed embeddings are averaged and go through one linear layer; both are
-trained by stochastic gradient descent in numpy. For scoring, embedding times layer is one table of logits.
+trained by stochastic gradient descent in numpy. For scoring, embedding times layer is one table where that is the smaller one, with few languages; with
+many, texts are averaged first. Either way a row of the table has DIM numbers at most.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ PER_LANGUAGE, MAX_CHARS = 800, 8_000  # bounds of the training sample
 SNIPPETS, EPOCHS, RATE = 5, 3, 8.0
 CHUNK = 1 << 16
 PRECISION = 0.99
+CALIBRATION = 20_000_000  # numbers that the calibration holds: texts times languages
 _LETTERS = np.full(256, 32, np.uint8)
 _LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
@@ -51,17 +53,19 @@ def subwords(raw: bytes) -> Iterator[np.ndarray]:
 
 class Model(NamedTuple):
     languages: list[str]
-    logits: np.ndarray  # (2 ** BITS, languages): embeddings times layer
+    vectors: np.ndarray  # (2 ** BITS, at most DIM): embeddings, or embeddings times layer
+    layer: np.ndarray | None  # (DIM, languages), where the vectors are embeddings
     bias: np.ndarray
     temperature: float
     threshold: float  # a lower score is a rejection
 
     def score(self, raw: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.vectors.shape[1]), 0
         for h in subwords(raw):
-            total += self.logits[h].sum(0, dtype=np.float64)
+            total += self.vectors[h].sum(0, dtype=np.float64)
             n += len(h)
-        return softmax((total / max(n, 1) + self.bias) / self.temperature)
+        mean = total / max(n, 1)
+        return softmax(((mean if self.layer is None else mean @ self.layer) + self.bias) / self.temperature)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -74,7 +78,8 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
     rng = np.random.default_rng(seed)
     languages = sorted({y for _, y in sample})
     if not languages:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((1 << BITS, 0), np.float32), None, np.zeros(0), 1.0, 0.0)
+    number = {y: k for k, y in enumerate(languages)}
     parts: list[tuple[np.ndarray, np.ndarray, int]] = []
     for text, y in sample:
         raw = text.encode()
@@ -83,7 +88,7 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
             h = np.concatenate([*subwords(c), np.zeros(0, np.uint32)])
             if len(h):
                 u, n = np.unique(h, return_counts=True)
-                parts.append((u, (n / len(h)).astype(np.float32), languages.index(y)))
+                parts.append((u, (n / len(h)).astype(np.float32), number[y]))
     order = rng.permutation(len(parts))
     apart, fit = order[: len(order) // 10], order[len(order) // 10 :]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -100,9 +105,9 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
             layer -= 0.1 * rate * np.outer(mean, g)
             bias -= 0.01 * rate * g
             emb[u] -= rate * n[:, None] * back
-    table_ = emb @ layer
-    test = [parts[k] for k in (apart if len(apart) else fit)]
-    z = np.array([n @ table_[u] + bias for u, n, _ in test])
+    vectors, head = (emb @ layer, None) if len(languages) <= DIM else (emb, layer)
+    test = [parts[k] for k in (apart if len(apart) else fit)][: max(100, CALIBRATION // len(languages))]
+    z = np.array([(n @ vectors[u] if head is None else n @ vectors[u] @ head) + bias for u, n, _ in test])
     y = np.array([t[2] for t in test])
     losses = {t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
     best = min(losses, key=losses.get)
@@ -112,7 +117,7 @@ def train(sample: list[tuple[str, str]], seed: int = 0) -> Model:
     precision = np.cumsum(right[descending]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero(precision >= PRECISION)
     threshold = float(top[descending][good[-1]]) if len(good) else 1.0
-    return Model(languages, table_, bias.astype(np.float64), float(best), threshold)
+    return Model(languages, vectors, head, bias.astype(np.float64), float(best), threshold)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:

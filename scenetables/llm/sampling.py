@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT = 3, 1
-#: Bounds of a sample as a whole: characters, and labels that can be learned.
-SAMPLE_CHARS, MAX_LABELS = 160_000_000, 10_000
+#: Characters of a sample as a whole: what the driver collects.
+SAMPLE_CHARS = 160_000_000
+#: Up to so many labels their shares, and the chosen ids, are broadcast; beyond, Spark chooses the join.
+BROADCAST_LABELS = 10_000
 
 
 def fold(id_col: Column) -> Column:
@@ -23,30 +25,33 @@ def bounded_sample(docs: DataFrame, label: str, per_label: int, max_chars: int,
     """(text, label) pairs of at most per_label rows for each label, chosen by a hash of the id, for fitting on the driver.
 
     docs(doc_id, text) has the label, or labels(doc_id, label) does, a row for each id. Only rows of at most max_chars
-    characters are taken, and taken whole. All labels share SAMPLE_CHARS characters: where there are many, each gets fewer rows; beyond
-    MAX_LABELS, the most frequent are learned. Counting goes over all rows, without their texts; the hash threshold of a label is its share, so no
-    sort and no window over the table is needed. The chosen ids, a few more than the rows wanted, are sent to the texts, not the texts to them.
+    characters are taken, and taken whole. All labels share SAMPLE_CHARS characters: where there are many, each gets fewer rows, one at least, and beyond a row of max_chars for
+    each label only shorter texts are taken. Counting goes over all rows, without their texts; the hash threshold of a label is its share, so what is ranked
+    within a label is a few rows more than are wanted, and no more than SAMPLE_CHARS characters are collected. The chosen ids are sent to the texts, not the texts to them.
     The choice depends on ids, labels and texts alone, not on the order of rows. Null texts and labels are left out; an empty table gives an empty list."""
-    usable = docs.filter(F.col("text").isNotNull() & (F.length("text") <= max_chars) & ~held_out(F.col("doc_id")))
+    known = docs.filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("__n", F.length("text"))
+    tagged = known if labels is None else known.drop(label).join(labels.select("doc_id", label), "doc_id")
+    n_labels = tagged.filter(F.col(label).isNotNull() & (F.col("__n") <= max_chars)).select(label).distinct().count()
+    if not n_labels:
+        return []
+    max_chars = min(max_chars, max(1, SAMPLE_CHARS // n_labels))
+    per_label = max(1, min(per_label, SAMPLE_CHARS // (max_chars * n_labels)))
+    usable = known.filter(F.col("__n") <= max_chars).drop("__n")
     narrow = usable.select("doc_id", *([label] if labels is None else []))
     narrow = (narrow if labels is None else narrow.join(labels.select("doc_id", label), "doc_id")).filter(F.col(label).isNotNull())
-    counted = narrow.groupBy(label).count()
-    counts = counted.orderBy(F.desc("count"), label).limit(MAX_LABELS).collect()
-    if not counts:
-        return []
-    per_label = max(1, min(per_label, SAMPLE_CHARS // (max_chars * len(counts))))
-    share = docs.sparkSession.createDataFrame([(value, min(1.0, (1.1 * per_label + 5) / n)) for value, n in counts], counted.select(label, F.lit(0.0).alias("__share")).schema)
-    most = (per_label * 5 // 4 + 8) * len(counts) + 100
+    share = narrow.groupBy(F.col(label).alias("__label")).agg(F.least(F.lit(1.0), F.lit(1.1 * per_label + 5) / F.count("*")).alias("__share"))
+    send = F.broadcast if n_labels <= BROADCAST_LABELS else (lambda d: d)
     point = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)).alias("__p")
-    few = lambda d, *cols: d.join(F.broadcast(share), label).filter(F.col("__p") < F.col("__share")).select(*cols, label, "__p").orderBy("__p", *cols).limit(most)
+
+    def few(d: DataFrame, *cols: str) -> DataFrame:
+        some = d.join(send(share), F.col(label) == F.col("__label")).filter(F.col("__p") < F.col("__share")).select(*cols, label, "__p")
+        return some.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy("__p", *cols))).filter(F.col("__r") <= per_label)
+
     if labels is None:
-        found = few(usable.select("text", label, point), "text")
+        found = few(usable.filter(F.col(label).isNotNull()).select("text", label, point), "text")
     else:
-        chosen = few(narrow.select("doc_id", label, point).distinct(), "doc_id")
-        found = usable.join(F.broadcast(chosen), "doc_id").select("text", label, "__p").orderBy("__p", "text").limit(most)
-    out, seen = [], dict.fromkeys((value for value, _ in counts), 0)
-    for text, value, _ in sorted(found.collect(), key=lambda r: (r[2], r[0])):
-        if seen[value] < per_label:
-            seen[value] += 1
-            out.append((text, value))
-    return out
+        chosen = few(narrow.select("doc_id", label, point).distinct(), "doc_id").select("doc_id", label, "__p")
+        texts = usable.select("doc_id", "text").join(send(chosen), "doc_id")
+        # an id of several texts may bring more rows than were chosen
+        found = texts.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy("__p", "text"))).filter(F.col("__r") <= per_label)
+    return [(r[0], r[1]) for r in sorted(found.select("text", label, "__p").collect(), key=lambda r: (r[2], r[0]))]

@@ -149,7 +149,7 @@ def test_recurrent_states_add_to_single_words():
 
 def test_language_scores_against_plain_counting():
     rng = np.random.default_rng(3)
-    model = li.Model(["a", "b", "c"], rng.normal(0, 1, (1 << li.BITS, 3)).astype(np.float32), np.array([0.1, -0.2, 0.0]), 1.7, 0.5)
+    model = li.Model(["a", "b", "c"], rng.normal(0, 1, (1 << li.BITS, 3)).astype(np.float32), None, np.array([0.1, -0.2, 0.0]), 1.7, 0.5)
 
     def plain(text):
         b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in b" " + text.encode() + b" ")
@@ -160,7 +160,7 @@ def test_language_scores_against_plain_counting():
                 if 32 in g[1:-1] or (g[0] == 32 and g[-1] == 32):
                     continue
                 h = int.from_bytes(g, "little") ^ (k * 0x9E3779B1 & 0xFFFFFFFF)
-                total += model.logits[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - li.BITS]
+                total += model.vectors[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - li.BITS]
                 n += 1
         e = np.exp((total / max(n, 1) + model.bias) / model.temperature)
         return e / e.sum()
@@ -176,6 +176,33 @@ def test_chunks_of_a_long_text_count_alike(monkeypatch):
     assert np.array_equal(whole, np.sort(np.concatenate(list(li.subwords(text)))))
 
 
+def test_many_languages_share_a_small_table(spark, documents, monkeypatch):
+    """Beyond DIM languages the table keeps DIM numbers a subword, and scores are those of embedding times layer."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)]
+    sample = [(" ".join(rng.choice(words[8 * k : 8 * k + 8], 30)), f"l{k:02d}") for k in range(50) for _ in range(12)]
+    monkeypatch.setattr(li, "CALIBRATION", 50 * 200)
+    model = li.train(sample)
+    assert model.vectors.shape == (1 << li.BITS, li.DIM) and model.layer.shape == (li.DIM, 50)
+    whole = model._replace(vectors=model.vectors @ model.layer, layer=None)
+    assert all(np.allclose(model.score(t.encode()), whole.score(t.encode()), atol=1e-4) for t, _ in sample[::40])
+    got = li.identify(documents([(k, t) for k, (t, _) in enumerate(sample)]), model).collect()
+    assert np.mean([r.lang_pred == sample[r.doc_id][1] for r in got]) > 0.9
+
+
+def test_samples_of_more_labels_than_rows_fit(spark, documents, monkeypatch):
+    """12,000 labels: all that have a short enough text are there, within the characters that the driver may collect."""
+    from scenetables.llm import sampling
+
+    monkeypatch.setattr(sampling, "SAMPLE_CHARS", 12_000 * 40)
+    monkeypatch.setattr(sampling, "BROADCAST_LABELS", 100)
+    rows = [(k, "x" * (20 if k % 24_000 < 12_000 else 90), f"l{k % 12_000}") for k in range(48_000)]
+    got = sampling.bounded_sample(documents(rows).select("doc_id", "text", "lang"), "lang", 5, 100)
+    taught = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and len(r[1]) == 20}
+    assert {y for _, y in got} == taught and len(taught) > 10_000
+    assert sum(len(t) for t, _ in got) <= sampling.SAMPLE_CHARS
+
+
 def test_samples_cover_all_labels_within_the_bound(spark, documents, monkeypatch):
     from scenetables.llm import sampling
 
