@@ -1,6 +1,6 @@
 """Resampling, interpolation and chunking of tracks.
 
-Windows run inside one track or clip, never over the whole table, and share the partitioning by the same key columns.
+Windows run inside one track or clip, never over the whole table, and along tracks inside a block of frames (scans).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetables.functions import mat
+from scenetables.operators import scans
 
 #: Divisor of a handle's slope, and how many times its length it may be long.
 HANDLE_SCALE = 2.5614
@@ -39,17 +40,15 @@ def chunked(frames: DataFrame, keys: Sequence[str], chunk: int, overlap: int = 0
 
 def upsample(tracks: DataFrame, keys: Sequence[str], values: Sequence[str], factor: int = 3) -> DataFrame:
     """Numbers between consecutive rows of a track by straight lines; frame numbers are multiplied. The last row stays alone."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    t = tracks.select(*keys, "frame", *values, *(F.lead(v).over(w).alias(f"__{v}") for v in values), F.lead("frame").over(w).alias("__frame"))
-    t = t.withColumn("__k", F.explode(F.when(F.col("__frame").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(factor - 1)))))
+    t = scans.with_neighbour(tracks.select(*keys, "frame", *values), keys, values, "__n")
+    t = t.withColumn("__k", F.explode(F.when(F.col("__n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(factor - 1)))))
     at = F.col("__k") / factor
-    return t.select(*keys, (F.col("frame") * factor + F.col("__k")).alias("frame"), *(F.when(F.col("__k") == 0, F.col(v)).otherwise(mat.lerp(F.col(v), F.col(f"__{v}"), at)).alias(v) for v in values))
+    return t.select(*keys, (F.col("frame") * factor + F.col("__k")).alias("frame"), *(F.when(F.col("__k") == 0, F.col(v)).otherwise(mat.lerp(F.col(v), F.col("__n")[v], at)).alias(v) for v in values))
 
 
 def upsample_poses(poses: DataFrame, keys: Sequence[str], factor: int = 3) -> DataFrame:
     """Poses between consecutive frames: translation by lerp, rotation by slerp. Source frames stay as they are."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    t = poses.select(*keys, "frame", "m", F.lead("m").over(w).alias("__m"))
+    t = scans.with_neighbour(poses.select(*keys, "frame", "m"), keys, ["m"], "__n").select(*keys, "frame", "m", F.col("__n.m").alias("__m"))
     t = t.withColumn("__k", F.explode(F.when(F.col("__m").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(factor - 1)))))
     t = mat.with_interpolated_pose(t, "m", "__m", F.col("__k") / factor, "__between")
     return t.select(*keys, (F.col("frame") * factor + F.col("__k")).alias("frame"), F.when(F.col("__k") == 0, F.col("m")).otherwise(F.col("__between")).alias("m"))
@@ -58,18 +57,17 @@ def upsample_poses(poses: DataFrame, keys: Sequence[str], factor: int = 3) -> Da
 def extrapolate(tracks: DataFrame, keys: Sequence[str], values: Sequence[str], extra: int = 2) -> DataFrame:
     """Adds `extra` frames at the end of each track, each by the difference of its last two frames. A track of one frame is
     held."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("frame"))
-    t = tracks.select(*keys, "frame", *values, F.row_number().over(w).alias("__r"), *(F.lead(v).over(w).alias(f"__{v}") for v in values)).filter("__r = 1")
+    t = scans.with_neighbour(tracks.select(*keys, "frame", *values), keys, values, "__p", ahead=False)
+    t = t.groupBy(*keys).agg(F.max_by(F.struct("frame", *values, "__p"), "frame").alias("__e")).select(*keys, "__e.*")
     t = t.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(extra))))
-    tail = t.select(*keys, (F.col("frame") + F.col("__k")).alias("frame"), *((F.col(v) + F.col("__k") * (F.col(v) - F.coalesce(f"__{v}", v))).alias(v) for v in values))
+    tail = t.select(*keys, (F.col("frame") + F.col("__k")).alias("frame"), *((F.col(v) + F.col("__k") * (F.col(v) - F.coalesce(F.col("__p")[v], F.col(v)))).alias(v) for v in values))
     return tracks.select(*keys, "frame", *values).unionByName(tail)
 
 
 def extrapolate_poses(poses: DataFrame, keys: Sequence[str], extra: int = 2) -> DataFrame:
     """The translation goes on by its last step; the rotation is held."""
     p = poses.select(*keys, "frame", *(c.alias(f"t{i}") for i, c in enumerate(mat.shift("m"))), "m")
-    w = Window.partitionBy(*keys).orderBy(F.desc("frame"))
-    last = p.select(*keys, F.col("frame").alias("__frame"), F.col("m").alias("__m"), F.row_number().over(w).alias("__r")).filter("__r = 1").drop("__r")
+    last = p.groupBy(*keys).agg(F.max("frame").alias("__frame"), F.max_by("m", "frame").alias("__m"))
     moved = extrapolate(p, keys, ["t0", "t1", "t2"], extra).join(last, list(keys)).filter("frame > __frame")
     tail = moved.select(*keys, "frame", mat.pose(mat.rot("__m"), [F.col("t0"), F.col("t1"), F.col("t2")]).alias("m"))
     return poses.select(*keys, "frame", "m").unionByName(tail)
@@ -78,14 +76,12 @@ def extrapolate_poses(poses: DataFrame, keys: Sequence[str], extra: int = 2) ->
 def bracket(spine: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """spine(keys, frame) with prev and next: the nearest labelled frames at or before and at or after it, or null.
 
-    One window over the union of both, by clip, in either direction: each row adds to a running value, so the time follows the number of frames.
-    Of a spine row and a label at the same frame, the label comes first in its direction. Tracks are joined afterwards, so a track that is missing at one of the
+    One window over the union of both, by clip and block of frames, in either direction: each row adds to a running value, so the time follows the number of frames, and a
+    clip of any length is spread over tasks. Of a spine row and a label at the same frame, the label comes first in its direction. Tracks are joined afterwards, so a track that is missing at one of the
     bracketing frames is not bridged."""
     s = spine.select(*keys, "frame", F.lit(None).cast("int").alias("__label"))
     both = s.unionByName(labels.select(*keys, "frame", F.col("frame").cast("int").alias("__label")).distinct())
-    up = Window.partitionBy(*keys).orderBy("frame", F.col("__label").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("frame"), F.col("__label").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.select(*keys, "frame", "__label", F.last("__label", True).over(up).alias("prev"), F.last("__label", True).over(down).alias("next"))
+    out = scans.with_labels_around(both, keys, "__label")
     return out.filter("__label IS NULL").drop("__label")
 
 
@@ -164,14 +160,11 @@ def bezier(spine: DataFrame, keyframes: DataFrame, keys: Sequence[str], value: s
 def align_signs(quats: DataFrame, keys: Sequence[str], items: Sequence[str] = ("w", "x", "y", "z")) -> DataFrame:
     """Flips quaternions along a track so that each is on the side of the one before. The sign is the parity of the negative
     products so far; a product of exactly zero starts anew with the sign as given."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    product = mat.dot([F.col(c) for c in items], [F.lag(c).over(w) for c in items])
-    q = quats.withColumn("__dot", product)
-    q = q.withColumn("__run", F.sum(F.when(F.col("__dot") == 0, 1).otherwise(0)).over(w))
-    r = Window.partitionBy(*keys, "__run").orderBy("frame")
-    turns = F.sum(F.when(F.col("__dot") < 0, 1).otherwise(0)).over(r)
-    q = q.withColumn("__sign", F.when(turns % 2 == 1, mat.d(-1)).otherwise(mat.d(1)))
-    return q.withColumns({c: F.col(c) * F.col("__sign") for c in items}).drop("__dot", "__run", "__sign")
+    q = scans.with_neighbour(quats, keys, items, "__p", ahead=False)
+    q = q.withColumn("__dot", mat.dot([F.col(c) for c in items], [F.col("__p")[c] for c in items])).drop("__p")
+    q = scans.with_parity(q, keys, F.col("__dot") < 0, F.col("__dot") == 0, "__odd")
+    sign = F.when(F.col("__odd"), mat.d(-1)).otherwise(mat.d(1))
+    return q.select(*(((F.col(c) * sign).alias(c) if c in items else F.col(c)) for c in quats.columns))
 
 
 def _q(prefix: str) -> Column:

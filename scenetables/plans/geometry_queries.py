@@ -242,14 +242,19 @@ def _drive(v: DataFrame) -> DataFrame:
     return c.withColumn("m", mat.pose(mat.rot("m"), [F.col("m")[3] + F.col("frame") * STEP, F.col("m")[7], F.col("m")[11]]))
 
 
-def hdmap_condition(spark, sf_dir):
-    """The map along a road and the boxes of each frame, in the images of a camera that drives there."""
-    v = _vectors(spark, sf_dir)
+def _road(v: DataFrame) -> DataFrame:
+    """Map features of four vectors each, strewn along a road."""
     at = F.floor((F.col("r") - 1) / 4)
     p = F.struct("r", (F.abs("e0") + (at % ROAD) * STEP / 4).alias("x"), F.col("e1").alias("y"), F.col("e2").alias("z"))
     f = v.groupBy("clip_id", at.cast("int").alias("feature_id")).agg(F.array_sort(F.collect_list(p)).alias("p"))
     layer = F.element_at(F.array(*map(F.lit, LAYERS)), (F.col("feature_id") % 3 + 1).cast("int"))
-    f = f.select("clip_id", layer.alias("layer"), "feature_id", F.transform("p", lambda q: geometry.point(q["x"], q["y"], q["z"])).alias("vertices"))
+    return f.select("clip_id", layer.alias("layer"), "feature_id", F.transform("p", lambda q: geometry.point(q["x"], q["y"], q["z"])).alias("vertices"))
+
+
+def hdmap_condition(spark, sf_dir):
+    """The map along a road and the boxes of each frame, in the images of a camera that drives there."""
+    v = _vectors(spark, sf_dir)
+    f = _road(v)
     o = _kinds(_boxes(v, 0)).withColumn("frame", (F.col("track_id").cast("long") % 4).cast("int"))
     o = o.withColumn("m", mat.pose(mat.rot("m"), [F.col("m")[3] + F.col("frame") * STEP, F.col("m")[7], F.col("m")[11]]))
     return raster.hdmap_condition(f, o, _drive(v), W, H).select("clip_id", "frame", "u", "v", *raster.RGB)
@@ -467,6 +472,15 @@ _FRAME = 10_000_000_000
 _STREWN = f"""SELECT frame * {_FRAME} + clip_id AS clip_id, prim, r, x, y, z FROM (
   SELECT clip_id, frame, (r - 1) // 4 AS prim, r, -e1 AS x, -(e2 - 1) AS y, abs(e0) + (r - 1) // 4 % {ROAD} * {STEP / 4}::DOUBLE - frame * {STEP}::DOUBLE + 6 AS z FROM v, unnest(range(4)) AS t(frame)) WHERE z > 0"""
 
+
+
+def _condition_sql(boxed: str) -> str:
+    """The map along the road and the boxes, of which `boxed` makes clips of frames."""
+    return f"""SELECT (clip_id % {_FRAME})::BIGINT AS clip_id, (clip_id // {_FRAME})::INTEGER AS frame, u, v, max(r) AS r, max(g) AS g, max(b) AS b FROM (
+  SELECT * FROM ({_map_sql(_V, _STREWN)}) UNION ALL
+  SELECT * FROM ({_box_sql(_V.replace("v AS (", "v0 AS (") + f", v AS ({boxed})")})) GROUP BY ALL"""
+
+
 ORACLE_SQL = {
     "box_corners": f"WITH {_V}, {_CORNER} SELECT clip_id, track_id, k, {_rounded('x: x', 'y: y', 'z: z')} FROM corner",
     "box_lines": f"""WITH {_V}, {_CORNER}, o AS (SELECT i, ([{', '.join(map(str, geometry.BOX_LINE))}])[i + 1] AS a, ([{', '.join(map(str, geometry.BOX_LINE))}])[i + 2] AS b FROM unnest(range(15)) AS t(i))
@@ -547,9 +561,7 @@ SELECT v.clip_id, id AS point_id, 'TOP' AS sensor, {_rounded('x: c * e0 - s * e1
 WHERE id % 3 <> 0 AND sqrt(e0 * e0 + e1 * e1 + e2 * e2) >= 1.5::DOUBLE""",
     "box_raster": _box_sql(_V),
     "map_raster": _map_sql(_V, "SELECT clip_id, (r - 1) // 4 AS prim, r, -e1 AS x, -(e2 - 1) AS y, abs(e0) + 6 AS z FROM v"),
-    "hdmap_condition": f"""SELECT (clip_id % {_FRAME})::BIGINT AS clip_id, (clip_id // {_FRAME})::INTEGER AS frame, u, v, max(r) AS r, max(g) AS g, max(b) AS b FROM (
-  SELECT * FROM ({_map_sql(_V, _STREWN)}) UNION ALL
-  SELECT * FROM ({_box_sql(_V.replace("v AS (", "v0 AS (") + f", v AS (SELECT * REPLACE (id % 4 * {_FRAME} + clip_id AS clip_id) FROM v0)")})) GROUP BY ALL""",
+    "hdmap_condition": _condition_sql(f"SELECT * REPLACE (id % 4 * {_FRAME} + clip_id AS clip_id) FROM v0"),
     "lidar_condition": f"""WITH {_V},
 pts AS (SELECT clip_id, id AS point_id, r % 3 * 3 AS sweep, e0 * 3 AS x, e1 * 3 AS y, e2 * 3 AS z FROM v WHERE sqrt(pow(e0 * 3, 2) + pow(e1 * 3, 2) + pow(e2 * 3, 2)) >= 3),
 sw AS (SELECT clip_id, (r - 1) * 3 AS sweep, cos(e3) AS c, sin(e3) AS s, e4 AS tx, e5 AS ty FROM v WHERE r <= 3),

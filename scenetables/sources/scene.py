@@ -6,6 +6,7 @@ gives rows, and Spark opens the files, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import tarfile
@@ -208,13 +209,17 @@ def variations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(key, text) of a headerless CSV with the keys in its first row and the captions in its second.
+    """(key, text) of headerless CSV files, of any widths, with the keys in the first row and the captions in the second. A file is read whole by one task."""
+    t = spark.read.text(path, wholetext=True)
 
-    The two rows of a file are paired by position inside one JVM row each; columns may be many."""
-    t = spark.read.option("multiLine", "true").option("maxColumns", "1000000").option("header", "false").csv(path)
-    rows = t.select(F.array(*(F.col(f"`{c}`") for c in t.columns)).alias("cells"), F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("file"))
-    both = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "cells"))).alias("r"))
-    return both.select(F.explode(F.arrays_zip(F.col("r")[0]["cells"].alias("key"), F.col("r")[1]["cells"].alias("text"))).alias("z")).select("z.key", "z.text").filter("key IS NOT NULL")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 30)
+        for b in batches:
+            for text in b["value"]:
+                rows = csv.reader(io.StringIO(text, newline=""))
+                yield pd.DataFrame(list(zip(next(rows, []), next(rows, []))), columns=["key", "text"], dtype=object)
+
+    return t.mapInPandas(run, "key string, text string").filter("key <> ''")
 
 
 def multiview_captions(texts: DataFrame, views: DataFrame) -> DataFrame:

@@ -281,6 +281,55 @@ def write_tars(members: DataFrame, folder: str, replace: bool = False) -> None:
     rows.write.format("scene_tar").mode("overwrite" if replace else "append").save(folder)
 
 
+class _FileWriter(ds.DataSourceArrowWriter):
+    """A file for each row, under its name when all of it is there. A name that exists is left alone, unless it is to be replaced."""
+
+    def __init__(self, folder: str, replace: bool):
+        self.folder, self.replace = folder, replace
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        system, folder = store(self.folder)
+        system.create_dir(f"{folder}/_temporary")
+        new = old = 0
+        for b in iterator:
+            for name, content in zip(b.column("name").to_pylist(), b.column("bytes")):
+                if not self.replace and system.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound:
+                    old += 1
+                    continue
+                part = f"{folder}/_temporary/{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(content.as_py() or b"")
+                system.move(part, f"{folder}/{name}")
+                new += 1
+        return _Written(new, old)
+
+    def commit(self, messages: list) -> None:
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        system, folder = store(self.folder)
+        if system.get_file_info(f"{folder}/_temporary").type == fs.FileType.Directory:
+            system.delete_dir(f"{folder}/_temporary")
+
+
+class FileSink(ds.DataSource):
+    """Rows (name, bytes) written as files of a folder. Options: path."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "scene_files"
+
+    def writer(self, schema, overwrite: bool) -> ds.DataSourceWriter:
+        return _FileWriter(self.options["path"].rstrip("/"), overwrite)
+
+
+def write_files(rows: DataFrame, folder: str, replace: bool = False) -> None:
+    """A file in the folder for each row (name, bytes), for tools that read captions or map JSON file by file; rows of one name overwrite each other. Files
+    that are there are left alone unless replaced, so that a job that stopped goes on where it was."""
+    rows.sparkSession.dataSource.register(FileSink)
+    rows.select(F.col("name").cast("string").alias("name"), F.col("bytes").cast("binary").alias("bytes")).write.format("scene_files").mode("overwrite" if replace else "append").save(folder)
+
+
 def _loaded(spark: SparkSession, source: type[ds.DataSource], folder: str) -> DataFrame:
     if spark.conf.get(_PUSHDOWN, "false") != "true":
         spark.conf.set(_PUSHDOWN, "true")  # else Spark refuses a reader that takes filters
