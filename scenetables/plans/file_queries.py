@@ -158,6 +158,19 @@ def rendered_chunks(spark, sf_dir):
     return out.select("clip_id", "chunk", "pos", "u", "v", *geo.raster.RGB)
 
 
+def embedding_tables(spark, sf_dir):
+    """Captions with embeddings written by view and clip, and read again: those of one view that a resumed run still has to do."""
+    e = _table(spark, sf_dir, "embeddings")
+    rows = e.select(F.when(F.col("vec_id") % 2 == 0, "left").otherwise("right").alias("view"), F.concat(F.lit("clip"), F.floor(F.col("vec_id") / 6).cast("string")).alias("clip_id"), F.concat(F.lit("_"), (F.col("vec_id") % 6).cast("string")).alias("chunk"), F.col("label").cast("string").alias("text"), F.array(F.col("embedding").cast("array<double>")).alias("embedding"))
+    folder = scratch.folder(spark, "embeddings")
+    sinks.write_embeddings(rows.filter("label <> 3"), folder)
+    back = spark.read.parquet(folder).filter("view = 'left'")
+    todo = sinks.remaining(rows.withColumn("name", F.concat("clip_id", "chunk")).filter("view = 'left'"), back, ["view", "name"])
+    total = lambda c: _r(F.aggregate(c[0], mat.d(0), lambda acc, x: acc + x))
+    one = lambda d, done: d.select("view", "name", "text", total(F.col("embedding")).alias("total"), F.lit(done).alias("done"))
+    return one(back, True).unionByName(one(todo, False))
+
+
 def snake_names(spark, sf_dir):
     """Names of kinds in lower case with underscores."""
     p = _table(spark, sf_dir, "part")
@@ -165,7 +178,7 @@ def snake_names(spark, sf_dir):
     return p.select("p_partkey", manifest.snake_case(name).alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (lidar_tars, indexed_members, caption_files, variation_files, wide_csv, clip_lists, camera_forms, grounded_paths, slerped_poses, converted_scene, rendered_chunks, snake_names)}
+QUERIES = {f.__name__: f for f in (lidar_tars, indexed_members, caption_files, variation_files, wide_csv, clip_lists, camera_forms, grounded_paths, slerped_poses, converted_scene, rendered_chunks, embedding_tables, snake_names)}
 
 #: Rays of images of two by two pixels, turned by a pose.
 _RAYS = """g AS (SELECT id, e3, e4, e5, (u - 0.5::DOUBLE) / (abs(e6) + 0.3::DOUBLE) AS dx, (w - 0.5::DOUBLE) / 2 AS dy, (u + 0.5::DOUBLE) + (w + 0.5::DOUBLE) / 2 AS share FROM v, unnest(range(2)) AS a(u), unnest(range(2)) AS b(w)),
@@ -205,5 +218,6 @@ SELECT clip_id, frame, round(1 - 2 * z * z / (w * w + z * z), 4) + 0.0 AS cos, r
 SELECT t.clip_id, 'front' AS camera, t.frame::INTEGER AS frame, round(cos(yaw), 4) + 0.0 AS cos, round(sin(yaw), 4) + 0.0 AS sin, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z, fx, v.id AS micros, n_lanes, last_label
 FROM t JOIN c USING (clip_id) LEFT JOIN v ON v.clip_id = t.clip_id AND (v.r - 1) * 3 = t.frame""",
     "rendered_chunks": f"""SELECT clip_id, chunk::INTEGER AS chunk, frame AS pos, u, v, r, g, b FROM ({geo._condition_sql(f"SELECT * REPLACE (f * {geo._FRAME} + clip_id AS clip_id) FROM v0, unnest(range(4)) AS frames(f)")}), unnest(range(3)) AS t(chunk) WHERE frame BETWEEN chunk AND chunk + 1""",
+    "embedding_tables": "SELECT 'left' AS view, 'clip' || vec_id // 6 || '_' || vec_id % 6 AS name, label::VARCHAR AS text, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) + 0.0 AS total, label <> 3 AS done FROM embeddings WHERE vec_id % 2 = 0",
     "snake_names": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'part_key_of_the_road' ELSE 'part_key_lane_xy' END || p_partkey AS name FROM part",
 }

@@ -9,6 +9,7 @@ from scenetables.functions import mat
 from scenetables.operators import objects, raster, resample
 from scenetables.plans import manifest, scenes
 from scenetables.plans.scene_queries import _V, _boxes, _vectors
+from scenetables.plans.task_queries import event_views
 from scenetables.plans.track_queries import _DAILY, _daily, _spine, _table
 from scenetables.sources import scene, sinks
 
@@ -63,9 +64,9 @@ def all_tracks(spark, sf_dir):
 def edited_keyframes(spark, sf_dir):
     """Keyframes with those of clicks doubled and those of purchases taken out."""
     k = _attributes(spark, sf_dir)
-    kinds = sorted(r.attr for r in k.select("attr").distinct().collect())
-    changed = resample.set_keyframes(k, k.filter(F.col("attr") == kinds[0]).withColumn("value", F.col("value") * 2))
-    return resample.remove_keyframes(changed, k.filter(F.col("attr") == kinds[-1]).select("track", "attr", "frame")).select("track", "attr", "frame", _r(F.col("value")).alias("value"))
+    first, last = k.agg(F.min("attr"), F.max("attr")).first()
+    changed = resample.set_keyframes(k, k.filter(F.col("attr") == first).withColumn("value", F.col("value") * 2))
+    return resample.remove_keyframes(changed, k.filter(F.col("attr") == last).select("track", "attr", "frame")).select("track", "attr", "frame", _r(F.col("value")).alias("value"))
 
 
 def record_objects(spark, sf_dir):
@@ -179,7 +180,8 @@ def multiview_captions(spark, sf_dir):
     """Captions of conversations, keyed by clip and view in one JSON object each; a view's name may end with another's."""
     c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.concat_ws("_", F.col("conv_id").cast("string"), F.when(F.col("turn") % 2 == 0, "left").otherwise("cross_left"), F.col("turn").cast("string"), "role").alias("k"), F.length("text").cast("string").alias("v")))).alias("e"))
     texts = c.select(F.to_json(F.map_from_entries("e")).alias("json"))
-    views = spark.range(8).select(F.explode(F.array(*(F.concat(F.lit(f"{s}_"), F.col("id").cast("string"), F.lit(f"_{r}")) for s in ("left", "cross_left") for r in ("user", "assistant")))).alias("view"))
+    seen = _table(spark, sf_dir, "conversations").select("turn", "role").distinct()
+    views = seen.select(F.explode(F.array(*(F.concat(F.lit(f"{s}_"), F.col("turn").cast("string"), F.lit("_"), F.col("role")) for s in ("left", "cross_left")))).alias("view"))
     return scene.multiview_captions(texts, views)
 
 
@@ -206,7 +208,7 @@ def video_chunks(spark, sf_dir):
 
 def chats(spark, sf_dir):
     """Rewriting prompts for documents and the turns of a change of colours; a document without an answer gets the turns alone."""
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.substring("text", 1, 40).alias("text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("response"), F.col("source").alias("places"))
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("response"), F.col("source").alias("places"))
     t = d.join(manifest.variation_tasks(d, ("Night", "Rainy")).select("clip_id", "variation"), "clip_id")
     c = manifest.colour_turns(manifest.chat_prompts(t, "You rewrite captions.", "Caption: %s Kind: %s"))
     said = F.array_join(F.transform("messages", lambda m: F.concat_ws("|", m["role"], m["content"])), "#")
@@ -248,15 +250,14 @@ def embedding_tasks(spark, sf_dir):
 
 
 def multiview_tasks(spark, sf_dir):
-    """Documents of clips (days of users) that have all views and an input, not done yet."""
+    """Captions of clips (users) that have all views, which are all types of events, and an input, not done yet."""
     e = _table(spark, sf_dir, "events")
-    day = F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
-    kinds = sorted(r.event_type for r in e.select("event_type").distinct().collect())[:2]
-    listing = e.select(day.alias("clip_id"), F.lit("hdmap").alias("kind"), F.col("event_type").alias("view"), F.format_string("%09d", "event_id").alias("path"))
-    captions = e.select(day.alias("clip_id"), F.lit("Night").alias("variation"), F.lit("t").alias("text")).distinct()
-    inputs = e.filter("value > 5").select(day.alias("clip_id"))
-    done = e.filter("event_id % 5 = 0").select(F.concat(day, F.lit("_Night")).alias("output"))
-    out = manifest.multiview_tasks(captions, listing, manifest.view_table(spark, kinds), inputs, done)
+    clip = F.col("user_id").cast("string")
+    listing = e.select(clip.alias("clip_id"), F.lit("hdmap").alias("kind"), F.col("event_type").alias("view"), F.format_string("%09d", "event_id").alias("path"))
+    captions = e.select(clip.alias("clip_id"), F.lit("Night").alias("variation"), F.lit("t").alias("text")).distinct()
+    inputs = e.filter("value > 95").select(clip.alias("clip_id"))
+    done = e.filter("user_id % 5 = 0").select(F.concat(clip, F.lit("_Night")).alias("output"))
+    out = manifest.multiview_tasks(captions, listing, event_views(e), inputs, done)
     return out.select("clip_id", "output", F.array_join(F.col("paths")["hdmap"], ",").alias("paths"))
 
 
@@ -311,20 +312,20 @@ SELECT doc_id, CASE WHEN NOT bad THEN n END AS response, CASE WHEN bad THEN 'not
   {', '.join(f'round(CASE WHEN id % 3 = 2 THEN 8 * e{i} ELSE e{i} + e{i + 3} END, 4) + 0.0 AS {a}' for i, a in enumerate('xyz'))} FROM v""",
     "layer_colours": f"SELECT page_id, layer, geom_type, r, g, b FROM pages JOIN {_LAYERS} ON page_id % {len(raster.LAYERS)} = k",
     "multiview_captions": """WITH c AS (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'left' ELSE 'cross_left' END || '_' || turn || '_' || role AS view, length(text)::VARCHAR AS text, turn, role FROM conversations)
-SELECT conv_id::VARCHAR AS clip_id, view, text FROM c WHERE turn < 8 AND role IN ('user', 'assistant')""",
+SELECT conv_id::VARCHAR AS clip_id, view, text FROM c""",
     "clip_selection": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 6 = 0)",
     "paired_files": "SELECT 'clip_' || p_partkey AS name, 'rgb/' || p_partkey AS rgb_path, 'hdmap/' || p_partkey AS condition_path FROM part",
     "video_chunks": """WITH n AS (SELECT c_custkey, least((c_custkey % 400) // 3 + 1, 70) AS n FROM customer), c AS (SELECT *, c AS chunk FROM n, unnest(range(CASE WHEN n < 40 THEN 0 ELSE (n - 40) // 30 + 1 END)) AS t(c))
 SELECT c_custkey AS clip_id, chunk::INTEGER AS chunk, p::INTEGER AS pos, (p * 3)::INTEGER AS frame FROM c, unnest(range(chunk * 30, chunk * 30 + 40)) AS t(p)""",
     "chats": f"""SELECT doc_id AS clip_id, k AS variation, CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 5 END AS n,
-  md5('system|You rewrite captions.#user|Caption: ' || left(text, 40) || ' Kind: ' || k || CASE WHEN doc_id % 2 = 0 THEN '#assistant|' || lang ELSE '' END || '#user|{_TURN1}#assistant|' || source || '#user|' || replace('{_TURN2}', '%s', left(text, 40))) AS digest
+  md5('system|You rewrite captions.#user|Caption: ' || coalesce(text, '') || ' Kind: ' || k || CASE WHEN doc_id % 2 = 0 THEN '#assistant|' || lang ELSE '' END || '#user|{_TURN1}#assistant|' || source || '#user|' || replace('{_TURN2}', '%s', coalesce(text, ''))) AS digest
 FROM documents, unnest(['Night', 'Rainy']) AS t(k)""",
     "rewritten": f"SELECT doc_id AS clip_id, lang AS variation, md5({_CLEAN.format('CASE WHEN doc_id % 3 = 0 THEN text ELSE lang END')}) AS digest FROM documents WHERE doc_id % 3 < 2 OR contains(text, 'New caption:')",
     "caption_tasks": f"SELECT doc_id AS clip_id, k AS variation, lang AS text FROM documents, unnest([{', '.join(f"'{k}'" for k in manifest.REWRITES)}]) AS t(k) WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "embedding_cut": """SELECT vec_id, (vec_id % 8)::INTEGER AS n_tokens, (vec_id % 8)::INTEGER AS n_rows, coalesce(list_sum(list_transform(embedding[1:vec_id % 8], lambda x: trunc((x * 1000)::FLOAT)::DOUBLE)), 0.0)::DOUBLE AS total FROM embeddings WHERE vec_id % 11 <> 0""",
     "embedding_tasks": f"""SELECT ({_VIEWS})[doc_id % 5 + 1] AS view, 'd' || doc_id AS key, '_0' AS chunk, CASE doc_id % 5 {' '.join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(manifest.PREFIXES.values()))} END || ' ' || lang AS prompt, 'v/d' || doc_id AS path
 FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 7 <> 0""",
-    "multiview_tasks": f"""WITH e AS (SELECT *, user_id || ':' || ts::DATE AS clip_id FROM events), f AS (SELECT clip_id, event_type, printf('%09d', min(event_id)) AS path FROM e, {_KINDS} WHERE event_type IN (kinds[1], kinds[2]) GROUP BY ALL),
-g AS (SELECT clip_id, string_agg(path, ',' ORDER BY event_type) AS paths FROM f GROUP BY clip_id HAVING count(*) = 2)
-SELECT clip_id, clip_id || '_Night' AS output, paths FROM g WHERE clip_id IN (SELECT clip_id FROM e WHERE value > 5) AND clip_id NOT IN (SELECT clip_id FROM e WHERE event_id % 5 = 0)""",
+    "multiview_tasks": """WITH f AS (SELECT user_id::VARCHAR AS clip_id, event_type, printf('%09d', min(event_id)) AS path FROM events GROUP BY ALL),
+g AS (SELECT clip_id, string_agg(path, ',' ORDER BY event_type) AS paths FROM f GROUP BY clip_id HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events))
+SELECT clip_id, clip_id || '_Night' AS output, paths FROM g WHERE clip_id IN (SELECT user_id::VARCHAR FROM events WHERE value > 95) AND clip_id::BIGINT % 5 <> 0""",
 }

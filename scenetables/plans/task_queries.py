@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scenetables.plans import manifest
@@ -42,11 +42,16 @@ def variation_maps(spark, sf_dir):
     return sinks.variation_maps(c)
 
 
+def event_views(events: DataFrame) -> DataFrame:
+    """ord, view: the types of events in the order of their names, a row for each."""
+    kinds = events.select(F.col("event_type").alias("view")).distinct()
+    return kinds.select((F.row_number().over(Window.orderBy("view")) - 1).alias("ord"), "view")
+
+
 def complete_views(spark, sf_dir):
     """User days on which every type of event was seen, with the first event of each in a fixed order."""
     e = _table(spark, sf_dir, "events")
-    kinds = sorted(r.event_type for r in e.select("event_type").distinct().collect())
-    views = manifest.view_table(spark, kinds)
+    views = event_views(e)
     listing = e.select(F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("clip_id"), F.lit("hdmap").alias("kind"), F.col("event_type").alias("view"), F.format_string("%09d", "event_id").alias("path"))
     out = manifest.complete_views(listing, views, ["hdmap"])
     return out.select("clip_id", F.array_join(F.col("paths")["hdmap"], ",").alias("paths"))

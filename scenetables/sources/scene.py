@@ -223,13 +223,13 @@ def wide_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def multiview_captions(texts: DataFrame, views: DataFrame) -> DataFrame:
-    """(clip_id, view, text) from JSON objects (json) whose keys are `{clip}_{view}`; keys of no known view are left out."""
-    t = texts.select(F.explode(F.from_json("json", "map<string,string>")).alias("k", "text"))
-    v = F.broadcast(views.select("view"))
-    m = t.join(v, F.col("k").endswith(F.concat(F.lit("_"), F.col("view"))))
-    # a view's name may end with another's: the longest one counts
-    best = m.groupBy("k", "text").agg(F.max_by("view", F.length("view")).alias("view"))
-    return best.select(F.expr("substring(k, 1, length(k) - length(view) - 1)").alias("clip_id"), "view", "text")
+    """(clip_id, view, text) from JSON objects (json) whose keys are `{clip}_{view}`; keys of no known view are left out. A key meets the views by its endings after an
+    underscore; a view's name may end with another's, and then the longest one counts."""
+    m = texts.select(F.explode(F.from_json("json", "map<string,string>")).alias("k", "text"))
+    at = F.explode(F.sequence(F.lit(1), F.size(F.split("k", "_")) - 1)).alias("n")
+    ends = m.select("k").distinct().filter(F.contains("k", F.lit("_"))).select("k", at).select("k", F.expr("substring_index(k, '_', -n)").alias("view"))
+    best = ends.join(views.select("view").distinct(), "view").groupBy("k").agg(F.max_by("view", F.length("view")).alias("view"))
+    return m.join(best, "k").select(F.expr("substring(k, 1, length(k) - length(view) - 1)").alias("clip_id"), "view", "text")
 
 
 def clip_list(spark: SparkSession, json_path: str | None = None, clip: str | None = None, listing: DataFrame | None = None, folder: str = "pose") -> DataFrame:

@@ -6,19 +6,62 @@ import io
 import json
 import tarfile
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 256
+#: What a bucket of clips, a task and a file hold, in bytes of rows before compression.
+BUCKET_BYTES, TASK_BYTES, FILE_BYTES = 4 << 30, 512 << 20, 1 << 30
+MOST_BUCKETS = 1 << 16
 
 
-def write_scene(df: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Parquet partitioned by a hash bucket of the clip, so that a clip's rows lie together and files stay few."""
-    b = df.withColumn("bucket", F.pmod(F.xxhash64("clip_id"), F.lit(buckets)).cast("int"))
-    b.repartition("bucket").sortWithinPartitions("bucket", "clip_id").write.mode(mode).partitionBy("bucket").parquet(path)
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: widths of numbers, lengths of texts and of what arrays, maps and structs hold as text."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            size = F.size(c) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(c))
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
+    return total
+
+
+class Layout(NamedTuple):
+    buckets: int
+    tasks: int
+    rows_per_file: int
+
+
+def layout(df: DataFrame, buckets: int | None = None) -> Layout:
+    """Buckets, tasks and rows a file for df, from its measured bytes: one pass over the rows. Rows added to a folder later need the buckets of its first rows."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    least = 1 << max(0, (max(1, -(-size // BUCKET_BYTES)) - 1).bit_length())
+    return Layout(buckets or min(MOST_BUCKETS, least), max(1, -(-size // TASK_BYTES)), max(1, FILE_BYTES * n // max(1, size)))
+
+
+def _write(df: DataFrame, path: str, by: Sequence[str], within: Sequence[str], mode: str, buckets: int | None) -> Layout:
+    """Parquet partitioned by `by` and bucket. Tasks take ranges of (by, bucket, clip, within) of about equal size, so a bucket has as many writers as it needs, a
+    clip's rows lie together in order, and a task meets few buckets; a clip that is larger than a task is cut by `within`."""
+    plan = layout(df, buckets)
+    b = df.withColumn("bucket", F.pmod(F.xxhash64("clip_id"), F.lit(plan.buckets)).cast("int"))
+    order = [*by, "bucket", "clip_id", *within]
+    b = b.repartitionByRange(plan.tasks, *order).sortWithinPartitions(*order)
+    b.write.mode(mode).option("maxRecordsPerFile", plan.rows_per_file).partitionBy(*by, "bucket").parquet(path)
+    return plan
+
+
+def write_scene(df: DataFrame, path: str, buckets: int | None = None, mode: str = "append") -> Layout:
+    """Parquet partitioned by a hash bucket of the clip, so that a clip's rows lie together; buckets, tasks and files go by the measured size."""
+    return _write(df, path, [], [c for c in ("camera", "frame", "point_id", "feature_id", "track_id") if c in df.columns], mode, buckets)
 
 
 def remaining(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -104,8 +147,7 @@ def settings(text: str, post_training: bool | None = None) -> dict:
     return {"MAX_CHUNK": -1} | {k: v for k, v in common.items() if not k.endswith("POST_TRAINING")} | common[mode]
 
 
-def write_embeddings(rows: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+def write_embeddings(rows: DataFrame, path: str, buckets: int | None = None, mode: str = "append") -> Layout:
     """Captions and their embeddings (view, clip_id, chunk, text, embedding, ...) as Parquet by view and clip bucket, with `name`, the clip and the chunk
     that follows it; a clip's chunks lie together, sorted. remaining() on (view, name) tells what a resumed run has to do."""
-    b = rows.withColumn("name", F.concat("clip_id", "chunk")).withColumn("bucket", F.pmod(F.xxhash64("clip_id"), F.lit(buckets)).cast("int"))
-    b.repartition("view", "bucket").sortWithinPartitions("view", "bucket", "clip_id", "chunk").write.mode(mode).partitionBy("view", "bucket").parquet(path)
+    return _write(rows.withColumn("name", F.concat("clip_id", "chunk")), path, ["view"], ["chunk"], mode, buckets)

@@ -241,3 +241,35 @@ def test_points_in_boxes_of_all_sizes(spark):
     for row in cells.collect():
         side = 2.0 * 2**row.b.level
         assert all(math.floor((a + x) / side) - math.floor((a - x) / side) <= 1 for a, x in zip(row.b.at, row.b.reach))
+
+
+def test_layout_goes_by_size(spark, tmp_path, monkeypatch):
+    """One clip holds most rows: tasks and files stay bounded, its rows stay in one bucket, in order; small tables are one file."""
+    from scenetables.sources import sinks
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 97).cast("string"))).alias("clip_id"), F.col("id").cast("int").alias("frame"), F.col("id").cast("double").alias("x"))
+    small = sinks.write_scene(rows.limit(100), str(tmp_path / "s"))
+    assert (small.buckets, small.tasks) == (1, 1)
+    monkeypatch.setattr(sinks, "BUCKET_BYTES", 200_000)
+    monkeypatch.setattr(sinks, "TASK_BYTES", 100_000)
+    monkeypatch.setattr(sinks, "FILE_BYTES", 60_000)
+    plan = sinks.write_scene(rows, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t")).withColumn("file", F.input_file_name())
+    assert plan.buckets == 8 and 10 <= plan.tasks <= 14 and back.count() == 60_000
+    files = back.groupBy("file", "bucket").agg(F.count("*").alias("n"), F.min("frame").alias("a"), F.max("frame").alias("b")).collect()
+    assert max(f.n for f in files) <= plan.rows_per_file < 4000
+    assert all(r.n == 1 for r in back.groupBy("clip_id").agg(F.countDistinct("bucket").alias("n")).collect())
+    hot = back.filter("clip_id = 'hot'").groupBy("file").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).orderBy("a").collect()
+    assert len(hot) > 5 and all(p.b < q.a for p, q in zip(hot, hot[1:]))
+
+
+def test_files_of_rows(spark, tmp_path):
+    from scenetables.sources import tars
+
+    rows = spark.createDataFrame([("a.txt", b"one"), ("b.json", b"{}"), ("c", None)], "name string, bytes binary")
+    tars.write_files(rows, f"file://{tmp_path}/f")
+    (tmp_path / "f" / "a.txt").write_text("mine")
+    tars.write_files(rows, f"file://{tmp_path}/f")
+    assert {p.name: p.read_text() for p in (tmp_path / "f").iterdir()} == {"a.txt": "mine", "b.json": "{}", "c": ""}
+    tars.write_files(rows, str(tmp_path / "f"), replace=True)
+    assert (tmp_path / "f" / "a.txt").read_text() == "one"
