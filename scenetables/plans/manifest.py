@@ -82,11 +82,8 @@ def chat_prompts(tasks: DataFrame, system: str, template: str) -> DataFrame:
     return tasks.withColumn("messages", F.array(turn("system", F.lit(system)), turn("user", F.format_string(template, "text", "variation"))))
 
 
-#: Follow-up turns that give vehicles other colours; the second has a place for the caption.
-COLOUR_TURNS = (
-    "Name each place in the caption where a vehicle has a colour. Add nothing if no vehicle has one.",
-    "Give each of those vehicles another colour and answer with the caption alone, as it stands if no vehicle has a colour.\nCaption: %s",
-)
+#: Follow-up turns of a change of colours, for callers without turns of their own; the second has a place for the caption.
+COLOUR_TURNS = ("Which vehicles have colours?", "Use other colours for them.\n%s")
 
 
 def with_turn(chats: DataFrame, said: Column, ask: Column) -> DataFrame:
@@ -96,10 +93,10 @@ def with_turn(chats: DataFrame, said: Column, ask: Column) -> DataFrame:
     return chats.withColumn("messages", F.concat("messages", more))
 
 
-def colour_turns(chats: DataFrame, caption: str = "text", answers: tuple[str, str] = ("response", "places")) -> DataFrame:
-    """chats with the two turns of a change of colours; answers: columns with the model's answers to the rewriting and to the first of these turns."""
-    first = with_turn(chats, F.col(answers[0]), F.lit(COLOUR_TURNS[0]))
-    return with_turn(first, F.col(answers[1]), F.format_string(COLOUR_TURNS[1], caption))
+def colour_turns(chats: DataFrame, caption: str = "text", answers: tuple[str, str] = ("response", "places"), turns: tuple[str, str] = COLOUR_TURNS) -> DataFrame:
+    """chats with two turns that change colours; answers: columns with the model's answers to the rewriting and to the first of these turns."""
+    first = with_turn(chats, F.col(answers[0]), F.lit(turns[0]))
+    return with_turn(first, F.col(answers[1]), F.format_string(turns[1], caption))
 
 
 def embedded(responses: DataFrame, out: str = "response") -> DataFrame:
