@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scenetables.functions import mat
 from scenetables.operators import geometry, points as pts
-from scenetables.operators.raster import IMAGE, RGB
+from scenetables.operators.geometry import IMAGE, RGB
 
 
 def _filled(rows: DataFrame, keys: Sequence[str], schema: str, kernel: Callable[[Iterator[pa.RecordBatch]], dict]) -> DataFrame:

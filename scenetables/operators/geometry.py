@@ -16,6 +16,8 @@ CUBOID_CORNERS = ((-1, -1, -1), (-1, 1, -1), (1, 1, -1), (1, -1, -1), (-1, -1, 1
 #: Corner order of a box drawn as one line.
 BOX_LINE = (0, 1, 2, 3, 0, 4, 5, 6, 7, 4, 5, 1, 2, 6, 7, 3)
 BOX_OUTLINE = (0, 1, 2, 3, 0, 4, 5, 6, 7, 4, 5, 1)
+#: Keys of an image, and its channels.
+IMAGE, RGB = ("clip_id", "camera", "frame"), ("r", "g", "b")
 DENSE_INTERVAL = 0.025
 MAX_DEPTH = 122.5
 BEV_PIXELS, BEV_METRES = 400, 60.0

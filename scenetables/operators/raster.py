@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetables.functions import camera, mat
-from scenetables.operators import geometry, objects as obj, tiles
+from scenetables.operators import dense, geometry, objects as obj, tiles
+from scenetables.operators.geometry import IMAGE, RGB
 
-IMAGE = ("clip_id", "camera", "frame")
-RGB = ("r", "g", "b")
 MAP_WIDTH, BOX_WIDTH = 8, 5
 #: Layer, geometry and colour.
 LAYERS = (
@@ -163,7 +162,8 @@ def _at(p: Column, model: list[str]) -> Column:
 
 def draw_lines(features: DataFrame, cameras: DataFrame, w: int, h: int, width: int, keys: Sequence[str] = IMAGE) -> DataFrame:
     """Polylines (clip_id, prim_id, vertices, r, g, b) drawn with depth shading, by cameras of either model; the culls of geometry.worth_drawing
-    go by the whole line. Under distortion a line is drawn between its vertices: densify it first where that matters."""
+    go by the whole line. Under distortion a line is drawn between its vertices: densify it first where that matters. Images are filled by kernels, as they are many and
+hold a bounded number of lines each."""
     f = _in_camera(features, cameras, w, h, keys)
     model = camera.model_columns(cameras)
     f = geometry.kept(f, "__px", F.transform("vertices", lambda p: _at(p, model)))
@@ -173,7 +173,7 @@ def draw_lines(features: DataFrame, cameras: DataFrame, w: int, h: int, width: i
     s = geometry.kept(s, "__e", F.when((a[2] > 0) & (b[2] > 0), F.struct(geometry.point(*a).alias("a"), geometry.point(*b).alias("b"))))
     (u1, v1), (u2, v2) = (camera.project(model, F.col(e)) for e in ("__e.a", "__e.b"))
     s = s.select(*keys, "prim_id", "seg_id", u1.alias("u1"), v1.alias("v1"), u2.alias("u2"), v2.alias("v2"), *(geometry.depth_shade(depth, F.col(c)).alias(c) for c in RGB))
-    return line_raster(s, w, h, width, keys)
+    return dense.line_raster(s, w, h, width, keys)
 
 
 def draw_hulls(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Sequence[str] = IMAGE) -> DataFrame:
