@@ -117,7 +117,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window, the first in ties, if its similarity is 0.8 or more.
 
     Nulls: a null text has no words and a null id is an id of its own. Repeated rows give one result, and so do items of the same
-    id and length. An empty table on either side gives an empty result. Other columns are not read."""
+    id and length. An empty table on either side gives an empty result. Other columns are not read. The words of a text are one array in a task, so a very long text takes memory
+    in proportion."""
     items = materialize(item_table(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
     d = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     d = d.filter(F.col("text").isNotNull())
@@ -146,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows and columns else stay as they are."""
+    """docs without the documents that hold a benchmark item; rows and columns else stay as they are. Columns `__bad_id` and `__bad_key` are reserved."""
     bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]) & (text_key(docs[text_col]) == bad["__bad_key"]), "left_anti")
 

@@ -120,7 +120,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """docs without near-duplicates, whose classes (doc_id, text_key, root) find(docs, id_col, text_col) gives: of each class the row with the smallest id stays (nulls last, then the smaller text
     key; of fully equal ids and texts, the first row by its columns). Columns stay as they are; names that begin with `__keep` are reserved. What stays is
-    settled on ids and keys, and the texts are shuffled once; only rows of an equal id and text are ranked."""
+    settled on ids and keys, and the texts are shuffled once; only rows of an equal id and text are ranked. An empty table gives an empty result; find() reads texts whole, whose hashes are
+    in memory one text at a time."""
     marks = find(docs, id_col, text_col)
     best = marks.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("best"))
     times = marks.groupBy(F.col("doc_id").alias("__keep_id"), F.col("text_key").alias("__keep_key")).agg(F.count("*").alias("__keep_times"))

@@ -265,9 +265,10 @@ _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_b
 
 
 def stream_features(streams: DataFrame) -> DataFrame:
-    """Reads the column media back: its other columns stay, and payload digests, a feature string and units (PID, packet number, timestamp and
+    """Reads the column media back: its other columns stay, but for those of an added name, which are replaced, and payload digests, a feature string and units (PID, packet number, timestamp and
     whether reading may start there, of each elementary packet) are added. Streams that demux() refuses, and null ones, are errors."""
-    kept = [f for f in streams.schema.fields if f.name != "media"]
+    names = [x.split()[0] for x in _FEATURES.split(", ")]
+    kept = [f for f in streams.schema.fields if f.name not in ("media", *names)]
     unit = pa.list_(pa.struct([("pid", pa.int32()), ("packet", pa.int64()), ("pts", pa.int64()), ("entry", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +284,7 @@ def stream_features(streams: DataFrame) -> DataFrame:
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), text, index))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), unit)
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *new], [*(f.name for f in kept), *(x.split()[0] for x in _FEATURES.split(", "))])
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *new], [*(f.name for f in kept), *names])
 
     return small_batches(streams).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), _FEATURES]))
 

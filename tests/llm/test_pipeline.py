@@ -82,3 +82,17 @@ def test_stages_against_brute_force(spark, documents, corpus_dir):
     at, want = sql(OP4_SQL, three)
     four = stages["mixing"](spark, spark.read.parquet(f"{at}/documents.parquet"), at)
     assert {r.doc_id: (r.size, r.target, r.taken) for r in four.collect()} == {r["doc_id"]: (r["size"], r["target"], r["taken"]) for r in want if r["taken"]}
+
+
+def test_stages_of_empty_tables(spark, documents, corpus_dir):
+    """No documents, and documents without labels or benchmark; repeated rows and a null row go through."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    none = corpus_dir(documents=documents([(1, "a")]).limit(0), labels=labels, benchmark=benchmark)
+    assert corpus_pipeline.run(spark, none).collect() == []
+    rows = [(1, "some words that stay"), (1, "some words that stay"), (None, None), (2, "other words here " * 3000)]
+    some = corpus_dir(documents=documents(rows), labels=labels, benchmark=benchmark)
+    docs = spark.read.parquet(f"{some}/documents.parquet")
+    kept = {name: stage(spark, docs, some).count() for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert kept == {"toxicity": 4, "near_dedup": 3, "decontamination": 4, "secret_scan": 4}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, some).collect()} == {1, 2}

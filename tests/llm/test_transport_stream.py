@@ -158,3 +158,6 @@ def test_rows_nulls_and_clashing_columns(spark, documents, corpus_dir):
     clash = d.withColumnRenamed("lang", "media").withColumnRenamed("source", "run")
     assert ts.stream_features(ts.transport_streams(clash)).count() == 4
     assert ts.stream_features(ts.transport_streams(d.limit(0))).count() == 0
+    named = ts.transport_streams(d).selectExpr("*", "1 AS units", "'x' AS feature", "'y' AS extra")
+    got = ts.stream_features(named)
+    assert "extra" in got.columns and len(set(got.columns)) == len(got.columns) and all(r.units is not None for r in got.collect())
