@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scenetables.functions import mat
 from scenetables.operators import objects as obj
 from scenetables.operators import points, raster, resample
-from scenetables.sources import scene
+from scenetables.sources import scene, scratch
 
 
 def camera_tracks(vehicle: DataFrame, extrinsics: DataFrame) -> DataFrame:
@@ -42,21 +42,26 @@ def rendered_frames(camera_pose: DataFrame, settings: dict) -> DataFrame:
     return resample.render_frames(camera_pose, ["clip_id", "camera"], settings["INPUT_POSE_FPS"], settings["TARGET_RENDER_FPS"], settings["TARGET_CHUNK_FRAME"], settings["OVERLAP_FRAME"], settings["MAX_CHUNK"])
 
 
+def _cameras(camera_pose: DataFrame, intrinsics: DataFrame, settings: dict) -> tuple[DataFrame, DataFrame]:
+    """The cameras to render, with their poses and models, as a scratch table, and their (clip_id, camera, frame, pos)."""
+    wanted = rendered_frames(camera_pose, settings)
+    cameras = scratch.stored(wanted.join(camera_pose, ["clip_id", "camera", "frame"]).join(intrinsics, ["clip_id", "camera"]), "cameras")
+    return cameras, cameras.select("clip_id", "camera", "frame", "pos")
+
+
 def rendered_map(camera_pose: DataFrame, intrinsics: DataFrame, objects: DataFrame, features: DataFrame, settings: dict, w: int, h: int) -> DataFrame:
     """(clip_id, camera, chunk, pos, u, v, r, g, b): the map condition of every chunk. Objects are cleaned and interpolated
-    once for a clip, not for each camera."""
-    frames = rendered_frames(camera_pose, settings)
-    cameras = frames.join(camera_pose, ["clip_id", "camera", "frame"]).join(intrinsics, ["clip_id", "camera"])
-    moving = obj.interpolate_objects(obj.clean_static(objects), frames.select("clip_id", "frame").distinct())
+    once for a clip, not for each camera. Cameras and objects, which several joins read, are written to the scratch folder first."""
+    cameras, frames = _cameras(camera_pose, intrinsics, settings)
+    moving = scratch.stored(obj.interpolate_objects(obj.clean_static(objects), frames.select("clip_id", "frame").distinct()), "objects")
     pixels = raster.hdmap_condition(features, moving, cameras, w, h)
     chunks = resample.chunked(frames, ["clip_id", "camera"], settings["TARGET_CHUNK_FRAME"], settings["OVERLAP_FRAME"])
     return pixels.join(chunks, ["clip_id", "camera", "frame"]).select("clip_id", "camera", "chunk", "pos", "u", "v", "r", "g", "b")
 
 
 def rendered_lidar(camera_pose: DataFrame, intrinsics: DataFrame, objects: DataFrame, lidar: DataFrame, sweeps: DataFrame, settings: dict, w: int, h: int) -> DataFrame:
-    """(clip_id, camera, chunk, pos, u, v, grey): the LiDAR condition of every chunk."""
-    frames = rendered_frames(camera_pose, settings)
-    cameras = frames.join(camera_pose, ["clip_id", "camera", "frame"]).join(intrinsics, ["clip_id", "camera"])
+    """(clip_id, camera, chunk, pos, u, v, grey): the LiDAR condition of every chunk. Cameras are written to the scratch folder first."""
+    cameras, frames = _cameras(camera_pose, intrinsics, settings)
     every = frames.select("clip_id", "frame").unionByName(sweeps.select("clip_id", "frame")).distinct()
     moving = obj.interpolate_objects(obj.clean_static(objects), every)
     pixels = points.lidar_condition(lidar, sweeps, moving, frames.select("clip_id", "frame").distinct(), cameras, w, h)
