@@ -230,13 +230,15 @@ def caption_tasks(spark, sf_dir):
 
 
 def embedding_cut(spark, sf_dir):
-    """Answers of an encoder, cut to their mask."""
+    """Answers of an encoder, cut to their mask: a thousandfold in single precision, without its fraction. Components that are missing add nothing."""
     e = _table(spark, sf_dir, "embeddings")
-    row = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.array((F.get("embedding", i) * 1000).cast("int").cast("float")))
+    # a product with an integer would be of double precision; from 2^23 on a float has no fraction
+    whole = lambda x: F.when(F.abs(x) < 2.0**23, x - x % 1).otherwise(x).cast("float")
+    row = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.array(whole((F.get("embedding", i) * F.lit(1000)).cast("float"))))
     mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < F.col("vec_id") % 8, 1).otherwise(0))
     said = e.select("vec_id", F.when(F.col("vec_id") % 11 != 0, F.to_json(F.struct(row.alias("embedding"), mask.alias("mask")))).alias("response"), F.lit(None).cast("string").alias("error"))
     out = manifest.embedded(said)
-    return out.select("vec_id", "n_tokens", F.size("embedding").alias("n_rows"), F.aggregate("embedding", mat.d(0), lambda acc, x: acc + x[0]).alias("total"))
+    return out.select("vec_id", "n_tokens", F.size("embedding").alias("n_rows"), F.aggregate("embedding", mat.d(0), lambda acc, x: acc + F.coalesce(x[0].cast("double"), mat.d(0))).alias("total"))
 
 
 def embedding_tasks(spark, sf_dir):
