@@ -19,6 +19,13 @@ def _block() -> Column:
     return F.floor(F.col("frame") / BLOCK)
 
 
+def _carried(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what their block starts from. A null key names a track like any other."""
+    on = [*keys, "__block"]
+    c = carry.withColumnsRenamed({k: f"__of_{k}" for k in on})
+    return rows.join(c, [rows[k].eqNullSafe(c[f"__of_{k}"]) for k in on], "left").drop(*(f"__of_{k}" for k in on))
+
+
 def with_neighbour(rows: DataFrame, keys: Sequence[str], values: Sequence[str], out: str, ahead: bool = True) -> DataFrame:
     """Adds `out`: a struct of the values of the track's next row by frame (of the one before, if not ahead), null where there is none."""
     b = rows.withColumn("__block", _block())
@@ -28,7 +35,7 @@ def with_neighbour(rows: DataFrame, keys: Sequence[str], values: Sequence[str],
     ends = b.groupBy(*keys, "__block").agg((F.min_by if ahead else F.max_by)(here, "frame").alias("__end"))
     over = Window.partitionBy(*keys).orderBy("__block")
     carry = ends.select(*keys, "__block", (F.lead if ahead else F.lag)("__end").over(over).alias("__carry")).filter("__carry IS NOT NULL")
-    return local.join(carry, [*keys, "__block"], "left").select(*rows.columns, F.coalesce(out, "__carry").alias(out))
+    return _carried(local, carry, keys).select(*rows.columns, F.coalesce(out, "__carry").alias(out))
 
 
 def with_labels_around(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -41,7 +48,7 @@ def with_labels_around(rows: DataFrame, keys: Sequence[str], label: str) -> Data
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*keys, "__block", F.last("hi", True).over(before).alias("__before"), F.last("lo", True).over(after).alias("__after"))
-    joined = local.join(carry.filter("__before IS NOT NULL OR __after IS NOT NULL"), [*keys, "__block"], "left")
+    joined = _carried(local, carry.filter("__before IS NOT NULL OR __after IS NOT NULL"), keys)
     return joined.select(*rows.columns, F.coalesce("prev", "__before").alias("prev"), F.coalesce("next", "__after").alias("next"))
 
 
@@ -58,6 +65,6 @@ def with_parity(rows: DataFrame, keys: Sequence[str], turn: Column, reset: Colum
     total = F.sum("tail").over(Window.partitionBy(*keys, "since").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0))
     ends = ends.withColumn("total", total)
     carry = ends.select(*keys, "__block", F.lag("total").over(Window.partitionBy(*keys).orderBy("__block")).alias("__carry")).filter("__carry IS NOT NULL")
-    joined = b.join(carry, [*keys, "__block"], "left")
+    joined = _carried(b, carry, keys)
     turns = F.col("__turns") + F.when(F.col("__run") == 0, F.coalesce("__carry", F.lit(0))).otherwise(0)
     return joined.select(*rows.columns, (turns % 2 == 1).alias(out))

@@ -9,9 +9,6 @@ from scenetables.functions import mat
 from scenetables.operators import objects, resample
 from scenetables.plans import scenes
 
-#: Ids of vectors that make one track of a label, so that tracks grow in number.
-TRACK = 200
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -100,10 +97,10 @@ def timeline_range(spark, sf_dir):
 
 
 def sign_align(spark, sf_dir):
-    """Quaternions of a label's vectors in blocks, each on the side of the one before."""
-    clip = F.col("label").cast("long") * 1_000_000 + F.floor(F.col("vec_id") / TRACK)
-    e = _table(spark, sf_dir, "embeddings").select(clip.alias("clip_id"), F.col("vec_id").alias("frame"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("wxyz")))
-    return resample.align_signs(e, ["clip_id"]).select(F.col("clip_id"), F.col("frame"), *(F.round(c, 6).alias(c) for c in "wxyz"))
+    """Quaternions of a label's vectors, a track of any length, each on the side of the one before."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id"), F.col("vec_id").alias("frame"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("wxyz")))
+    signed = lambda c: F.when(F.round(c, 6) == 0, F.rint(c)).otherwise(F.round(c, 6)).alias(c)  # a zero keeps its sign
+    return resample.align_signs(e, ["clip_id"]).select("clip_id", "frame", *map(signed, "wxyz"))
 
 
 def _yaw_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +202,8 @@ SELECT e.clip_id, e.frame, round(CASE WHEN pf IS NULL THEN nv WHEN s IS NULL THE
 FROM ends e LEFT JOIN found f ON f.clip_id = e.clip_id AND f.frame = e.frame""",
     "timeline_range": f"""WITH {_DAILY} SELECT clip_id, least(0, min(frame - 3))::INTEGER AS first_t, greatest(0, max(frame - 3))::INTEGER AS last_t,
   least(0, min(frame - 3)) < greatest(0, max(frame - 3)) AS enabled FROM daily GROUP BY clip_id""",
-    "sign_align": f"""WITH q AS (
-  SELECT label::BIGINT * 1000000 + vec_id // {TRACK} AS clip_id, vec_id AS frame, embedding[1]::DOUBLE AS w, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y, embedding[4]::DOUBLE AS z FROM embeddings),
+    "sign_align": """WITH q AS (
+  SELECT label AS clip_id, vec_id AS frame, embedding[1]::DOUBLE AS w, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y, embedding[4]::DOUBLE AS z FROM embeddings),
 d AS (SELECT *, CASE WHEN w * lag(w) OVER o + x * lag(x) OVER o + y * lag(y) OVER o + z * lag(z) OVER o < 0 THEN 1 ELSE 0 END AS f FROM q WINDOW o AS (PARTITION BY clip_id ORDER BY frame)),
 s AS (SELECT *, CASE WHEN (sum(f) OVER (PARTITION BY clip_id ORDER BY frame)) % 2 = 1 THEN -1 ELSE 1 END AS s FROM d)
 SELECT clip_id, frame, round(w * s, 6) AS w, round(x * s, 6) AS x, round(y * s, 6) AS y, round(z * s, 6) AS z FROM s""",
