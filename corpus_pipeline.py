@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingle similarities of 0.8 or more, that of the smallest id; texts without words are one group."""
+    """One document of each group linked by 5-word shingle similarities of 0.8 or more, that of the smallest id; texts without words are one group. Candidates come from the
+    SimHash range join of op1; its radius misses most pairs near 0.8, for which an exact prefix filter follows."""
     return simhash_dedup.keep_one(docs, find=shingle_dedup.near_duplicates)
 
 

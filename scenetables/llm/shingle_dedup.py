@@ -1,6 +1,7 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash candidates and the exact Jaccard similarity of word shingles.
 
-Copies of a shingle set are one node. Two sets of a similarity of 4/5 or more share one of the first fifth of their
+Copies of a shingle set are one node. Nodes whose SimHashes are equal, or meet in the range join of segment popcounts (simhash_dedup), are
+compared first. A radius of three bits cannot find all that is similar, so what is then still apart goes through an exact way for the rest. Two sets of a similarity of 4/5 or more share one of the first fifth of their
 shingles under any order that holds for all sets (prefix filter), so candidates lose no link. The order puts shingles
 that a sample finds common last, the rest by hash; it decides about the work, never about the result. Sizes, positions
 and parity sketches bound the similarity from above and prune without loss; the shingles themselves then decide.
@@ -19,6 +20,7 @@ from xxhash import xxh64_intdigest
 
 from scenetables.llm.common import discard, materialize, small_batches, text_key
 from scenetables.llm.components import connected_components
+from scenetables.llm.simhash_dedup import set_fingerprint, similar_fingerprints
 
 SEED = 42
 SHINGLE = 5
@@ -91,12 +93,12 @@ def common_shingles(d: DataFrame, n: int) -> np.ndarray:
 
 
 def prints(d: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_key, node, n, prefix, sketch, short): one row per row of d (doc_id, text_key, text)."""
+    """(doc_id, text_key, node, n, prefix, sketch, short, fp): one row per row of d (doc_id, text_key, text). fp is the SimHash of the set."""
     common = common_shingles(d, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, prefix, sk, short = [], [], [], [], []
+            node, size, prefix, sk, short, fp = [], [], [], [], [], []
             for t in b.column("text"):
                 h = shingle_set(t.as_py(), n)
                 late = found(h, common)
@@ -106,12 +108,13 @@ def prints(d: DataFrame, n: int) -> DataFrame:
                 prefix.append(np.concatenate([h[~late], h[late]])[:p].view(np.int64))
                 sk.append(sketch(h))
                 short.append(short_sketch(h))
+                fp.append(set_fingerprint(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sk, pa.binary()), pa.array(short, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "node", "n", "prefix", "sketch", "short"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sk, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(fp, pa.int64())],
+                ["doc_id", "text_key", "node", "n", "prefix", "sketch", "short", "fp"],
             )
 
-    return small_batches(d).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_key long, node long, n int, prefix array<long>, sketch binary, short array<long>")
+    return small_batches(d).mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_key long, node long, n int, prefix array<long>, sketch binary, short array<long>, fp long")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -167,10 +170,37 @@ def _room(a: str, b: str) -> Column:
     return _sizes_fit(n(a), n(b)) & ((P + Q) * F.least(n(a) - pos(a) + shared, n(b) - pos(b) + shared) >= P * (n(a) + n(b)))
 
 
+def simhash_pairs(marks: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates by SimHash. Of the nodes of one fingerprint the smallest stands for it: it is compared with each of the others, and with those that
+    stand for the fingerprints that the range join of segment popcounts finds within its radius."""
+    prints = materialize(marks.select("fp", "node").distinct(), "fingerprints")
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("c")), "fingerprint_nodes")
+    same = prints.join(first.filter("c > 1"), "fp").filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    of = lambda x: first.select(F.col("fp").alias(x), F.col("low").alias(f"node_{x}"))
+    near = similar_fingerprints(first).join(of("a"), "a").join(of("b"), "b")
+    near = near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    pairs = materialize(same.unionByName(near), "simhash_pairs")
+    for t in (prints, first):
+        discard(t)
+    return pairs
+
+
+def _still_apart(at: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of at whose shingle is in different components, with their components as parts."""
+    roots = connected_components(links)
+    named = at.join(roots, at["x.node"] == roots["node"], "left").select("key", F.col("x").withField("part", F.coalesce("root", "x.node")).alias("x"), "weight")
+    named = materialize(named, "named")
+    apart = materialize(named.groupBy("key").agg(F.min("x.part").alias("lo"), F.max("x.part").alias("hi")).filter("lo < hi").select("key"), "apart")
+    left = materialize(named.join(apart, "key"), "parts")
+    for t in (named, apart, at):
+        discard(t)
+    return left
+
+
 def near_duplicate_nodes(d: DataFrame, marks: DataFrame, n: int) -> DataFrame:
     """(node, root) of every node that has a link.
 
-    Nodes are first compared with some pivots among those that share a shingle of their prefixes: the one that shares the most with others, which in a
+    Nodes are first compared with those that SimHash finds, then with some pivots among those that share a shingle of their prefixes: the one that shares the most with others, which in a
     group of copies is the text they come from, and random ones. What is then still in
     different components is compared pair by pair. A group of near copies so costs some comparisons each."""
     # what a shingle's rows have in common is summed before the shuffle and joined back, so that a shingle of any number of texts is a key that Spark can split
@@ -185,7 +215,10 @@ def near_duplicate_nodes(d: DataFrame, marks: DataFrame, n: int) -> DataFrame:
     at = materialize(at, "parts")
     discard(shared)
     discard(weight)
-    links = None
+    candidates = simhash_pairs(marks)
+    links = verified(d, marks, candidates, n)
+    discard(candidates)
+    at = _still_apart(at, links)
     for k in range(ROUNDS):
         order = [F.xxhash64("x.node", F.lit(PIVOTS * k + j)) for j in range(PIVOTS)]
         order = [-F.col("weight"), *order[1:]] if k == 0 else order
@@ -193,14 +226,9 @@ def near_duplicate_nodes(d: DataFrame, marks: DataFrame, n: int) -> DataFrame:
         pivots = materialize(pivots.select("key", F.array_distinct(F.array(*(F.col(f"p{j}.x") for j in range(PIVOTS)))).alias("ys")), "pivots")
         met = at.select("key", "x").join(pivots, "key").select("x", F.explode("ys").alias("y")).filter((F.col("x.part") != F.col("y.part")) & _room("x", "y"))
         pairs = materialize(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "stars")
-        new = verified(d, marks, pairs, n)
-        links = new if links is None else links.unionByName(new)
-        roots = connected_components(links)
-        named = at.join(roots, at["x.node"] == roots["node"], "left").select("key", F.col("x").withField("part", F.coalesce("root", "x.node")).alias("x"), "weight")
-        named = materialize(named, "named")
-        apart = materialize(named.groupBy("key").agg(F.min("x.part").alias("lo"), F.max("x.part").alias("hi")).filter("lo < hi").select("key"), "apart")
-        before, at = at, materialize(named.join(apart, "key"), "parts")
-        for t in (pivots, pairs, named, apart, before):
+        links = links.unionByName(verified(d, marks, pairs, n))
+        at = _still_apart(at, links)
+        for t in (pivots, pairs):
             discard(t)
     longs = [F.col("short")[i].alias(f"s{i}") for i in range(SHORT // 64)]
     sketches = marks.select("node", *longs).join(at.select(F.col("x.node").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])

@@ -37,7 +37,11 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     if not w:
         return 0
     grams = [b" ".join(w)] if len(w) < n else map(b" ".join, zip(*(w[i:] for i in range(n))))
-    h = np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64)
+    return set_fingerprint(np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def set_fingerprint(h: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes: a bit is 1 if set in over half of them; 0 of none."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):  # a very long text takes 4 MB at a time
         counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

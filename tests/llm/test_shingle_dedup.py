@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from scenetables.llm import shingle_dedup
 from scenetables.llm.shingle_dedup import shingle_set, similar, sketch, sketch_distance
 
 
@@ -82,3 +83,19 @@ def test_empty_table_and_repeated_rows(spark, documents):
     d = documents([(1, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "")]).selectExpr("*", "1 AS node", "2 AS root")
     got = sh.near_duplicates(d).collect()
     assert len(got) == 4 and len({r.root for r in got}) == 2
+
+
+def test_candidates_come_from_simhash(spark, documents):
+    """Each pair of fingerprints within three bits, and of nodes of one fingerprint, is a candidate; the rest is settled exactly."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(50000)}" for _ in range(400)) for _ in range(6)]
+    near = [t.replace(t.split()[200], "other", 1) for t in texts]
+    d = documents(list(enumerate(texts + near))).selectExpr("doc_id", "xxhash64(text) AS text_key", "text")
+    marks = shingle_dedup.prints(d, 5).cache()
+    fp = {r.node: r.fp for r in marks.collect()}
+    met = {(r.a, r.b) for r in shingle_dedup.simhash_pairs(marks).collect()}
+    differ = lambda a, b: ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count()
+    assert met == {(a, b) for a in fp for b in fp if a < b and differ(a, b) <= 3} and len(met) >= 3
+    # without the exact way, what SimHash finds is linked
+    linked = shingle_dedup.verified(d, marks, shingle_dedup.simhash_pairs(marks), 5)
+    assert {(r.a, r.b) for r in linked.collect()} == met
