@@ -86,10 +86,14 @@ def bracket(spine: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def _around(spine: DataFrame, frames: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """spine with prev, next and each value at both (p_<value>, n_<value>)."""
-    b = bracket(spine, frames, keys)
-    at = lambda side, p: frames.select(*keys, F.col("frame").alias(side), *(F.col(v).alias(f"{p}_{v}") for v in values))
-    return b.join(at("prev", "p"), [*keys, "prev"], "left").join(at("next", "n"), [*keys, "next"], "left")
+    """spine with prev, next and each value at both (p_<value>, n_<value>). A keyframe's values go along with it, so frames is not joined again; a track has one
+    keyframe at a frame."""
+    label = F.struct(F.col("frame").cast("int").alias("__at"), *values)
+    k = frames.select(*keys, "frame", label.alias("__label"))
+    s = spine.select("*", F.lit(None).cast(k.schema["__label"].dataType).alias("__label"))
+    out = scans.with_labels_around(s.unionByName(k, allowMissingColumns=True), keys, "__label").filter("__label IS NULL")
+    at = lambda side, p: (F.col(f"{side}.{v}").alias(f"{p}_{v}") for v in values)
+    return out.select(*spine.columns, F.col("prev.__at").alias("prev"), F.col("next.__at").alias("next"), *at("prev", "p"), *at("next", "n"))
 
 
 def hold(spine: DataFrame, keyframes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -119,19 +123,28 @@ def bezier_handles(keyframes: DataFrame, keys: Sequence[str], value: str = "valu
     A handle is the gap to its neighbour over HANDLE_SCALE long, the gaps being capped at HANDLE_CAP times each other, and
     follows the mean of the slopes on both sides. It is flat at the ends and at extrema. Where it would pass its neighbour's
     value, the slope that just reaches it holds for both handles; the left side goes first."""
+    return _handles(keyframes, keys, [value]).withColumnsRenamed({f"ly_{value}": "ly", f"ry_{value}": "ry"})
+
+
+def _handles(keyframes: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The handles of several columns: keys, frame, values, lx, rx, and ly_<value>, ry_<value> of each. Lengths follow the frames, so lx and rx are those of all columns."""
     w = Window.partitionBy(*keys).orderBy("frame")
-    x, y = F.col("frame").cast("double"), F.col(value).cast("double")
-    k = keyframes.select(*keys, "frame", value, (x - F.lag(x).over(w)).alias("ga"), (y - F.lag(y).over(w)).alias("ra"), (F.lead(x).over(w) - x).alias("gb"), (F.lead(y).over(w) - y).alias("rb"))
+    x = F.col("frame").cast("double")
+    rises = [c for v in values for c in ((F.col(v).cast("double") - F.lag(F.col(v).cast("double")).over(w)).alias(f"ra_{v}"), (F.lead(F.col(v).cast("double")).over(w) - F.col(v).cast("double")).alias(f"rb_{v}"))]
+    k = keyframes.select(*keys, "frame", *values, (x - F.lag(x).over(w)).alias("ga"), (F.lead(x).over(w) - x).alias("gb"), *rises)
     inner = F.col("ga").isNotNull() & F.col("gb").isNotNull()
     k = k.withColumn("ha", F.when(inner, F.least(F.col("ga"), HANDLE_CAP * F.col("gb"))))
     k = k.withColumn("hb", F.when(inner, F.least(F.col("gb"), HANDLE_CAP * F.col("ha"))))
     # an end takes its only gap for both sides, a lone keyframe one frame
     end = F.coalesce("ga", "gb", F.lit(HANDLE_SCALE))
     k = k.withColumn("ha", F.coalesce("ha", end) / HANDLE_SCALE).withColumn("hb", F.coalesce("hb", end) / HANDLE_SCALE)
-    k = k.withColumn("slope", F.when(inner & (F.col("ra") * F.col("rb") > 0), (F.col("ra") / F.col("ga") + F.col("rb") / F.col("gb")) / 2).otherwise(mat.d(0)))
-    steep = lambda h, r: F.abs(F.col("slope")) * F.col(h) > F.abs(F.col(r))
-    k = k.withColumn("slope", F.when(steep("ha", "ra"), F.col("ra") / F.col("ha")).when(steep("hb", "rb"), F.col("rb") / F.col("hb")).otherwise(F.col("slope")))
-    return k.select(*keys, "frame", value, (x - F.col("ha")).alias("lx"), (y - F.col("slope") * F.col("ha")).alias("ly"), (x + F.col("hb")).alias("rx"), (y + F.col("slope") * F.col("hb")).alias("ry"))
+    slope = lambda v: F.when(inner & (F.col(f"ra_{v}") * F.col(f"rb_{v}") > 0), (F.col(f"ra_{v}") / F.col("ga") + F.col(f"rb_{v}") / F.col("gb")) / 2).otherwise(mat.d(0))
+    k = k.withColumns({f"slope_{v}": slope(v) for v in values})
+    steep = lambda v, h, r: F.abs(F.col(f"slope_{v}")) * F.col(h) > F.abs(F.col(f"{r}_{v}"))
+    clamped = lambda v: F.when(steep(v, "ha", "ra"), F.col(f"ra_{v}") / F.col("ha")).when(steep(v, "hb", "rb"), F.col(f"rb_{v}") / F.col("hb")).otherwise(F.col(f"slope_{v}"))
+    k = k.withColumns({f"slope_{v}": clamped(v) for v in values})
+    ends = [c for v in values for c in ((F.col(v).cast("double") - F.col(f"slope_{v}") * F.col("ha")).alias(f"ly_{v}"), (F.col(v).cast("double") + F.col(f"slope_{v}") * F.col("hb")).alias(f"ry_{v}"))]
+    return k.select(*keys, "frame", *values, (x - F.col("ha")).alias("lx"), (x + F.col("hb")).alias("rx"), *ends)
 
 
 def _cubic(a: Column, b: Column, c: Column, e: Column, s: Column) -> Column:
@@ -139,10 +152,11 @@ def _cubic(a: Column, b: Column, c: Column, e: Column, s: Column) -> Column:
     return a * q * q * q + 3 * b * q * q * s + 3 * c * q * s * s + e * s * s * s
 
 
-def bezier(spine: DataFrame, keyframes: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Auto-clamped Bezier curves between keyframes, held outside. The curve's abscissa rises, so bisection finds the frame."""
-    h = bezier_handles(keyframes, keys, value)
-    a = _around(spine, h, keys, [value, "lx", "ly", "rx", "ry"])
+def bezier(spine: DataFrame, keyframes: DataFrame, keys: Sequence[str], values: str | Sequence[str] = "value") -> DataFrame:
+    """Auto-clamped Bezier curves of one or more columns between keyframes, held outside. The curve's abscissa rises, so bisection finds the frame, once for all columns."""
+    values = [values] if isinstance(values, str) else list(values)
+    h = _handles(keyframes, keys, values)
+    a = _around(spine, h, keys, ["lx", "rx", *values, *(f"{e}_{v}" for v in values for e in ("ly", "ry"))])
     x0, x1, t = F.col("prev").cast("double"), F.col("next").cast("double"), F.col("frame").cast("double")
 
     def halve(acc: Column, _: Column) -> Column:
@@ -151,10 +165,15 @@ def bezier(spine: DataFrame, keyframes: DataFrame, keys: Sequence[str], value: s
         return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct(mat.d(0).alias("lo"), mat.d(1).alias("hi")), halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    a = a.withColumn("__s", F.when(F.col("prev") < F.col("next"), found))
-    p, n = F.col(f"p_{value}"), F.col(f"n_{value}")
-    y = F.when(F.col("prev").isNull(), n).when(F.col("__s").isNull(), p).otherwise(_cubic(p.cast("double"), F.col("p_ry"), F.col("n_ly"), n.cast("double"), F.col("__s")))
-    return a.select(*keys, "frame", y.cast("double").alias(value))
+    # a generator, so that the bisection is not copied into each column
+    a = a.withColumn("__s", F.explode(F.array(F.when(F.col("prev") < F.col("next"), found))))
+
+    def at(v: str) -> Column:
+        p, n = F.col(f"p_{v}"), F.col(f"n_{v}")
+        y = F.when(F.col("prev").isNull(), n).when(F.col("__s").isNull(), p).otherwise(_cubic(p.cast("double"), F.col(f"p_ry_{v}"), F.col(f"n_ly_{v}"), n.cast("double"), F.col("__s")))
+        return y.cast("double").alias(v)
+
+    return a.select(*keys, "frame", *map(at, values))
 
 
 def align_signs(quats: DataFrame, keys: Sequence[str], items: Sequence[str] = ("w", "x", "y", "z")) -> DataFrame:
@@ -202,25 +221,20 @@ def squad_track(spine: DataFrame, quats: DataFrame, keys: Sequence[str]) -> Data
 def pose_track(spine: DataFrame, keyframes: DataFrame, keys: Sequence[str], position: str = "bezier", rotation: str = "components") -> DataFrame:
     """(keys, frame, m) from keyframes (x, y, z, qw, qx, qy, qz). position: "linear" or "bezier"; rotation: "components" (the
     four items in the same way, renormalised), "slerp" or "squad"."""
-    ways = {"linear": lambda s, k, c: linear(s, k, keys, [c]), "bezier": lambda s, k, c: bezier(s, k, keys, c)}
-    if position not in ways or rotation not in ("components", "slerp", "squad"):
+    if position not in ("linear", "bezier") or rotation not in ("components", "slerp", "squad"):
         raise ValueError("unknown interpolation")
-    q = keyframes.select(*keys, "frame", *(F.col(f"q{c}").alias(c) for c in "wxyz"))
+    names = ["x", "y", "z"]
+    source = keyframes.select(*keys, "frame", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "qw", "qx", "qy", "qz")))
     if rotation == "components":
-        flat = align_signs(q, keys).select(*keys, "frame", *(F.col(c).alias(f"q{c}") for c in "wxyz"))
-        names, source = ["x", "y", "z", "qw", "qx", "qy", "qz"], keyframes.drop("qw", "qx", "qy", "qz").join(flat, [*keys, "frame"])
-    else:
-        names, source = ["x", "y", "z"], keyframes
-    # one pass for all columns of a track: they become rows of (column, value) and share the windows
-    long = source.select(*keys, "frame", F.explode(F.array(*(F.struct(F.lit(n).alias("__n"), F.col(n).cast("double").alias("value")) for n in names))).alias("__e")).select(*keys, "frame", "__e.*")
-    every = spine.select(*keys, "frame").withColumn("__n", F.explode(F.array(*map(F.lit, names))))
-    by = [*keys, "__n"]
-    done = linear(every, long, by, ["value"]) if position == "linear" else bezier(every, long, by)
-    wide = done.groupBy(*keys, "frame").pivot("__n", names).agg(F.first("value"))
+        names += ["qw", "qx", "qy", "qz"]
+        source = align_signs(source, keys, names[3:])
+    # one pass for all columns of a track: they share their keyframes, and so the frames around each
+    wide = linear(spine, source, keys, names) if position == "linear" else bezier(spine, source, keys, names)
     if rotation == "components":
         n = F.sqrt(F.col("qw") ** 2 + F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2) + 1e-6
         wide = wide.withColumns({f"q{c}": F.col(f"q{c}") / n for c in "wxyz"})
     else:
+        q = keyframes.select(*keys, "frame", *(F.col(f"q{c}").alias(c) for c in "wxyz"))
         track = (slerp_track if rotation == "slerp" else squad_track)(spine, q, keys)
         wide = wide.join(track.select(*keys, "frame", *(F.col(c).alias(f"q{c}") for c in "wxyz")), [*keys, "frame"])
     return wide.select(*keys, "frame", mat.pose(mat.q_rotation(_q("q")), [F.col("x"), F.col("y"), F.col("z")]).alias("m"))

@@ -39,17 +39,26 @@ def with_neighbour(rows: DataFrame, keys: Sequence[str], values: Sequence[str],
 
 
 def with_labels_around(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Adds prev and next: the nearest labels (ints, at their own frames; null elsewhere) at or before and at or after each row of a track. Of rows at one frame, labels
+    """Adds prev and next: the nearest labels (null where a row has none) at or before and at or after each row of a track. Of rows at one frame, labels
     come first in either direction."""
     b = rows.withColumn("__block", _block())
-    way = lambda order: Window.partitionBy(*keys, "__block").orderBy(order, F.col(label).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.select("*", F.last(label, True).over(way(F.col("frame").asc())).alias("prev"), F.last(label, True).over(way(F.col("frame").desc())).alias("next"))
-    ends = b.groupBy(*keys, "__block").agg(F.max(label).alias("hi"), F.min(label).alias("lo"))
+    at = F.when(F.col(label).isNotNull(), F.col("frame"))
+    ends = b.groupBy(*keys, "__block").agg(F.max_by(label, at).alias("hi"), F.min_by(label, at).alias("lo"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*keys, "__block", F.last("hi", True).over(before).alias("__before"), F.last("lo", True).over(after).alias("__after"))
-    joined = _carried(local, carry.filter("__before IS NOT NULL OR __after IS NOT NULL"), keys)
-    return joined.select(*rows.columns, F.coalesce("prev", "__before").alias("prev"), F.coalesce("next", "__after").alias("next"))
+    # what a block starts from is a row at its first or last frame, so that rows are shuffled once, before they have what is around them
+    kind = rows.schema["frame"].dataType
+    seed = lambda c, n, shift: carry.filter(F.col(c).isNotNull()).select(*keys, "__block", (F.col("__block") * BLOCK + shift).cast(kind).alias("frame"), F.col(c).alias(label), F.lit(n).alias("__kind"))
+    b = b.withColumn("__kind", F.when(F.col(label).isNotNull(), 2).otherwise(3))
+    b = b.unionByName(seed("__before", 0, 0), allowMissingColumns=True).unionByName(seed("__after", 1, BLOCK - 1), allowMissingColumns=True)
+
+    def last(order: Column, other: int) -> Column:
+        w = Window.partitionBy(*keys, "__block").orderBy(order, "__kind").rowsBetween(Window.unboundedPreceding, 0)
+        return F.last(F.when(F.col("__kind") != other, F.col(label)), True).over(w)
+
+    out = b.select("*", last(F.col("frame").asc(), 1).alias("prev"), last(F.col("frame").desc(), 0).alias("next"))
+    return out.filter("__kind > 1").select(*rows.columns, "prev", "next")
 
 
 def with_parity(rows: DataFrame, keys: Sequence[str], turn: Column, reset: Column, out: str) -> DataFrame:

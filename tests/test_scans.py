@@ -69,3 +69,27 @@ def test_one_long_track_is_many_groups(spark, monkeypatch):
     assert len(windows) == 2 and len(over_rows) == 1 and "windowspecdefinition(__block" in over_rows[0]
     got = up.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.max("frame").alias("f")).first()
     assert (got.n, got.f) == (299_998, 299_997) and math.isclose(got.s, sum(k / 3 for k in range(299_998)), rel_tol=1e-9)
+
+
+def test_pose_tracks_share_one_pass(spark):
+    """All columns of a track go through one window: no rows of (column, value), and no pivot."""
+    k = spark.range(40).selectExpr("id % 4 AS clip_id", "cast(id div 4 * 3 AS int) AS frame", *(f"cast(id AS double) AS {c}" for c in ("x", "y", "z", "qw", "qx", "qy", "qz")))
+    spine = k.groupBy("clip_id").agg(F.max("frame").alias("last")).select("clip_id", F.expr("explode(sequence(0, last)) AS frame"))
+    for way in ("linear", "bezier"):
+        plan = resample.pose_track(spine, k, ["clip_id"], way)._jdf.queryExecution().optimizedPlan().toString()
+        assert "__n#" not in plan and "pivot" not in plan, way
+
+
+def test_values_go_along_over_blocks_without_labels(spark):
+    b = scans.BLOCK
+    rows = [("a", 5, 1.0), ("a", 3 * b, 2.0), ("a", 3 * b + 7, None), (None, 1, 4.0)]
+    k = spark.createDataFrame(rows, "clip_id string, frame int, value double")
+    at = [("a", f) for f in (0, 5, 6, b - 1, b, 2 * b + 3, 3 * b - 1, 3 * b, 3 * b + 1, 3 * b + 9, 5 * b)] + [("b", 4), (None, 2 * b)]
+    spine = spark.createDataFrame(at, "clip_id string, frame int")
+    got = {(r.clip_id, r.frame): (r.prev, r.next, r.p_value, r.n_value) for r in resample._around(spine, k, ["clip_id"], ["value"]).collect()}
+    want = {}
+    for c, f in at:
+        p = max(((x[1], x[2]) for x in rows if x[0] == c and x[1] <= f), default=(None, None), key=lambda x: x[0])
+        n = min(((x[1], x[2]) for x in rows if x[0] == c and x[1] >= f), default=(None, None), key=lambda x: x[0])
+        want[c, f] = (p[0], n[0], p[1], n[1])
+    assert got == want
