@@ -7,6 +7,7 @@ using them several times: an expression is evaluated wherever it stands.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -169,17 +170,26 @@ def grounded(m: Column | str, height: Column | None = None, convention: str = "f
     return out if convention == "flu" else flu_to_opencv(out)
 
 
+def is_orthonormal(r: list[Column], eps: float = 1e-12) -> Column:
+    """Whether the rows of nine items are of length one and at right angles, but for eps."""
+    rows = [r[0:3], r[3:6], r[6:9]]
+    apart = [F.abs(dot(rows[a], rows[b]) - (1.0 if a == b else 0.0)) <= eps for a in range(3) for b in range(a, 3)]
+    return functools.reduce(Column.__and__, apart)
+
+
 def nearest_rotation(m: Column | str, rounds: int = 8) -> Column:
-    """Polar factor by Newton steps 0.5 (R + R^-T), in one aggregate so that the expression stays small."""
+    """Polar factor by Newton steps 0.5 (R + R^-T), in one aggregate so that the expression stays small. Steps end when the matrix is orthonormal; one that is so from the
+    start takes none, and no interpreted aggregate."""
     m = F.col(m) if isinstance(m, str) else m
 
     def step(acc: Column, _: Column) -> Column:
         r = [acc[i] for i in range(9)]
         i = inv3(r)
-        return F.array(*(0.5 * (r[3 * a + b] + i[3 * b + a]) for a in range(3) for b in range(3)))
+        return F.when(is_orthonormal(r), acc).otherwise(F.array(*(0.5 * (r[3 * a + b] + i[3 * b + a]) for a in range(3) for b in range(3))))
 
     r = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(*rot(m)), step)
-    return F.transform(F.array(r), lambda x: pose([x[i] for i in range(9)], shift(m)))[0]
+    found = F.transform(F.array(r), lambda x: pose([x[i] for i in range(9)], shift(m)))[0]
+    return F.when(is_orthonormal(rot(m)), pose(rot(m), shift(m))).otherwise(found)
 
 
 # Quaternions -------------------------------------------------------------------------------------------------
