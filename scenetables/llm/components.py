@@ -66,21 +66,24 @@ def _star_round(edges: DataFrame) -> DataFrame:
     return new
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether edges (a, b), a < b, are stars apart from each other: each node then has one root."""
+    ends = edges.select(F.col("b").alias("node"), "a").unionByName(edges.select(F.col("a").alias("node"), "a"))
+    return ends.groupBy("node").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo < hi").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """links(a, b), any order and direction -> (node, root): root is the smallest node reachable. Nodes without a
     link to another node are not returned; nulls are left out, and an empty table gives an empty result. Edges stay in tables from first to last; each step is written to the
-    shared scratch folder, so the lineage is one step long. Tasks first contract the links they hold; the number of
-    rounds then grows with the logarithm of the longest chain of what is left."""
-    edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    shared scratch folder, so the lineage is one step long. Tasks first contract the links they hold; star rounds follow only while a node of what is left has
+    more than one root, and their number grows with the logarithm of the longest chain."""
+    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     while True:
         contracted = materialize(_contracted(edges), "contracted")
         discard(edges)
+        if _is_forest(contracted):
+            break
         edges = _star_round(contracted)
         discard(contracted)
-        mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if seen == (mark["n"], mark["x"]):
-            break
-        seen = (mark["n"], mark["x"])
-    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    roots = contracted.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    return roots.unionByName(contracted.select(F.col("b").alias("node"), F.col("a").alias("root")))

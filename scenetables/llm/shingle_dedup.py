@@ -138,7 +138,7 @@ def _sets(d: DataFrame, marks: DataFrame, pairs: DataFrame, n: int) -> DataFrame
 
 
 def verified(d: DataFrame, marks: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity is P / Q or more: by sketches, then by the shingles."""
+    """The pairs (a, b) of nodes whose similarity is P / Q or more: by sketches, then by the shingles. What has no pair is not joined."""
 
     def both(pairs: DataFrame, of: DataFrame, *cols: str) -> DataFrame:
         end = lambda x: of.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
@@ -159,6 +159,8 @@ def verified(d: DataFrame, marks: DataFrame, pairs: DataFrame, n: int) -> DataFr
     # a table of its own, so that a pivot of many pairs is a join key that Spark can split
     sketches = materialize(marks.select("node", "n", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sketches")
     left = materialize(small_batches(both(pairs, sketches, "n", "sketch")).mapInArrow(near, "a long, b long"), "near")
+    if left.isEmpty():
+        return left
     return materialize(small_batches(both(left, _sets(d, marks, left, n), "h")).mapInArrow(exact, "a long, b long"), "links")
 
 
@@ -185,9 +187,8 @@ def simhash_pairs(marks: DataFrame) -> DataFrame:
     return pairs
 
 
-def _still_apart(at: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of at whose shingle is in different components, with their components as parts."""
-    roots = connected_components(links)
+def _still_apart(at: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of at whose shingle is in different components, with their components as parts. roots: connected_components()."""
     named = at.join(roots, at["x.node"] == roots["node"], "left").select("key", F.col("x").withField("part", F.coalesce("root", "x.node")).alias("x"), "weight")
     named = materialize(named, "named")
     apart = materialize(named.groupBy("key").agg(F.min("x.part").alias("lo"), F.max("x.part").alias("hi")).filter("lo < hi").select("key"), "apart")
@@ -216,20 +217,26 @@ def near_duplicate_nodes(d: DataFrame, marks: DataFrame, n: int) -> DataFrame:
     discard(shared)
     discard(weight)
     candidates = simhash_pairs(marks)
-    links = verified(d, marks, candidates, n)
+    roots = connected_components(verified(d, marks, candidates, n))
     discard(candidates)
-    at = _still_apart(at, links)
+    at = _still_apart(at, roots)
     for k in range(ROUNDS):
+        if at.isEmpty():  # no two components share a shingle
+            return roots
         order = [F.xxhash64("x.node", F.lit(PIVOTS * k + j)) for j in range(PIVOTS)]
         order = [-F.col("weight"), *order[1:]] if k == 0 else order
         pivots = at.groupBy("key").agg(*(F.min(F.struct(o.alias("o"), "x")).alias(f"p{j}") for j, o in enumerate(order)))
         pivots = materialize(pivots.select("key", F.array_distinct(F.array(*(F.col(f"p{j}.x") for j in range(PIVOTS)))).alias("ys")), "pivots")
         met = at.select("key", "x").join(pivots, "key").select("x", F.explode("ys").alias("y")).filter((F.col("x.part") != F.col("y.part")) & _room("x", "y"))
         pairs = materialize(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "stars")
-        links = links.unionByName(verified(d, marks, pairs, n))
-        at = _still_apart(at, links)
+        more = verified(d, marks, pairs, n)
+        if not more.isEmpty():
+            roots = connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+            at = _still_apart(at, roots)
         for t in (pivots, pairs):
             discard(t)
+    if at.isEmpty():
+        return roots
     longs = [F.col("short")[i].alias(f"s{i}") for i in range(SHORT // 64)]
     sketches = marks.select("node", *longs).join(at.select(F.col("x.node").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
     last = materialize(at.select("key", "x", F.col("x.node").alias("node")).join(sketches, "node"), "last")
@@ -239,7 +246,8 @@ def near_duplicate_nodes(d: DataFrame, marks: DataFrame, n: int) -> DataFrame:
     close = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _room("x", "y") & ((P + Q) * apart <= (Q - P) * (F.col("x.n") + F.col("y.n")))
     pairs = x.join(y, (x["key"] == y["key"]) & close)
     pairs = materialize(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
-    return connected_components(links.unionByName(verified(d, marks, pairs, n)))
+    more = verified(d, marks, pairs, n)
+    return roots if more.isEmpty() else connected_components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:

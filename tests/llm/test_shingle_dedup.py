@@ -99,3 +99,14 @@ def test_candidates_come_from_simhash(spark, documents):
     # without the exact way, what SimHash finds is linked
     linked = shingle_dedup.verified(d, marks, shingle_dedup.simhash_pairs(marks), 5)
     assert {(r.a, r.b) for r in linked.collect()} == met
+
+
+def test_what_has_no_candidates_costs_no_more_tables(spark, documents, monkeypatch):
+    """Once no two components share a shingle, neither pivots nor pairs are made: driver memory follows the number of jobs."""
+    wrote = []
+    monkeypatch.setattr(shingle_dedup, "materialize", lambda df, name, f=shingle_dedup.materialize: wrote.append(name) or f(df, name))
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50000)}" for _ in range(30)) for _ in range(5)]
+    got = {r.doc_id: r.root for r in shingle_dedup.near_duplicates(documents(list(enumerate(texts + texts[:2])))).collect()}
+    assert got[0] == got[5] and got[1] == got[6] and len(set(got.values())) == 5
+    assert not {"pivots", "stars", "ids", "sets", "last", "pairs"} & set(wrote)

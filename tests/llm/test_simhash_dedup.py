@@ -69,6 +69,21 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_need_no_rounds(spark, monkeypatch):
+    """Links that a task contracts to stars are written once, whatever the length of the chain; stars of several tasks that meet take rounds."""
+    from scenetables.llm import components
+
+    wrote = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, f=components.materialize: wrote.append(name) or f(df, name))
+    chain = [(k, k + 1) for k in range(60)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long").coalesce(1)).collect()}
+    assert got == dict.fromkeys(range(61), 0) and wrote == ["contracted"]
+    # each task has one link, so no task sees the chain
+    monkeypatch.setattr(components, "_contracted", lambda edges, f=components._contracted: f(edges.repartition(60)))
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(61), 0) and len(wrote) > 2
+
+
 def test_query_against_all_pairs(spark, documents, corpus_dir):
     rng = random.Random(6)
     words = ["w%d" % k for k in range(50)]
