@@ -278,17 +278,17 @@ def bev_map(segments: DataFrame, egos: DataFrame, pixels: int = geometry.BEV_PIX
     n = F.lit(pixels)
     s = s.filter(camera.inside(F.col("u1"), F.col("v1"), n, n) | camera.inside(F.col("u2"), F.col("v2"), n, n))
     keys = ["clip_id", "frame"]
-    lines = line_raster(s, pixels, pixels, width, keys)
-    if path is None:
-        return lines
-    u, v = geometry.bev_pixel("m", [F.col(c) for c in "xyz"], pixels, metres)
-    dots = _around(path, [F.struct(*"xyz")], egos, metres).select(*keys, u.cast("int").alias("u"), v.cast("int").alias("v"), F.lit(DOT).alias("radius"))
-    dots = dots.filter((u >= 0) & (v >= 0)).unionByName(egos.select(*keys, *(F.lit(pixels // 2).alias(c) for c in "uv"), F.lit(CENTRE).alias("radius")))
-    dots = dots.filter(camera.inside(F.col("u"), F.col("v"), n, n)).distinct()
-    dots = dots.withColumn("__a", F.explode(F.expr("sequence(-radius, radius)"))).withColumn("__b", F.explode(F.expr("sequence(-radius, radius)"))).filter("__a * __a + __b * __b <= radius * radius")
-    black = dots.select(*keys, (F.col("u") + F.col("__a")).alias("u"), (F.col("v") + F.col("__b")).alias("v")).filter(camera.inside(F.col("u"), F.col("v"), n, n)).distinct()
-    black = black.select("*", *(F.lit(0).alias(c) for c in RGB))
-    return lines.join(black, [*keys, "u", "v"], "left_anti").unionByName(black)
+    s = s.withColumn("pad", mat.d(width / 2))
+    if path is not None:
+        u, v = geometry.bev_pixel("m", [F.col(c) for c in "xyz"], pixels, metres)
+        dots = _around(path, [F.struct(*"xyz")], egos, metres).select(*keys, u.cast("int").alias("u"), v.cast("int").alias("v"), F.lit(DOT).alias("radius"))
+        dots = dots.filter((u >= 0) & (v >= 0)).unionByName(egos.select(*keys, *(F.lit(pixels // 2).alias(c) for c in "uv"), F.lit(CENTRE).alias("radius")))
+        # a disc is a segment without length; names of dots come after all names of lines, whose order stays
+        dots = dots.filter(camera.inside(F.col("u"), F.col("v"), n, n)).select(
+            *keys, F.lit("1").alias("prim_id"), F.lit(0).alias("seg_id"), *(F.lit(0).alias(c) for c in RGB), *(F.col(a).cast("double").alias(f"{a}{k}") for k in "12" for a in "uv"), F.col("radius").cast("double").alias("pad")
+        )
+        s = s.withColumn("prim_id", F.coalesce(F.concat(F.lit("0"), "prim_id"), F.lit(""))).unionByName(dots)
+    return dense.line_raster(s, pixels, pixels, width, keys)
 
 
 def object_segments(objects: DataFrame) -> DataFrame:

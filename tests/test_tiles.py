@@ -130,3 +130,19 @@ def test_widest_camera_has_no_bound(spark):
     assert {r["frame"] for r in v if r["base"] is None} == {3}
     assert all(r["base"] > geometry.MAX_DEPTH for r in v if r["base"] is not None)
     assert camera.model_columns(c)[-1] == "edge_dr"
+
+
+def test_birds_eye_images_send_lines_not_pixels(spark):
+    """Lines and dots reach an image's kernel as rows, so no task sorts pixels (they were sorted by max_by before); dots lie over every line, names in order, null first."""
+    e = spark.range(1).select(F.lit(1).alias("clip_id"), F.lit(0).alias("frame"), mat.pose(mat.yaw(mat.d(0)), [mat.d(0)] * 3).alias("m"))
+    point = lambda x, y: F.struct(mat.d(x).alias("x"), mat.d(y).alias("y"), mat.d(0).alias("z"))
+    names = [(None, 1), ("a", 2), ("~zz", 3), ("", 4)]
+    s = spark.createDataFrame(names, "prim_id string, r int").select(F.lit(1).alias("clip_id"), "prim_id", F.lit(0).alias("seg_id"), point(-3, 3).alias("p0"), point(3, 3).alias("p1"), "r", F.lit(9).alias("g"), F.lit(9).alias("b"))
+    path = spark.createDataFrame([(1, 3.0, 3.0, 0.0)] * 2, "clip_id int, x double, y double, z double")
+    got = raster.bev_map(s, e, 80, 8.0, 3, path)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    at = {(p.u, p.v): (p.r, p.g, p.b) for p in got.collect()}
+    assert at[10, 40] == (3, 9, 9) and at[40, 37] == at[37, 40] == (0, 0, 0) and at[40, 43] == (0, 0, 0) and at[40, 33] == (255, 0, 0)
+    assert at[10, 10] == at[10, 11] == at[9, 10] == (0, 0, 0) and at[9, 11] == (3, 9, 9)
+    some = raster.bev_map(s.filter("prim_id IS NULL OR prim_id = ''"), e, 80, 8.0, 3)
+    assert {(p.r, p.g, p.b) for p in some.collect()} == {(4, 9, 9), raster.EGO}
