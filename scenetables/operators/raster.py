@@ -188,7 +188,7 @@ def draw_hulls(features: DataFrame, cameras: DataFrame, w: int, h: int, keys: Se
     f = geometry.kept(f, "__h", F.when(F.size("vertices") >= 3, F.struct(px.alias("px"), z.alias("z"))))
     f = f.withColumn("__mean", F.aggregate("__h.z", mat.d(0), lambda acc, x: acc + x) / F.size("__h.z"))
     f = f.select(*keys, "prim_id", F.filter("__h.px", lambda p: p["u"].isNotNull() & p["v"].isNotNull()).alias("px"), *(geometry.depth_shade(F.col("__mean"), F.col(c)).alias(c) for c in RGB))
-    return hull_raster(geometry.kept(f, "ring", hull_ring("px")), w, h, keys)
+    return dense.hull_raster(geometry.kept(f, "ring", hull_ring("px")), w, h, keys)
 
 
 def layer_table(spark) -> DataFrame:
@@ -208,26 +208,30 @@ def _cameras(cameras: DataFrame, w: int, h: int) -> DataFrame:
     return prepared(cameras, w, h).select(*IMAGE, "__inv", "__view", *camera.model_columns(cameras))
 
 
-def draw_map(features: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
-    """All layers of map_features (clip_id, layer, feature_id, vertices) in each camera image: areas and cuboids as hulls, the
-    others as lines, two layers of them densified; the layers are merged by channel."""
+def _map_layers(features: DataFrame, cameras: DataFrame, w: int, h: int) -> list[DataFrame]:
+    """What draw_map() merges."""
     f = with_layers(features).withColumn("prim_id", F.col("feature_id"))
     lines = f.filter("geom_type = 'polyline'")
-    dense = lines.filter(F.col("layer").isin(*DENSE_LAYERS))
-    points = geometry.densified(dense.select("clip_id", "layer", "prim_id", *RGB, "vertices"), DENSE_STEP)
-    dense = points.groupBy("clip_id", "layer", "prim_id", *RGB).agg(F.sort_array(F.collect_list(F.struct("ord", *"xyz"))).alias("p"))
-    dense = dense.withColumn("vertices", F.transform("p", lambda p: geometry.point(p["x"], p["y"], p["z"]))).drop("p")
+    fine = lines.filter(F.col("layer").isin(*DENSE_LAYERS))
+    points = geometry.densified(fine.select("clip_id", "layer", "prim_id", *RGB, "vertices"), DENSE_STEP)
+    fine = points.groupBy("clip_id", "layer", "prim_id", *RGB).agg(F.sort_array(F.collect_list(F.struct("ord", *"xyz"))).alias("p"))
+    fine = fine.withColumn("vertices", F.transform("p", lambda p: geometry.point(p["x"], p["y"], p["z"]))).drop("p")
     cols = ["clip_id", "layer", "prim_id", *RGB, "vertices"]
-    lines = lines.filter(~F.col("layer").isin(*DENSE_LAYERS)).select(*cols).unionByName(dense.select(*cols))
+    lines = lines.filter(~F.col("layer").isin(*DENSE_LAYERS)).select(*cols).unionByName(fine.select(*cols))
     keys = [*IMAGE, "layer"]
     cams = _cameras(cameras, w, h)
     drawn = [draw_lines(lines, cams, w, h, MAP_WIDTH, keys), draw_hulls(f.filter("geom_type <> 'polyline'").select(*cols), cams, w, h, keys)]
-    return merged([d.drop("layer") for d in drawn])
+    return [d.drop("layer") for d in drawn]
 
 
-def draw_boxes(objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
-    """Boxes of objects (clip_id, frame, track_id, object_type, lwh, m) as lines in their class's colour; of a class the later
-    track in string order is on top, and the classes are merged by channel."""
+def draw_map(features: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
+    """All layers of map_features (clip_id, layer, feature_id, vertices) in each camera image: areas and cuboids as hulls, the
+    others as lines, two layers of them densified; the layers are merged by channel."""
+    return merged(_map_layers(features, cameras, w, h))
+
+
+def _box_layers(objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
+    """What draw_boxes() merges."""
     o = objects.withColumn("cls", obj.drawn_class(F.col("object_type"))).withColumn("__c", geometry.corners("lwh", "m")).withColumn("vertices", geometry.box_polyline("__c"))
     for i, c in enumerate(RGB):
         pick = F
@@ -236,14 +240,20 @@ def draw_boxes(objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFr
         o = o.withColumn(c, pick)
     o = o.select("clip_id", "frame", F.col("track_id").alias("prim_id"), "cls", *RGB, "vertices")
     cams = _cameras(cameras, w, h)
-    return merged([draw_lines(o, cams, w, h, BOX_WIDTH, [*IMAGE, "cls"]).drop("cls")])
+    return draw_lines(o, cams, w, h, BOX_WIDTH, [*IMAGE, "cls"]).drop("cls")
+
+
+def draw_boxes(objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
+    """Boxes of objects (clip_id, frame, track_id, object_type, lwh, m) as lines in their class's colour; of a class the later
+    track in string order is on top, and the classes are merged by channel."""
+    return merged([_box_layers(objects, cameras, w, h)])
 
 
 def hdmap_condition(features: DataFrame, objects: DataFrame, cameras: DataFrame, w: int, h: int) -> DataFrame:
-    """The map and the boxes of each camera image, merged. cameras: clip_id, camera, frame, m and a model as in camera.project, pinhole and f-theta mixed
+    """The map and the boxes of each camera image, merged once. cameras: clip_id, camera, frame, m and a model as in camera.project, pinhole and f-theta mixed
     if wanted (camera.camera_models)."""
     cams = prepared(cameras, w, h)
-    return merged([draw_map(features, cams, w, h), draw_boxes(objects, cams, w, h)])
+    return merged([*_map_layers(features, cams, w, h), _box_layers(objects, cams, w, h)])
 
 
 def _around(rows: DataFrame, ends: list[Column], egos: DataFrame, metres: float) -> DataFrame:

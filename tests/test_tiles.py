@@ -146,3 +146,14 @@ def test_birds_eye_images_send_lines_not_pixels(spark):
     assert at[10, 10] == at[10, 11] == at[9, 10] == (0, 0, 0) and at[9, 11] == (3, 9, 9)
     some = raster.bev_map(s.filter("prim_id IS NULL OR prim_id = ''"), e, 80, 8.0, 3)
     assert {(p.r, p.g, p.b) for p in some.collect()} == {(4, 9, 9), raster.EGO}
+
+
+def test_hull_kernel(spark):
+    """The kernel gives the pixels of the relational form, whose exploded pixels were sorted in the stage that made them."""
+    r = np.random.default_rng(5)
+    rows = [(k % 3, k, [(float(u), float(v)) for u, v in np.round(r.uniform(-20, 80, (int(r.integers(1, 8)), 2)) * (1 if k % 2 else 0.5))], k, 7, 9) for k in range(60)]
+    p = spark.createDataFrame(rows, "clip_id int, prim_id int, px array<struct<u:double,v:double>>, r int, g int, b int").withColumn("ring", raster.hull_ring("px"))
+    fast = dense.hull_raster(p, W, H, ["clip_id"])
+    assert "SortAggregate" not in fast._jdf.queryExecution().executedPlan().toString()
+    got, want = ({tuple(x) for x in d.collect()} for d in (fast, raster.hull_raster(p, W, H, ["clip_id"])))
+    assert got == want and len(got) > 500
