@@ -81,7 +81,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """Return memory that Python has freed to the system, where the C library can: after training, the driver is small again."""
+    """Return memory that Python has freed to the system, where the C library can: after training, the process is small again."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

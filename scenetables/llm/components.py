@@ -66,6 +66,11 @@ def _star_round(edges: DataFrame) -> DataFrame:
     return new
 
 
+def _gathered(edges: DataFrame) -> DataFrame:
+    """A table of links, read by one task for each CHUNK of them: their number follows the links, not the files that the links lie in."""
+    return edges.coalesce(max(1, -(-edges.count() // CHUNK)))
+
+
 def _is_forest(edges: DataFrame) -> bool:
     """Whether edges (a, b), a < b, are stars apart from each other: each node then has one root."""
     ends = edges.select(F.col("b").alias("node"), "a").unionByName(edges.select(F.col("a").alias("node"), "a"))
@@ -75,15 +80,16 @@ def _is_forest(edges: DataFrame) -> bool:
 def connected_components(links: DataFrame) -> DataFrame:
     """links(a, b), any order and direction -> (node, root): root is the smallest node reachable. Nodes without a
     link to another node are not returned; nulls are left out, and an empty table gives an empty result. Edges stay in tables from first to last; each step is written to the
-    shared scratch folder, so the lineage is one step long. Tasks first contract the links they hold; star rounds follow only while a node of what is left has
-    more than one root, and their number grows with the logarithm of the longest chain."""
+    shared scratch folder, so the lineage is one step long. Tasks first contract the links they hold, then once more as gathered by CHUNK, which settles all that one
+    task can hold; star rounds follow only while a node of what is left has more than one root, and their number grows with the logarithm of the longest chain."""
     edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    while True:
-        contracted = materialize(_contracted(edges), "contracted")
-        discard(edges)
-        if _is_forest(contracted):
-            break
-        edges = _star_round(contracted)
-        discard(contracted)
+    contracted = materialize(_contracted(edges), "contracted")
+    rounds = 0
+    while not _is_forest(held := _gathered(contracted)):
+        edges = _star_round(contracted) if rounds else held
+        spent, contracted = contracted, materialize(_contracted(edges), "contracted")
+        for t in (spent, edges):
+            discard(t)
+        rounds += 1
     roots = contracted.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     return roots.unionByName(contracted.select(F.col("b").alias("node"), F.col("a").alias("root")))

@@ -1,4 +1,4 @@
-"""Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
+"""Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy by tasks.
 
 A word's input is a hashed word embedding and the sum of hashed character n-gram embeddings (prefixes of 3 to 8 bytes
 and inner 4-grams). Windows of WINDOW words, each overlapping half of the next, go through a forward and a backward GRU;
@@ -9,6 +9,7 @@ a label and fitting on them; the first choice comes from how the features' docum
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenetables.llm.common import give_back, small_batches, table
-from scenetables.llm.sampling import bounded_sample, held_out
+from scenetables.llm.sampling import held_out, in_order, sample_rows
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, DIM = 8, 8
@@ -104,9 +105,10 @@ def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Net:
-    """The network's parameters; float32 throughout."""
+    """The network's parameters; float32 throughout. What is sent of them are the rows that training changed."""
 
     def __init__(self, seed: int = 0):
+        self.seed = seed
         rng = np.random.default_rng(seed)
         small = lambda *shape, s: rng.standard_normal(shape, np.float32) * np.float32(s)
         self.words, self.grams = small(1 << WORD_BITS, DIM, s=0.02), small(1 << GRAM_BITS, DIM, s=0.02)
@@ -117,6 +119,20 @@ class Net:
         self.p |= {"att": small(2 * HIDDEN, s=0.3), "out": small(2 * HIDDEN, s=0.5), "bias": np.float32([-1.0])}
         self.scale, self.shift = 1.0, 0.0  # calibration
 
+    def __getstate__(self) -> dict:
+        new, state = Net(self.seed), {k: v for k, v in self.__dict__.items() if k not in ("words", "grams")}
+        for k in ("words", "grams"):
+            at = np.flatnonzero((getattr(self, k) != getattr(new, k)).any(1))
+            state["new_" + k] = at, getattr(self, k)[at]
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["seed"])
+        for k in ("words", "grams"):
+            at, rows = state.pop("new_" + k)
+            getattr(self, k)[at] = rows
+        self.__dict__.update(state)
+
     def inputs(self, v: Words) -> np.ndarray:
         """(2 DIM, V): word part, then character part."""
         chars = self.grams[v.prefix].sum(1)
@@ -344,11 +360,20 @@ def _calibrate(net: Net, texts: pa.Array, label: np.ndarray, apart: np.ndarray)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> Net:
-    """Trains on at most per_label documents of each label, of at most max_chars characters, from the rows not held out."""
+    """Trains on at most per_label documents of each label, of at most max_chars characters, from the rows not held out. One task trains, since its sample is bounded and the
+    driver's memory is scarcer; the driver gets the network alone."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    net = train(bounded_sample(docs.select("doc_id", "text"), "toxic", per_label, max_chars, known))
-    give_back()
-    return net
+    sample = sample_rows(docs.select("doc_id", "text"), "toxic", per_label, max_chars, known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        net = pickle.dumps(train(in_order(rows)))
+        del rows
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([net], pa.binary())], ["net"])
+
+    found = [] if sample is None else small_batches(sample.repartition(1)).mapInArrow(run, "net binary").collect()
+    return pickle.loads(found[0].net) if found else train([])
 
 
 def toxicity(docs: DataFrame, net: Net, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+import pickle
 import random
 import zlib
 
@@ -59,6 +61,28 @@ def test_toxicity_on_held_out_rows(spark, documents, corpus_dir):
     assert all(r.predicted == 0 for r in out if r.doc_id is None or r.doc_id == 5000)
 
 
+def test_training_leaves_the_driver_small(spark, documents, monkeypatch):
+    """A task trains, on the sample that the driver would collect; what is sent of a network is what training changed."""
+    from scenetables.llm import sampling
+
+    rows = texts(random.Random(6), 150)
+    docs = documents([(k, t) for k, (t, _) in enumerate(rows)])
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    want = tx.train(sampling.bounded_sample(docs.select("doc_id", "text"), "toxic", 60, 8000, labels))
+
+    def elsewhere(sample, driver=os.getpid(), train=tx.train):
+        assert os.getpid() != driver
+        return train(sample)
+
+    monkeypatch.setattr(tx, "train", elsewhere)
+    got = tx.fit(docs, labels, 60, 8000)
+    some = pa.array([t for t, _ in rows])
+    assert np.allclose(got.score(some), want.score(some), atol=1e-4) and np.ptp(want.score(some)) > 0.5
+    sent = pickle.dumps(want)
+    same = pickle.loads(sent)
+    assert len(sent) < 2_000_000 and (same.words == want.words).all() and (same.grams == want.grams).all() and (same.score(some) == want.score(some)).all()
+
+
 def test_long_text_equals_its_highest_window():
     net = tx.train(texts(random.Random(4), 300))
     words = ("lorem ipsum " * 40).split() + ["nasty"] + ("dolor sit " * 5_000).split()

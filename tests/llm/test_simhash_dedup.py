@@ -84,6 +84,22 @@ def test_stars_need_no_rounds(spark, monkeypatch):
     assert got == dict.fromkeys(range(61), 0) and len(wrote) > 2
 
 
+def test_links_of_many_tasks_are_gathered(spark, monkeypatch):
+    """Links that one task can hold need no star rounds, however many tasks they come from."""
+    from scenetables.llm import components
+
+    rounds = []
+    monkeypatch.setattr(components, "_star_round", lambda edges, f=components._star_round: rounds.append(1) or f(edges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+        assert {r.node: r.root for r in connected_components(chain).collect()} == dict.fromkeys(range(61), 0) and not rounds
+        monkeypatch.setattr(components, "CHUNK", 7)  # nine tasks
+        assert {r.node: r.root for r in connected_components(chain).collect()} == dict.fromkeys(range(61), 0) and rounds
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_query_against_all_pairs(spark, documents, corpus_dir):
     rng = random.Random(6)
     words = ["w%d" % k for k in range(50)]
